@@ -38,14 +38,14 @@ def connected_components(edges: DataFrame, scratch: Scratch, seed: int = 7) -> D
         )
         hook = scratch.keep(hook, "hook")
         hooks.append(hook)
-        moved = live.join(hook.withColumnsRenamed({"node": "a", "up": "a2"}), "a").select("a2", "b")
-        moved = moved.join(hook.withColumnsRenamed({"node": "b", "up": "b2"}), "b")
+        moved = live.join(hook.select(F.col("node").alias("a"), F.col("up").alias("a2")), "a").select("a2", "b")
+        moved = moved.join(hook.select(F.col("node").alias("b"), F.col("up").alias("b2")), "b")
         live = scratch.keep(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct(), "moved")
     if not hooks:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = hooks[-1]
     for hook in reversed(hooks[:-1]):
-        upper = roots.withColumnsRenamed({"node": "up", "up": "top"})
+        upper = roots.select(F.col("node").alias("up"), F.col("up").alias("top"))
         roots = hook.join(upper, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
     roots = scratch.keep(roots, "roots")
     names = roots.groupBy("up").agg(F.min("node").alias("component"))
