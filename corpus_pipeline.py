@@ -1,18 +1,72 @@
 """Corpus preparation as a chain of stages over ``documents``.
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet in
-the shared folder and read again as the next stage's ``docs``.
+the shared folder and read again as the next stage's ``docs``. All but the last
+return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from specgrid.llm.common import Scratch, read_table
+from specgrid.llm.linededup import drop_repeats
+from specgrid.llm.minhash import near_duplicates
+from specgrid.llm.mixing import mix
+from specgrid.llm.pieces import encode_pieces, read_model
+from specgrid.llm.queries import TOKENIZERS, train_toxicity
+from specgrid.llm.toxicity import score
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar does not reject."""
+    return score(docs, train_toxicity(spark, docs, sf_dir)).where("predicted = 0").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeats of passages; a document that was nothing but repeats goes."""
+    out = drop_repeats(docs.select(*COLUMNS)).where("n_deleted = 0 OR n_deleted < n_words")
+    shorter = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", shorter).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    docs = docs.select(*COLUMNS)
+    mixed = mix(docs).where("copies > 0").select("doc_id", "source", "copies")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        taken = docs.join(mixed.drop("source"), docs["doc_id"].eqNullSafe(mixed["doc_id"])).drop(mixed["doc_id"])
+    else:  # rows that share a doc_id are paired off in the order of their sources
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source"))
+        every = mix(docs).select(F.col("doc_id").alias("id"), "copies", nth.alias("m"))
+        left = docs.withColumn("nth", nth)
+        taken = left.join(every, left["doc_id"].eqNullSafe(every["id"]) & (F.col("nth") == F.col("m")))
+    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*COLUMNS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mixed documents."""
+    return encode_pieces(docs, read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", pieces),
+]
 
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None

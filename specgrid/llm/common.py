@@ -6,11 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: White space that separates words: space and the control characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -116,6 +117,22 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return mix64(out + np.uint64(size))
 
 
-def string_key(col: str):
-    """Column as bytes that order by code point, nulls last handled by the caller."""
-    return F.col(col).cast("string")
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of each key in turn, from batches that are sorted by integer ``keys``; holds one group at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys]).astype(np.int64)
+        ends = [*(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        at = 0
+        for end in ends:
+            here = k[at].tolist()
+            if held and here != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last, at = here, end
+    if held:
+        yield pa.Table.from_batches(held)

@@ -147,18 +147,14 @@ def near_duplicates(
     # A doc_id that stands on several rows gives several sets; any of them may confirm a link.
     full = scratch.keep(named.mapInArrow(_sets(size), "id long, shingles array<long>"), "full")
 
-    tested = links = None
-    names = spark.createDataFrame([], "node long, component long")
+    # `c` is the component that an id is known to belong to; at first each is its own.
+    live = members.withColumn("c", F.col("id"))
+    tested = links = names = None
     spread = 1
-    while True:
-        known = members.join(names, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        known = scratch.keep(known, "known")
-        mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        live = scratch.keep(known.join(mixed, "bucket", "left_semi"), "live")
-        if live.isEmpty():
-            break
-        picks = live.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(spread)).alias("part")).agg(F.min("id").alias("id"))
-        anchors = scratch.keep(picks.select("bucket", "id").join(live, ["bucket", "id"]).select("bucket", F.col("id").alias("anchor"), F.col("c").alias("ca")), "anchors")
+    while not live.isEmpty():
+        part = F.pmod(F.xxhash64("id"), F.lit(spread)).alias("part")
+        anchors = live.groupBy("bucket", part).agg(F.min("id").alias("anchor"), F.min_by("c", "id").alias("ca"))
+        anchors = scratch.keep(anchors.select("bucket", "anchor", "ca"), "anchors")
         pairs = live.join(anchors, "bucket").where("id <> anchor AND c <> ca")
         pairs = pairs.select(F.least("id", "anchor").alias("a"), F.greatest("id", "anchor").alias("b")).distinct()
         if tested is not None:
@@ -166,10 +162,18 @@ def near_duplicates(
         pairs = scratch.keep(pairs, "pairs")
         found = scratch.keep(_confirmed(pairs, full, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        names = scratch.keep(connected_components(links, scratch), "names")
-        members = scratch.keep(live.join(anchors.select("bucket", F.col("anchor").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "members")
+        if not found.isEmpty() or names is None:
+            links = found if links is None else links.unionByName(found)
+            names = connected_components(links, scratch)
+        # Anchors have met all of their buckets; what is left goes on where it has two components.
+        left = live.join(anchors.select("bucket", F.col("anchor").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
+        left = left.join(names, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+        left = scratch.keep(left, "left")
+        mixed = left.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+        live = scratch.keep(left.join(mixed, "bucket", "left_semi"), "live")
         spread *= 4
+    if names is None:
+        names = spark.createDataFrame([], "node long, component long")
 
     filled_key = F.col("n_shingles") > 0
     out = signed.select("doc_id", "n_shingles", F.when(filled_key, F.col("set_a")).alias("set_a"), F.when(filled_key, F.col("set_b")).alias("set_b"))
