@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specgrid.llm.common import Scratch, mix64, ship, window_hashes, word_hashes
@@ -32,10 +32,16 @@ from specgrid.llm.components import connected_components
 SHINGLE = 5
 UNIVERSE_BITS = 21
 BANDS, ROWS = 40, 5
+#: Coordinates of a signature; the bands take the first ones, sketches hold all.
+COORDINATES = 400
 #: A list of candidate ids up to this many rows (8 bytes each) is broadcast; a longer one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+#: A pair that shares a band is looked at further unless its share of equal coordinates lies this many standard
+#: deviations below that of a pair at the threshold (3 in a million of those are lost).
+DEVIATIONS = 4.5
+
+SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -74,27 +80,54 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch_of(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates to a word."""
+    low = np.zeros(-(-len(sig) // 16) * 16, dtype=np.uint64)
+    low[: len(sig)] = mix64(sig.astype(np.uint64) + np.uint64(1)) & np.uint64(15)
+    return np.bitwise_or.reduce(low.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+
+
+def most_unequal(coordinates: int, percent: int) -> int:
+    """Unequal coordinates up to which a pair may still reach the threshold."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(np.ceil(coordinates * (1 - p) + DEVIATIONS * np.sqrt(coordinates * p * (1 - p))))
+
+
+def _unequal(a: str, b: str, words: int) -> Column:
+    """Coordinates in which two sketches differ."""
+    total = F.lit(0)
+    for i in range(words):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
 def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, keys, ends = [], [], [], [], [0]
+            n, a, b, keys, ends, sketches = [], [], [], [], [0], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), size)
                 n.append(len(s))
                 if len(s):
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     lo, hi = np.frombuffer(digest, dtype=np.int64)
-                    keys.append(band_keys(signature(s, bands * rows), bands, rows))
+                    sig = signature(s, max(COORDINATES, bands * rows))
+                    keys.append(band_keys(sig[: bands * rows], bands, rows))
+                    sketches.append(sketch_of(sig).tolist())
                 else:
                     lo = hi = 0
+                    sketches.append(None)
                 a.append(int(lo))
                 b.append(int(hi))
                 ends.append(ends[-1] + (bands if len(s) else 0))
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
             )
 
     return run
@@ -135,43 +168,55 @@ def near_duplicates(
 
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = scratch.keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "sets")
-    firsts = filled.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"]).select("doc_id", "bands")
+    firsts = filled.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"]).select("doc_id", "bands", "sketch")
     placed = scratch.keep(firsts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")), "placed")
     shared = placed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = scratch.keep(placed.join(shared, "bucket").distinct(), "members")
+    grouped = scratch.keep(placed.join(shared, "bucket"), "members")
     scratch.drop(placed)
 
-    wanted = scratch.keep(members.select("id").distinct(), "wanted")
+    wanted = scratch.keep(grouped.select("id").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     named = texts.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
     # A doc_id that stands on several rows gives several sets; any of them may confirm a link.
     full = scratch.keep(named.mapInArrow(_sets(size), "id long, shingles array<long>"), "full")
 
     # `c` is the component that an id is known to belong to; at first each is its own.
-    live = members.withColumn("c", F.col("id"))
-    tested = links = names = None
+    each = firsts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    each = scratch.keep(each, "each")
+    live = scratch.keep(grouped.join(each.select("id", "sketch"), "id").select("bucket", "id", F.col("id").alias("c"), "sketch"), "live")
+    coordinates = max(COORDINATES, bands * rows)
+    words, unequal = -(-coordinates // 16), most_unequal(coordinates, percent)
+    names = None
     spread = 1
     while not live.isEmpty():
+        first = spread == 1
         part = F.pmod(F.xxhash64("id"), F.lit(spread)).alias("part")
-        anchors = live.groupBy("bucket", part).agg(F.min("id").alias("anchor"), F.min_by("c", "id").alias("ca"))
-        anchors = scratch.keep(anchors.select("bucket", "anchor", "ca"), "anchors")
-        pairs = live.join(anchors, "bucket").where("id <> anchor AND c <> ca")
-        pairs = pairs.select(F.least("id", "anchor").alias("a"), F.greatest("id", "anchor").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        found = scratch.keep(_confirmed(pairs, full, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not found.isEmpty() or names is None:
-            links = found if links is None else links.unionByName(found)
-            names = connected_components(links, scratch)
-        # Anchors have met all of their buckets; what is left goes on where it has two components.
-        left = live.join(anchors.select("bucket", F.col("anchor").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        left = left.join(names, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        left = scratch.keep(left, "left")
-        mixed = left.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        live = scratch.keep(left.join(mixed, "bucket", "left_semi"), "live")
-        spread *= 4
+        picked = ["c", "sketch"] if first else ["c", "sketch", "bands"]
+        anchors = live.groupBy("bucket", part).agg(F.min("id").alias("anchor"), *[F.min_by(x, "id").alias(f"{x}_a") for x in picked])
+        anchors = scratch.keep(anchors.drop("part"), "anchors")
+        # An anchor meets all others of its bucket, and another anchor only if that has the larger id.
+        marks = anchors.select("bucket", F.col("anchor").alias("id"), F.lit(True).alias("used"))
+        marked = scratch.keep(live.join(marks, ["bucket", "id"], "left"), "marked")
+        meet = F.expr("id <> anchor AND c <> c_a AND (used IS NULL OR id > anchor)") & (_unequal("sketch", "sketch_a", words) <= unequal)
+        if not first:  # two texts may share many buckets: they meet in the first of these
+            same = [F.when(F.col("bands")[i] == F.col("bands_a")[i], F.col("bands")[i]) for i in range(bands)]
+            meet = meet & (F.coalesce(*same) == F.col("bucket"))
+        pairs = marked.join(anchors.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & meet)
+        pairs = pairs.select(F.least("id", "anchor").alias("a"), F.greatest("id", "anchor").alias("b"))
+        found = scratch.keep(_confirmed(pairs.distinct() if first else pairs, full, percent), "links")
+        if names is None or not found.isEmpty():
+            names = _joined(names, found, scratch)
+        # Anchors have met all of their bucket; the rest goes on where it has two components.
+        rest = marked.where("used IS NULL").join(names, F.col("id") == F.col("node"), "left")
+        rest = rest.select("bucket", "id", F.coalesce("component", "id").alias("c"), "sketch", *([] if first else ["bands"]))
+        rest = scratch.keep(rest, "rest")
+        mixed = rest.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+        next_live = rest.join(mixed, "bucket", "left_semi")
+        if first:
+            next_live = next_live.join(each.select("id", "bands"), "id")
+        stale, live = live, scratch.keep(next_live, "live")
+        scratch.drop(stale, marked, rest, anchors)
+        spread *= 8
     if names is None:
         names = spark.createDataFrame([], "node long, component long")
 
@@ -184,6 +229,19 @@ def near_duplicates(
     )
 
 
+def _joined(names: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components ``(node, component)`` after further links, worked out on the components so far."""
+    if names is None:
+        return connected_components(links, scratch)
+    end = lambda x: names.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    upper = links.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    upper = scratch.keep(upper.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "upper")
+    over = connected_components(upper, scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(names, "node", "left_anti")
+    every = names.unionByName(ends.withColumn("component", F.col("node")))
+    return scratch.keep(every.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "names")
+
+
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets overlap enough."""
     left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
