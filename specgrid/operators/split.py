@@ -58,7 +58,7 @@ def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
 
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     kind = dict(df.dtypes)[group]
-    folds = counts.groupBy(F.lit(1)).applyInPandas(deal, f"{group} {kind}, fold int")
+    folds = counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(deal, f"{group} {kind}, fold int")
     return df.join(folds, group)
 
 
@@ -88,8 +88,8 @@ def fold_zscore(df: DataFrame, fold: str, target: str) -> DataFrame:
     """
     t = F.col(target)
     own = df.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("s"), F.sum(t * t).alias("q"))
-    every = own.agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"))
-    stats = own.crossJoin(F.broadcast(every)).select(fold, (F.col("N") - F.col("n")).alias("m"), (F.col("S") - F.col("s")).alias("ms"), (F.col("Q") - F.col("q")).alias("mq"))
+    every = own.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
+    stats = own.crossJoin(F.broadcast(every)).select(fold, (F.col("all_n") - F.col("n")).alias("m"), (F.col("all_s") - F.col("s")).alias("ms"), (F.col("all_q") - F.col("q")).alias("mq"))
     mean = F.col("ms") / F.col("m")
     std = F.sqrt(F.greatest(F.col("mq") / F.col("m") - mean * mean, F.lit(0.0))) + 1e-6
     stats = stats.select(fold, mean.alias("mean"), std.alias("std"))
