@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that separates words: space and the control characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -77,6 +78,30 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Bits of an id filter: at most 4096 rows of 4 KB, 16 MB, whatever the data.
+FILTER_BITS, _ROW_BITS = 1 << 27, 1 << 15
+
+
+def id_filter(ids: DataFrame, col: str, scratch: Scratch) -> DataFrame:
+    """Bitmap of hashed ids, as a written table of bounded size that may be broadcast."""
+    h = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
+    places = ids.select(F.floor(h / _ROW_BITS).cast("int").alias("_row"), (h % _ROW_BITS).alias("_bit"))
+    return scratch.keep(places.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "filter")
+
+
+def maybe_in(df: DataFrame, col: str, marks: DataFrame, name: str = "maybe") -> DataFrame:
+    """``df`` with a flag that is false only for ids that are surely not in the filter.
+
+    It keeps texts that need no join out of a shuffle; an exact join follows.
+    """
+    h = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
+    at = df.withColumns({"_at": F.floor(h / _ROW_BITS).cast("int"), "_bit": (h % _ROW_BITS).cast("int")})
+    out = at.join(F.broadcast(marks), F.col("_at") == F.col("_row"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_byte, _bit % 8) & 1") == 1, F.lit(False))
+    return out.withColumn("_byte", byte).withColumn(name, hit).drop("_at", "_bit", "_row", "_bits", "_byte")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

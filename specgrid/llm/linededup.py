@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import Scratch, ship, window_hashes, word_hashes
+from specgrid.llm.common import WORD_PATTERN, Scratch, id_filter, maybe_in, ship, window_hashes, word_hashes
 
 #: Words of a line, and neighbouring lines of a window: 16 + 35 - 1 = 50 words are found for certain.
 LINE, MIN_RUN = 16, 50
@@ -51,22 +51,19 @@ def chosen(lines: np.ndarray, window: int) -> np.ndarray:
 
 
 def runs_of(words: np.ndarray, shared: np.ndarray, line: int, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and hashes of the runs around shared fingerprints, and which of them repeat an earlier part of the text."""
-    lines = window_hashes(words, line)
-    window = min_run - line + 1
-    hit = chosen(lines, window) & np.isin(lines, shared)
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    starts = np.flatnonzero(sums[window:] > sums[: len(sums) - window])
+    """Starts and hashes of the runs whose fingerprint is shared, and which of them repeat an earlier part of the text."""
+    least = _slide(window_hashes(words, line), min_run - line + 1, np.minimum)
+    starts = np.flatnonzero(np.isin(least, shared))
     keys = window_hashes(words, min_run)[starts]
     _, first, group = np.unique(keys, return_index=True, return_inverse=True)
-    own = starts - starts[first[group]] >= min_run
+    own = starts - starts[first[group]] >= min_run if len(starts) else np.zeros(0, dtype=bool)
     return starts, keys, own
 
 
-def cut(text: str, starts: list[int], min_run: int) -> tuple[str, list[tuple[int, int]], int]:
+def cut(text: str, runs: list[tuple[int, int]], min_run: int) -> tuple[str, list[tuple[int, int]], int]:
     """Text without the runs, the deleted spans in words, and the number of words.
 
-    A deleted word takes the white space after it along; other parts stay as they are.
+    ``runs`` are ``(start, n)``: ``n`` runs that start at neighbouring words. A deleted word takes the white space after it along; other parts stay as they are.
     """
     data = text.encode()
     raw = np.frombuffer(data, dtype=np.uint8)
@@ -74,8 +71,9 @@ def cut(text: str, starts: list[int], min_run: int) -> tuple[str, list[tuple[int
     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     n = len(begins)
     edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.asarray(starts) + min_run, -1)
+    for start, many in runs:
+        edge[start] += 1
+        edge[min(n, start + many - 1 + min_run)] -= 1
     gone = np.cumsum(edge[:n]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     spans = [(int(a), int(b)) for a, b in zip(turns[::2], turns[1::2], strict=True)]
@@ -96,6 +94,7 @@ def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN) -
     text of fewer than ``min_run`` words is never touched. Rows that share a
     doc_id are not earlier than each other; a null doc_id counts as the
     largest. A column named like an added one is replaced by it.
+    Texts travel only where a bounded bitmap of ids cannot rule a join out.
     """
     if not 0 < line < min_run:
         raise ValueError("a line must be shorter than the shortest run")
@@ -105,6 +104,16 @@ def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN) -
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     texts = docs.select(key.alias("k"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
 
+    # Later copies of a whole text repeat it from end to end; they need no fingerprints.
+    digests = scratch.keep(texts.select("k", F.md5(F.encode("text", "UTF-8")).alias("md5")), "digests")
+    firsts = digests.groupBy("md5").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last")
+    copies = scratch.keep(digests.join(firsts, "md5").where("k > first").select("k", "md5"), "copies")
+    copied = id_filter(copies, "k", scratch)
+    flagged = maybe_in(texts, "k", copied)
+    # Of the rows that the filter lets through, those that are no copies after all are told by id and digest.
+    doubtful = flagged.where("maybe").withColumn("md5", F.md5(F.encode("text", "UTF-8"))).join(copies, ["k", "md5"], "left_anti")
+    single = flagged.where("NOT maybe").select("k", "text").unionByName(doubtful.select("k", "text"))
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, times, sizes = [], [], []
@@ -118,7 +127,7 @@ def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN) -
             flat = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat(hashes)), pa.array(ids, pa.int64()), pa.array(flat(times).astype(np.int32))], ["print", "k", "n"])
 
-    marks = scratch.keep(texts.mapInArrow(prints, "print long, k long, n int"), "prints")
+    marks = scratch.keep(single.mapInArrow(prints, "print long, k long, n int"), "prints")
     shared = marks.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print")
     hits = marks.join(shared, "print").groupBy("k").agg(F.collect_set("print").alias("prints"))
     hits = scratch.keep(hits, "hits")
@@ -128,53 +137,62 @@ def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN) -
         for batch in batches:
             ids, parts = [], []
             for k, text, shared in zip(batch.column("k"), batch.column("text"), batch.column("prints"), strict=True):
-                known = shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 words = word_hashes(text.as_py().encode())
-                if len(words) >= min_run:
-                    parts.append(runs_of(words, known, line, min_run))
-                    ids.append(np.full(len(parts[-1][0]), k.as_py(), dtype=np.int64))
-            if not parts:
-                continue
-            starts, keys, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(np.concatenate(ids)), pa.array(starts.astype(np.int32)), pa.array(own)], ["run", "k", "start", "own"]
-            )
-
-    around = texts.join(hits, "k").select("k", "text", "prints").mapInArrow(runs, "run long, k long, start int, own boolean")
-    around = scratch.keep(around, "runs")
-    firsts = around.groupBy("run").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("run", "first")
-    later = around.where("NOT own").join(firsts, "run").where("k > first").select("k", "start")
-    cuts = later.union(around.where("own").select("k", "start")).groupBy("k").agg(F.collect_set("start").alias("starts"))
-    cuts = scratch.keep(cuts, "cuts")
+                if len(words) < min_run:
+                    continue
+                starts, keys, own = runs_of(words, shared.values.to_numpy(zero_copy_only=False).view(np.uint64), line, min_run)
+                mine = starts[own]
+                turn = np.flatnonzero(np.diff(mine, prepend=-2) > 1)
+                many = np.diff(np.append(turn, len(mine)))
+                # Repeats of the text's own earlier parts as ranges without a key, the others one by one.
+                n, m = len(turn), len(starts) - len(mine)
+                parts.append((np.concatenate([keys[~own].view(np.int64), np.zeros(n, np.int64)]), np.concatenate([starts[~own], mine[turn]]), np.concatenate([np.ones(m, int), many]), np.arange(n + m) >= m))
+                ids.append(np.full(n + m, k.as_py(), dtype=np.int64))
+            if parts:
+                keys, starts, many, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, mask=own), pa.array(np.concatenate(ids)), pa.array(starts.astype(np.int32)), pa.array(many.astype(np.int32))], ["run", "k", "start", "n"]
+                )
+
+    touched = maybe_in(single, "k", id_filter(hits, "k", scratch)).where("maybe").select("k", "text")
+    around = scratch.keep(touched.join(hits, "k").select("k", "text", "prints").mapInArrow(runs, "run long, k long, start int, n int"), "runs")
+    early = around.where("run IS NOT NULL").groupBy("run").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("run", "first")
+    later = around.join(early, "run").where("k > first").select("k", "start", "n")
+    whole = copies.select("k", F.lit(0).alias("start"), F.lit(-1).alias("n"))  # -1: from end to end
+    cuts = later.unionByName(around.where("run IS NULL").select("k", "start", "n")).unionByName(whole)
+    cuts = scratch.keep(cuts.groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "cuts")
     scratch.drop(around, hits)
 
-    others = [c for c in docs.columns if c not in ("text", "n_words", "n_deleted", "spans")]
-    rows = docs.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(others)], F.col("text").cast("string").alias("text"), key.alias("k"))
-    rows = rows.join(cuts, "k", "left").drop("k")
-    spare = [f for f in rows.schema.fields if f.name.startswith("o")]
-    schema = "text string, n_words long, n_deleted long, spans array<struct<from:int,to:int>>"
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spare)
+    added = ("n_words", "n_deleted", "spans")
+    names = [c for c in docs.columns if c not in added]
+    rows = docs.select(*[F.col(c).cast("string").alias(f"c{i}") if c == "text" else F.col(c).alias(f"c{i}") for i, c in enumerate(names)], key.alias("k"))
+    at = names.index("text")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         for batch in batches:
             texts, sizes, deleted, spans = [], [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
-                text, starts = text.as_py(), starts.as_py()
+            for text, runs in zip(batch.column(at), batch.column(len(names)), strict=True):
+                text, runs = text.as_py(), runs.as_py()
                 gone, n = [], len((text or "").encode().split())
-                if text is not None and starts:
+                if text is not None and runs and n >= min_run:
+                    fit = [(r["start"], n - min_run + 1 if r["n"] < 0 else r["n"]) for r in runs]
                     # Rows that share a doc_id may have other texts: only runs that fit.
-                    text, gone, n = cut(text, [s for s in starts if s + min_run <= n], min_run)
+                    text, gone, n = cut(text, [(s, m) for s, m in fit if s + m - 1 + min_run <= n], min_run)
                 texts.append(text)
                 sizes.append(n)
                 deleted.append(sum(b - a for a, b in gone))
                 spans.append([{"from": a, "to": b} for a, b in gone])
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(f.name) for f in spare], pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(deleted, pa.int64()), pa.array(spans, span)],
-                [*[f.name for f in spare], "text", "n_words", "n_deleted", "spans"],
+                [*columns, pa.array(sizes, pa.int64()), pa.array(deleted, pa.int64()), pa.array(spans, span)], [*[f"c{i}" for i in range(len(names))], *added]
             )
 
-    out = rows.mapInArrow(shorten, f"{head}, {schema}" if head else schema)
-    names = {f"o{i}": c for i, c in enumerate(others)}
-    order = [c if c == "text" else {v: k for k, v in names.items()}[c] for c in docs.columns if c not in ("n_words", "n_deleted", "spans")]
-    return out.select(*[F.col(c).alias(names.get(c, c)) for c in order], "n_words", "n_deleted", "spans")
+    flagged = maybe_in(rows, "k", id_filter(cuts, "k", scratch))
+    changed = flagged.where("maybe").drop("maybe").join(cuts, "k", "left").drop("k")
+    plain = flagged.where("NOT maybe").drop("maybe", "k")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    changed = changed.mapInArrow(shorten, f"{schema}, n_words long, n_deleted long, spans array<struct<from:int,to:int>>")
+    words = F.coalesce(F.regexp_count(F.col(f"c{at}"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    plain = plain.withColumns({"n_words": words, "n_deleted": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<from:int,to:int>>")})
+    return changed.unionByName(plain).toDF(*names, *added)
