@@ -85,7 +85,7 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         if text:
-            weight = 0 if skips else max(0, len(text) - linked)
+            weight = 0 if 2 * linked >= len(text) else len(text) - linked  # mostly links: a menu
             lines.append((text, -1 if skips else weight, marks > 0, last))
         parts.clear()
         linked = 0

@@ -1,3 +1,55 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+_OP4 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: w[i : i + 4])) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(c.root, n.doc_id) AS component_id, coalesce(c.root, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN c ON c.node = n.doc_id
+"""
+
+_OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, coalesce(c.root, vec_id) AS component_id, coalesce(c.root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
+_OP9 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+e AS (SELECT *, length(regexp_replace(text, '<(\\*\|)', '<\\\1', 'g')) AS nt, length(replace(replace(regexp_replace(role, '<(\\*\|)', '<\\\1', 'g'), '%', '%25'), chr(10), '%0A')) AS nr,
+ lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS from_end FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+ coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned, CAST(sum(12 + nr + 1 + nt + 11) AS BIGINT) AS formatted_chars,
+ bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE false END)
+  AND bool_or(from_end = 1 AND role = 'assistant') AS valid FROM e GROUP BY 1)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars, valid FROM g
+"""
+
+_RULES = "(VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) r(verdict, h, p)"
+_OP10 = rf"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN strpos(url, '://') END AS at FROM pages),
+h AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(substr(url, at + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+ coalesce(regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1), '') AS path, CASE WHEN at IS NOT NULL THEN regexp_replace(url, '#.*$', '') END AS address FROM u),
+d AS (SELECT h.*, r.verdict AS own, r.h || r.p AS rule, row_number() OVER (PARTITION BY page_id, url ORDER BY length(r.h || r.p) DESC NULLS LAST) AS rn
+ FROM h LEFT JOIN {_RULES} ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)),
+o AS (SELECT * FROM d WHERE rn = 1),
+link AS (SELECT address AS a, regexp_replace(regexp_extract(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), '#.*$', '') AS b FROM h WHERE contains(html, 'rel="canonical"')),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(node, other) AS (SELECT a, a FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.other),
+vote AS (SELECT node, max(CASE own WHEN 'allow' THEN 2 WHEN 'block' THEN 1 END) AS v FROM reach JOIN o ON o.address = reach.other GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN v = 1 THEN 'block' ELSE 'allow' END) AS verdict FROM o LEFT JOIN vote ON vote.node = o.address
+"""
+
+ORACLES: dict[str, str] = {"op4_minhash": _OP4, "op5_vectors": _OP5, "op9_chat": _OP9, "op10_urls": _OP10}

@@ -274,7 +274,8 @@ def read_model(path: str) -> bytes:
 def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_ok`` for every row of ``docs(doc_id, text)``.
 
-    ``decoded_ok`` tells whether decoding the ids gives the normalised text back.
+    ``decoded_ok`` tells whether decoding the ids gives the normalised text back
+    (a piece mark that the text holds itself reads as a blank, as in the library).
     A null or empty text has no ids. Rows are handled one by one: repeated rows
     come back each, nothing is shuffled, extra columns are ignored.
     """
@@ -290,7 +291,7 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id") -> Data
                 text = text.as_py() or ""
                 ids = m.encode(text)
                 plain = " ".join(x for x in text.split(" ") if x) if m.squeeze else text
-                ok.append(m.decode(ids) == plain)
+                ok.append(m.decode(ids) == plain.replace(MARK, " "))
                 parts.append(ids)
                 ends.append(ends[-1] + len(ids))
             flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
