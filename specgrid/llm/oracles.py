@@ -39,9 +39,9 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learned) AS loss_c
 
 _RULES = "(VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) r(verdict, h, p)"
 _OP10 = rf"""
-WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN strpos(url, '://') END AS at FROM pages),
-h AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(substr(url, at + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
- coalesce(regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1), '') AS path, CASE WHEN at IS NOT NULL THEN regexp_replace(url, '#.*$', '') END AS address FROM u),
+WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN strpos(url, '://') END AS pos FROM pages),
+h AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+ coalesce(regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1), '') AS path, CASE WHEN pos IS NOT NULL THEN regexp_replace(url, '#.*$', '') END AS address FROM u),
 d AS (SELECT h.*, r.verdict AS own, r.h || r.p AS rule, row_number() OVER (PARTITION BY page_id, url ORDER BY length(r.h || r.p) DESC NULLS LAST) AS rn
  FROM h LEFT JOIN {_RULES} ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)),
 o AS (SELECT * FROM d WHERE rn = 1),
