@@ -50,6 +50,27 @@ def chosen(lines: np.ndarray, window: int) -> np.ndarray:
     return _slide(np.concatenate([pad, least, pad]), window, np.maximum) == lines
 
 
+def prints_of(texts: list[bytes], line: int, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers, fingerprints and how often each occurs in its text, for several texts at once."""
+    parts = [word_hashes(t) for t in texts]
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    words, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+    lines = window_hashes(words, line)
+    window = min_run - line + 1
+    if len(lines) < window:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    least = _slide(lines, window, np.minimum)
+    # Windows that reach into the next text do not count.
+    least[np.arange(len(least)) + min_run > np.cumsum(sizes)[of[: len(least)]]] = 0
+    pad = np.zeros(window - 1, dtype=lines.dtype)
+    at = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), window, np.maximum) == lines) & (lines != 0))
+    doc, print_ = of[at], lines[at]
+    order = np.lexsort((print_, doc))
+    doc, print_ = doc[order], print_[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (print_[1:] != print_[:-1])])) if len(doc) else np.empty(0, np.int64)
+    return doc[first], print_[first], np.diff(np.append(first, len(doc)))
+
+
 def runs_of(words: np.ndarray, shared: np.ndarray, line: int, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and hashes of the runs whose fingerprint is shared, and which of them repeat an earlier part of the text."""
     least = _slide(window_hashes(words, line), min_run - line + 1, np.minimum)
@@ -60,10 +81,10 @@ def runs_of(words: np.ndarray, shared: np.ndarray, line: int, min_run: int) -> t
     return starts, keys, own
 
 
-def cut(text: str, runs: list[tuple[int, int]], min_run: int) -> tuple[str, list[tuple[int, int]], int]:
+def cut(text: str, starts: np.ndarray, many: np.ndarray, min_run: int) -> tuple[str, list[tuple[int, int]], int]:
     """Text without the runs, the deleted spans in words, and the number of words.
 
-    ``runs`` are ``(start, n)``: ``n`` runs that start at neighbouring words. A deleted word takes the white space after it along; other parts stay as they are.
+    ``many[i]`` runs begin at ``starts[i]`` and the words after it. A deleted word takes the white space after it along; other parts stay as they are.
     """
     data = text.encode()
     raw = np.frombuffer(data, dtype=np.uint8)
@@ -71,9 +92,8 @@ def cut(text: str, runs: list[tuple[int, int]], min_run: int) -> tuple[str, list
     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     n = len(begins)
     edge = np.zeros(n + 1, dtype=np.int64)
-    for start, many in runs:
-        edge[start] += 1
-        edge[min(n, start + many - 1 + min_run)] -= 1
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + many - 1 + min_run, -1)
     gone = np.cumsum(edge[:n]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     spans = [(int(a), int(b)) for a, b in zip(turns[::2], turns[1::2], strict=True)]
@@ -116,16 +136,16 @@ def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN) -
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, times, sizes = [], [], []
-            for text in batch.column(1):
-                lines = window_hashes(word_hashes(text.as_py().encode()), line)
-                h, n = np.unique(lines[chosen(lines, min_run - line + 1)], return_counts=True)
-                hashes.append(h.view(np.int64))
-                times.append(n)
-                sizes.append(len(h))
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-            flat = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat(hashes)), pa.array(ids, pa.int64()), pa.array(flat(times).astype(np.int32))], ["print", "k", "n"])
+            ids, texts, held = [], [], 0
+            for i in range(batch.num_rows + 1):
+                if texts and (i == batch.num_rows or held > 1 << 20):
+                    doc, hashes, times = prints_of(texts, line, min_run)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.array(ids)[doc]), pa.array(times.astype(np.int32))], ["print", "k", "n"])
+                    ids, texts, held = [], [], 0
+                if i < batch.num_rows:
+                    ids.append(batch.column(0)[i].as_py())
+                    texts.append(batch.column(1)[i].as_py().encode())
+                    held += len(texts[-1])
 
     marks = scratch.keep(single.mapInArrow(prints, "print long, k long, n int"), "prints")
     shared = marks.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print")
@@ -160,7 +180,7 @@ def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN) -
     later = around.join(early, "run").where("k > first").select("k", "start", "n")
     whole = copies.select("k", F.lit(0).alias("start"), F.lit(-1).alias("n"))  # -1: from end to end
     cuts = later.unionByName(around.where("run IS NULL").select("k", "start", "n")).unionByName(whole)
-    cuts = scratch.keep(cuts.groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "cuts")
+    cuts = scratch.keep(cuts.groupBy("k").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("many")), "cuts")
     scratch.drop(around, hits)
 
     added = ("n_words", "n_deleted", "spans")
@@ -172,13 +192,17 @@ def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN) -
         span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         for batch in batches:
             texts, sizes, deleted, spans = [], [], [], []
-            for text, runs in zip(batch.column(at), batch.column(len(names)), strict=True):
-                text, runs = text.as_py(), runs.as_py()
-                gone, n = [], len((text or "").encode().split())
-                if text is not None and runs and n >= min_run:
-                    fit = [(r["start"], n - min_run + 1 if r["n"] < 0 else r["n"]) for r in runs]
+            for text, starts, many in zip(batch.column(at), batch.column(len(names)), batch.column(len(names) + 1), strict=True):
+                text, gone, n = text.as_py(), [], None
+                if text is not None and starts.is_valid:
+                    n = len(text.encode().split())
+                    starts, many = (x.values.to_numpy(zero_copy_only=False) for x in (starts, many))
+                    many = np.where(many < 0, n - min_run + 1, many)
                     # Rows that share a doc_id may have other texts: only runs that fit.
-                    text, gone, n = cut(text, [(s, m) for s, m in fit if s + m - 1 + min_run <= n], min_run)
+                    fit = (many > 0) & (starts + many - 1 + min_run <= n)
+                    if fit.any():
+                        text, gone, n = cut(text, starts[fit], many[fit], min_run)
+                n = len((text or "").encode().split()) if n is None else n
                 texts.append(text)
                 sizes.append(n)
                 deleted.append(sum(b - a for a, b in gone))
