@@ -5,8 +5,11 @@ length of its text outside links; lines in menus, headers, footers, sidebars,
 notices, adverts, forms and comment areas weigh nothing. Weights are summed over
 sliding windows of lines: the text surges where a window first passes the
 threshold and dives where a window is empty again; lines between a surge and its
-dive are kept. Where the page marks its article, only lines inside it count and
-the threshold is one character, so short paragraphs stay.
+dive are kept, on every page and over all lines. Where marked elements (article,
+main, or a class such as entry-content) hold at least half of the page's text, the
+mark adds the threshold to the sums of their lines, so short paragraphs stay; lines
+outside are judged by their own sums. An article in a skipped area, or with a noise
+class of its own, is skipped like anything else there.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from specgrid.llm.common import ship
 
 WINDOW = 3
-#: Characters of a window at which text surges on pages without a marked article.
+#: Characters of a window at which text surges; a marked line has as many on top.
 SURGE = 86
 
 # Element names and class words.
@@ -44,6 +47,8 @@ _NOISE = re.compile(
     r"share\w*|sharing|social\w*|related\w*|recommend\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|search\w*|pagination|pager|widget\w*|"
     r"navigation|complementary|contentinfo|search|form)(?:$|[\s_-])"
 )
+#: On article and main only what a class starts with: "comment-body", not "has-sidebar" or "category-social".
+_NOISE_FIRST = re.compile(_NOISE.pattern.replace(r"(?:^|[\s_-])", r"(?:^|\s)", 1))
 _ARTICLE_ROLE = re.compile(r"(?i)(?:^|[\s_-])(?:main|article|articlebody|post-content|entry-content|article-body|story-body)(?:$|[\s])")
 
 
@@ -51,26 +56,39 @@ def _kind(name: str, attrs: str) -> str:
     """skip, marked or plain."""
     if name in _SKIP:
         return "skip"
-    if name in _MARKED:
-        return "marked"
     if attrs and name not in ("html", "body"):
         if _HIDDEN.search(attrs):
             return "skip"
         words = " ".join(a or b or c for _, a, b, c in _CLASS.findall(attrs))
         if words:
-            if _NOISE.search(words):
+            if (_NOISE_FIRST if name in _MARKED else _NOISE).search(words):
                 return "skip"
             if _ARTICLE_ROLE.search(words):
                 return "marked"
-    return "plain"
+    return "marked" if name in _MARKED else "plain"
+
+
+def _closed(tags: list[re.Match]) -> set[int]:
+    """Numbers of the opening tags that have a closing tag of their own."""
+    opened: dict[str, list[int]] = {}
+    out: set[int] = set()
+    for i, m in enumerate(tags):
+        name = (m[2] or m[5] or "").lower()
+        if m[1] or m[4]:
+            if opened.get(name):
+                out.add(opened[name].pop())
+        else:
+            opened.setdefault(name, []).append(i)
+    return out
 
 
 def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
-    """``(text, weight, marked, element)`` of each block that holds text; weight 0 in skipped areas."""
+    """``(text, weight, marked, element)`` of each block that holds text; weight -1 in skipped areas."""
     page = _RAW.sub(" ", page)
     lines: list[tuple[str, int, bool, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, int]] = []
+    closed: set[int] | None = None
     skips = marks = links = linked = at = 0
     last = ""
 
@@ -92,12 +110,13 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
 
     def pop() -> None:
         nonlocal skips, marks, links
-        name, kind = stack.pop()
+        name, kind, _ = stack.pop()
         skips -= kind == "skip"
         marks -= kind == "marked"
         links -= name == "a"
 
-    for m in _TAG.finditer(page):
+    tags = list(_TAG.finditer(page))
+    for number, m in enumerate(tags):
         put(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
@@ -110,7 +129,7 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
         elif name == "br":
             parts.append(" ")
         if closing:
-            if any(n == name for n, _ in stack):
+            if any(n == name for n, _, _ in stack):
                 while stack:
                     top = stack[-1][0]
                     pop()
@@ -120,15 +139,18 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
         if name in _VOID:
             continue
         kind = _kind(name, attrs)
-        if name in _SELF_CLOSING and stack and any(n == name for n, _ in stack[-3:]):
-            while stack and any(n == name for n, _ in stack[-3:]):
-                pop()
-        if name == "body" or (kind == "marked" and skips):  # what was left open before ends here
-            while skips:
+        if name in _SELF_CLOSING and stack and any(n == name for n, _, _ in stack[-3:]):
+            while stack and any(n == name for n, _, _ in stack[-3:]):
                 pop()
+        ends = name == "body"
+        if kind == "marked" and skips:
+            closed = _closed(tags) if closed is None else closed
+            ends = all(i not in closed for _, k, i in stack if k == "skip")
+        while ends and skips:  # what was left open before, and is never closed, ends here
+            pop()
         if attrs.rstrip().endswith("/") and name not in _BLOCK:
             continue
-        stack.append((name, kind))
+        stack.append((name, kind, number))
         skips += kind == "skip"
         marks += kind == "marked"
         links += name == "a"
@@ -142,16 +164,15 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not page:
         return ""
     lines = to_lines(page)
-    marked = any(m and w >= 0 for _, w, m, _ in lines)
-    if marked:
-        lines = [x for x in lines if x[2]]
-        surge = 1
-    weights = [max(0, w) if not marked else (len(t) if w >= 0 else 0) for t, w, _, _ in lines]
+    weights = [max(0, w) for _, w, _, _ in lines]
+    unskipped = sum(len(t) for t, w, _, _ in lines if w >= 0)
+    counts = 2 * sum(len(t) for t, w, m, _ in lines if m and w >= 0) >= unskipped  # else the marked text is a teaser
+    added = [surge if counts and m and w >= 0 else 0 for _, w, m, _ in lines]
     n, keep = len(lines), [False] * len(lines)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
+    sums = [sum(weights[i : i + window]) + added[i] for i in range(n)]
     i = 0
     while i < n:
-        if sums[i] < surge or not weights[i]:
+        if sums[i] < surge or not weights[i] + added[i]:
             i += 1
             continue
         end = i
@@ -159,7 +180,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             end += 1
         for j in range(i, end):
             keep[j] = lines[j][1] >= 0
-        if i and not marked and lines[i - 1][3] in ("h1", "h2") and lines[i - 1][1] > 0:
+        if i and lines[i - 1][3] in ("h1", "h2") and lines[i - 1][1] > 0:
             keep[i - 1] = True
         i = end
     return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)

@@ -47,6 +47,33 @@ def test_unmarked_page_by_distribution():
     assert got.startswith("Title\nlong text") and got.endswith("short") and "Home" not in got and "accept" not in got
 
 
+LONG = "long article text " * 20
+
+
+@pytest.mark.parametrize(
+    "aside",
+    [
+        "<aside><article>teaser</article></aside>",
+        "<footer><main>teaser</main></footer>",
+        "<section class='comments'><article><p>" + "teaser me too " * 20 + "</p></article></section>",
+        "<article class='comment'>" + "teaser me too " * 20 + "</article>",
+        "<ul>" + "<li><a href=x>Read on</a></li>" * 5 + "</ul><article>teaser</article>",
+    ],
+)
+def test_articles_beside_an_unmarked_body(aside):
+    assert html.main_text(f"<body><div>{LONG}</div>{aside}</body>") == LONG.strip()
+    assert html.main_text(f"<body>{aside}<div>{LONG}</div></body>").endswith(LONG.strip())
+
+
+def test_article_mark_adds_weight():
+    links = "<div><a href=x>Home</a></div>" * 3
+    both = html.main_text(f"<article><p>short</p><p>{LONG}</p></article>{links}<div>{LONG.upper()}</div>{links}<div>tiny</div>")
+    assert both == f"short\n{LONG.strip()}\n{LONG.upper().strip()}"
+    assert html.main_text("<main class='has-sidebar'><p>x</p></main>") == "x"
+    assert html.main_text("<article hidden><p>x</p></article><main><p>y</p></main>") == "y"
+    assert html.main_text("<nav>open <aside><article>teaser</article></aside><article>in</article>") == "in"
+
+
 def test_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract_pages(pages.withColumn("text", F.lit("x"))).collect()}
