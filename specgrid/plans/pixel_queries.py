@@ -143,6 +143,13 @@ def x25_sincos(spark, sf):
     return p.where("pos < 8").withColumn("value", F.round("value", 8))
 
 
+@query("x25_sincos_rows", PIX + "SELECT tile_id AS id, y, x, i AS pos, round(CASE WHEN i < 12 THEN sin(y / power(10000e0, (i - 8) / 4e0)) ELSE cos(y / power(10000e0, (i - 12) / 4e0)) END, 8) AS value FROM v_pixels, (SELECT CAST(unnest(range(8, 16)) AS INT) AS i)")
+def x25_sincos_rows(spark, sf):
+    """The row half; ``x25_sincos`` has the column half."""
+    p = view(spark, sf, "v_pixels").select(F.col("tile_id").alias("id"), "y", "x", F.posexplode(sx.sincos_2d(F.col("y"), F.col("x"), 16)).alias("pos", "value"))
+    return p.where("pos >= 8").withColumn("value", F.round("value", 8))
+
+
 @query("f1_pipeline", _select("least(greatest(CASE WHEN i % 2 = 1 THEN e[i] * 2 ELSE 0e0 END, -0.2e0), 0.3e0)", 64))
 def f1_pipeline(spark, sf):
     odd = lambda d: d.withColumn("s", F.transform("s", lambda v, i: F.when(i % 2 == 0, v * 2).otherwise(0.0)))

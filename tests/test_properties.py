@@ -10,6 +10,8 @@ from specgrid.functions import geo
 from specgrid.functions import spectral as sx
 from specgrid.functions.classes import remap_labels
 from specgrid.operators import mapping, patch, split, stats
+from specgrid.plans import pixel_queries  # noqa: F401
+from specgrid.plans.registry import QUERIES
 from specgrid.plans.views import view
 from specgrid.sources import io
 from specgrid.streaming import jobs
@@ -144,3 +146,12 @@ def test_early_stop_stream_equals_window(spark, data, tmp_path):
     got = sorted((r.run, r.step, r.best, r.since) for r in spark.table("stops").collect())
     want = sorted((r.run, r.step, r.best, r.since) for r in stats.early_stop(log, 25).collect())
     assert got == want
+
+
+def test_sincos_whole(spark, data):
+    halves = [QUERIES[q](spark, data) for q in ("x25_sincos", "x25_sincos_rows")]
+    got = halves[0].unionByName(halves[1]).where("id < 3").collect()
+    assert len(got) == len({(r.id, r.y, r.x, r.pos) for r in got}) == 3 * 64 * 16
+    for r in got:
+        v, i = (r.x, r.pos) if r.pos < 8 else (r.y, r.pos - 8)
+        assert r.value == pytest.approx((math.sin if i < 4 else math.cos)(v / 10000 ** (i % 4 / 4)), abs=1e-7)
