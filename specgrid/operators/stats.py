@@ -146,6 +146,35 @@ def global_rank(df: DataFrame, *order: str, name: str = "rank", key: Column | No
     return local.join(shift, "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before", "_key")
 
 
+def _cuts(df: DataFrame, order: Sequence[str], parts: int) -> list[Column]:
+    """At most ``parts - 1`` rising values of all order columns together, from a sample of about 100 rows a part."""
+    n = df.count()
+    picked = df.select(*order).sample(min(1.0, 100 * parts / max(n, 1)), seed=42)
+    rows = picked.orderBy(*order).collect()  # nulls first, as in the comparison of structs
+    kinds = [df.schema[c].dataType for c in order]
+    cuts = dict.fromkeys(tuple(rows[len(rows) * i // parts]) for i in range(1, parts)) if rows else {}
+    return [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(row, kinds, order, strict=True)]) for row in cuts]
+
+
+def rank_within(df: DataFrame, group: str, *order: str, name: str = "rank") -> DataFrame:
+    """1, 2, ... in each group in the order of ``order``, though a group may hold most of the rows.
+
+    Buckets lie between cuts of group and order together, so a large group spans
+    many of them; numbers inside a bucket are shifted by the group's rows in the
+    buckets before. One row a bucket and group is counted beside the data.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _cuts(df, [group, *order], parts)
+    place = F.struct(F.col(group), *[F.col(c) for c in order])
+    dealt = df.withColumn("_part", F.size(F.filter(F.array(*cuts), lambda c: c < place)) if cuts else F.lit(0))
+    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)))
+    counts = dealt.groupBy("_part", F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    past = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(F.col("_part").alias("_at"), "_group", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))
+    out = local.join(shift, (F.col("_part") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_at", "_group", "_before")
+
+
 def error_cdf(df: DataFrame, key: str = "id") -> DataFrame:
     """Sorted absolute errors with their rank over the number of rows."""
     e = df.select(key, F.abs(F.col("predicted") - F.col("actual")).alias("abs_error"))

@@ -385,9 +385,9 @@ def j10_nearest_block(spark, sf):
 
 @query("s14_pixel_locations", PIX + "SELECT label AS class, CAST(row_number() OVER (PARTITION BY label ORDER BY tile_id, y, x) - 1 AS INT) AS ord, tile_id, y, x FROM v_pixels WHERE value > 0.2e0")
 def s14_pixel_locations(spark, sf):
-    p = view(spark, sf, "v_pixels").where("value > 0.2")
-    lists = p.groupBy(F.col("label").alias("class")).agg(F.array_sort(F.collect_list(F.struct("tile_id", "y", "x"))).alias("locations"))
-    return io.explode_locations(lists)
+    p = view(spark, sf, "v_pixels").where("value > 0.2").select(F.col("label").alias("class"), "tile_id", "y", "x")
+    ranked = st.rank_within(p, "class", "tile_id", "y", "x")
+    return ranked.select("class", (F.col("rank") - 1).cast("int").alias("ord"), "tile_id", "y", "x")
 
 
 @query("s16_describe_source", "SELECT count(*) AS n_rows, min(len(embedding)) AS min_bands, max(len(embedding)) AS max_bands FROM embeddings")

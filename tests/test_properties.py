@@ -155,3 +155,24 @@ def test_sincos_whole(spark, data):
     for r in got:
         v, i = (r.x, r.pos) if r.pos < 8 else (r.y, r.pos - 8)
         assert r.value == pytest.approx((math.sin if i < 4 else math.cos)(v / 10000 ** (i % 4 / 4)), abs=1e-7)
+
+
+def test_rank_within_large_group(spark):
+    rows = [("big" if i % 10 else None if i % 20 else "small", i * 7919 % 3001, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, a int, b long")
+    got = {(r.g, r.a, r.b): r.n for r in stats.rank_within(df, "g", "a", "b", name="n").collect()}
+    assert len(got) == 3000
+    for g in ("big", "small", None):
+        assert [got[k] for k in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])] == list(range(1, sum(r[0] == g for r in rows) + 1))
+    assert len(stats._cuts(df, ["g", "a", "b"], 4)) == 3
+    assert stats.rank_within(df.where("false"), "g", "a", "b").count() == 0
+
+
+def test_pixel_locations_build_no_lists(spark, data, capsys):
+    QUERIES["s14_pixel_locations"](spark, data).explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
+def test_explode_locations(spark):
+    lists = spark.createDataFrame([("a", [(1, 2), (3, 4)])], "class string, locations array<struct<y:int,x:int>>")
+    assert [tuple(r) for r in io.explode_locations(lists).orderBy("ord").collect()] == [("a", 0, 1, 2), ("a", 1, 3, 4)]
