@@ -9,7 +9,9 @@ without any rule is allowed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,12 @@ Rule = tuple[str, str, str]  # verdict, host, path
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?\s*[\d.]*\s*[;,]\s*url\s*=\s*[\"']?([^\"'>\s]+)"
 
+_BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+
+# Character references; numbers 128 to 159 mean Windows-1252.
+_NAMES = html5 | {f"#{i}": bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
+_REFERENCE = r"&#[0-9]{1,9};?|&#[xX][0-9A-Fa-f]{1,7};?|&[A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9]))|[^&]+|&"
+
 
 def _lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -54,8 +62,60 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` in the plan once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def unescape(text: Column) -> Column:
+    """An attribute's text with its character references decoded; a name without ``;`` only before neither ``=`` nor a letter or digit."""
+    names = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,string>")
+
+    def char(code: Column) -> Column:
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(F.when(real, code)), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+
+    def decoded(t: Column) -> Column:
+        hexed = F.conv(F.nullif(F.regexp_extract(t, r"^&#[xX]([0-9A-Fa-f]+)", 1), F.lit("")), 16, 10)
+        code = F.coalesce(hexed, F.regexp_extract(t, r"^&#([0-9]+)", 1)).try_cast("long")
+        key = F.when(t.startswith("&#"), F.concat(F.lit("#"), code.cast("string"))).otherwise(F.substring(t, 2, 64))
+        return F.when(~t.startswith("&"), t).otherwise(F.coalesce(F.try_element_at(names, key), _let(code, lambda c: F.when(c.isNotNull(), char(c))), t))
+
+    return _let(text, lambda x: F.when(x.contains("&"), F.array_join(F.transform(F.regexp_extract_all(x, F.lit(f"(?s){_REFERENCE}"), F.lit(0)), decoded), "")).otherwise(x))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, its ``.`` and ``..`` carried out."""
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    step = lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    kept = F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 30), F.array().cast("array<string>"), step)
+    folder = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), folder), "^//$", "/")
+
+
+def resolve(to: Column, base: Column) -> Column:
+    """Target of a link on the page ``base``: absolute, or relative to its scheme, root, path or query; null if there is none."""
+    to = F.regexp_replace(F.regexp_replace(to, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+
+    def joined(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        origin = F.regexp_extract(b, r"(?s)^(.*?://[^/?#]*)", 1)
+        folder = F.regexp_extract(path_of(b), r"(?s)^/(.*/)?", 0)
+        head, tail = F.regexp_extract(t, r"(?s)^[^?#]*", 0), F.regexp_extract(t, r"(?s)^[^?#]*(.*)$", 1)
+        whole = F.when(t.startswith("/"), head).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), head))
+        relative = (
+            F.when(t.startswith("//"), F.concat(F.regexp_extract(b, r"(?s)^(.*?:)//", 1), t))
+            .when((t == "") | t.startswith("#"), b)
+            .when(t.startswith("?"), F.concat(origin, path_of(b), t))
+            .otherwise(F.concat(origin, _let(whole, _without_dots), tail))
+        )
+        return F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t).when(b.contains("://"), relative)
+
+    return _let(F.struct(to.alias("t"), base.alias("b")), joined)
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` addresses: canonical links and meta redirects in the pages' html (absolute ones)."""
+    """``(src, dst)`` addresses: canonical links and meta redirects in the pages' html, resolved against the page's url or ``<base>``."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     canonical = F.coalesce(*[F.nullif(F.regexp_extract(html, _CANONICAL, i), F.lit("")) for i in (1, 2, 3)])
     # The pattern matching runs on the pages that hold such a tag at all.
@@ -64,8 +124,10 @@ def link_edges(pages: DataFrame) -> DataFrame:
         F.when(lower.contains("canonical"), canonical),
         F.when(lower.contains("http-equiv"), F.nullif(F.regexp_extract(html, _REFRESH, 1), F.lit(""))),
     )
-    links = pages.select(F.col("url").cast("string").alias("url"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("to"))
-    links = links.select(address(F.col("url")).alias("src"), address(F.trim("to")).alias("dst"))
+    base = F.when(lower.contains("<base"), F.coalesce(*[F.nullif(F.regexp_extract(html, _BASE, i), F.lit("")) for i in (1, 2, 3)]))
+    links = pages.select(F.col("url").cast("string").alias("url"), base.alias("base"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("to"))
+    base = F.coalesce(resolve(unescape(F.col("base")), F.col("url")), F.col("url"))
+    links = links.withColumn("base", base).select(address(F.col("url")).alias("src"), address(resolve(unescape(F.col("to")), F.col("base"))).alias("dst"))
     return links.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
 
 

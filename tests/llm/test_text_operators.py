@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -291,3 +292,33 @@ def test_urls(spark):
     more = spark.createDataFrame([("http://t.org/", "http://fine.com/x")], "src string, dst string")
     assert {r.verdict for r in urls.judge(df.where("page_id IN (11, 12)"), queries.URL_RULES, more).collect()} == {"allow"}
     assert urls.judge(df.where("false"), queries.URL_RULES).count() == 0
+
+
+def test_relative_targets(spark):
+    bases = ["http://b.net/es/a/b?x=1#t", "https://b.net", "http://b.net/c"]
+    tos = ["/es/x", "//c.net/es/x", "x", "../x?y=/../z", "./", "..", "../../../x", "?q=1", "", "#z", "/a/./b/../c", "http://d.org/x#y", " /es/x ", "mailto:a@b", "/login?next=http://d.org/"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in tos], "base string, t string")
+    for r in df.select("base", "t", urls.resolve(F.col("t"), F.col("base")).alias("got")).collect():
+        want = urljoin(r.base, r.t.strip()) if r.t.strip() else r.base
+        want = r.base if r.t == "#z" else "https://b.net/" if (r.base, r.t) in {("https://b.net", "./"), ("https://b.net", "..")} else want
+        assert r.got == want, (r.base, r.t)
+    assert spark.range(1).select(urls.resolve(F.lit("/x"), F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_references(spark):
+    told = {
+        "?a=1&amp;b=2": "?a=1&b=2", "&#47;es&#x2F;x": "/es/x", "?a&copy=1&copyx": "?a&copy=1&copyx", "?a&amp": "?a&", "&eacute;&#8364;&#128;&#x1F642;": "é€€🙂", "&#0;&#xD800;&#9999999;": "�" * 3,
+        "&none;&;&": "&none;&;&", "": "", "plain": "plain",
+    }
+    df = spark.createDataFrame([(t,) for t in told], "t string")
+    assert {r.t: r.got for r in df.select("t", urls.unescape(F.col("t")).alias("got")).collect()} == told
+
+
+def test_urls_with_relative_links(spark):
+    table = [
+        (1, "http://q.net/a", "<link rel=canonical href='/es/a'>"), (2, "http://q.net/fr2/b", '<link rel="canonical" href="../es/b">'), (3, "http://q.org/", "<meta http-equiv=refresh content='0; url=//b.net/es/x'>"),
+        (4, "http://q.org/4", "<link rel=canonical href='http://b.org/?a=1&amp;b=2'>"), (5, "http://b.org/?a=1&b=2", "<link rel=canonical href='//b.net/fr/'>"), (6, "http://q.org/6", "<base href='http://b.net/'><link rel=canonical href='fr/6'>"),
+        (7, "http://q.org/7", "<link rel=canonical href='/8'>"), (8, None, "<link rel=canonical href='/es/a'>"),
+    ]
+    got = dict(rows(urls.judge(spark.createDataFrame(table, "page_id long, url string, html string"), queries.URL_RULES), "page_id", "verdict"))
+    assert got == {i: "block" for i in range(1, 7)} | {7: "allow", 8: "allow"}
