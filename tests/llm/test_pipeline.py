@@ -38,6 +38,36 @@ def test_mixing_stage_with_repeated_ids(spark, data):
     assert got.columns == cp.COLUMNS and got.join(docs, ["doc_id", "text"], "left_anti").count() == 0
 
 
+def brute_near_dedup(rows):
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 4]) for i in range(max(len(w) - 3, 1))} if w else set()
+
+    rows = sorted({(r[0], r[1]): r for r in rows}.values(), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    sets, top = [shingles(r[1]) for r in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((top[i], top[j]))
+                top = [a if t == b else t for t in top]
+    return [r for i, r in enumerate(rows) if top[i] == i]
+
+
+def test_near_dedup_stage_rows(spark, data):
+    text = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    near = text("a", 59) + " other"
+    rows = [
+        (1, text("a")), (2, near), (3, text("b")), (3, text("c")), (3, text("c")), (4, text("b")), (None, text("d")), (None, text("d")), (None, near), (None, text("e")),
+        (None, text("e", 59) + " other"), (None, None), (5, ""), (6, ""), (5, None), (7, text("c")), (2, text("f")),
+    ]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    told = lambda df: sorted((tuple(r[c] for c in cp.COLUMNS) for r in df.collect()), key=repr)
+    assert told(cp.near_dedup(spark, spark.createDataFrame(rows, kinds), data)) == sorted(brute_near_dedup(rows), key=repr)
+    plain = [(i, *r[1:]) for i, r in enumerate(rows)]
+    assert told(cp.near_dedup(spark, spark.createDataFrame(plain, kinds), data)) == sorted(brute_near_dedup(plain), key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_sql(spark, data, name):
     con = duckdb.connect()
