@@ -125,25 +125,33 @@ def leak_classes(df: DataFrame, flag: str) -> DataFrame:
     return out.withColumn("class", F.when(F.col("g") == 1, "combined").otherwise(F.col(flag))).drop("g", flag)
 
 
+def _dealt(df: DataFrame, order: Sequence[str], key: Column | None, parts: int) -> DataFrame:
+    """``df`` with its bucket ``_part``, which rises with the order."""
+    if key is None:
+        place, cuts = F.struct(*[F.col(c) for c in order]), _cuts(df, order, parts)
+    else:
+        place = key.cast("double")
+        found = df.agg(F.percentile_approx(place, [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000).alias("q")).first().q or []
+        cuts = [F.lit(c) for c in sorted(set(found))]
+    return df.withColumn("_part", F.size(F.filter(F.array(*cuts), lambda c: c < place)) if cuts else F.lit(0))
+
+
 def global_rank(df: DataFrame, *order: str, name: str = "rank", key: Column | None = None, parts: int | None = None) -> DataFrame:
     """1, 2, ... in the order of ``order`` (distinct together), without a sort in one task.
 
     Rows go to buckets between approximate quantiles of ``key`` (a number that
-    rises with the order; by default its first column), are numbered inside
-    their bucket, and shifted by the rows of the buckets before. Only the
-    quantiles and one count a bucket are small tables.
+    rises with the order and has few ties) or else between sampled cuts of all
+    order columns together, so that ties of the first column are split by the
+    next; they are numbered inside their bucket, and shifted by the rows of the
+    buckets before. Only the cuts and one count a bucket are small tables.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = (F.col(order[0]) if key is None else key).cast("double")
-    cuts = df.agg(F.percentile_approx(key, [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000).alias("q")).first().q or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_key"))) if cuts else F.lit(0)
-    dealt = df.withColumn("_key", key).withColumn("_part", bucket)
+    dealt = _dealt(df, order, key, parts)
     local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = F.broadcast(counts.select("_part", before.alias("_before")))  # one row a bucket
-    return local.join(shift, "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before", "_key")
+    return local.join(shift, "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
 
 
 def _cuts(df: DataFrame, order: Sequence[str], parts: int) -> list[Column]:

@@ -176,3 +176,14 @@ def test_pixel_locations_build_no_lists(spark, data, capsys):
 def test_explode_locations(spark):
     lists = spark.createDataFrame([("a", [(1, 2), (3, 4)])], "class string, locations array<struct<y:int,x:int>>")
     assert [tuple(r) for r in io.explode_locations(lists).orderBy("ord").collect()] == [("a", 0, 1, 2), ("a", 1, 3, 4)]
+
+
+def test_global_rank_splits_ties(spark):
+    rows = [(1.0 if i % 3 else 2.0, i * 7919 % 3001) for i in range(3000)] + [(None, 5), (float("nan"), 1)]
+    df = spark.createDataFrame(rows, "a double, b long")
+    plan = stats.global_rank(df, "a", "b", parts=8)
+    got = {(repr(r.a), r.b): r["rank"] for r in plan.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] != r[0], r[0] or 0, r[1]))
+    assert [got[repr(a), b] for a, b in order] == list(range(1, 3003))
+    sizes = [r["count"] for r in stats._dealt(df, ["a", "b"], None, 8).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
