@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,13 @@ _OWN_DIR: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors can reach (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder stands in.
+    Only where the session names none and runs on one machine, as in tests, a
+    temporary folder stands in; a cluster must name one.
     """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-llm-"))
         at = "file://" + _OWN_DIR[0]
@@ -106,13 +111,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of an encoded text, in order."""
-    h = xxhash.xxh3_64_intdigest
-    words = text.split()
-    return np.fromiter(map(h, words), dtype=np.uint64, count=len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit words (splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -122,6 +120,82 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+_ODD = 0x9E3779B97F4A7C15
+with np.errstate(over="ignore"):
+    _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+#: Bytes that are hashed together; powers of an odd number up to there, and of its inverse.
+_CHUNK = 1 << 18
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up = np.full(_CHUNK + 1, _ODD, dtype=np.uint64)
+    down = np.full(_CHUNK + 1, pow(_ODD, -1, 1 << 64), dtype=np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of an encoded text, in order, and the bytes at which they start and end.
+
+    A word's hash is a polynomial in the (scrambled) bytes, taken from running
+    sums over pieces of the text that are cut at blanks.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    solid = np.zeros(len(raw) + 2, dtype=bool)
+    solid[1:-1] = _SOLID[raw]
+    turns = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    out = np.empty(len(starts), dtype=np.uint64)
+    up, down = _powers()
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            lo = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(ends, lo + _CHUNK, side="right")))
+            hi = int(ends[to - 1])
+            if hi - lo > _CHUNK:  # a single word that long
+                digest = xxhash.xxh3_64_intdigest(data[lo:hi])
+                out[at] = np.uint64(digest)
+            else:
+                sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+                np.cumsum(_LETTER[raw[lo:hi]] * up[: hi - lo], out=sums[1:])
+                a, b = starts[at:to] - lo, ends[at:to] - lo
+                out[at:to] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)
+            at = to
+        return mix64(out), starts, ends
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of an encoded text, in order."""
+    return words_of(text)[0]
+
+
+def in_slices(texts: list[bytes], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have about ``size`` bytes together; a longer text stands alone."""
+    at = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield at, i
+            at, held = i, 0
+        held += len(text)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def released(run: Callable) -> Callable:
+    """``run`` for mapInArrow, giving memory back to the system when a task ends, as workers are used again."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` consecutive words; empty if there are fewer words."""
     n = len(words) - size + 1

@@ -9,16 +9,18 @@ contiguous read.
 
 Coordinates are grouped into bands. Documents that share a band are candidates;
 exact Jaccard on the full shingle sets confirms each link. Equal sets are merged
-before anything else. A bucket is never expanded into all its pairs: in each
-round a few anchors of it meet the members of other components, anchors then
-leave the bucket, and it closes when its members form one component. No bucket
-is capped, so no link between components is lost, however large a bucket is.
+before anything else. The bands are taken in batches, and components are contracted
+between them. A bucket is never expanded into all its pairs: in each round a few
+anchors of it meet the members of other components, anchors then leave the
+bucket, and it closes when its members form one component. Anchors come in the
+same order in all buckets, those that share buckets with most others first. No
+bucket is capped, so no link between components is lost, however large it is.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import Scratch, mix64, ship, window_hashes, word_hashes
+from specgrid.llm.common import Scratch, id_filter, in_slices, maybe_in, mix64, released, ship, window_hashes, words_of
 from specgrid.llm.components import connected_components
 
 SHINGLE = 5
@@ -34,8 +36,8 @@ UNIVERSE_BITS = 21
 BANDS, ROWS = 40, 5
 #: Coordinates of a signature; the bands take the first ones, sketches hold all.
 COORDINATES = 400
-#: A list of candidate ids up to this many rows (8 bytes each) is broadcast; a longer one is joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bands after which components are contracted for the first time: most copies are linked by then.
+BATCHES = (6,)
 
 #: A pair that shares a band is looked at further unless its share of equal coordinates lies this many standard
 #: deviations below that of a pair at the threshold (3 in a million of those are lost).
@@ -44,12 +46,26 @@ DEVIATIONS = 4.5
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
+def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; fewer words than ``size`` make one shingle, no words none."""
+    for lo, hi in in_slices(texts):
+        words, starts, _ = words_of(b"\n".join(texts[lo:hi]).lower())
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts[lo:hi])]))
+        windows = window_hashes(words, size)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= size:
+                yield np.unique(windows[a : b - size + 1])
+            else:
+                yield window_hashes(words[a:b], b - a) if a < b else words[:0]
+
+
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes; fewer words than ``size`` make one shingle, no words none."""
-    words = word_hashes((text or "").encode().lower())
-    if len(words) == 0:
-        return words
-    return np.unique(window_hashes(words, min(size, len(words))))
+    """The shingle set of one text."""
+    return next(shingle_sets([(text or "").encode()], size))
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 @functools.lru_cache(maxsize=2)
@@ -66,8 +82,8 @@ def signature(shingles: np.ndarray, coordinates: int, bits: int = UNIVERSE_BITS,
     # The first permutation: a bijection on 64 bits whose top bits name the place.
     places = mix64(shingles ^ np.uint64(0xA0761D6478BD642F + seed)) >> np.uint64(64 - bits)
     out = np.full(coordinates, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(places), 4096):
-        np.minimum(out, ranks[places[at : at + 4096]].min(axis=0), out=out)
+    for at in range(0, len(places), 1024):
+        np.minimum(out, ranks[places[at : at + 1024]].min(axis=0), out=out)
     return out
 
 
@@ -108,8 +124,7 @@ def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, keys, ends, sketches = [], [], [], [], [0], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), size)
+            for s in shingle_sets(_texts(batch.column(1)), size):
                 n.append(len(s))
                 if len(s):
                     digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -130,35 +145,36 @@ def _signatures(size: int, bands: int, rows: int):
                 ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
             )
 
-    return run
+    return released(run)
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts, ends = batch.column(0), [], [0]
-            for text in batch.column(1):
-                parts.append(shingle_set(text.as_py(), size).view(np.int64))
+            for s in shingle_sets(_texts(batch.column(1)), size):
+                parts.append(s.view(np.int64))
                 ends.append(ends[-1] + len(parts[-1]))
             flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "shingles"])
 
-    return run
+    return released(run)
 
 
 def near_duplicates(
-    docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, batches: Sequence[int] = BATCHES
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
     Texts are compared in lower case (A-Z only), words are runs without white
     space. Two documents are linked when ``100 * shared >= percent * union`` of
     their shingle sets; ``component_id`` is the smallest doc_id reachable. A
-    null or empty text has no shingles and is linked with nothing. Rows that
-    repeat a doc_id are one node of the graph and come back once each; a null
-    doc_id gets a null component and is not kept. Extra columns are ignored.
-    With the default bands a pair at exactly 0.75 is missed as a candidate with
-    probability 2e-5, one at 0.8 with 1e-7.
+    null or empty text has no shingles and is linked with nothing; a long one is
+    used whole. Rows that repeat a doc_id are one node of the graph and come back
+    once each; a null doc_id gets a null component and is not kept. Extra columns
+    are ignored. With the default bands a pair at exactly 0.75 is missed as a
+    candidate with probability 2e-5, one at 0.8 with 1e-7. ``batches`` are the
+    bands after which components are contracted; the rest follows as one more.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -168,57 +184,26 @@ def near_duplicates(
 
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = scratch.keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "sets")
-    firsts = filled.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"]).select("doc_id", "bands", "sketch")
-    placed = scratch.keep(firsts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")), "placed")
-    shared = placed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    grouped = scratch.keep(placed.join(shared, "bucket"), "members")
+    firsts = filled.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id", "set_a"])
+    firsts = scratch.keep(firsts.select(F.col("doc_id").alias("id"), "set_a", "bands", "sketch"), "firsts")
+    placed = scratch.keep(firsts.select("id", "set_a", F.posexplode("bands").alias("band", "bucket")), "placed")
+    shared = placed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+    members = scratch.keep(placed.join(scratch.keep(shared, "shared"), "bucket"), "members")
     scratch.drop(placed)
 
-    wanted = scratch.keep(grouped.select("id").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    named = texts.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    # One order of anchors for all buckets: who shares buckets with most others comes first, as a text that
+    # others were made from is nearer to them than they are to each other.
+    wanted = scratch.keep(members.groupBy("id").agg(F.sum("n").alias("fame")), "wanted")
+    each = scratch.keep(firsts.join(wanted, "id"), "each")
+    named = maybe_in(texts.select(F.col("doc_id").alias("id"), "text"), "id", id_filter(wanted, "id", scratch)).where("maybe").select("id", "text")
     # A doc_id that stands on several rows gives several sets; any of them may confirm a link.
     full = scratch.keep(named.mapInArrow(_sets(size), "id long, shingles array<long>"), "full")
 
-    # `c` is the component that an id is known to belong to; at first each is its own.
-    each = firsts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    each = scratch.keep(each, "each")
-    live = scratch.keep(grouped.join(each.select("id", "sketch"), "id").select("bucket", "id", F.col("id").alias("c"), "sketch"), "live")
-    coordinates = max(COORDINATES, bands * rows)
-    words, unequal = -(-coordinates // 16), most_unequal(coordinates, percent)
-    names = None
-    spread = 1
-    while not live.isEmpty():
-        first = spread == 1
-        part = F.pmod(F.xxhash64("id"), F.lit(spread)).alias("part")
-        picked = ["c", "sketch"] if first else ["c", "sketch", "bands"]
-        anchors = live.groupBy("bucket", part).agg(F.min("id").alias("anchor"), *[F.min_by(x, "id").alias(f"{x}_a") for x in picked])
-        anchors = scratch.keep(anchors.drop("part"), "anchors")
-        # An anchor meets all others of its bucket, and another anchor only if that has the larger id.
-        marks = anchors.select("bucket", F.col("anchor").alias("id"), F.lit(True).alias("used"))
-        marked = scratch.keep(live.join(marks, ["bucket", "id"], "left"), "marked")
-        meet = F.expr("id <> anchor AND c <> c_a AND (used IS NULL OR id > anchor)") & (_unequal("sketch", "sketch_a", words) <= unequal)
-        if not first:  # two texts may share many buckets: they meet in the first of these
-            same = [F.when(F.col("bands")[i] == F.col("bands_a")[i], F.col("bands")[i]) for i in range(bands)]
-            meet = meet & (F.coalesce(*same) == F.col("bucket"))
-        pairs = marked.join(anchors.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & meet)
-        pairs = pairs.select(F.least("id", "anchor").alias("a"), F.greatest("id", "anchor").alias("b"))
-        found = scratch.keep(_confirmed(pairs.distinct() if first else pairs, full, percent), "links")
-        if names is None or not found.isEmpty():
-            names = _joined(names, found, scratch)
-        # Anchors have met all of their bucket; the rest goes on where it has two components.
-        rest = marked.where("used IS NULL").join(names, F.col("id") == F.col("node"), "left")
-        rest = rest.select("bucket", "id", F.coalesce("component", "id").alias("c"), "sketch", *([] if first else ["bands"]))
-        rest = scratch.keep(rest, "rest")
-        mixed = rest.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        next_live = rest.join(mixed, "bucket", "left_semi")
-        if first:
-            next_live = next_live.join(each.select("id", "bands"), "id")
-        stale, live = live, scratch.keep(next_live, "live")
-        scratch.drop(stale, marked, rest, anchors)
-        spread *= 8
-    if names is None:
-        names = spark.createDataFrame([], "node long, component long")
+    names = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
+    ends = [*(b for b in np.cumsum(batches).tolist() if b < bands), bands]
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        part = members.where(f"band >= {lo} AND band < {hi}").select("bucket", "band", "id", "set_a")
+        names = _linked(part, each, full, names, percent, max(COORDINATES, bands * rows), scratch)
 
     filled_key = F.col("n_shingles") > 0
     out = signed.select("doc_id", "n_shingles", F.when(filled_key, F.col("set_a")).alias("set_a"), F.when(filled_key, F.col("set_b")).alias("set_b"))
@@ -229,10 +214,52 @@ def near_duplicates(
     )
 
 
-def _joined(names: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+def _of_many(rows: DataFrame, names: DataFrame, kept: list[str]) -> DataFrame:
+    """Rows with their components ``c``, from the buckets that hold more than one of these.
+
+    ``spread``, the number of anchors that a bucket gets next, grows eightfold where
+    the last round changed nothing, else twofold.
+    """
+    now = rows.join(names, F.col("id") == F.col("node"), "left").withColumn("now", F.coalesce("component", "id"))
+    moved = F.max((F.col("now") != F.col("c")).cast("int")).alias("moved")
+    mixed = now.groupBy("bucket").agg(F.min("now").alias("lo"), F.max("now").alias("hi"), moved).where("lo < hi").select("bucket", "moved")
+    spread = F.when(F.col("spread") == 0, 1).when(F.col("moved") > 0, F.col("spread") * 2).otherwise(F.col("spread") * 8)
+    return now.join(mixed, "bucket").select("bucket", "band", "id", "set_a", F.col("now").alias("c"), spread.alias("spread"), *kept)
+
+
+def _linked(members: DataFrame, each: DataFrame, full: DataFrame, names: DataFrame, percent: int, coordinates: int, scratch: Scratch) -> DataFrame:
+    """Components after all links between members ``(bucket, band, id, set_a)`` of common buckets, given those so far.
+
+    In each round a few anchors of a bucket meet the members of other components.
+    Anchors then leave, and a bucket closes when its members form one component.
+    """
+    words, unequal = -(-coordinates // 16), most_unequal(coordinates, percent)
+    more = ["fame", "sketch", "bands"]
+    live = _of_many(members.withColumns({"c": F.col("id"), "spread": F.lit(0)}), names, [])
+    live = scratch.keep(live.join(each, ["id", "set_a"]).select("bucket", "band", "id", "set_a", "c", "spread", *more), "live")
+    while not live.isEmpty():
+        part = F.pmod(F.xxhash64("id"), F.col("spread")).alias("part")
+        order = F.struct("fame", -F.col("id"), "set_a")
+        anchors = live.groupBy("bucket", part).agg(*[F.max_by(x, order).alias(f"{x}_a") for x in ("id", "set_a", "c", "sketch", "bands")])
+        anchors = scratch.keep(anchors.drop("part"), "anchors")
+        # An anchor meets all others of its bucket, and another anchor only if that has the larger id.
+        marks = anchors.select("bucket", F.col("id_a").alias("id"), F.col("set_a_a").alias("set_a"), F.lit(True).alias("used"))
+        marked = scratch.keep(live.join(marks, ["bucket", "id", "set_a"], "left"), "marked")
+        meet = F.expr("id <> id_a AND c <> c_a AND (used IS NULL OR id > id_a)") & (_unequal("sketch", "sketch_a", words) <= unequal)
+        # Two texts may share many buckets: they meet in the first of these.
+        first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
+        pairs = marked.join(anchors.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & meet & first)
+        pairs = scratch.keep(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct(), "pairs")
+        found = scratch.keep(_confirmed(pairs, full, percent, scratch), "links")
+        if not found.isEmpty():
+            names = _joined(names, found, scratch)
+        stale, live = live, scratch.keep(_of_many(marked.where("used IS NULL"), names, more), "live")
+        scratch.drop(stale, marked, anchors, pairs)
+    return names
+
+
+def _joined(names: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Components ``(node, component)`` after further links, worked out on the components so far."""
-    if names is None:
-        return connected_components(links, scratch)
     end = lambda x: names.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     upper = links.join(end("a"), "a", "left").join(end("b"), "b", "left")
     upper = scratch.keep(upper.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "upper")
@@ -242,8 +269,10 @@ def _joined(names: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     return scratch.keep(every.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "names")
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs whose full sets overlap enough."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    full = maybe_in(full, "id", id_filter(ids, "id", scratch)).where("maybe")
     left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")

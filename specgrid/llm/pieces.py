@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import ship
+from specgrid.llm.common import released, ship
 
 MARK = "▁"
-#: Entries of the memos of a worker: segments, and twice as many pairs.
-MEMO = 300_000
+#: Entries of the memos of a task: segments, and twice as many pairs (some 20 MB together).
+MEMO = 60_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -298,9 +298,11 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id") -> Data
             n = np.diff(np.array(ends, dtype=np.int64))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), lists, pa.array(ok)], ["doc_id", "n_tokens", "ids", "decoded_ok"])
+        del m
+        machine.cache_clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_ok boolean")
+    return rows.mapInArrow(released(run), "doc_id long, n_tokens long, ids array<int>, decoded_ok boolean")
 
 
 def decode_pieces(rows: DataFrame, model: bytes) -> DataFrame:

@@ -36,6 +36,8 @@ MAX_ROWS = 20_000
 MAX_TERMS = 4_000
 #: Least likelihood ratio (G squared) and log odds of a learned terminal.
 MIN_G2, MIN_ODDS, MIN_ROWS = 24.0, 2.0, 4
+#: Words whose terminals a task remembers.
+MEMO = 40_000
 STEMS = range(4, 8)
 SCOPE = 4
 THRESHOLD = 0.7
@@ -71,7 +73,7 @@ class _Kinds(dict):
         self.terms = terms
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) > 400_000:
+        if len(self) > MEMO:
             self.clear()
         got = (END, 0.0) if word in _ENDS else (_FIXED.get(word, NONE), 1.0)
         if got[0] in (NONE, INSULT):
