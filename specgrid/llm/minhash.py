@@ -9,18 +9,19 @@ contiguous read.
 
 Coordinates are grouped into bands. Documents that share a band are candidates;
 exact Jaccard on the full shingle sets confirms each link. Equal sets are merged
-before anything else. The bands are taken in batches, and components are contracted
-between them. A bucket is never expanded into all its pairs: in each round a few
-anchors of it meet the members of other components, anchors then leave the
-bucket, and it closes when its members form one component. Anchors come in the
-same order in all buckets, those that share buckets with most others first. No
+before anything else. A bucket is never expanded into all its pairs: in each
+round a few anchors of it meet the members of other components, anchors then
+leave the bucket, and it closes when its members form one component. Anchors
+come in the same order in all buckets, those that share buckets with most others
+first, so the first round joins most copies and makes few different pairs. From
+the second round on pairs must also pass a sketch of the texts that remain. No
 bucket is capped, so no link between components is lost, however large it is.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,16 @@ from specgrid.llm.components import connected_components
 SHINGLE = 5
 UNIVERSE_BITS = 21
 BANDS, ROWS = 40, 5
-#: Coordinates of a signature; the bands take the first ones, sketches hold all.
-COORDINATES = 400
-#: Bands after which components are contracted for the first time: most copies are linked by then.
-BATCHES = (6,)
-
-#: A pair that shares a band is looked at further unless its share of equal coordinates lies this many standard
+#: Coordinates of the sketches, one bit of each; only texts that share a band get one.
+SKETCH = 4096
+#: A pair that shares a band is looked at further unless its share of equal sketch bits lies this many standard
 #: deviations below that of a pair at the threshold (3 in a million of those are lost).
 DEVIATIONS = 4.5
+#: What remains of a bucket after a round meets more anchors in the next; up to SMALL members all meet at once.
+GROWTH, SMALL = 32, 64
 
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SETS = "id long, set_a long, shingles array<long>, sketch array<long>"
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -82,8 +83,9 @@ def signature(shingles: np.ndarray, coordinates: int, bits: int = UNIVERSE_BITS,
     # The first permutation: a bijection on 64 bits whose top bits name the place.
     places = mix64(shingles ^ np.uint64(0xA0761D6478BD642F + seed)) >> np.uint64(64 - bits)
     out = np.full(coordinates, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(places), 1024):
-        np.minimum(out, ranks[places[at : at + 1024]].min(axis=0), out=out)
+    step = max(1, 400_000 // coordinates)
+    for at in range(0, len(places), step):
+        np.minimum(out, ranks[places[at : at + step]].min(axis=0), out=out)
     return out
 
 
@@ -97,52 +99,43 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch_of(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen coordinates to a word."""
-    low = np.zeros(-(-len(sig) // 16) * 16, dtype=np.uint64)
-    low[: len(sig)] = mix64(sig.astype(np.uint64) + np.uint64(1)) & np.uint64(15)
-    return np.bitwise_or.reduce(low.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+    """One bit of each coordinate, 64 to a word."""
+    bits = (mix64(sig.astype(np.uint64) + np.uint64(1)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def most_unequal(coordinates: int, percent: int) -> int:
-    """Unequal coordinates up to which a pair may still reach the threshold."""
-    p = percent / 100 + (1 - percent / 100) / 16
+    """Unequal sketch bits up to which a pair may still reach the threshold."""
+    p = percent / 100 + (1 - percent / 100) / 2
     return int(np.ceil(coordinates * (1 - p) + DEVIATIONS * np.sqrt(coordinates * p * (1 - p))))
 
 
-def _unequal(a: str, b: str, words: int) -> Column:
-    """Coordinates in which two sketches differ."""
-    total = F.lit(0)
-    for i in range(words):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(x)
-    return total
+def _unequal(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def _digest(shingles: np.ndarray) -> list[int]:
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=np.int64).tolist()
 
 
 def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, keys, ends, sketches = [], [], [], [], [0], []
+            n, a, b, keys, ends = [], [], [], [], [0]
             for s in shingle_sets(_texts(batch.column(1)), size):
-                n.append(len(s))
+                lo, hi = _digest(s) if len(s) else (0, 0)
                 if len(s):
-                    digest = xxhash.xxh3_128_digest(s.tobytes())
-                    lo, hi = np.frombuffer(digest, dtype=np.int64)
-                    sig = signature(s, max(COORDINATES, bands * rows))
-                    keys.append(band_keys(sig[: bands * rows], bands, rows))
-                    sketches.append(sketch_of(sig).tolist())
-                else:
-                    lo = hi = 0
-                    sketches.append(None)
-                a.append(int(lo))
-                b.append(int(hi))
+                    keys.append(band_keys(signature(s, bands * rows), bands, rows))
+                n.append(len(s))
+                a.append(lo)
+                b.append(hi)
                 ends.append(ends[-1] + (bands if len(s) else 0))
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists],
+                ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
             )
 
     return released(run)
@@ -151,19 +144,22 @@ def _signatures(size: int, bands: int, rows: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts, ends = batch.column(0), [], [0]
-            for s in shingle_sets(_texts(batch.column(1)), size):
-                parts.append(s.view(np.int64))
-                ends.append(ends[-1] + len(parts[-1]))
-            flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "shingles"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                parts, ends, digests, sketches = [], [0], [], []
+                for s in shingle_sets(_texts(part.column(1)), size):
+                    parts.append(s.view(np.int64))
+                    ends.append(ends[-1] + len(s))
+                    digests.append(_digest(s)[0] if len(s) else 0)
+                    sketches.append(sketch_of(signature(s, SKETCH)) if len(s) else np.zeros(SKETCH // 64, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+                each = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * (SKETCH // 64), pa.int32()), pa.array(np.concatenate(sketches)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.int64()), lists, each], ["id", "set_a", "shingles", "sketch"])
 
     return released(run)
 
 
-def near_duplicates(
-    docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, batches: Sequence[int] = BATCHES
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
     Texts are compared in lower case (A-Z only), words are runs without white
@@ -173,8 +169,7 @@ def near_duplicates(
     used whole. Rows that repeat a doc_id are one node of the graph and come back
     once each; a null doc_id gets a null component and is not kept. Extra columns
     are ignored. With the default bands a pair at exactly 0.75 is missed as a
-    candidate with probability 2e-5, one at 0.8 with 1e-7. ``batches`` are the
-    bands after which components are contracted; the rest follows as one more.
+    candidate with probability 2e-5, one at 0.8 with 1e-7.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -185,7 +180,7 @@ def near_duplicates(
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = scratch.keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "sets")
     firsts = filled.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id", "set_a"])
-    firsts = scratch.keep(firsts.select(F.col("doc_id").alias("id"), "set_a", "bands", "sketch"), "firsts")
+    firsts = scratch.keep(firsts.select(F.col("doc_id").alias("id"), "set_a", "bands"), "firsts")
     placed = scratch.keep(firsts.select("id", "set_a", F.posexplode("bands").alias("band", "bucket")), "placed")
     shared = placed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
     members = scratch.keep(placed.join(scratch.keep(shared, "shared"), "bucket"), "members")
@@ -194,72 +189,62 @@ def near_duplicates(
     # One order of anchors for all buckets: who shares buckets with most others comes first, as a text that
     # others were made from is nearer to them than they are to each other.
     wanted = scratch.keep(members.groupBy("id").agg(F.sum("n").alias("fame")), "wanted")
-    each = scratch.keep(firsts.join(wanted, "id"), "each")
     named = maybe_in(texts.select(F.col("doc_id").alias("id"), "text"), "id", id_filter(wanted, "id", scratch)).where("maybe").select("id", "text")
     # A doc_id that stands on several rows gives several sets; any of them may confirm a link.
-    full = scratch.keep(named.mapInArrow(_sets(size), "id long, shingles array<long>"), "full")
-
-    names = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
-    ends = [*(b for b in np.cumsum(batches).tolist() if b < bands), bands]
-    for lo, hi in zip([0, *ends], ends, strict=False):
-        part = members.where(f"band >= {lo} AND band < {hi}").select("bucket", "band", "id", "set_a")
-        names = _linked(part, each, full, names, percent, max(COORDINATES, bands * rows), scratch)
-
-    filled_key = F.col("n_shingles") > 0
-    out = signed.select("doc_id", "n_shingles", F.when(filled_key, F.col("set_a")).alias("set_a"), F.when(filled_key, F.col("set_b")).alias("set_b"))
-    out = out.join(sets, ["set_a", "set_b"], "left").join(names, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    )
-
-
-def _of_many(rows: DataFrame, names: DataFrame, kept: list[str]) -> DataFrame:
-    """Rows with their components ``c``, from the buckets that hold more than one of these.
-
-    ``spread``, the number of anchors that a bucket gets next, grows eightfold where
-    the last round changed nothing, else twofold.
-    """
-    now = rows.join(names, F.col("id") == F.col("node"), "left").withColumn("now", F.coalesce("component", "id"))
-    moved = F.max((F.col("now") != F.col("c")).cast("int")).alias("moved")
-    mixed = now.groupBy("bucket").agg(F.min("now").alias("lo"), F.max("now").alias("hi"), moved).where("lo < hi").select("bucket", "moved")
-    spread = F.when(F.col("spread") == 0, 1).when(F.col("moved") > 0, F.col("spread") * 2).otherwise(F.col("spread") * 8)
-    return now.join(mixed, "bucket").select("bucket", "band", "id", "set_a", F.col("now").alias("c"), spread.alias("spread"), *kept)
-
-
-def _linked(members: DataFrame, each: DataFrame, full: DataFrame, names: DataFrame, percent: int, coordinates: int, scratch: Scratch) -> DataFrame:
-    """Components after all links between members ``(bucket, band, id, set_a)`` of common buckets, given those so far.
-
-    In each round a few anchors of a bucket meet the members of other components.
-    Anchors then leave, and a bucket closes when its members form one component.
-    """
-    words, unequal = -(-coordinates // 16), most_unequal(coordinates, percent)
-    more = ["fame", "sketch", "bands"]
-    live = _of_many(members.withColumns({"c": F.col("id"), "spread": F.lit(0)}), names, [])
-    live = scratch.keep(live.join(each, ["id", "set_a"]).select("bucket", "band", "id", "set_a", "c", "spread", *more), "live")
+    full = scratch.keep(named.mapInArrow(_sets(size), SETS), "full")
+
+    # First round: the foremost of each bucket meets all the others.
+    live = members.join(wanted, "id").select("bucket", "id", "fame")
+    foremost = live.groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("id_a"))
+    foremost = scratch.keep(foremost, "foremost")
+    pairs = members.join(foremost, "bucket").where("id <> id_a").select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct()
+    found = scratch.keep(_confirmed(scratch.keep(pairs, "pairs"), full, percent, scratch), "links")
+    names = connected_components(found, scratch)
+
+    each = firsts.join(full.select("id", "set_a", "sketch").dropDuplicates(["id", "set_a"]), ["id", "set_a"]).join(wanted, "id")
+    rest = members.join(foremost, "bucket").where("id <> id_a").select("bucket", "band", "id", "set_a", F.lit(1).alias("spread"))
+    live = scratch.keep(_of_many(rest, names, []), "mixed").join(scratch.keep(each, "each"), ["id", "set_a"])
+    unequal = most_unequal(SKETCH, percent)
+    live = scratch.keep(live, "live")
     while not live.isEmpty():
-        part = F.pmod(F.xxhash64("id"), F.col("spread")).alias("part")
+        part = F.when(F.col("n") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.col("spread"))).alias("part")
         order = F.struct("fame", -F.col("id"), "set_a")
         anchors = live.groupBy("bucket", part).agg(*[F.max_by(x, order).alias(f"{x}_a") for x in ("id", "set_a", "c", "sketch", "bands")])
         anchors = scratch.keep(anchors.drop("part"), "anchors")
         # An anchor meets all others of its bucket, and another anchor only if that has the larger id.
         marks = anchors.select("bucket", F.col("id_a").alias("id"), F.col("set_a_a").alias("set_a"), F.lit(True).alias("used"))
         marked = scratch.keep(live.join(marks, ["bucket", "id", "set_a"], "left"), "marked")
-        meet = F.expr("id <> id_a AND c <> c_a AND (used IS NULL OR id > id_a)") & (_unequal("sketch", "sketch_a", words) <= unequal)
+        meet = F.expr("id <> id_a AND c <> c_a AND (used IS NULL OR id > id_a)") & (_unequal("sketch", "sketch_a") <= unequal)
         # Two texts may share many buckets: they meet in the first of these.
         first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
         pairs = marked.join(anchors.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & meet & first)
         pairs = scratch.keep(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct(), "pairs")
         found = scratch.keep(_confirmed(pairs, full, percent, scratch), "links")
-        if not found.isEmpty():
-            names = _joined(names, found, scratch)
-        stale, live = live, scratch.keep(_of_many(marked.where("used IS NULL"), names, more), "live")
-        scratch.drop(stale, marked, anchors, pairs)
-    return names
+        names = _joined(names, found, scratch)
+        # Anchors have met all of their bucket; the rest goes on where it has two components.
+        stale, live = live, scratch.keep(_of_many(marked.where("used IS NULL"), names, ["fame", "sketch", "bands"]), "live")
+        scratch.drop(stale, marked, anchors)
+
+    filled_key = F.col("n_shingles") > 0
+    out = signed.select("doc_id", "n_shingles", F.when(filled_key, F.col("set_a")).alias("set_a"), F.when(filled_key, F.col("set_b")).alias("set_b"))
+    out = out.join(sets, ["set_a", "set_b"], "left").join(names, F.col("rep") == F.col("node"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    )
+
+
+def _of_many(rows: DataFrame, names: DataFrame, kept: list[str]) -> DataFrame:
+    """Rows with their components ``c``, from the buckets that hold more than one of these; the next round has more anchors."""
+    now = rows.drop("c", "n").join(names, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+    return now.join(mixed, "bucket").select("bucket", "band", "id", "set_a", "c", "n", (F.col("spread") * GROWTH).alias("spread"), *kept)
 
 
 def _joined(names: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Components ``(node, component)`` after further links, worked out on the components so far."""
+    if links.isEmpty():
+        return names
     end = lambda x: names.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     upper = links.join(end("a"), "a", "left").join(end("b"), "b", "left")
     upper = scratch.keep(upper.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "upper")
