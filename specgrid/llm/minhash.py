@@ -201,28 +201,30 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     found = scratch.keep(_confirmed(scratch.keep(pairs, "pairs"), full, percent, scratch), "links")
     names = connected_components(found, scratch)
 
-    each = firsts.join(full.select("id", "set_a", "sketch").dropDuplicates(["id", "set_a"]), ["id", "set_a"]).join(wanted, "id")
-    rest = members.join(foremost, "bucket").where("id <> id_a").select("bucket", "band", "id", "set_a", F.lit(1).alias("spread"))
-    live = scratch.keep(_of_many(rest, names, []), "mixed").join(scratch.keep(each, "each"), ["id", "set_a"])
-    unequal = most_unequal(SKETCH, percent)
-    live = scratch.keep(live, "live")
+    # What a pair must pass before its sets are compared. Members of buckets stay small rows; this joins them for one step only.
+    each = firsts.join(full.select("id", "set_a", "sketch").dropDuplicates(["id", "set_a"]), ["id", "set_a"])
+    each = scratch.keep(each.select("id", "set_a", "sketch", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "each")
+    other = each.toDF("id_a", "set_a_a", "sketch_a", "bands_a")
+    meet = F.expr("id <> id_a AND c <> c_a AND (used IS NULL OR id > id_a)") & (_unequal("sketch", "sketch_a") <= most_unequal(SKETCH, percent))
+    # Two texts may share many buckets: they meet in the first of these.
+    first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
+    rest = members.join(foremost, "bucket").where("id <> id_a").join(wanted, "id").select("bucket", "band", "id", "set_a", "fame", F.lit(1).alias("spread"))
+    live = scratch.keep(_of_many(rest, names), "live")
     while not live.isEmpty():
         part = F.when(F.col("n") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.col("spread"))).alias("part")
         order = F.struct("fame", -F.col("id"), "set_a")
-        anchors = live.groupBy("bucket", part).agg(*[F.max_by(x, order).alias(f"{x}_a") for x in ("id", "set_a", "c", "sketch", "bands")])
-        anchors = scratch.keep(anchors.drop("part"), "anchors")
+        anchors = live.groupBy("bucket", part).agg(F.max_by(F.struct("id", "set_a", "c"), order).alias("x")).select("bucket", "x.*").toDF("at", "id_a", "set_a_a", "c_a")
+        anchors = scratch.keep(anchors, "anchors")
         # An anchor meets all others of its bucket, and another anchor only if that has the larger id.
-        marks = anchors.select("bucket", F.col("id_a").alias("id"), F.col("set_a_a").alias("set_a"), F.lit(True).alias("used"))
+        marks = anchors.select(F.col("at").alias("bucket"), F.col("id_a").alias("id"), F.col("set_a_a").alias("set_a"), F.lit(True).alias("used"))
         marked = scratch.keep(live.join(marks, ["bucket", "id", "set_a"], "left"), "marked")
-        meet = F.expr("id <> id_a AND c <> c_a AND (used IS NULL OR id > id_a)") & (_unequal("sketch", "sketch_a") <= unequal)
-        # Two texts may share many buckets: they meet in the first of these.
-        first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
-        pairs = marked.join(anchors.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & meet & first)
+        left = marked.select("bucket", "band", "id", "set_a", "c", "used").join(each, ["id", "set_a"])
+        pairs = left.join(anchors.join(other, ["id_a", "set_a_a"]), (F.col("bucket") == F.col("at")) & meet & first)
         pairs = scratch.keep(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct(), "pairs")
         found = scratch.keep(_confirmed(pairs, full, percent, scratch), "links")
         names = _joined(names, found, scratch)
         # Anchors have met all of their bucket; the rest goes on where it has two components.
-        stale, live = live, scratch.keep(_of_many(marked.where("used IS NULL"), names, ["fame", "sketch", "bands"]), "live")
+        stale, live = live, scratch.keep(_of_many(marked.where("used IS NULL"), names), "live")
         scratch.drop(stale, marked, anchors)
 
     filled_key = F.col("n_shingles") > 0
@@ -234,11 +236,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     )
 
 
-def _of_many(rows: DataFrame, names: DataFrame, kept: list[str]) -> DataFrame:
+def _of_many(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Rows with their components ``c``, from the buckets that hold more than one of these; the next round has more anchors."""
     now = rows.drop("c", "n").join(names, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
     mixed = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
-    return now.join(mixed, "bucket").select("bucket", "band", "id", "set_a", "c", "n", (F.col("spread") * GROWTH).alias("spread"), *kept)
+    return now.join(mixed, "bucket").select("bucket", "band", "id", "set_a", "fame", "c", "n", (F.col("spread") * GROWTH).alias("spread"))
 
 
 def _joined(names: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
