@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgrid.llm.common import Scratch, read_table
@@ -30,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeats of passages; a document that was nothing but repeats goes."""
-    out = drop_repeats(docs.select(*COLUMNS)).where("n_deleted = 0 OR n_deleted < n_words")
+    out = drop_repeats(docs.select(*COLUMNS)).where("NOT emptied")
     shorter = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", shorter).select(*COLUMNS)
 
@@ -56,16 +56,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    docs = docs.select(*COLUMNS)
-    mixed = mix(docs).where("copies > 0").select("doc_id", "source", "copies")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        taken = docs.join(mixed.drop("source"), docs["doc_id"].eqNullSafe(mixed["doc_id"])).drop(mixed["doc_id"])
-    else:  # rows that share a doc_id are paired off in the order of their sources
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source"))
-        every = mix(docs).select(F.col("doc_id").alias("id"), "copies", nth.alias("m"))
-        left = docs.withColumn("nth", nth)
-        taken = left.join(every, left["doc_id"].eqNullSafe(every["id"]) & (F.col("nth") == F.col("m")))
+    """Documents as often as the mix takes them.
+
+    Rows are told apart by a hash of all columns beside the id, so rows that
+    share a doc_id, or have none, are taken each on its own account; equal rows
+    are interchangeable and count together.
+    """
+    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
+    mixed = mix(docs.select(F.col("row").alias("doc_id"), "text", "source", F.col("doc_id").alias("own")), keep=["own"])
+    copies = mixed.where("copies > 0").groupBy("own", F.col("doc_id").alias("row")).agg(F.sum("copies").cast("int").alias("copies"))
+    once = docs.dropDuplicates(["doc_id", "row"])
+    taken = once.join(copies, (once["row"] == copies["row"]) & once["doc_id"].eqNullSafe(copies["own"])).select(*COLUMNS, "copies")
     return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*COLUMNS)
 
 

@@ -1,18 +1,23 @@
-"""Removal of repeated passages by winnowing.
-
-Repeated passages seldom keep their line breaks, so a text is read as the lines
-it has at every possible wrap: all runs of ``LINE`` consecutive words, each with
-a hash. In every window of ``WINDOW`` neighbouring line hashes the smallest is a
-fingerprint; two texts that share ``LINE + WINDOW - 1`` words in a row so share
-a fingerprint for certain.
-
-Fingerprints that occur more than once are joined back to their positions. Each
-is extended to both sides by every possible split: the runs of ``min_run`` words
-that contain it. A run that an earlier place has too is a repeat; the union of
-overlapping repeats is the maximal passage, which is deleted at all places but
-the first. Earlier means a smaller doc_id, or further left in the same text
-without overlap. Only the first place of a run is ever compared with, so the
-work is linear in the occurrences, not in their pairs.
+"""Removal of repeated lines and passages by winnowing.
+
+A text has two sorts of lines: those it has on the page, and, as passages seldom
+keep their line breaks, the lines it has at every possible wrap, which are all
+runs of ``LINE`` consecutive words. In every window of ``WINDOW`` neighbouring
+wrapped lines the smallest hash is a fingerprint; two texts that share
+``LINE + WINDOW - 1`` words in a row so share a fingerprint for certain. A line
+on the page is its own fingerprint.
+
+Fingerprints that occur more than once are joined, with their positions, to the
+first place that has them. The match is extended word by word to both sides, at
+most to where the next fingerprint must stand; matches of ``min_run`` words or
+more are repeats, overlapping ones unite, and all places but the first lose
+them. Where the first place explains only part of a fingerprint's windows, a
+third text may share more with a second one: the runs that are left over meet
+by their hashes. So exactly the runs of ``min_run`` words, and the lines on the
+page of ``min_line`` words, that an earlier place has too are deleted. Earlier
+means a smaller doc_id, or further left in the same text without overlap. A
+place is only ever compared with the first one, so the work is linear in the
+occurrences, not in their pairs.
 """
 
 from __future__ import annotations
@@ -24,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import WORD_PATTERN, Scratch, id_filter, maybe_in, ship, window_hashes, word_hashes
+from specgrid.llm.common import Scratch, id_filter, in_slices, maybe_in, mix64, released, ship, window_hashes, words_of
 
-#: Words of a line, and neighbouring lines of a window: 16 + 35 - 1 = 50 words are found for certain.
+#: Words of a wrapped line, and of the shortest passage: windows of 35 lines, 16 + 35 - 1 = 50 words are found for certain.
 LINE, MIN_RUN = 16, 50
+#: Words of the shortest line on the page that is deleted when it repeats.
+MIN_LINE = 5
 #: Stands for a null doc_id: such rows are the latest ones.
 LAST = (1 << 63) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slide(x: np.ndarray, size: int, op: np.ufunc) -> np.ndarray:
@@ -50,50 +58,78 @@ def chosen(lines: np.ndarray, window: int) -> np.ndarray:
     return _slide(np.concatenate([pad, least, pad]), window, np.maximum) == lines
 
 
-def prints_of(texts: list[bytes], line: int, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text numbers, fingerprints and how often each occurs in its text, for several texts at once."""
-    parts = [word_hashes(t) for t in texts]
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    words, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+def page_lines(words: np.ndarray, starts: np.ndarray, data: bytes, min_line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, numbers of words and hashes of the lines of ``min_line`` words or more."""
+    of = np.searchsorted(np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10), starts)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    many = np.diff(np.append(first, len(words)))
+    if not len(first):
+        return first, many, words[:0]
+    place = (np.arange(len(words)) - np.repeat(first, many)).astype(np.uint64)
+    sums = np.add.reduceat(mix64(words + place * _ODD), first)
+    keep = many >= min_line
+    return first[keep], many[keep], mix64(sums[keep] ^ np.uint64(0x5DEECE66D))
+
+
+def prints_of(texts: list[bytes], line: int, min_run: int, min_line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers, fingerprints, their places in words, and the words of a line on the page (0 for a wrapped one), for several texts at once."""
+    data = b"\n".join(texts)
+    words, starts, _ = words_of(data)
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    at, many, hashes = page_lines(words, starts, data, min_line)
     lines = window_hashes(words, line)
     window = min_run - line + 1
-    if len(lines) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    least = _slide(lines, window, np.minimum)
-    # Windows that reach into the next text do not count.
-    least[np.arange(len(least)) + min_run > np.cumsum(sizes)[of[: len(least)]]] = 0
-    pad = np.zeros(window - 1, dtype=lines.dtype)
-    at = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), window, np.maximum) == lines) & (lines != 0))
-    doc, print_ = of[at], lines[at]
-    order = np.lexsort((print_, doc))
-    doc, print_ = doc[order], print_[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (print_[1:] != print_[:-1])])) if len(doc) else np.empty(0, np.int64)
-    return doc[first], print_[first], np.diff(np.append(first, len(doc)))
+    if len(lines) >= window:
+        least = _slide(lines, window, np.minimum)
+        # Windows that reach into the next text do not count.
+        least[np.arange(len(least)) + min_run > bounds[1:][of[: len(least)]]] = 0
+        pad = np.zeros(window - 1, dtype=lines.dtype)
+        wrapped = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), window, np.maximum) == lines) & (lines != 0))
+        at, many, hashes = np.concatenate([at, wrapped]), np.concatenate([many, np.zeros(len(wrapped), many.dtype)]), np.concatenate([hashes, lines[wrapped]])
+    return of[at], hashes, at - bounds[:-1][of[at]], many
+
+
+def contexts(text: bytes, at: np.ndarray, line: int, min_run: int) -> tuple[np.ndarray, ...]:
+    """Of each fingerprint: how many words stand left and right of it, within reach; the least and most words that
+    windows with this minimum have before it; and hashes of the words on both sides, as many as a window allows."""
+    words, _, _ = words_of(text)
+    reach = min_run - line
+    lines = window_hashes(words, line)
+    least = _slide(lines, reach + 1, np.minimum)
+    before = np.arange(reach + 1)
+    start = at[:, None] - before
+    own = (start >= 0) & (start < len(least)) & (least[np.clip(start, 0, len(least) - 1)] == lines[at][:, None])
+    low, high = own.argmax(axis=1), reach - own[:, ::-1].argmax(axis=1)
+    short = np.concatenate([np.zeros(reach, np.uint32), (words >> np.uint64(32)).astype(np.uint32), np.zeros(reach, np.uint32)])
+    around = np.concatenate([np.arange(reach), np.arange(reach + line, 2 * reach + line)])
+    return np.minimum(at, reach), np.minimum(len(words) - line - at, reach), low, high, short[at[:, None] + around]
 
 
-def runs_of(words: np.ndarray, shared: np.ndarray, line: int, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and hashes of the runs whose fingerprint is shared, and which of them repeat an earlier part of the text."""
-    least = _slide(window_hashes(words, line), min_run - line + 1, np.minimum)
-    starts = np.flatnonzero(np.isin(least, shared))
-    keys = window_hashes(words, min_run)[starts]
-    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
-    own = starts - starts[first[group]] >= min_run if len(starts) else np.zeros(0, dtype=bool)
-    return starts, keys, own
+def extend(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words on the left and right side of fingerprints with contexts ``a`` and ``b``, within ``left`` and ``right``."""
+    reach = a.shape[1] // 2
+    same = a == b
+    stop = np.ones((len(a), 1), dtype=bool)
+    l = np.concatenate([~same[:, :reach][:, ::-1], stop], axis=1).argmax(axis=1)  # noqa: E741
+    r = np.concatenate([~same[:, reach:], stop], axis=1).argmax(axis=1)
+    return np.minimum(l, left), np.minimum(r, right)
 
 
-def cut(text: str, starts: np.ndarray, many: np.ndarray, min_run: int) -> tuple[str, list[tuple[int, int]], int]:
-    """Text without the runs, the deleted spans in words, and the number of words.
+def cut(text: str, starts: np.ndarray, many: np.ndarray) -> tuple[str, list[tuple[int, int]], int]:
+    """Text without ``many[i]`` words from ``starts[i]`` on, the deleted spans in words, and the number of words.
 
-    ``many[i]`` runs begin at ``starts[i]`` and the words after it. A deleted word takes the white space after it along; other parts stay as they are.
+    Negative numbers mean the whole text, spans that do not fit are left out. A
+    deleted word takes the white space after it along; other parts stay as they are.
     """
     data = text.encode()
-    raw = np.frombuffer(data, dtype=np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    _, begins, _ = words_of(data)
     n = len(begins)
+    many = np.where(many < 0, n, many)
+    fit = (many > 0) & (starts + many <= n)
     edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + many - 1 + min_run, -1)
+    np.add.at(edge, starts[fit], 1)
+    np.add.at(edge, (starts + many)[fit], -1)
     gone = np.cumsum(edge[:n]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     spans = [(int(a), int(b)) for a, b in zip(turns[::2], turns[1::2], strict=True)]
@@ -105,118 +141,169 @@ def cut(text: str, starts: np.ndarray, many: np.ndarray, min_run: int) -> tuple[
     return b"".join(parts).decode(), spans, n
 
 
-def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)`` with repeated runs of ``min_run`` or more words deleted.
+def _prints(line: int, min_run: int, min_line: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, u = (batch.column(i).to_numpy() for i in (0, 1))
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for lo, hi in in_slices(texts):
+                of, hashes, at, many = prints_of(texts[lo:hi], line, min_run, min_line)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64)), pa.array(k[lo:hi][of]), pa.array(u[lo:hi][of]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32))], ["print", "k", "u", "at", "n"]
+                )
+
+    return released(run)
+
+
+_CONTEXT = "print long, k long, u long, at int, lead boolean, l int, r int, low int, high int, words binary"
+
+
+def _contexts(line: int, min_run: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                points = batch.column("points")[i].values
+                every = points.field(1).to_numpy()
+                text = batch.column("text")[i].as_py().encode()
+                for lo in range(0, len(every), 20_000):
+                    at = every[lo : lo + 20_000]
+                    *sides, words = contexts(text, at, line, min_run)
+                    n, width = words.shape
+                    ends = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(4 * width))
+                    packed = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(words))])
+                    const = lambda c: pa.array(np.full(n, batch.column(c)[i].as_py()))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [points.field(0).slice(lo, n), const("k"), const("u"), pa.array(at), points.field(2).slice(lo, n), *(pa.array(x.astype(np.int32)) for x in sides), packed],
+                        ["print", "k", "u", "at", "lead", "l", "r", "low", "high", "words"],
+                    )
+
+    return released(run)
+
+
+def _matches(line: int, min_run: int):
+    """Repeats that the first place of a fingerprint explains, without ``run``; and the left-over runs, with it."""
+    reach = min_run - line
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("print", "k", "u", "at", "l", "r", "low", "high", "k0", "u0", "at0", "l0", "r0")}
+            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), dtype=np.uint32).reshape(-1, 2 * reach) for x in ("words", "words0"))
+            left, right = extend(a, b, np.minimum(c["l"], c["l0"]), np.minimum(c["r"], c["r0"]))
+            own = (c["k"] == c["k0"]) & (c["u"] == c["u0"])
+            clear = ~own | (c["at"] - c["at0"] >= min_run)
+            good = np.flatnonzero(clear & (left + line + right >= min_run))
+            rows = [(np.zeros(len(good), np.int64), c["k"][good], c["u"][good], (c["at"] - left)[good], (left + line + right)[good], np.ones(len(good), bool))]
+            with np.errstate(over="ignore"):
+                ragged = np.flatnonzero(~clear | (c["low"] < reach - right) | (c["high"] > left))
+                sums = np.cumsum(mix64(a[ragged].astype(np.uint64) + np.arange(2 * reach, dtype=np.uint64) * _ODD), axis=1)
+                sums = np.concatenate([np.zeros((len(ragged), 1), np.uint64), sums], axis=1)
+                for o in range(reach + 1):
+                    here = (c["low"][ragged] <= o) & (c["high"][ragged] >= o) & ~(clear[ragged] & (o >= reach - right[ragged]) & (o <= left[ragged]))
+                    at = np.flatnonzero(here)
+                    if len(at):
+                        of = ragged[at]
+                        key = mix64((sums[at, 2 * reach - o] - sums[at, reach - o]) * _ODD + c["print"][of].view(np.uint64) + np.uint64(o))
+                        rows.append((key.view(np.int64), c["k"][of], c["u"][of], c["at"][of] - o, np.full(len(of), min_run), np.zeros(len(of), bool)))
+            run_, k, u, start, n, plain = (np.concatenate(x) for x in zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(run_, mask=plain), pa.array(k), pa.array(u), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["run", "k", "u", "start", "n"]
+            )
+
+    return released(run)
 
-    ``text`` is replaced; all other columns stay, and ``n_words``, ``n_deleted``
-    (words) and ``spans`` (``array<struct<from, to>>``, word positions in the
-    old text) are added. Words are compared exactly. A null text stays null, a
-    text of fewer than ``min_run`` words is never touched. Rows that share a
-    doc_id are not earlier than each other; a null doc_id counts as the
-    largest. A column named like an added one is replaced by it.
-    Texts travel only where a bounded bitmap of ids cannot rule a join out.
+
+def _firsts(places: DataFrame, key: str, at: str) -> DataFrame:
+    """First places of the keys that have more than one."""
+    place = F.struct("k", "u", at)
+    both = places.groupBy(key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    return both.select(key, F.col("first.k").alias("k0"), F.col("first.u").alias("u0"), F.col(f"first.{at}").alias(f"{at}0"))
+
+
+def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN, min_line: int = MIN_LINE) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` without repeated passages and repeated lines.
+
+    ``text`` is replaced; all other columns stay, and ``n_deleted`` (words),
+    ``spans`` (``array<struct<from, to>>``, word positions in the old text) and
+    ``emptied`` (whether the text was nothing but repeats) are added. Words are
+    compared exactly. A null text stays null, an empty one empty, a long one is
+    handled whole. Rows are told apart by doc_id and text: rows equal in both
+    are one document and come back alike, rows that share only the doc_id are
+    ordered by a hash of the text; a null doc_id counts as the largest. A column
+    named like an added one is replaced by it. Texts travel only where a bounded
+    bitmap cannot rule a join out.
     """
     if not 0 < line < min_run:
         raise ValueError("a line must be shorter than the shortest run")
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "repeats")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    texts = docs.select(key.alias("k"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    k, u = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.col("text").cast("string"))
+    texts = docs.select(k.alias("k"), u.alias("u"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("r", F.xxhash64("k", "u"))
 
     # Later copies of a whole text repeat it from end to end; they need no fingerprints.
-    digests = scratch.keep(texts.select("k", F.md5(F.encode("text", "UTF-8")).alias("md5")), "digests")
-    firsts = digests.groupBy("md5").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last")
-    copies = scratch.keep(digests.join(firsts, "md5").where("k > first").select("k", "md5"), "copies")
-    copied = id_filter(copies, "k", scratch)
-    flagged = maybe_in(texts, "k", copied)
-    # Of the rows that the filter lets through, those that are no copies after all are told by id and digest.
-    doubtful = flagged.where("maybe").withColumn("md5", F.md5(F.encode("text", "UTF-8"))).join(copies, ["k", "md5"], "left_anti")
-    single = flagged.where("NOT maybe").select("k", "text").unionByName(doubtful.select("k", "text"))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, held = [], [], 0
-            for i in range(batch.num_rows + 1):
-                if texts and (i == batch.num_rows or held > 1 << 20):
-                    doc, hashes, times = prints_of(texts, line, min_run)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.array(ids)[doc]), pa.array(times.astype(np.int32))], ["print", "k", "n"])
-                    ids, texts, held = [], [], 0
-                if i < batch.num_rows:
-                    ids.append(batch.column(0)[i].as_py())
-                    texts.append(batch.column(1)[i].as_py().encode())
-                    held += len(texts[-1])
-
-    marks = scratch.keep(single.mapInArrow(prints, "print long, k long, n int"), "prints")
-    shared = marks.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print")
-    hits = marks.join(shared, "print").groupBy("k").agg(F.collect_set("print").alias("prints"))
-    hits = scratch.keep(hits, "hits")
+    digests = scratch.keep(texts.select("k", "u", F.xxhash64(F.lit(1), "text").alias("v")), "digests")
+    firsts = digests.groupBy("u", "v").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last")
+    copies = digests.join(scratch.keep(firsts, "firsts"), ["u", "v"]).where("k > first").select("k", "u", F.xxhash64("k", "u").alias("r")).distinct()
+    copies = scratch.keep(copies, "copies")
+    flagged = maybe_in(texts, "r", id_filter(copies, "r", scratch))
+    # Of the rows that the filter lets through, those that are no copies after all are told exactly.
+    single = flagged.where("NOT maybe").unionByName(flagged.where("maybe").join(copies.select("k", "u"), ["k", "u"], "left_anti")).select("k", "u", "text", "r")
+
+    marks = scratch.keep(single.select("k", "u", "text").mapInArrow(_prints(line, min_run, min_line), "print long, k long, u long, at int, n int"), "prints")
+    shared = scratch.keep(marks.groupBy("print").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("print"), "shared")
+    hits = scratch.keep(marks.join(shared, "print").distinct(), "hits")
     scratch.drop(marks)
+    leads = scratch.keep(_firsts(hits, "print", "at"), "leads")
+    places = hits.join(leads, "print").withColumn("lead", F.expr("k = k0 AND u = u0 AND at = at0"))
+    lines = places.where("n > 0 AND NOT lead").select("k", "u", F.col("at").alias("start"), "n")
+    points = places.where("n = 0").groupBy("k", "u").agg(F.collect_list(F.struct("print", "at", "lead")).alias("points"))
+    points = scratch.keep(points.withColumn("r", F.xxhash64("k", "u")), "points")
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, parts = [], []
-            for k, text, shared in zip(batch.column("k"), batch.column("text"), batch.column("prints"), strict=True):
-                words = word_hashes(text.as_py().encode())
-                if len(words) < min_run:
-                    continue
-                starts, keys, own = runs_of(words, shared.values.to_numpy(zero_copy_only=False).view(np.uint64), line, min_run)
-                mine = starts[own]
-                turn = np.flatnonzero(np.diff(mine, prepend=-2) > 1)
-                many = np.diff(np.append(turn, len(mine)))
-                # Repeats of the text's own earlier parts as ranges without a key, the others one by one.
-                n, m = len(turn), len(starts) - len(mine)
-                parts.append((np.concatenate([keys[~own].view(np.int64), np.zeros(n, np.int64)]), np.concatenate([starts[~own], mine[turn]]), np.concatenate([np.ones(m, int), many]), np.arange(n + m) >= m))
-                ids.append(np.full(n + m, k.as_py(), dtype=np.int64))
-            if parts:
-                keys, starts, many, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, mask=own), pa.array(np.concatenate(ids)), pa.array(starts.astype(np.int32)), pa.array(many.astype(np.int32))], ["run", "k", "start", "n"]
-                )
+    touched = maybe_in(single, "r", id_filter(points, "r", scratch)).where("maybe").select("k", "u", "text")
+    if not digests.groupBy("k", "u").count().where("count > 1").isEmpty():
+        touched = touched.dropDuplicates(["k", "u"])
+    around = touched.join(points.drop("r"), ["k", "u"]).select("k", "u", "text", "points").mapInArrow(_contexts(line, min_run), _CONTEXT)
+    around = scratch.keep(around, "contexts")
+    lead = around.where("lead").select("print", *[F.col(c).alias(f"{c}0") for c in ("k", "u", "at", "l", "r", "words")])
+    matched = around.where("NOT lead").drop("lead").join(lead, "print").mapInArrow(_matches(line, min_run), "run long, k long, u long, start int, n int")
+    matched = scratch.keep(matched, "matched")
+    scratch.drop(around)
+    left = matched.where("run IS NOT NULL").drop("n")
+    left = left.join(scratch.keep(_firsts(left, "run", "start"), "runs"), "run").where(f"k <> k0 OR u <> u0 OR start - start0 >= {min_run}")
 
-    touched = maybe_in(single, "k", id_filter(hits, "k", scratch)).where("maybe").select("k", "text")
-    around = scratch.keep(touched.join(hits, "k").select("k", "text", "prints").mapInArrow(runs, "run long, k long, start int, n int"), "runs")
-    early = around.where("run IS NOT NULL").groupBy("run").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("run", "first")
-    later = around.join(early, "run").where("k > first").select("k", "start", "n")
-    whole = copies.select("k", F.lit(0).alias("start"), F.lit(-1).alias("n"))  # -1: from end to end
-    cuts = later.unionByName(around.where("run IS NULL").select("k", "start", "n")).unionByName(whole)
-    cuts = scratch.keep(cuts.groupBy("k").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("many")), "cuts")
-    scratch.drop(around, hits)
+    whole = copies.select("k", "u", F.lit(0).alias("start"), F.lit(-1).alias("n"))  # -1: from end to end
+    cuts = matched.where("run IS NULL").select("k", "u", "start", "n").unionByName(left.select("k", "u", "start", F.lit(min_run).alias("n"))).unionByName(lines).unionByName(whole)
+    cuts = cuts.groupBy("k", "u").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("many"))
+    cuts = scratch.keep(cuts.withColumn("r", F.xxhash64("k", "u")), "cuts")
 
-    added = ("n_words", "n_deleted", "spans")
+    added = ("n_deleted", "spans", "emptied")
     names = [c for c in docs.columns if c not in added]
-    rows = docs.select(*[F.col(c).cast("string").alias(f"c{i}") if c == "text" else F.col(c).alias(f"c{i}") for i, c in enumerate(names)], key.alias("k"))
+    rows = docs.select(*[F.col(c).cast("string").alias(f"c{i}") if c == "text" else F.col(c).alias(f"c{i}") for i, c in enumerate(names)], k.alias("k"), u.alias("u"))
     at = names.index("text")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         for batch in batches:
-            texts, sizes, deleted, spans = [], [], [], []
-            for text, starts, many in zip(batch.column(at), batch.column(len(names)), batch.column(len(names) + 1), strict=True):
-                text, gone, n = text.as_py(), [], None
+            texts, deleted, spans, emptied = [], [], [], []
+            for text, starts, many in zip(batch.column(at), batch.column("starts"), batch.column("many"), strict=True):
+                text, gone, n = text.as_py(), [], 0
                 if text is not None and starts.is_valid:
-                    n = len(text.encode().split())
-                    starts, many = (x.values.to_numpy(zero_copy_only=False) for x in (starts, many))
-                    many = np.where(many < 0, n - min_run + 1, many)
-                    # Rows that share a doc_id may have other texts: only runs that fit.
-                    fit = (many > 0) & (starts + many - 1 + min_run <= n)
-                    if fit.any():
-                        text, gone, n = cut(text, starts[fit], many[fit], min_run)
-                n = len((text or "").encode().split()) if n is None else n
+                    text, gone, n = cut(text, *(x.values.to_numpy(zero_copy_only=False) for x in (starts, many)))
                 texts.append(text)
-                sizes.append(n)
                 deleted.append(sum(b - a for a, b in gone))
                 spans.append([{"from": a, "to": b} for a, b in gone])
+                emptied.append(0 < n == deleted[-1])
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sizes, pa.int64()), pa.array(deleted, pa.int64()), pa.array(spans, span)], [*[f"c{i}" for i in range(len(names))], *added]
+                [*columns, pa.array(deleted, pa.int64()), pa.array(spans, span), pa.array(emptied, pa.bool_())], [*[f"c{i}" for i in range(len(names))], *added]
             )
 
-    flagged = maybe_in(rows, "k", id_filter(cuts, "k", scratch))
-    changed = flagged.where("maybe").drop("maybe").join(cuts, "k", "left").drop("k")
-    plain = flagged.where("NOT maybe").drop("maybe", "k")
+    flagged = maybe_in(rows.withColumn("r", F.xxhash64("k", "u")), "r", id_filter(cuts, "r", scratch))
+    changed = flagged.where("maybe").drop("maybe", "r").join(cuts.drop("r"), ["k", "u"], "left").select(*[f"c{i}" for i in range(len(names))], "starts", "many")
+    plain = flagged.where("NOT maybe").drop("maybe", "k", "u", "r")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    changed = changed.mapInArrow(shorten, f"{schema}, n_words long, n_deleted long, spans array<struct<from:int,to:int>>")
-    words = F.coalesce(F.regexp_count(F.col(f"c{at}"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    plain = plain.withColumns({"n_words": words, "n_deleted": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<from:int,to:int>>")})
+    changed = changed.mapInArrow(released(shorten), f"{schema}, n_deleted long, spans array<struct<from:int,to:int>>, emptied boolean")
+    plain = plain.withColumns({"n_deleted": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<from:int,to:int>>"), "emptied": F.lit(False)})
     return changed.unionByName(plain).toDF(*names, *added)

@@ -121,14 +121,14 @@ def mix(
     ship(spark)
     scratch = Scratch(spark, "mix")
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), *keep)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), *keep)
     sized = scratch.keep(sized, "sized")
     targets = scratch.keep(source_targets(sized, weights, share, ceiling), "targets")
 
     same = sized["source"].eqNullSafe(targets["source"])
     rows = sized.join(targets, same).select(sized["*"], "source_size", "target", "n")
     rate = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
-    deal = lambda level: F.xxhash64(F.col("doc_id"), F.lit(seed), F.lit(level))
+    deal = lambda level: F.xxhash64(F.col("doc_id"), F.col("text_hash"), F.lit(seed), F.lit(level))
     groups = F.greatest(F.ceil(F.col("n") / fan_in), F.lit(1))
     rows = rows.withColumns(
         {

@@ -72,7 +72,7 @@ def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_deleted", "spans", "text")
+    return out.select("doc_id", "n_deleted", "emptied", "spans", "text")
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

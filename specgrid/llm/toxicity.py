@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import Scratch, ship, window_hashes, word_hashes
+from specgrid.llm.common import Scratch, released, ship, window_hashes, word_hashes
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of their id.
 MAX_ROWS = 20_000
@@ -193,7 +193,7 @@ def learn(labelled: DataFrame, *, max_rows: int = MAX_ROWS, max_terms: int = MAX
                 least.append(int(h.min().view(np.int64)) if len(h) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "least"])
 
-    rows = rows.mapInArrow(sketch, "doc_id long, text string, toxic int, least long")
+    rows = rows.mapInArrow(released(sketch), "doc_id long, text string, toxic int, least long")
     rows = scratch.keep(rows.withColumn("least", F.coalesce("least", F.xxhash64("doc_id"))).dropDuplicates(["least", "toxic"]).drop("least"), "rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def learn(labelled: DataFrame, *, max_rows: int = MAX_ROWS, max_terms: int = MAX
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Grammar()
-    terms = rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    terms = rows.mapInArrow(released(count), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     k = F.col("bad") + F.col("good")
     part = lambda x, rate: F.when(x > 0, x * F.log(x / (k * rate))).otherwise(0.0)
@@ -229,7 +229,7 @@ def learn(labelled: DataFrame, *, max_rows: int = MAX_ROWS, max_terms: int = MAX
             sums = [g.sums(t.as_py()).tolist() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float64())), batch.column(2)], ["x", "y"])
 
-    got = rows.mapInArrow(measure, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "x").collect()
+    got = rows.mapInArrow(released(measure), "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "x").collect()
     n = [r.n for r in got]
     x, y = np.repeat(np.array([r.x for r in got]), n, axis=0), np.repeat(np.array([r.y for r in got], dtype=float), n)
     return Grammar(grammar.terms, fit_weights(x, y))
@@ -255,6 +255,7 @@ def score(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             scores = [g.score(g.sums(t.as_py())) for t in batch.column(at).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+        g.kinds.clear()
 
-    out = plain.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + ", score double")
+    out = plain.mapInArrow(released(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + ", score double")
     return out.toDF(*names, "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -177,43 +177,75 @@ def test_toxicity_held_out(spark, data):
 # ---------------------------------------------------------------- line dedup
 
 
-def brute_repeats(docs, size):
-    first = {}
-    for d, t in docs:
-        w = (t or "").encode().split()
+def brute_repeats(spark, docs, size, least):
+    """Runs of ``size`` words and lines of ``least`` words that an earlier row has, or the same row without overlap."""
+    u = [r[0] for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "i long, t string").orderBy("i").selectExpr("xxhash64(t)").collect()]
+    keys = [((1 << 63) - 1 if d is None else d, h) for (d, _), h in zip(docs, u, strict=True)]
+
+    def units(text):
+        at = 0
+        for x in (text or "").split("\n"):
+            w = x.encode().split()
+            if len(w) >= least:
+                yield "line", tuple(w), at, len(w)
+            at += len(w)
+        w = (text or "").encode().split()
         for i in range(len(w) - size + 1):
-            g = tuple(w[i : i + size])
-            first[g] = min(first.get(g, d), d)
+            yield "run", tuple(w[i : i + size]), i, size
+
+    first = {}
+    for k, (_, t) in zip(keys, docs, strict=True):
+        for kind, g, i, _ in units(t):
+            first[kind, g] = min(first.get((kind, g), (k, i)), (k, i))
     out = []
-    for d, t in docs:
-        w, seen = (t or "").encode().split(), {}
+    for k, (d, t) in zip(keys, docs, strict=True):
+        w = (t or "").encode().split()
         gone = [False] * len(w)
-        for i in range(len(w) - size + 1):
-            g = tuple(w[i : i + size])
-            if first[g] < d or i - seen.setdefault(g, i) >= size:
-                gone[i : i + size] = [True] * size
-        out.append((d, len(w), sum(gone), b" ".join(x for x, y in zip(w, gone) if not y).decode()))
-    return sorted(out)
+        for kind, g, i, n in units(t):
+            other, at = first[kind, g]
+            if other != k or i - at >= n:
+                gone[i : i + n] = [True] * n
+        out.append((d, sum(gone), 0 < sum(gone) == len(w), b" ".join(x for x, y in zip(w, gone, strict=True) if not y).decode()))
+    return sorted(out, key=repr)
+
+
+def told_repeats(df):
+    return sorted(((r.doc_id, r.n_deleted, r.emptied, " ".join((r.text or "").split())) for r in df.collect()), key=repr)
 
 
 def test_repeats(spark):
     rng = random.Random(9)
     shared = [prose(rng, n) for n in (49, 50, 51, 120)]
+    license_ = "Released under the MIT License."
     docs = []
     for i in range(160):
         parts = [prose(rng, rng.randrange(0, 60))] + [rng.choice(shared) for _ in range(rng.randrange(3))] + [prose(rng, rng.randrange(0, 30))]
-        docs.append((i, "\n".join(parts)))
+        docs.append((i, rng.choice(["\n", " "]).join(parts)))
+    long = shared[3].split()
     docs += [(200, docs[3][1]), (201, docs[3][1]), (202, "same same " * 100), (203, None), (204, ""), (205, shared[3] + " tail"), (206, prose(rng, 5000) + " " + shared[1])]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("k", F.lit("k")).withColumn("starts", F.lit(1)).withColumn("n_words", F.lit(0))
+    docs += [(i, license_ + "\n" + prose(rng, 30)) for i in range(210, 215)] + [(216, "two words\n" * 4 + license_), (217, "ab cd ef gh ij kl\n" * 3)]
+    # One passage with a word replaced in the first text: what later texts share goes beyond what they share with the first.
+    docs += [(220, " ".join([*long[:70], "other", *long[71:]])), (221, prose(rng, 9) + " " + shared[3]), (222, " ".join([*long[:40], "new", *long[41:]]))]
+    # Repeated and null ids on different texts.
+    docs += [(300, shared[3]), (300, prose(rng, 20) + " " + shared[3]), (300, prose(rng, 100)), (None, prose(rng, 90)), (None, shared[3] + " x " + prose(rng, 60)), (None, docs[5][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("k", F.lit("k")).withColumn("starts", F.lit(1)).withColumn("emptied", F.lit(0))
     got = linededup.drop_repeats(df)
-    assert got.columns[:4] == ["doc_id", "text", "k", "starts"]
-    assert sorted((r.doc_id, r.n_words, r.n_deleted, " ".join((r.text or "").split())) for r in got.collect()) == brute_repeats(docs, 50)
+    assert got.columns == ["doc_id", "text", "k", "starts", "n_deleted", "spans", "emptied"]
+    assert told_repeats(got) == brute_repeats(spark, docs, 50, 5)
     assert got.where("doc_id = 203 AND text IS NULL").count() == 1
     assert linededup.drop_repeats(df.where("false")).count() == 0
     twice = linededup.drop_repeats(df.where("doc_id = 3").union(df.where("doc_id = 3")))
     assert twice.agg(F.sum("n_deleted")).first()[0] == 2 * linededup.drop_repeats(df.where("doc_id = 3")).first().n_deleted
 
 
+def test_unrelated_texts_of_one_id_stay(spark):
+    rng = random.Random(3)
+    p, other = prose(rng, 60), prose(rng, 100)
+    for i in (2, None):
+        df = spark.createDataFrame([(1, p), (i, p + " " + prose(rng, 20)), (i, other)], "doc_id long, text string")
+        assert linededup.drop_repeats(df).where(F.col("text") == other).count() == 1
+
+
 def test_guarantee():
     rng = np.random.default_rng(0)
     for _ in range(50):
