@@ -90,17 +90,28 @@ def prints_of(texts: list[bytes], line: int, min_run: int, min_line: int) -> tup
     return of[at], hashes, at - bounds[:-1][of[at]], many
 
 
-def contexts(text: bytes, at: np.ndarray, line: int, min_run: int) -> tuple[np.ndarray, ...]:
+def own_repeats(words: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which runs an earlier part of the same text has too, without overlap; and the first words and lengths of their unions."""
+    keys = window_hashes(words, min_run)
+    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+    own = np.arange(len(keys)) - first[group] >= min_run if len(keys) else np.zeros(0, bool)
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+    return own, turns[::2], turns[1::2] - turns[::2] + min_run - 1
+
+
+def contexts(words: np.ndarray, own: np.ndarray, at: np.ndarray, line: int, min_run: int) -> tuple[np.ndarray, ...]:
     """Of each fingerprint: how many words stand left and right of it, within reach; the least and most words that
-    windows with this minimum have before it; and hashes of the words on both sides, as many as a window allows."""
-    words, _, _ = words_of(text)
+    windows with this minimum have before it (least above most if there are only ``own`` ones); and hashes of the
+    words on both sides, as many as a window allows."""
     reach = min_run - line
     lines = window_hashes(words, line)
-    least = _slide(lines, reach + 1, np.minimum)
-    before = np.arange(reach + 1)
-    start = at[:, None] - before
-    own = (start >= 0) & (start < len(least)) & (least[np.clip(start, 0, len(least) - 1)] == lines[at][:, None])
-    low, high = own.argmax(axis=1), reach - own[:, ::-1].argmax(axis=1)
+    # Of equal minima the leftmost stands for a window.
+    least = np.arange(len(lines) - reach) + np.lib.stride_tricks.sliding_window_view(lines, reach + 1).argmin(axis=1)
+    start = at[:, None] - np.arange(reach + 1)
+    inside = np.clip(start, 0, len(least) - 1)
+    mine = (start == inside) & (least[inside] == at[:, None]) & ~own[inside]
+    some = mine.any(axis=1)
+    low, high = np.where(some, mine.argmax(axis=1), 1), np.where(some, reach - mine[:, ::-1].argmax(axis=1), 0)
     short = np.concatenate([np.zeros(reach, np.uint32), (words >> np.uint64(32)).astype(np.uint32), np.zeros(reach, np.uint32)])
     around = np.concatenate([np.arange(reach), np.arange(reach + line, 2 * reach + line)])
     return np.minimum(at, reach), np.minimum(len(words) - line - at, reach), low, high, short[at[:, None] + around]
@@ -159,22 +170,33 @@ _CONTEXT = "print long, k long, u long, at int, lead boolean, l int, r int, low
 
 
 def _contexts(line: int, min_run: int):
+    """Contexts of the fingerprints that some window needs; and, without ``lead``, repeats of a text's own parts as ``at`` and ``l`` words."""
+    names = ["print", "k", "u", "at", "lead", "l", "r", "low", "high", "words"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 points = batch.column("points")[i].values
-                every = points.field(1).to_numpy()
-                text = batch.column("text")[i].as_py().encode()
+                prints, every, leads = (points.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                words, _, _ = words_of(batch.column("text")[i].as_py().encode())
+                own, starts, many = own_repeats(words, min_run)
+                k, u = batch.column("k")[i].as_py(), batch.column("u")[i].as_py()
+                const = lambda v, n: pa.array(np.full(n, v))
+                if n := len(starts):
+                    empty = pa.nulls(n, pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [const(0, n), const(k, n), const(u, n), pa.array(starts.astype(np.int32)), pa.nulls(n, pa.bool_()), pa.array(many.astype(np.int32)), empty, empty, empty, pa.nulls(n, pa.binary())], names
+                    )
                 for lo in range(0, len(every), 20_000):
                     at = every[lo : lo + 20_000]
-                    *sides, words = contexts(text, at, line, min_run)
-                    n, width = words.shape
+                    *sides, around = contexts(words, own, at, line, min_run)
+                    part = slice(lo, lo + 20_000)
+                    keep = np.flatnonzero((sides[2] <= sides[3]) | leads[part].astype(bool))
+                    n, width = len(keep), around.shape[1]
                     ends = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(4 * width))
-                    packed = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(words))])
-                    const = lambda c: pa.array(np.full(n, batch.column(c)[i].as_py()))  # noqa: B023, E731
+                    packed = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(around[keep]))])
                     yield pa.RecordBatch.from_arrays(
-                        [points.field(0).slice(lo, n), const("k"), const("u"), pa.array(at), points.field(2).slice(lo, n), *(pa.array(x.astype(np.int32)) for x in sides), packed],
-                        ["print", "k", "u", "at", "lead", "l", "r", "low", "high", "words"],
+                        [pa.array(prints[part][keep]), const(k, n), const(u, n), pa.array(at[keep]), pa.array(leads[part][keep].astype(bool)), *(pa.array(x[keep].astype(np.int32)) for x in sides), packed], names
                     )
 
     return released(run)
@@ -267,14 +289,14 @@ def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN, m
     around = touched.join(points.drop("r"), ["k", "u"]).select("k", "u", "text", "points").mapInArrow(_contexts(line, min_run), _CONTEXT)
     around = scratch.keep(around, "contexts")
     lead = around.where("lead").select("print", *[F.col(c).alias(f"{c}0") for c in ("k", "u", "at", "l", "r", "words")])
+    inner = around.where("lead IS NULL").select("k", "u", F.col("at").alias("start"), F.col("l").alias("n"))
     matched = around.where("NOT lead").drop("lead").join(lead, "print").mapInArrow(_matches(line, min_run), "run long, k long, u long, start int, n int")
     matched = scratch.keep(matched, "matched")
-    scratch.drop(around)
     left = matched.where("run IS NOT NULL").drop("n")
     left = left.join(scratch.keep(_firsts(left, "run", "start"), "runs"), "run").where(f"k <> k0 OR u <> u0 OR start - start0 >= {min_run}")
 
     whole = copies.select("k", "u", F.lit(0).alias("start"), F.lit(-1).alias("n"))  # -1: from end to end
-    cuts = matched.where("run IS NULL").select("k", "u", "start", "n").unionByName(left.select("k", "u", "start", F.lit(min_run).alias("n"))).unionByName(lines).unionByName(whole)
+    cuts = matched.where("run IS NULL").select("k", "u", "start", "n").unionByName(left.select("k", "u", "start", F.lit(min_run).alias("n"))).unionByName(inner).unionByName(lines).unionByName(whole)
     cuts = cuts.groupBy("k", "u").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("many"))
     cuts = scratch.keep(cuts.withColumn("r", F.xxhash64("k", "u")), "cuts")
 
