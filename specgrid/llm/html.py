@@ -9,7 +9,8 @@ dive are kept, on every page and over all lines. Where marked elements (article,
 main, or a class such as entry-content) hold at least half of the page's text, the
 mark adds the threshold to the sums of their lines, so short paragraphs stay; lines
 outside are judged by their own sums. An article in a skipped area, or with a noise
-class of its own, is skipped like anything else there.
+class of its own, is skipped like anything else there. A page on which no window
+reaches the threshold keeps all its unskipped lines that are not mostly links.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SURGE = 86
 
 # Element names and class words.
 _RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-_TAG = re.compile(r"(?s)<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]{0,4096}\"|'[^']{0,4096}'|[^'\">])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?/][^>]*>")
+_TAG = re.compile(r"(?s)<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?/][^>]*>")
 _SKIP = frozenset("head nav header footer aside form menu dialog button fieldset".split())
 _MARKED = frozenset("article main".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +39,13 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
+#: Elements that a start of the named one ends, and the ones that keep it from reaching further out.
+_ENDS = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist"),
+    "tr": ("tr", "table thead tbody tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+}
+_ENDS = {k: tuple(frozenset(x.split()) for x in v) for k, v in _ENDS.items()}
+_PARAGRAPH = (frozenset(["p"]), frozenset("td th caption table button".split()))
 _CLASS = re.compile(r"(?i)\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
 _NOISE = re.compile(
@@ -47,6 +54,9 @@ _NOISE = re.compile(
     r"share\w*|sharing|social\w*|related\w*|recommend\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|search\w*|pagination|pager|widget\w*|"
     r"navigation|complementary|contentinfo|search|form)(?:$|[\s_-])"
 )
+#: On headings and elements that hold words only a whole class: "ad", not "alert-level".
+_NOISE_WHOLE = re.compile(_NOISE.pattern.replace(r"(?:^|[\s_-])", r"(?:^|\s)", 1).replace(r"(?:$|[\s_-])", r"(?:$|\s)").replace(r"\w*", ""))
+_WORDS = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt td th tr figcaption blockquote pre span em strong b i".split())
 #: On article and main only what a class starts with: "comment-body", not "has-sidebar" or "category-social".
 _NOISE_FIRST = re.compile(_NOISE.pattern.replace(r"(?:^|[\s_-])", r"(?:^|\s)", 1))
 _ARTICLE_ROLE = re.compile(r"(?i)(?:^|[\s_-])(?:main|article|articlebody|post-content|entry-content|article-body|story-body)(?:$|[\s])")
@@ -61,7 +71,7 @@ def _kind(name: str, attrs: str) -> str:
             return "skip"
         words = " ".join(a or b or c for _, a, b, c in _CLASS.findall(attrs))
         if words:
-            if (_NOISE_FIRST if name in _MARKED else _NOISE).search(words):
+            if (_NOISE_FIRST if name in _MARKED else _NOISE_WHOLE if name in _WORDS else _NOISE).search(words):
                 return "skip"
             if _ARTICLE_ROLE.search(words):
                 return "marked"
@@ -139,9 +149,15 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
         if name in _VOID:
             continue
         kind = _kind(name, attrs)
-        if name in _SELF_CLOSING and stack and any(n == name for n, _, _ in stack[-3:]):
-            while stack and any(n == name for n, _, _ in stack[-3:]):
-                pop()
+        for ended, scope in ((_PARAGRAPH,) if name in _BLOCK and name != "body" else ()) + ((_ENDS[name],) if name in _ENDS else ()):
+            for depth in range(len(stack) - 1, -1, -1):
+                n, k, _ = stack[depth]
+                if n in ended:
+                    while len(stack) > depth:
+                        pop()
+                    break
+                if n in scope or k == "skip":  # what is skipped stays so to its end
+                    break
         ends = name == "body"
         if kind == "marked" and skips:
             closed = _closed(tags) if closed is None else closed
@@ -183,6 +199,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         if i and lines[i - 1][3] in ("h1", "h2") and lines[i - 1][1] > 0:
             keep[i - 1] = True
         i = end
+    if not any(keep):  # nowhere enough text for a surge, as on a page of one short line
+        keep = [w > 0 for w in weights]
     return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import numpy as np
@@ -36,6 +38,13 @@ def rows(df, *cols):
         ("<nav>never closed <article><p>in<footer>f</footer><p>out</article>", "in\nout"),
         ("<article><p>t</p><section id='comments'><p>me too</p></section></article><!-- <p>no</p> -->", "t"),
         ("<article><p>1 < 2</p><p title='a > b'>q</p></article>", "1 < 2\nq"),
+        ("<article><p>Main text<aside><p>Buy now advert text.</p></aside>", "Main text"),
+        ("<main><p>Intro<nav><p>Home | About</p></nav>", "Intro"),
+        ("<article><ul><li>one<ul class='menu'><li>entry<li>more</ul><li>two</ul></article>", "one\ntwo"),
+        ("<article><table><tr><td>a<td>b<tr><td>c</table><p>x<p>y</article>", "a\nb\nc\nx\ny"),
+        ("<article><h2 class='alert-level'>Storm alert levels</h2><p>text</article>", "Storm alert levels\ntext"),
+        ("<p title='" + "x" * 50_000 + " > leak words'>Real text</p>", "Real text"),
+        ("<div><a href=x>Home</a></div><p>Real text</p><div class=ad>buy</div>", "Real text"),
     ],
 )
 def test_main_text(page, text):
@@ -75,6 +84,50 @@ def test_article_mark_adds_weight():
     assert html.main_text("<nav>open <aside><article>teaser</article></aside><article>in</article>") == "in"
 
 
+class Outline(HTMLParser):
+    """A plain reading of a page that has one article: its text by blocks, without the parts that are never text."""
+
+    NEVER = frozenset("nav header footer aside form script style".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.article, self.never, self.blocks = 0, [], [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.article += tag == "article"
+        classes = set((dict(attrs).get("class") or "").split()) | {dict(attrs).get("id")}
+        if self.never or tag in self.NEVER or classes & {"ad", "comments", "cookie", "notice", "sidebar"}:
+            if tag not in ("br", "img", "input", "meta", "link", "hr", "p", "li"):
+                self.never.append(tag)
+        if tag in html._BLOCK:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.article -= tag == "article"
+        if tag in self.never:
+            while self.never.pop() != tag:
+                pass
+        if tag in html._BLOCK:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.article > 0 and not self.never:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(x for x in (" ".join(b.split()) for b in self.blocks) if x)
+
+
+def test_pages_by_another_reading(spark, data):
+    pages = [r for r in spark.read.parquet(f"{data}/pages.parquet").collect() if r.html and len(re.findall("(?i)<article", r.html)) == 1]
+    assert len(pages) > 40
+    assert [r.page_id for r in pages if html.main_text(r.html) != Outline(r.html).text()] == []
+
+
 def test_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract_pages(pages.withColumn("text", F.lit("x"))).collect()}
