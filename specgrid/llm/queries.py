@@ -16,7 +16,7 @@ from specgrid.llm.linededup import drop_repeats
 from specgrid.llm.minhash import near_duplicates
 from specgrid.llm.mixing import mix
 from specgrid.llm.pieces import encode_pieces, read_model
-from specgrid.llm.toxicity import Grammar, learn, score
+from specgrid.llm.toxicity import Grammar, learn, sampled, score
 from specgrid.llm.urls import judge
 from specgrid.llm.vectors import near_vectors
 
@@ -49,7 +49,7 @@ def _held_out():
 def train_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Grammar:
     """Grammar from the labels of the rows of ``docs`` that are not held out."""
     labels = read_table(spark, sf_dir, "labels").where(~_held_out()).select("doc_id", "toxic")
-    return learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return learn(docs.select("doc_id", "text").join(sampled(labels), "doc_id"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words map to terminals: insults and threats with a weight, targets, negations and
-verbs of reported speech. Five small transducers read a clause side by side
-(their product is the composed machine): negation and target hold for a few
-words, reported speech to the end of the clause, insult and threat put out the
-weight of their word under the pattern that the other states make, such as
+Words and marks map to terminals: insults and threats with a weight, targets,
+negations, verbs of reported speech, soft marks, quotes and stops. Five small
+transducers are given as transition tables. Negation and target hold for a few
+words (target is read from both sides), reported speech to the end of the
+clause, and from a verb right before it over a colon, comma or into quotes;
+insult and threat put out the weight of their word. Their product is composed
+once: a state of it names the pattern under which a weight comes out, such as
 "insult, aimed, not negated, not reported". A clause counts once for a pattern,
 with its best weight. A document's score is the logistic function of the
 clauses' sums by pattern.
@@ -17,6 +19,7 @@ pattern that the labels never show keeps its hand-set weight.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -50,9 +53,42 @@ _NEGATION = "not no never nobody isn't aren't don't nicht kein keine nie ne pas
 _REPORT = "said says say told claimed claims reported wrote writes quoted called alleged sagte sagt schrieb behauptet dit disait écrit prétend dijo dice escribió afirma".split()
 
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.,;:!?|()\"\n«»„“”]")
-_ENDS = frozenset(".,;:!?|()\"\n«»„“”")
-NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, SOFT, QUOTE, STOP, BREAK = range(10)
+_MARKS = dict.fromkeys(",:", SOFT) | dict.fromkeys("\"«»„“”", QUOTE) | dict.fromkeys(".;!?|()", STOP) | {"\n": BREAK}
 _FIXED = {w: k for k, ws in ((INSULT, _INSULT), (THREAT, _THREAT), (TARGET, _TARGET), (NEGATION, _NEGATION), (REPORT, _REPORT)) for w in ws}
+_TERMINALS = range(10)
+
+
+def _scope(trigger: int) -> list[list[int]]:
+    """Transducer that holds for ``SCOPE`` words after ``trigger``; state 0 is off. Rows are states, columns terminals."""
+    return [[SCOPE if t == trigger else 0 if t >= SOFT else max(0, s - 1) for t in _TERMINALS] for s in range(SCOPE + 1)]
+
+
+# States of reported speech: none, a verb just now, one word ago, further back in the clause, carried over a mark, in quotes.
+_PLAIN_SPEECH, _VERB, _NEAR, _CLAUSE, _CARRIED, _QUOTED = range(6)
+
+
+def _reported() -> list[list[int]]:
+    """Transducer of reported speech; all states but 0 mean reported."""
+    out = []
+    for s in range(6):
+        row = [{_VERB: _NEAR, _NEAR: _CLAUSE}.get(s, s)] * len(_TERMINALS)
+        row[REPORT] = s if s == _QUOTED else _VERB
+        row[SOFT] = {_VERB: _CARRIED, _NEAR: _CARRIED, _CLAUSE: _PLAIN_SPEECH}.get(s, s)
+        row[QUOTE] = _PLAIN_SPEECH if s in (_PLAIN_SPEECH, _QUOTED) else _QUOTED
+        row[STOP] = s if s == _QUOTED else _PLAIN_SPEECH
+        row[BREAK] = _PLAIN_SPEECH
+        out.append(row)
+    return out
+
+
+def compose(*machines: list[list[int]]) -> tuple[list[list[int]], list[tuple[int, ...]]]:
+    """Product of transducers that read the same input: its transition table, and the states of each of its states."""
+    states = list(itertools.product(*(range(len(m)) for m in machines)))
+    number = {s: i for i, s in enumerate(states)}
+    return [[number[tuple(m[x][t] for m, x in zip(machines, s, strict=True))] for t in _TERMINALS] for s in states], states
+
+
 #: Patterns: kind (insult, threat) x aimed x negated x reported.
 PATTERNS = 16
 #: Hand-set arc weights: (insult, threat), and factors for aimed, negated, reported.
@@ -65,6 +101,12 @@ def hand_set() -> np.ndarray:
     return np.array([_BIAS, *w])
 
 
+#: The composed machine, and the part of a pattern that each state gives.
+_NEXT, _STATES = compose(_scope(NEGATION), _scope(TARGET), _reported())
+_PATTERN = [(aimed > 0) << 1 | (negated > 0) << 2 | (speech > 0) << 3 for negated, aimed, speech in _STATES]
+_AHEAD = _scope(TARGET)
+
+
 class _Kinds(dict):
     """Word -> (terminal, weight), worked out once a word."""
 
@@ -75,7 +117,7 @@ class _Kinds(dict):
     def __missing__(self, word: str) -> tuple[int, float]:
         if len(self) > MEMO:
             self.clear()
-        got = (END, 0.0) if word in _ENDS else (_FIXED.get(word, NONE), 1.0)
+        got = (_MARKS[word], 0.0) if word in _MARKS else (_FIXED.get(word, NONE), 1.0)
         if got[0] in (NONE, INSULT):
             forms = [word, *(word[:n] + "*" for n in STEMS if n <= len(word))]
             best = max((self.terms.get(x, 0.0) for x in forms), default=0.0)
@@ -109,14 +151,10 @@ class Grammar:
         """Best weight of each clause by pattern, summed over the clauses."""
         kinds = list(map(self.kinds.__getitem__, _TOKEN.findall((text or "").lower())))
         out = np.zeros(PATTERNS)
-        if not any(k in (INSULT, THREAT) for k, _ in set(kinds)):
-            return out
-        at = 0
-        for i, (k, _) in enumerate([*kinds, (END, 0.0)]):
-            if k == END:
-                if i > at:
-                    _clause(kinds[at:i], out)
-                at = i + 1
+        if any(k in (INSULT, THREAT) for k, _ in set(kinds)):
+            for best in clauses(kinds):
+                for p, w in best.items():
+                    out[p] += w
         return out
 
     def score(self, sums: np.ndarray) -> float:
@@ -124,29 +162,27 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _clause(kinds: list[tuple[int, float]], out: np.ndarray) -> None:
-    """Runs the product machine over one clause and adds the best weight of each pattern."""
-    if not any(k in (INSULT, THREAT) for k, _ in kinds):
-        return
-    ahead, left = [False] * len(kinds), 0
+def clauses(kinds: list[tuple[int, float]]) -> Iterator[dict[int, float]]:
+    """Best weight by pattern of each clause that puts out any, from one pass of the composed machine over terminals."""
+    ahead, s = bytearray(len(kinds)), 0
     for i in range(len(kinds) - 1, -1, -1):  # the target transducer, from the right
-        ahead[i] = left > 0
-        left = SCOPE if kinds[i][0] == TARGET else max(0, left - 1)
-    negated = aimed = 0
-    reported = False
-    best = [0.0] * PATTERNS
+        ahead[i] = s > 0
+        s = _AHEAD[s][kinds[i][0]]
+    s, best = 0, {}
     for i, (k, w) in enumerate(kinds):
         if k in (INSULT, THREAT):
-            p = (k == THREAT) | (aimed > 0 or ahead[i]) << 1 | (negated > 0) << 2 | reported << 3
-            best[p] = max(best[p], w)
-        negated = SCOPE if k == NEGATION else max(0, negated - 1)
-        aimed = SCOPE if k == TARGET else max(0, aimed - 1)
-        reported = reported or k == REPORT
-    out += best
+            p = _PATTERN[s] | ahead[i] << 1 | (k == THREAT)
+            best[p] = max(best.get(p, 0.0), w)
+        elif k >= SOFT and best:
+            yield best
+            best = {}
+        s = _NEXT[s][k]
+    if best:
+        yield best
 
 
 def _forms(text: str) -> set[str]:
-    words = set(_TOKEN.findall(text.lower())) - _ENDS
+    words = set(_TOKEN.findall(text.lower())) - _MARKS.keys()
     return words | {w[:n] + "*" for w in words for n in STEMS if n <= len(w)}
 
 
@@ -168,12 +204,18 @@ def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarr
     return w
 
 
-def learn(labelled: DataFrame, *, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Grammar:
-    """Grammar from ``labelled(doc_id, text, toxic)``; rows with a null label are left out.
+def sampled(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """About ``max_rows`` of the rows ``(doc_id, toxic)`` with a label, all if there are fewer, chosen by a hash of doc_id."""
+    labels = labels.where("toxic IS NOT NULL")
+    share = min(1.0, max_rows / max(labels.count(), 1))
+    return labels.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def learn(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> Grammar:
+    """Grammar from ``labelled(doc_id, text, toxic)``, a bounded table (see ``sampled``); rows with a null label are left out.
 
-    At most about ``max_rows`` rows are used, chosen by a hash of doc_id; of rows
-    that are near copies (same least shingle and label) one is used. Without
-    rows of both labels the grammar keeps its fixed terminals and weights.
+    Of rows that are near copies (same least shingle and label) one is used.
+    Without rows of both labels the grammar keeps its fixed terminals and weights.
     """
     spark = labelled.sparkSession
     ship(spark)
@@ -181,9 +223,6 @@ def learn(labelled: DataFrame, *, max_rows: int = MAX_ROWS, max_terms: int = MAX
     rows = labelled.where("toxic IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")
     )
-    n = rows.count()
-    share = min(1.0, max_rows / max(n, 1))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -198,6 +198,66 @@ def test_clauses():
     assert g.sums("stupid, stupid")[0] == 2 * g.sums("stupid stupid")[0]
 
 
+def brute_clauses(kinds):
+    """The grammar's rules read off the words around each insult or threat."""
+    t = toxicity
+    marks, words = {t.SOFT, t.QUOTE, t.STOP, t.BREAK}, [k for k, _ in kinds]
+    out, best = [], {}
+
+    def near(i, step, what):
+        for d in range(1, t.SCOPE + 1):
+            j = i + d * step
+            if not 0 <= j < len(words) or words[j] in marks:
+                return False
+            if words[j] == what:
+                return True
+        return False
+
+    def reported(i):
+        verb, carried, quoted = None, False, False  # words since the verb of this clause
+        for w in words[:i]:
+            if w == t.REPORT:
+                verb, carried = 0, carried and quoted
+            elif w == t.BREAK:
+                verb, carried, quoted = None, False, False
+            elif w == t.STOP:
+                verb, carried = (None, False) if not quoted else (verb, carried)
+            elif w == t.QUOTE:
+                quoted = not quoted and (verb is not None or carried)
+                verb, carried = None, False
+            elif w == t.SOFT:
+                if not quoted:
+                    carried, verb = carried or (verb is not None and verb < 2), None
+            elif verb is not None:
+                verb += 1
+        return quoted or carried or verb is not None
+
+    for i, (k, w) in enumerate([*kinds, (t.STOP, 0.0)]):
+        if k in (t.INSULT, t.THREAT):
+            p = (k == t.THREAT) + 2 * (near(i, -1, t.TARGET) or near(i, 1, t.TARGET)) + 4 * near(i, -1, t.NEGATION) + 8 * reported(i)
+            best[p] = max(best.get(p, 0.0), w)
+        elif k in marks and best:
+            out.append(best)
+            best = {}
+    return out
+
+
+def test_composed_machine_by_rules():
+    rng = random.Random(8)
+    for _ in range(3000):
+        kinds = [(k, rng.choice([0.5, 1.0, 2.0])) for k in rng.choices(range(10), weights=[6, 4, 2, 2, 2, 2, 2, 2, 1, 1], k=rng.randrange(1, 25))]
+        assert list(toxicity.clauses(kinds)) == brute_clauses(kinds)
+
+
+def test_reported_speech():
+    g = toxicity.Grammar()
+    said = g.score(g.sums("you are an idiot"))
+    for text in ('He said: "you are an idiot"', 'He wrote, "you are an idiot"', "she said: you are an idiot", 'They wrote "no way. you are an idiot" there'):
+        assert g.sums(text)[8:].sum() > 0 and g.sums(text)[:8].sum() == 0 and g.score(g.sums(text)) < said
+    for text in ('He said hello. You are an idiot', 'He said "hello" you are an idiot', "he said so last week, you are an idiot", "he said:\nyou are an idiot"):
+        assert g.sums(text)[:8].sum() > 0
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     docs = []
