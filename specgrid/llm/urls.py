@@ -117,8 +117,10 @@ def resolve(to: Column, base: Column) -> Column:
 def link_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` addresses: canonical links and meta redirects in the pages' html, resolved against the page's url or ``<base>``."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    # What stands in comments links nothing; the rest of the matching runs on the pages that hold such a tag at all.
+    some = F.lower(html).contains("canonical") | F.lower(html).contains("http-equiv")
+    html = F.when(some, F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")).otherwise(F.lit(""))
     canonical = F.coalesce(*[F.nullif(F.regexp_extract(html, _CANONICAL, i), F.lit("")) for i in (1, 2, 3)])
-    # The pattern matching runs on the pages that hold such a tag at all.
     lower = F.lower(html)
     found = F.array(
         F.when(lower.contains("canonical"), canonical),
@@ -164,6 +166,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = Non
     votes = scratch.keep(votes, "votes")
     decided = votes.groupBy("component").agg(F.max(F.when(F.col("v") == ALLOW, 2).when(F.col("v") == BLOCK, 1)).alias("d"))
     spread = votes.join(decided, "component").select("address", "d")
-    out = plain.join(spread, "address", "left")
+    # Pages without an address are no aliases; they would all meet on one join key.
+    known = plain.where("address IS NOT NULL").join(spread, "address", "left").select(*plain.columns, "d")
+    out = known.unionByName(plain.where("address IS NULL").withColumn("d", F.lit(None).cast("int")))
     alias = F.when(F.col("d") == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     return out.select("page_id", "host", "path", "rule", F.coalesce("own_verdict", alias).alias("verdict"))

@@ -467,3 +467,11 @@ def test_urls_with_relative_links(spark):
     ]
     got = dict(rows(urls.judge(spark.createDataFrame(table, "page_id long, url string, html string"), queries.URL_RULES), "page_id", "verdict"))
     assert got == {i: "block" for i in range(1, 7)} | {7: "allow", 8: "allow"}
+
+
+def test_links_in_comments_do_not_count(spark):
+    page = "<!-- <link rel=canonical href='http://b.net/es/x'> --><link rel='canonical' href='http://b.net/en/x'><!-- open <link rel=canonical href='/z'>"
+    edges = urls.link_edges(spark.createDataFrame([("http://a.net/1", page), (None, page)], "url string, html string")).collect()
+    assert [tuple(e) for e in edges] == [("http://a.net/1", "http://b.net/en/x")]
+    judged = urls.judge(spark.createDataFrame([(1, "http://b.net/es/x", "<link rel=canonical href='http://c.org/'>"), (2, "http://c.org/", ""), (3, None, page)], "page_id long, url string, html string"), queries.URL_RULES)
+    assert {r.page_id: r.verdict for r in judged.collect()} == {1: "block", 2: "block", 3: "allow"}
