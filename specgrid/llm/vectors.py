@@ -39,6 +39,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def own_type(vectors: DataFrame, column: str) -> Column:
+    """The vectors as they are, if single or double precision, else as doubles."""
+    kind = vectors.schema[column].dataType.elementType.typeName() if vectors.schema[column].dataType.typeName() == "array" else ""
+    return F.col(column).cast(f"array<{kind if kind in ('float', 'double') else 'double'}>").alias(column)
+
+
 @functools.lru_cache(maxsize=4)
 def rotation(dim: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
@@ -137,14 +143,15 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, width: int = BLOCK
     Two vectors are linked when their labels are equal and not null and their
     cosine is ``cosine`` or more. Vectors that are null, zero, or hold null or
     non-finite components link with nothing, nor do vectors of unlike length
-    with each other. Rows that repeat id, label and vector are one vector; a
+    with each other. Labels of any type are compared as they are, and vectors
+    have their own precision. Rows that repeat id, label and vector are one vector; a
     null vec_id is linked with nothing, has no component and is not kept. Extra
     columns are ignored, an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark, "vectors")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", own_type(vectors, "embedding"))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"))
     rows = rows.withColumns({"fit": fit, "h": F.xxhash64("embedding")}).dropDuplicates(["vec_id", "label", "h", "embedding"])
     rows = scratch.keep(rows, "rows")
@@ -152,7 +159,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, width: int = BLOCK
     same = scratch.keep(same.withColumn("dim", F.size("embedding")), "same")
 
     point = "label long, dim int, block int, cx int, cy int, part int, role int, id long, point array<float>"
-    placed = scratch.keep(same.select("id", "label", "dim", "embedding").mapInArrow(_place(cosine, width, seed), point), "placed")
+    placed = scratch.keep(same.select("id", F.xxhash64("label").alias("label"), "dim", "embedding").mapInArrow(_place(cosine, width, seed), point), "placed")
     cells = _KEY[:-1]
     full = placed.where("role = 0").groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
     full = scratch.keep(full.select(*cells, F.ceil(F.col("n") / cell).cast("int").alias("parts")), "full")
