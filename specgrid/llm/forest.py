@@ -9,7 +9,8 @@ neighbours of sample queries within the sample. The vectors of those leaves are
 ranked exactly: leaf by leaf the best ``k``, then the best of all leaves.
 
 Joining queries and vectors by leaf spreads the work over leaves; a leaf with
-many vectors is dealt over parts that each give their own best ``k``.
+many vectors is dealt over parts that each give their own best ``k``, and so are
+the queries that open it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specgrid.llm.common import Scratch, ship
-from specgrid.llm.vectors import as_matrix, usable
+from specgrid.llm.vectors import as_matrix, own_type, usable
 
 TREES = 6
 #: Rows that the trees are fitted on at most.
@@ -188,7 +189,7 @@ def nearest(
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark, "forest")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), own_type(vectors, "embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
     rows = scratch.keep(rows, "rows")
     out = "query_id long, rank int, vec_id long, score double"
@@ -197,8 +198,10 @@ def nearest(
         return spark.createDataFrame([], out)
     dim, n = sizes
     rows = rows.where(F.size("embedding") == dim)
-    share = min(1.0, 1.05 * sample / n)
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample).select("embedding").toPandas()
+    # The smallest hashes make the sample, however rows are partitioned; the filter keeps the sort small.
+    share, h = min(1.0, 1.05 * sample / n + 100 / n), F.xxhash64("vec_id", F.lit(seed))
+    drawn = rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = drawn.orderBy(F.pmod(h, F.lit(1 << 30)), "vec_id", F.xxhash64("embedding")).limit(sample).select("embedding").toPandas()
     x = np.stack(drawn["embedding"].to_numpy()).astype(np.float64)
     x = x[np.lexsort(x.T[::-1])]  # the order in which rows arrive must not matter
     np.random.default_rng(seed).shuffle(x)
@@ -223,16 +226,22 @@ def nearest(
                 flat = pa.array(np.concatenate(leaves).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([flat, batch.column(0).take(at), batch.column(1).take(at)], ["leaf", "query_id", "query"])
 
-    filed = rows.mapInArrow(file, "leaf int, vec_id long, embedding array<float>")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    filed = rows.mapInArrow(file, f"leaf int, vec_id long, embedding {kind}")
     # One count a leaf; the leaves are bounded by the sample, whatever the table's size.
     counts = filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).collect()
     parts = F.lit(1)
     if counts:
         parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for r in counts for v in (r.leaf, -(-r.n // part))]), F.col("leaf")), F.lit(1))
+    # Queries are dealt as well: every part of a leaf's vectors meets every part of its queries once.
+    asking = max(1, -(-rows.where(F.col("vec_id") % every == 0).count() // part))
     filed = filed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
-    asked = rows.where(F.col("vec_id") % every == 0).repartition(spark.sparkContext.defaultParallelism).mapInArrow(ask, "leaf int, query_id long, query array<float>")
+    filed = filed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(asking - 1))))
+    asked = rows.where(F.col("vec_id") % every == 0).repartition(spark.sparkContext.defaultParallelism).mapInArrow(ask, f"leaf int, query_id long, query {kind}")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
-    found = filed.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInPandas(_rank_leaf(k), "query_id long, vec_id long, score double")
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(asking)).cast("int"))
+    keys = ["leaf", "part", "turn"]
+    found = filed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_rank_leaf(k), "query_id long, vec_id long, score double")
     found = scratch.keep(found, "found").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -142,3 +142,22 @@ def test_nearest_small(spark):
     assert forest.nearest(df.where("false")).count() == 0
     many = spark.range(400).selectExpr("id AS vec_id", "array(float(1), float(2)) AS embedding")
     assert [r.vec_id for r in forest.nearest(many, part=30).where("query_id = 0").orderBy("rank").collect()] == list(range(1, 21))
+
+
+def test_near_vectors_types(spark):
+    near = [(1, [1.0, 1e-9], "a"), (2, [1.0, 1e-9], "a"), (3, [1.0, 0.01], "a"), (4, [1.0, 1e-9], "b"), (5, [1.0, 0.01], None)]
+    got = vectors.near_vectors(spark.createDataFrame(near, "vec_id long, embedding array<double>, label string"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+    odd = vectors.near_vectors(spark.createDataFrame([(1, [1.0, 2.0], 1.2), (2, [1.0, 2.0], 1.7)], "vec_id long, embedding array<float>, label double"))
+    assert [r.n_links for r in odd.collect()] == [0, 0]
+
+
+def test_nearest_from_two_layouts(spark):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
+    one, two = (rows_of(forest.nearest(table.repartition(n), every=50, k=5, sample=400, part=200)) for n in (3, 7))
+    assert one == two and len(one) == 30 * 5
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
