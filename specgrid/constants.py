@@ -11,14 +11,16 @@ NODATA, NODATA_BELOW = -10000.0, -9000.0
 SENSOR_BANDS = 224
 SENSOR_BAD_RANGES = [(126, 140), (160, 166)]
 
-# Land-cover class codes, names and train ids.
+INVALID = -1
+# Land-cover class codes, names and train ids; a class without a train id is invalid there.
 WORLDCOVER = [
-    (10, "tree cover", 0), (20, "shrubland", 1), (30, "grassland", 2), (40, "cropland", 3), (50, "built-up", 4), (60, "bare", 5),
-    (70, "snow and ice", 6), (80, "water", 7), (90, "wetland", 8), (95, "mangroves", 9), (100, "moss and lichen", 10),
+    (10, "Tree cover", 0), (20, "Shrubland", 1), (30, "Grassland", 2), (40, "Cropland", 3), (50, "Built-up", 4), (60, "Bare/sparse vegetation", 5),
+    (70, "Snow and Ice", 6), (80, "Permanent water bodies", 7), (90, "Herbaceous wetland", 8), (95, "Mangroves", 9), (100, "Moss and lichen", 10),
+]
+DFC = [
+    (1, "Forest", 0), (2, "Shrubland", 1), (3, "Savanna", INVALID), (4, "Grassland", 2), (5, "Wetlands", 3), (6, "Croplands", 4),
+    (7, "Urban/Built-up", 5), (8, "Snow/Ice", INVALID), (9, "Barren", 6), (10, "Water", 7),
 ]
-# Class code -> train id of the eight-class scheme.
-DFC = [(1, "forest", 0), (2, "shrubland", 1), (4, "grassland", 2), (5, "wetland", 3), (6, "cropland", 4), (7, "built-up", 5), (9, "barren", 6), (10, "water", 7)]
-INVALID = -1
 
 
 def good_bands(total: int = RAW_BANDS, bad: list[tuple[int, int]] = BAD_BAND_RANGES) -> list[int]:

@@ -17,6 +17,11 @@ def class_name(df: DataFrame, code: str, dim: DataFrame) -> DataFrame:
     return df.join(F.broadcast(dim.select(F.col("code").alias(code), "name")), code, "left")
 
 
+def class_code(df: DataFrame, name: str, dim: DataFrame) -> DataFrame:
+    """Code of each class name, null if unknown (P18, inverse)."""
+    return df.join(F.broadcast(dim.select(F.col("name").alias(name), "code")), name, "left")
+
+
 def remap_labels(col: Column, scheme: list[tuple[int, str, int]], inverse: bool = False, compat: bool = False) -> Column:
     """Code to train id, or back; anything else is invalid.
 
@@ -25,6 +30,6 @@ def remap_labels(col: Column, scheme: list[tuple[int, str, int]], inverse: bool
     if compat:
         folded = F.when(col == 90, 10).when(col == 100, 11).otherwise(col)
         return F.floor(folded / 10).cast("int") - 1
-    pairs = [(t, c) if inverse else (c, t) for c, _, t in scheme]
+    pairs = [(t, c) if inverse else (c, t) for c, _, t in scheme if t != INVALID]
     table = F.create_map(*[F.lit(x) for p in pairs for x in p])
     return F.coalesce(F.try_element_at(table, col), F.lit(INVALID))

@@ -35,8 +35,8 @@ def split3(df: DataFrame, key: str, val: float, test: float, seed: int = 42) ->
 def split_fraction(df: DataFrame, key: str, train: float, data: float, seed: int = 42) -> DataFrame:
     """Train share, of which only the share ``data`` is used; the rest of it is ``unused`` (M3)."""
     ranked, n = _ranked(df, key, seed)
-    a = F.floor(F.col("_n") * train * data)
     b = F.floor(F.col("_n") * train)
+    a = F.floor(b * data)
     part = F.when(F.col("_rank") <= a, "train").when(F.col("_rank") <= b, "unused").otherwise("val")
     return ranked.crossJoin(F.broadcast(n)).withColumn("part", part).drop("_rank", "_n")
 

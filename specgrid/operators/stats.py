@@ -49,20 +49,20 @@ def with_baseline(pred: DataFrame) -> DataFrame:
 
 
 def vs_baseline(pred: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    """Metrics against those of the mean guess, with the gain in percent."""
+    """Metrics against those of the mean guess, with the gain in percent, null if the guess makes no error."""
     e, b = F.col("predicted") - F.col("actual"), F.col("baseline_guess") - F.col("actual")
     out = with_baseline(pred).groupBy(*by).agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(b * b)).alias("base_rmse"), F.avg(F.abs(b)).alias("base_mae")
     )
-    gain = lambda m, base: (1 - F.col(m) / F.col(base)) * 100
+    gain = lambda m, base: (1 - F.try_divide(m, base)) * 100
     return out.withColumns({"rmse_gain": gain("rmse", "base_rmse"), "mae_gain": gain("mae", "base_mae")})
 
 
 def residual_histogram(df: DataFrame, bins: int = 15) -> DataFrame:
-    """Errors in equal bins between least and greatest."""
+    """Errors in equal bins between least and greatest, all in the first if they are equal."""
     e = df.select((F.col("predicted") - F.col("actual")).alias("e"))
     ends = e.agg(F.min("e").alias("lo"), F.max("e").alias("hi"))
-    at = F.least(F.floor((F.col("e") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+    at = F.least(F.floor(F.coalesce(F.try_divide(F.col("e") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     return e.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -221,10 +221,15 @@ def best_epoch(log: DataFrame, by: str = "run") -> DataFrame:
     return log.groupBy(by).agg(top.alias("t")).select(by, "t.*")
 
 
-def eval_epochs(log: DataFrame, n: int, total: int) -> DataFrame:
-    """Rows of the evenly spaced epochs to validate, truncated to whole numbers."""
-    chosen = sorted({int(i * (total - 1) / max(n - 1, 1)) for i in range(n)})
-    return log.where(F.col("epoch").isin(*chosen))
+def eval_epochs(log: DataFrame, epochs: int, steps_per_epoch: int, max_steps: int) -> DataFrame:
+    """Rows of the epochs to validate after (W11): each of ``epochs`` if they hold more than ``max_steps`` steps, else as many spread from 0 to the last one reached."""
+    if steps_per_epoch * epochs > max_steps:
+        chosen = list(range(epochs))
+    else:
+        last = max_steps // steps_per_epoch
+        chosen = [i * last // (epochs - 1) for i in range(epochs)] if epochs > 1 else [0] * epochs
+    return log.where(F.col("epoch").isin(chosen))
+
 
 
 def top_errors(df: DataFrame, n: int, key: str = "id") -> DataFrame:

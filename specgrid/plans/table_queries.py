@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from specgrid.constants import DFC, WORLDCOVER
 from specgrid.functions import geo
 from specgrid.functions import names as nm
-from specgrid.functions.classes import class_dim, class_name, remap_labels
+from specgrid.functions.classes import class_code, class_dim, class_name, remap_labels
 from specgrid.operators import inventory as iv
 from specgrid.operators import mapping as mp
 from specgrid.operators import model as md
@@ -161,9 +161,14 @@ def w9_error_cdf(spark, sf):
     return _r(st.error_cdf(e), 9, "cdf").drop("abs_error")
 
 
-@query("w11_eval_epochs", LOG + "SELECT step, epoch FROM v_log WHERE epoch IN (SELECT CAST(floor(i * (10 - 1) / 3e0) AS BIGINT) FROM range(4) t(i))")
+@query("w11_eval_epochs", LOG + "SELECT step, epoch FROM v_log WHERE epoch IN (0, 3, 6, 10)")
 def w11_eval_epochs(spark, sf):
-    return st.eval_epochs(_log(spark, sf), 4, 10).select("step", "epoch")
+    return st.eval_epochs(_log(spark, sf), 4, 100, 1000).select("step", "epoch")
+
+
+@query("w11_every_epoch", LOG + "SELECT step, epoch FROM v_log WHERE epoch < 4")
+def w11_every_epoch(spark, sf):
+    return st.eval_epochs(_log(spark, sf), 4, 100, 300).select("step", "epoch")
 
 
 @query("w12_best_epoch", LOG + "SELECT run, step, epoch, metric FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric DESC, step) AS rn FROM v_log) WHERE rn = 1")
@@ -332,7 +337,7 @@ def m2_split3(spark, sf):
     return sp.split3(_pred(spark, sf).select("id"), "id", 0.2, 0.2)
 
 
-@query("m3_split_fraction", _RANKED + "SELECT id, CASE WHEN k <= floor(n * 0.8e0 * 0.5e0) THEN 'train' WHEN k <= floor(n * 0.8e0) THEN 'unused' ELSE 'val' END AS part FROM r")
+@query("m3_split_fraction", _RANKED + "SELECT id, CASE WHEN k <= floor(floor(n * 0.8e0) * 0.5e0) THEN 'train' WHEN k <= floor(n * 0.8e0) THEN 'unused' ELSE 'val' END AS part FROM r")
 def m3_split_fraction(spark, sf):
     return sp.split_fraction(_pred(spark, sf).select("id"), "id", 0.8, 0.5)
 
@@ -437,6 +442,7 @@ def s13_pair_labels(spark, sf):
 
 
 _WC = " ".join(f"WHEN {c} THEN {t}" for c, _, t in WORLDCOVER)
+_IDS = " ".join(f"WHEN '{n}' THEN {c}" for c, n, _ in DFC)
 _DF = " ".join(f"WHEN {c} THEN {t}" for c, _, t in DFC)
 _NAMES = " ".join(f"WHEN {c} THEN '{n}'" for c, n, _ in WORLDCOVER)
 _CODE = "CAST(p_size % 11 * 10 AS INT)"
@@ -454,6 +460,13 @@ def p18_class_name(spark, sf):
     return class_name(p, "code", class_dim(spark, WORLDCOVER)).select("p_partkey", "name")
 
 
+@query("p18_class_code", f"SELECT p_partkey, CASE name {_IDS} END AS code FROM (SELECT p_partkey, CASE p_size % 13 {' '.join(f"WHEN {c} THEN '{n}'" for c, n, _ in DFC)} ELSE 'none' END AS name FROM part)")
+def p18_class_code(spark, sf):
+    dim = class_dim(spark, DFC)
+    p = class_name(table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 13).cast("int").alias("size")), "size", dim)
+    return class_code(p.select("p_partkey", F.coalesce("name", F.lit("none")).alias("name")), "name", dim).select("p_partkey", "code")
+
+
 @query("p11_inside_tile", "SELECT o_orderkey, (o_orderkey % 64 > 8 AND o_orderkey % 64 < 56 AND o_custkey % 64 > 8 AND o_custkey % 64 < 56) AS inside FROM orders")
 def p11_inside_tile(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", geo.inside_tile(F.col("o_orderkey") % 64, F.col("o_custkey") % 64, 8).alias("inside"))

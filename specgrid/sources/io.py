@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +62,16 @@ def explode_boxes(df: DataFrame) -> DataFrame:
     return out.select("native_id", side("West").alias("lon_min"), side("South").alias("lat_min"), side("East").alias("lon_max"), side("North").alias("lat_max"))
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a temporary one only on a single machine."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-work-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """One id a line, trimmed, blank lines dropped."""
     return spark.read.text(path).select(F.trim("value").alias("native_id")).where("native_id <> ''")

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import specgrid.plans.file_queries
 import specgrid.plans.geo_queries
 import specgrid.plans.pixel_queries
 import specgrid.plans.table_queries  # noqa: F401
