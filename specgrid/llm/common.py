@@ -168,6 +168,13 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return mix64(out), starts, ends
 
 
+def starts_of(data: bytes) -> np.ndarray:
+    """Bytes at which the words of an encoded text start."""
+    solid = np.zeros(len(data) + 1, dtype=bool)
+    solid[1:] = _SOLID[np.frombuffer(data, dtype=np.uint8)]
+    return np.flatnonzero(solid[1:] & ~solid[:-1])
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words of an encoded text, in order."""
     return words_of(text)[0]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import Scratch, id_filter, in_slices, maybe_in, mix64, released, ship, window_hashes, words_of
+from specgrid.llm.common import Scratch, id_filter, in_slices, maybe_in, mix64, released, ship, starts_of, window_hashes, words_of
 
 #: Words of a wrapped line, and of the shortest passage: windows of 35 lines, 16 + 35 - 1 = 50 words are found for certain.
 LINE, MIN_RUN = 16, 50
@@ -99,17 +99,26 @@ def own_repeats(words: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray
     return own, turns[::2], turns[1::2] - turns[::2] + min_run - 1
 
 
-def contexts(words: np.ndarray, own: np.ndarray, at: np.ndarray, line: int, min_run: int) -> tuple[np.ndarray, ...]:
+def places_before(prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The last place before each one that has the same fingerprint, -1 if there is none."""
+    order = np.lexsort((at, prints))
+    out = np.full(len(at), -1, dtype=np.int64)
+    same = np.flatnonzero(prints[order[1:]] == prints[order[:-1]])
+    out[order[same + 1]] = at[order[same]]
+    return out
+
+
+def contexts(words: np.ndarray, lines: np.ndarray, least: np.ndarray, own: np.ndarray, at: np.ndarray, before: np.ndarray, line: int, min_run: int) -> tuple[np.ndarray, ...]:
     """Of each fingerprint: how many words stand left and right of it, within reach; the least and most words that
     windows with this minimum have before it (least above most if there are only ``own`` ones); and hashes of the
     words on both sides, as many as a window allows."""
     reach = min_run - line
-    lines = window_hashes(words, line)
-    # Of equal minima the leftmost stands for a window.
-    least = np.arange(len(lines) - reach) + np.lib.stride_tricks.sliding_window_view(lines, reach + 1).argmin(axis=1)
+    # Of equal minima the leftmost stands for a window, so windows that begin at or before an equal place are not its own.
     start = at[:, None] - np.arange(reach + 1)
     inside = np.clip(start, 0, len(least) - 1)
-    mine = (start == inside) & (least[inside] == at[:, None]) & ~own[inside]
+    mine = (start == inside) & (start > before[:, None]) & (least[inside] == lines[at][:, None])
+    if own.any():
+        mine &= ~own[inside]
     some = mine.any(axis=1)
     low, high = np.where(some, mine.argmax(axis=1), 1), np.where(some, reach - mine[:, ::-1].argmax(axis=1), 0)
     short = np.concatenate([np.zeros(reach, np.uint32), (words >> np.uint64(32)).astype(np.uint32), np.zeros(reach, np.uint32)])
@@ -127,14 +136,13 @@ def extend(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) ->
     return np.minimum(l, left), np.minimum(r, right)
 
 
-def cut(text: str, starts: np.ndarray, many: np.ndarray) -> tuple[str, list[tuple[int, int]], int]:
-    """Text without ``many[i]`` words from ``starts[i]`` on, the deleted spans in words, and the number of words.
+def cut(data: bytes, starts: np.ndarray, many: np.ndarray) -> tuple[bytes, np.ndarray, int]:
+    """Encoded text without ``many[i]`` words from ``starts[i]`` on, the deleted spans in words, and the number of words.
 
     Negative numbers mean the whole text, spans that do not fit are left out. A
     deleted word takes the white space after it along; other parts stay as they are.
     """
-    data = text.encode()
-    _, begins, _ = words_of(data)
+    begins = starts_of(data)
     n = len(begins)
     many = np.where(many < 0, n, many)
     fit = (many > 0) & (starts + many <= n)
@@ -143,13 +151,12 @@ def cut(text: str, starts: np.ndarray, many: np.ndarray) -> tuple[str, list[tupl
     np.add.at(edge, (starts + many)[fit], -1)
     gone = np.cumsum(edge[:n]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    spans = [(int(a), int(b)) for a, b in zip(turns[::2], turns[1::2], strict=True)]
     bounds, parts, at = np.append(begins, len(data)), [], 0
-    for a, b in spans:
-        parts.append(data[at : bounds[a]])
-        at = int(bounds[b])
+    for a, b in bounds[turns].reshape(-1, 2).tolist():
+        parts.append(data[at:a])
+        at = b
     parts.append(data[at:])
-    return b"".join(parts).decode(), spans, n
+    return b"".join(parts), turns, n
 
 
 def _prints(line: int, min_run: int, min_line: int):
@@ -179,7 +186,13 @@ def _contexts(line: int, min_run: int):
                 points = batch.column("points")[i].values
                 prints, every, leads = (points.field(j).to_numpy(zero_copy_only=False) for j in range(3))
                 words, _, _ = words_of(batch.column("text")[i].as_py().encode())
-                own, starts, many = own_repeats(words, min_run)
+                lines = window_hashes(words, line)
+                least = _slide(lines, min_run - line + 1, np.minimum)
+                before = places_before(prints, every)
+                if (before >= 0).any():
+                    own, starts, many = own_repeats(words, min_run)
+                else:  # no fingerprint occurs twice, so no run does
+                    own, starts, many = np.zeros(len(least), bool), every[:0], every[:0]
                 k, u = batch.column("k")[i].as_py(), batch.column("u")[i].as_py()
                 const = lambda v, n: pa.array(np.full(n, v))
                 if n := len(starts):
@@ -189,7 +202,7 @@ def _contexts(line: int, min_run: int):
                     )
                 for lo in range(0, len(every), 20_000):
                     at = every[lo : lo + 20_000]
-                    *sides, around = contexts(words, own, at, line, min_run)
+                    *sides, around = contexts(words, lines, least, own, at, before[lo : lo + 20_000], line, min_run)
                     part = slice(lo, lo + 20_000)
                     keep = np.flatnonzero((sides[2] <= sides[3]) | leads[part].astype(bool))
                     n, width = len(keep), around.shape[1]
@@ -308,19 +321,23 @@ def drop_repeats(docs: DataFrame, *, line: int = LINE, min_run: int = MIN_RUN, m
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         for batch in batches:
-            texts, deleted, spans, emptied = [], [], [], []
-            for text, starts, many in zip(batch.column(at), batch.column("starts"), batch.column("many"), strict=True):
-                text, gone, n = text.as_py(), [], 0
+            texts, turns, words = [], [], []
+            for text, starts, many in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("starts"), batch.column("many"), strict=True):
+                gone, n = np.empty(0, np.int64), 0
                 if text is not None and starts.is_valid:
                     text, gone, n = cut(text, *(x.values.to_numpy(zero_copy_only=False) for x in (starts, many)))
                 texts.append(text)
-                deleted.append(sum(b - a for a, b in gone))
-                spans.append([{"from": a, "to": b} for a, b in gone])
-                emptied.append(0 < n == deleted[-1])
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(deleted, pa.int64()), pa.array(spans, span), pa.array(emptied, pa.bool_())], [*[f"c{i}" for i in range(len(names))], *added]
-            )
+                turns.append(gone)
+                words.append(n)
+            ends = np.concatenate([[0], np.cumsum([len(x) // 2 for x in turns])])
+            flat = np.concatenate(turns) if turns else np.empty(0, np.int64)
+            sums = np.concatenate([[0], np.cumsum(flat[1::2] - flat[::2])])
+            deleted = sums[ends[1:]] - sums[ends[:-1]]
+            pairs = pa.StructArray.from_arrays([pa.array(flat[::2].astype(np.int32)), pa.array(flat[1::2].astype(np.int32))], ["from", "to"])
+            spans = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs).cast(span)
+            emptied = (deleted > 0) & (deleted == np.array(words, dtype=np.int64))
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(deleted.astype(np.int64)), spans, pa.array(emptied)], [*[f"c{i}" for i in range(len(names))], *added])
 
     flagged = maybe_in(rows.withColumn("r", F.xxhash64("k", "u")), "r", id_filter(cuts, "r", scratch))
     changed = flagged.where("maybe").drop("maybe", "r").join(cuts.drop("r"), ["k", "u"], "left").select(*[f"c{i}" for i in range(len(names))], "starts", "many")
