@@ -65,6 +65,15 @@ class Scratch:
                     path = jvm.org.apache.hadoop.fs.Path(folder)
                     path.getFileSystem(conf).delete(path, True)
 
+    def forget(self) -> None:
+        """Let go of the shuffle files of earlier steps.
+
+        Spark deletes them once the driver has collected the frames they belong to; a
+        driver with memory to spare seldom does, so a long loop would hold those of all rounds.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python."""

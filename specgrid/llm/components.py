@@ -40,7 +40,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, seed: int = 7) -> D
         hooks.append(hook)
         moved = live.join(hook.select(F.col("node").alias("a"), F.col("up").alias("a2")), "a").select("a2", "b")
         moved = moved.join(hook.select(F.col("node").alias("b"), F.col("up").alias("b2")), "b")
-        live = scratch.keep(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "moved")
+        stale, live = live, scratch.keep(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "moved")
+        if len(hooks) > 1:  # the first table is the caller's
+            scratch.drop(stale)
     if not hooks:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = hooks[-1]
@@ -50,4 +52,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, seed: int = 7) -> D
     if len(hooks) > 1:
         roots = scratch.keep(roots, "roots")
     names = roots.groupBy("up").agg(F.min("node").alias("component"))
-    return scratch.keep(roots.join(names, "up").select("node", "component"), "names")
+    out = scratch.keep(roots.join(names, "up").select("node", "component"), "names")
+    scratch.drop(live, roots, *hooks)
+    return out

@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     shared = placed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
     members = scratch.keep(placed.join(scratch.keep(shared, "shared"), "bucket"), "members")
     scratch.drop(placed)
+    scratch.forget()
 
     # One order of anchors for all buckets: who shares buckets with most others comes first, as a text that
     # others were made from is nearer to them than they are to each other.
@@ -198,8 +199,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     foremost = live.groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("id_a"))
     foremost = scratch.keep(foremost, "foremost")
     pairs = members.join(foremost, "bucket").where("id <> id_a").select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct()
-    found = scratch.keep(_confirmed(scratch.keep(pairs, "pairs"), full, percent, scratch), "links")
-    names = connected_components(found, scratch)
+    names = connected_components(_confirmed(scratch.keep(pairs, "pairs"), full, percent, scratch), scratch)
+    scratch.forget()
 
     # What a pair must pass before its sets are compared. Members of buckets stay small rows; this joins them for one step only.
     each = firsts.join(full.select("id", "set_a", "sketch").dropDuplicates(["id", "set_a"]), ["id", "set_a"])
@@ -221,11 +222,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
         left = marked.select("bucket", "band", "id", "set_a", "c", "used").join(each, ["id", "set_a"])
         pairs = left.join(anchors.join(other, ["id_a", "set_a_a"]), (F.col("bucket") == F.col("at")) & meet & first)
         pairs = scratch.keep(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct(), "pairs")
-        found = scratch.keep(_confirmed(pairs, full, percent, scratch), "links")
-        names = _joined(names, found, scratch)
+        names = _joined(names, _confirmed(pairs, full, percent, scratch), scratch)
         # Anchors have met all of their bucket; the rest goes on where it has two components.
         stale, live = live, scratch.keep(_of_many(marked.where("used IS NULL"), names), "live")
         scratch.drop(stale, marked, anchors)
+        scratch.forget()
+    scratch.drop(live, each, full, members, foremost, wanted, firsts)
 
     filled_key = F.col("n_shingles") > 0
     out = signed.select("doc_id", "n_shingles", F.when(filled_key, F.col("set_a")).alias("set_a"), F.when(filled_key, F.col("set_b")).alias("set_b"))
@@ -253,17 +255,22 @@ def _joined(names: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     over = connected_components(upper, scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(names, "node", "left_anti")
     every = names.unionByName(ends.withColumn("component", F.col("node")))
-    return scratch.keep(every.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "names")
+    out = scratch.keep(every.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "names")
+    scratch.drop(upper, over, names)
+    return out
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs whose full sets overlap enough."""
+    """Pairs whose full sets overlap enough, as a written table; that of the pairs goes."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    full = maybe_in(full, "id", id_filter(ids, "id", scratch)).where("maybe")
+    marks = id_filter(ids, "id", scratch)
+    full = maybe_in(full, "id", marks).where("maybe")
     left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     na, nb = F.size("sa"), F.size("sb")
     both = both.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (na + nb - shared)).select("a", "b").distinct()
+    found = scratch.keep(both.where(100 * shared >= percent * (na + nb - shared)).select("a", "b").distinct(), "links")
+    scratch.drop(marks, pairs)
+    return found
