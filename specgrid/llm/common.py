@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and the control characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a few numbers that one task may write as one file.
+FILE_ROWS = 1 << 19
+
 _SHIPPED: set[str] = set()
 _OWN_DIR: list[str] = []
 
@@ -48,9 +51,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` as Parquet and read it back."""
+    def keep(self, df: DataFrame, name: str = "t", most: int | None = None) -> DataFrame:
+        """Write ``df`` as Parquet and read it back.
+
+        Where it is known to have at most ``most`` (small) rows, a file is written for
+        every ``FILE_ROWS`` of these, not one for every shuffle partition.
+        """
         self.n += 1
+        df = df if most is None else df.coalesce(1 + most // FILE_ROWS)
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -100,7 +108,7 @@ def id_filter(ids: DataFrame, col: str, scratch: Scratch) -> DataFrame:
     """Bitmap of hashed ids, as a written table of bounded size that may be broadcast."""
     h = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
     places = ids.select(F.floor(h / _ROW_BITS).cast("int").alias("_row"), (h % _ROW_BITS).alias("_bit"))
-    return scratch.keep(places.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "filter")
+    return scratch.keep(places.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "filter", FILTER_BITS // _ROW_BITS)
 
 
 def maybe_in(df: DataFrame, col: str, marks: DataFrame, name: str = "maybe") -> DataFrame:

@@ -31,16 +31,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, seed: int = 7) -> D
     rnd = random.Random(seed)
     live = edges.select("a", "b").where("a <> b")
     hooks: list[DataFrame] = []
-    while not live.isEmpty():
+    most = 0
+    while n := live.count():
+        most = most or n
         mask = F.lit(rnd.getrandbits(62) if len(hooks) % 2 else 0).cast("long")
         both = live.union(live.select("b", "a"))
         least = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m"))
         up = F.least("m", F.col("a").bitwiseXOR(mask)).bitwiseXOR(mask)
-        hook = scratch.keep(least.select(F.col("a").alias("node"), up.alias("up")), "hook")
+        hook = scratch.keep(least.select(F.col("a").alias("node"), up.alias("up")), "hook", 2 * n)
         hooks.append(hook)
         moved = live.join(hook.select(F.col("node").alias("a"), F.col("up").alias("a2")), "a").select("a2", "b")
         moved = moved.join(hook.select(F.col("node").alias("b"), F.col("up").alias("b2")), "b")
-        stale, live = live, scratch.keep(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "moved")
+        stale, live = live, scratch.keep(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "moved", n)
         if len(hooks) > 1:  # the first table is the caller's
             scratch.drop(stale)
     if not hooks:
@@ -50,8 +52,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, seed: int = 7) -> D
         upper = roots.select(F.col("node").alias("up"), F.col("up").alias("top"))
         roots = hook.join(upper, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
     if len(hooks) > 1:
-        roots = scratch.keep(roots, "roots")
+        roots = scratch.keep(roots, "roots", 2 * most)
     names = roots.groupBy("up").agg(F.min("node").alias("component"))
-    out = scratch.keep(roots.join(names, "up").select("node", "component"), "names")
+    out = scratch.keep(roots.join(names, "up").select("node", "component"), "names", 2 * most)
     scratch.drop(live, roots, *hooks)
     return out

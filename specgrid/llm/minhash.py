@@ -178,9 +178,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     signed = scratch.keep(texts.mapInArrow(_signatures(size, bands, rows), SIGNATURE), "signed")
 
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = scratch.keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "sets")
-    firsts = filled.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id", "set_a"])
-    firsts = scratch.keep(firsts.select(F.col("doc_id").alias("id"), "set_a", "bands"), "firsts")
+    # Equal sets have equal bands.
+    sets = scratch.keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "sets")
+    firsts = sets.select(F.col("rep").alias("id"), "set_a", "bands")
     placed = scratch.keep(firsts.select("id", "set_a", F.posexplode("bands").alias("band", "bucket")), "placed")
     shared = placed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
     members = scratch.keep(placed.join(scratch.keep(shared, "shared"), "bucket"), "members")
@@ -211,27 +211,27 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
     rest = members.join(foremost, "bucket").where("id <> id_a").join(wanted, "id").select("bucket", "band", "id", "set_a", "fame", F.lit(1).alias("spread"))
     live = scratch.keep(_of_many(rest, names), "live")
-    while not live.isEmpty():
+    while n := live.count():
         part = F.when(F.col("n") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.col("spread"))).alias("part")
         order = F.struct("fame", -F.col("id"), "set_a")
         anchors = live.groupBy("bucket", part).agg(F.max_by(F.struct("id", "set_a", "c"), order).alias("x")).select("bucket", "x.*").toDF("at", "id_a", "set_a_a", "c_a")
-        anchors = scratch.keep(anchors, "anchors")
+        anchors = scratch.keep(anchors, "anchors", n)
         # An anchor meets all others of its bucket, and another anchor only if that has the larger id.
         marks = anchors.select(F.col("at").alias("bucket"), F.col("id_a").alias("id"), F.col("set_a_a").alias("set_a"), F.lit(True).alias("used"))
         marked = scratch.keep(live.join(marks, ["bucket", "id", "set_a"], "left"), "marked")
         left = marked.select("bucket", "band", "id", "set_a", "c", "used").join(each, ["id", "set_a"])
         pairs = left.join(anchors.join(other, ["id_a", "set_a_a"]), (F.col("bucket") == F.col("at")) & meet & first)
-        pairs = scratch.keep(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct(), "pairs")
+        pairs = scratch.keep(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")), "pairs")
         names = _joined(names, _confirmed(pairs, full, percent, scratch), scratch)
         # Anchors have met all of their bucket; the rest goes on where it has two components.
-        stale, live = live, scratch.keep(_of_many(marked.where("used IS NULL"), names), "live")
+        stale, live = live, scratch.keep(_of_many(marked.where("used IS NULL"), names), "live", n)
         scratch.drop(stale, marked, anchors)
         scratch.forget()
-    scratch.drop(live, each, full, members, foremost, wanted, firsts)
+    scratch.drop(live, each, full, members, foremost, wanted)
 
     filled_key = F.col("n_shingles") > 0
     out = signed.select("doc_id", "n_shingles", F.when(filled_key, F.col("set_a")).alias("set_a"), F.when(filled_key, F.col("set_b")).alias("set_b"))
-    out = out.join(sets, ["set_a", "set_b"], "left").join(names, F.col("rep") == F.col("node"), "left")
+    out = out.join(sets.drop("bands"), ["set_a", "set_b"], "left").join(names, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
@@ -261,7 +261,9 @@ def _joined(names: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs whose full sets overlap enough, as a written table; that of the pairs goes."""
+    """Pairs whose full sets overlap enough, as a written table that may repeat some; that of the pairs goes."""
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     marks = id_filter(ids, "id", scratch)
     full = maybe_in(full, "id", marks).where("maybe")
@@ -271,6 +273,6 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch
     na, nb = F.size("sa"), F.size("sb")
     both = both.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     shared = F.size(F.array_intersect("sa", "sb"))
-    found = scratch.keep(both.where(100 * shared >= percent * (na + nb - shared)).select("a", "b").distinct(), "links")
+    found = scratch.keep(both.where(100 * shared >= percent * (na + nb - shared)).select("a", "b"), "links")
     scratch.drop(marks, pairs)
     return found
