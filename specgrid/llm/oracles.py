@@ -52,4 +52,42 @@ vote AS (SELECT node, max(CASE own WHEN 'allow' THEN 2 WHEN 'block' THEN 1 END)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN v = 1 THEN 'block' ELSE 'allow' END) AS verdict FROM o LEFT JOIN vote ON vote.node = o.address
 """
 
-ORACLES: dict[str, str] = {"op4_minhash": _OP4, "op5_vectors": _OP5, "op9_chat": _OP9, "op10_urls": _OP10}
+_ROUND = """
+d{i} AS (SELECT v.vec_id, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{i} c USING (pos) GROUP BY ALL),
+a{i} AS (SELECT vec_id, cluster, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1),
+"""
+_MOVE = """
+s{i} AS (SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM v JOIN a{i} USING (vec_id) GROUP BY ALL),
+c{j} AS (SELECT c.cluster, c.pos, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{i} c LEFT JOIN s{i} s ON s.cluster = c.cluster AND s.pos = c.pos),
+"""
+_OP11 = f"""
+WITH k AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (SELECT vec_id, unnest(range(64)) AS pos, CAST(floor(64 * unnest(e)) AS HUGEINT) AS x FROM k),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM k QUALIFY cluster < 16),
+c0 AS (SELECT cluster, pos, x FROM v JOIN f USING (vec_id)),
+{"".join(_ROUND.format(i=i) + (_MOVE.format(i=i, j=i + 1) if i < 3 else "") for i in range(4))}
+t AS (SELECT cluster, sum(d) AS d FROM a3 GROUP BY 1), h AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS h FROM c3 GROUP BY 1)
+SELECT vec_id, CAST(a.cluster AS INT) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(t.d AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM t) AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a3 a JOIN t USING (cluster) JOIN h USING (cluster)
+"""
+
+_OP13 = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) AS t FROM range(256) r(i)),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS k FROM r WHERE length(w) >= 7 GROUP BY ALL),
+b AS (SELECT w, k, list_transform(range(1, strlen(s) + 1), lambda i: CAST(('0x' || hex(s)[2 * i - 1 : 2 * i]) AS BIGINT)) AS b FROM (SELECT w, k, coalesce(doc_id || ':', '') || w AS s FROM u)),
+h AS (SELECT w, k, xor(4294967295, list_reduce(b, lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295)) AS h FROM b, crc),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN w[1 : h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM s WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+g AS (SELECT word, n, unnest(range(length(word))) AS i, length(word) AS l FROM v),
+x AS (SELECT word, n, i, l, word[1 : i] || word[i + 2 :] AS c FROM g),
+e AS (SELECT a.word AS a, b.word AS b, b.n FROM x a JOIN x b ON a.c = b.c AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+ UNION SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = x.c UNION SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = x.c),
+m AS (SELECT a AS word, count(*) AS n_near FROM e GROUP BY 1), t AS (SELECT a AS word, b AS form, n AS form_n FROM e QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1),
+o AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN m USING (word) LEFT JOIN t USING (word)),
+p(word, root, step) AS (SELECT word, word, 0 FROM o UNION ALL SELECT p.word, o.form, step + 1 FROM p JOIN o ON o.word = p.root WHERE o.form IS NOT NULL),
+q AS (SELECT word, max_by(root, step) AS root FROM p GROUP BY 1)
+SELECT o.word, form, root, n, n_near, form_n FROM o JOIN q USING (word)
+"""
+
+ORACLES: dict[str, str] = {"op4_minhash": _OP4, "op5_vectors": _OP5, "op9_chat": _OP9, "op10_urls": _OP10, "op11_centroids": _OP11, "op13_spelling": _OP13}

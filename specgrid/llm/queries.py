@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specgrid.llm.centroids import cluster_vectors
 from specgrid.llm.chat import chat_digests
 from specgrid.llm.common import read_table
 from specgrid.llm.forest import nearest
@@ -15,7 +16,9 @@ from specgrid.llm.html import extract_pages
 from specgrid.llm.linededup import drop_repeats
 from specgrid.llm.minhash import near_duplicates
 from specgrid.llm.mixing import mix
+from specgrid.llm.packing import pack
 from specgrid.llm.pieces import encode_pieces, read_model
+from specgrid.llm.spelling import spelling_forms
 from specgrid.llm.toxicity import Grammar, learn, sampled, score
 from specgrid.llm.urls import judge
 from specgrid.llm.vectors import near_vectors
@@ -92,6 +95,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html, op2_mixing, op3_toxicity, op4_minhash, op5_vectors, op6_forest, op7_linededup, op8_pieces, op9_chat, op10_urls)
+    f.__name__: f for f in (op1_html, op2_mixing, op3_toxicity, op4_minhash, op5_vectors, op6_forest, op7_linededup, op8_pieces, op9_chat, op10_urls, op11_centroids, op12_packing, op13_spelling)
 }
