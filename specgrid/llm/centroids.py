@@ -58,7 +58,8 @@ class Nearest:
         fits = _small(centroids)
         self.plain, self.huge = np.flatnonzero(fits).tolist(), np.flatnonzero(~fits).tolist()
         self.grid = {j: np.array(centroids[j], dtype=np.int64) for j in self.plain}
-        self.to_pivots = np.array([[math.sqrt(exact(c, p)) for p in pivots] for c in centroids]).reshape(len(centroids), -1)
+        root = lambda d: math.sqrt(d) if d.bit_length() < 1000 else math.nan
+        self.to_pivots = np.array([[root(exact(c, p)) for p in pivots] for c in centroids]).reshape(len(centroids), len(pivots))
         self.tried = 0
 
     def bounds(self, held: np.ndarray) -> np.ndarray:
@@ -90,7 +91,7 @@ class Nearest:
                 won = (d < best[rows]) | ((d == best[rows]) & (j < cluster[rows]))
                 best[rows[won]], cluster[rows[won]] = d[won], j
         for j in self.huge:  # far away nearly always: seen in floating point first
-            c = np.array([float(v) for v in self.centroids[j]])
+            c = np.array([float(v) if v.bit_length() < 500 else math.inf for v in self.centroids[j]])
             rough = ((x - c) ** 2).sum(axis=1) * (1 - 1e-9)
             for i in np.flatnonzero(rough <= best):
                 d = exact(x[i].tolist(), self.centroids[j])
