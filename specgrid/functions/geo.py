@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84 ellipsoid and UTM scale.
@@ -25,26 +25,66 @@ def meridian(zone: int) -> float:
     return zone * 6.0 - 183.0
 
 
-def to_utm(lon: Column, lat: Column, zone: int = 34, south: bool = True) -> tuple[Column, Column]:
-    """Easting and northing in metres (G1)."""
+def _conformal(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
+    """Tangent of the conformal latitude and the angle from the zone's meridian."""
     s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - ECC * F.atanh(ECC * s))
-    d = F.radians(lon - meridian(zone))
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    return F.sinh(F.atanh(s) - ECC * F.atanh(ECC * s)), F.radians(lon - meridian(zone))
+
+
+def _sphere(t: Column, d: Column) -> tuple[Column, Column]:
+    return F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+
+
+def _plane(xi: Column, eta: Column, south: bool) -> tuple[Column, Column]:
     x = eta + sum(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
     y = xi + sum(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
     return E0 + RADIUS * x, (1e7 if south else 0.0) + RADIUS * y
 
 
-def from_utm(easting: Column, northing: Column, zone: int = 34, south: bool = True) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees."""
+def to_utm(lon: Column, lat: Column, zone: int = 34, south: bool = True) -> tuple[Column, Column]:
+    """Easting and northing in metres (G1) as two columns; for a whole table ``with_utm`` has the smaller plan."""
+    return _plane(*_sphere(*_conformal(lon, lat, zone)), south)
+
+
+def with_utm(df: DataFrame, lon: str, lat: str, easting: str = "e", northing: str = "n", zone: int = 34, south: bool = True) -> DataFrame:
+    """``df`` with easting and northing (G1).
+
+    The steps of the series are projections of their own, so that each is written
+    and computed once instead of wherever the next one uses it.
+    """
+    steps = dict(zip(("_t", "_d"), _conformal(F.col(lon), F.col(lat), zone), strict=True))
+    out = df.withColumns(steps).withColumns(dict(zip(("_xi", "_eta"), _sphere(F.col("_t"), F.col("_d")), strict=True)))
+    ends = zip((easting, northing), _plane(F.col("_xi"), F.col("_eta"), south), strict=True)
+    return out.withColumns(dict(ends)).drop("_t", "_d", "_xi", "_eta")
+
+
+def _series(easting: Column, northing: Column, south: bool) -> tuple[Column, Column]:
     xi0, eta0 = (northing - (1e7 if south else 0.0)) / RADIUS, (easting - E0) / RADIUS
     xi = xi0 - sum(b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0) for j, b in enumerate(BETA, 1))
     eta = eta0 - sum(b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0) for j, b in enumerate(BETA, 1))
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    phi = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1))
-    lam = F.atan2(F.sinh(eta), F.cos(xi))
-    return meridian(zone) + F.degrees(lam), F.degrees(phi)
+    return xi, eta
+
+
+def _angles(xi: Column, eta: Column) -> tuple[Column, Column]:
+    """Conformal latitude and the angle from the zone's meridian."""
+    return F.asin(F.sin(xi) / F.cosh(eta)), F.atan2(F.sinh(eta), F.cos(xi))
+
+
+def _degrees(chi: Column, lam: Column, zone: int) -> tuple[Column, Column]:
+    return meridian(zone) + F.degrees(lam), F.degrees(chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1)))
+
+
+def from_utm(easting: Column, northing: Column, zone: int = 34, south: bool = True) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees (G2) as two columns; for arrays of points ``points_from_utm`` has the smaller plan."""
+    return _degrees(*_angles(*_series(easting, northing, south)), zone)
+
+
+def points_from_utm(points: Column, zone: int = 34, south: bool = True) -> Column:
+    """Array of (x, y) in metres as (lon, lat); each step of the series is a pass of its own, so that nothing is written out twice."""
+    pair = lambda v, names: F.struct(*[c.alias(n) for c, n in zip(v, names, strict=True)])
+    out = F.transform(points, lambda p: pair(_series(p["x"], p["y"], south), ("xi", "eta")))
+    out = F.transform(out, lambda p: pair(_angles(p["xi"], p["eta"]), ("chi", "lam")))
+    return F.transform(out, lambda p: pair(_degrees(p["chi"], p["lam"], zone), ("lon", "lat")))
 
 
 def pixel_index(easting: Column, northing: Column, origin_x: Column, pixel_w: Column, origin_y: Column, pixel_h: Column) -> tuple[Column, Column]:
@@ -74,13 +114,8 @@ def coord_key(lat: Column, lon: Column, digits: int = 5) -> Column:
 
 def _box(*pixels: tuple[Column, Column]) -> Column:
     """Longitude/latitude box of pixel places of a granule; the series is written once for all of them."""
-    places = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in pixels])
-
-    def lonlat(p: Column) -> Column:
-        lon, lat = from_utm(F.col("origin_x") + p["x"] * F.col("pixel_w"), F.col("origin_y") + p["y"] * F.col("pixel_h"))
-        return F.struct(lon.alias("lon"), lat.alias("lat"))
-
-    points = F.transform(places, lonlat)
+    at = lambda x, y: F.struct((F.col("origin_x") + x * F.col("pixel_w")).alias("x"), (F.col("origin_y") + y * F.col("pixel_h")).alias("y"))
+    points = points_from_utm(F.array(*[at(x.cast("double"), y.cast("double")) for x, y in pixels]))
     lats, lons = F.transform(points, lambda p: p["lat"]), F.transform(points, lambda p: p["lon"])
     return F.struct(F.array_min(lats).alias("lat_min"), F.array_max(lats).alias("lat_max"), F.array_min(lons).alias("lon_min"), F.array_max(lons).alias("lon_max"))
 
@@ -94,3 +129,16 @@ def granule_box(corners: int = 4) -> Column:
 def patch_bounds(x: Column, y: Column, half: int) -> Column:
     """Longitude/latitude box of a pixel window, from its two corners."""
     return _box((x - half, y - half), (x + half, y + half))
+
+
+def _spread_bits(v: Column) -> Column:
+    """The lower 32 bits with a zero bit after each."""
+    v = v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def morton(y: Column, x: Column) -> Column:
+    """Place of a pixel on the Z-order curve: the bits of row and column in turn; a square of side 2^k at a multiple of its side is one range of codes."""
+    return F.shiftleft(_spread_bits(y), 1).bitwiseOR(_spread_bits(x))

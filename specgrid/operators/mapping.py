@@ -8,26 +8,45 @@ from pyspark.sql import functions as F
 from specgrid.functions import geo
 
 
-def range_join(points: DataFrame, boxes: DataFrame, px: str, py: str, box: tuple[str, str, str, str], cell: float) -> DataFrame:
-    """Points in boxes (J1): an equi-join on grid cells, then the exact test.
+def _filed(boxes: DataFrame, box: tuple[str, str, str, str], cell: float) -> DataFrame:
+    """Boxes under ``lv, cx, cy``: level and cells of the grid on which they touch a few cells only."""
+    x0, x1, y0, y1 = (F.col(c).cast("double") for c in box)
+    size = F.greatest(x1 - x0, y1 - y0)
+    whole = F.isnan(size) | (size == float("inf"))  # no cell is as wide: met by all points
+    level = F.when(whole, -1).otherwise(F.greatest(F.ceil(F.log2(size / cell)), F.lit(0))).cast("int")
+    side = cell * F.pow(F.lit(2.0), F.col("lv"))
+    cells = lambda a, b: F.when(F.col("lv") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(a / side), F.floor(b / side)))
+    fits = boxes.where((x0 <= x1) & (y0 <= y1)).withColumn("lv", level)
+    return fits.withColumn("cx", F.explode(cells(x0, x1))).withColumn("cy", F.explode(cells(y0, y1)))
+
 
-    ``box`` names the columns x_min, x_max, y_min, y_max. A box is listed under
-    every cell that it touches and a point under its own one, so a pair is
-    found once. The cells are the join key: sides of any size are shuffled and
-    skewed cells are split; Spark broadcasts a side that is small.
+def range_join(points: DataFrame, boxes: DataFrame, px: str, py: str, box: tuple[str, str, str, str], cell: float) -> DataFrame:
+    """Points in boxes of any size (J1): an equi-join on the cells of a hierarchy of grids, then the exact test.
+
+    ``box`` names the columns x_min, x_max, y_min, y_max, ``cell`` is the side of
+    the smallest cells; those of the next level are twice as wide. A box is filed
+    at the first level whose cells are not smaller than the box, where it touches
+    four cells at most, so one that spans the world costs as much as a small one.
+    A point is listed under its cell of each level that has boxes: their number is
+    bounded by the logarithm of the sizes, and they are one row, found by an
+    aggregate. A pair meets once. The cells are the join key: sides of any size
+    are shuffled and skewed cells are split; Spark broadcasts a side that is small.
+    Rows with a null coordinate or bound, and boxes that end before they start,
+    meet nothing; infinite bounds are met like any other.
     """
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
     x0, x1, y0, y1 = box
-    spread = boxes.withColumn("cx", F.explode(F.sequence(at(x0), at(x1)))).withColumn("cy", F.explode(F.sequence(at(y0), at(y1))))
-    placed = points.withColumns({"cx": at(px), "cy": at(py)})
+    filed = _filed(boxes, box, cell)
+    levels = filed.agg(F.collect_set("lv").alias("levels"))  # one row
+    probes = points.crossJoin(F.broadcast(levels)).withColumn("lv", F.explode("levels")).drop("levels")
+    side = cell * F.pow(F.lit(2.0), F.col("lv"))
+    at = lambda c: F.when(F.col("lv") < 0, F.lit(0).cast("long")).otherwise(F.floor(F.col(c).cast("double") / side))
     inside = F.col(px).between(F.col(x0), F.col(x1)) & F.col(py).between(F.col(y0), F.col(y1))
-    return placed.join(spread, ["cx", "cy"]).where(inside).drop("cx", "cy")
+    return probes.withColumns({"cx": at(px), "cy": at(py)}).join(filed, ["lv", "cx", "cy"]).where(inside).drop("lv", "cx", "cy")
 
 
 def map_sites(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: float = 20_000.0) -> DataFrame:
     """Site-to-pixel join (J2): one row per site and granule whose patch fits, with pixel indices."""
-    e, n = geo.to_utm(F.col("lon"), F.col("lat"))
-    located = sites.withColumns({"e": e, "n": n})
+    located = geo.with_utm(sites, "lon", "lat")
     x1, y1 = F.col("origin_x") + F.col("width") * F.col("pixel_w"), F.col("origin_y") + F.col("height") * F.col("pixel_h")
     boxes = granules.withColumns(
         {"bx0": F.least("origin_x", x1), "bx1": F.greatest("origin_x", x1), "by0": F.least("origin_y", y1), "by1": F.greatest("origin_y", y1)}

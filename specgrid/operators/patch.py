@@ -21,22 +21,84 @@ def downsample(pixels: DataFrame, factor: int, size: int, keys: Sequence[str] =
     return inside.groupBy(*keys, at("y"), at("x")).agg(F.avg(value).alias("value"))
 
 
-def extract_patches(mapping: DataFrame, pixels: DataFrame, before: int, after: int, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
-    """Window ``[y - before, y + after) x [x - before, x + after)`` around each mapped pixel.
+def _block(v: Column, side: int) -> Column:
+    return F.floor(v / side).cast("int")
 
-    Offsets are exploded on the mapping's side, the pixels are met by an
-    equi-join; windows that miss a pixel are dropped.
-    """
-    n = before + after
-    dy, dx = F.explode(F.sequence(F.lit(-before), F.lit(after - 1))), F.explode(F.sequence(F.lit(-before), F.lit(after - 1)))
-    want = mapping.withColumn("dy", dy).withColumn("dx", dx)
-    want = want.withColumns({"y": F.col("y_idx") + F.col("dy"), "x": F.col("x_idx") + F.col("dx")})
-    got = want.join(pixels.select(*keys, "y", "x", "value"), [*keys, "y", "x"])
+
+def window_blocks(mapping: DataFrame, before: int, after: int, side: int) -> DataFrame:
+    """Mapped pixels with each block ``by, bx`` of ``side`` pixels that their window touches: at most four where it is not wider than a block."""
+    span = lambda c: F.sequence(_block(F.col(c) - before, side), _block(F.col(c) + after - 1, side))
+    return mapping.withColumn("by", F.explode(span("y_idx"))).withColumn("bx", F.explode(span("x_idx")))
+
+
+def _windows(met: DataFrame, before: int, after: int, keys: Sequence[str]) -> DataFrame:
+    """Whole windows from pixels that met a site in one of its blocks."""
+    off = {"dy": F.col("y") - F.col("y_idx"), "dx": F.col("x") - F.col("x_idx")}
+    got = met.withColumns(off).where(F.col("dy").between(-before, after - 1) & F.col("dx").between(-before, after - 1))
     cells = F.array_sort(F.collect_list(F.struct("dy", "dx", "value")))
-    out = got.groupBy("site_id", *keys).agg(cells.alias("cells"))
+    out = got.groupBy("site_id", *keys, "y_idx", "x_idx").agg(cells.alias("cells"))
+    n = before + after
     return out.where(F.size("cells") == n * n).select("site_id", *keys, F.transform("cells", lambda c: c["value"]).alias("values"))
 
 
+def extract_patches(mapping: DataFrame, pixels: DataFrame, before: int, after: int, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
+    """Window ``[y - before, y + after) x [x - before, x + after)`` around each mapped pixel (J3, J4), from any table of pixels.
+
+    A window is listed under the blocks, as wide as itself, that it touches, four
+    at most; pixels meet it by an equi-join on their block. Windows that miss a
+    pixel are dropped. For a stored cube ``cube_windows`` reads less.
+    """
+    side = before + after
+    want = window_blocks(mapping, before, after, side)
+    have = pixels.select(*keys, "y", "x", "value", _block(F.col("y"), side).alias("by"), _block(F.col("x"), side).alias("bx"))
+    return _windows(want.join(have, [*keys, "by", "bx"]), before, after, keys)
+
+
+#: Windows up to here may be sent to all executors; their rows are a few numbers each.
+SENT_WINDOWS = 200_000
+#: Ranges of codes that a scan is given.
+CODE_RANGES = 32
+
+
+def code_ranges(codes: Sequence[int], width: int, most: int = CODE_RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that cover ``[c * width, (c + 1) * width)`` of all codes; the smallest gaps are closed first."""
+    cells = sorted(set(codes))
+    gaps = sorted((b - a for a, b in zip(cells, cells[1:], strict=False)), reverse=True)
+    least = max(gaps[most - 1] if len(gaps) >= most else 1, 1)
+    out: list[tuple[int, int]] = []
+    for c in cells:
+        if out and c * width - out[-1][1] < least * width:
+            out[-1] = (out[-1][0], (c + 1) * width)
+        else:
+            out.append((c * width, (c + 1) * width))
+    return out
+
+
+def cube_windows(cube: DataFrame, side: int, mapping: DataFrame, before: int, after: int, keys: Sequence[str] = ("granule_id",)) -> DataFrame:
+    """The windows of ``extract_patches`` from a cube written with blocks of ``side`` pixels.
+
+    Pixels lie in folders of granule and block and, inside, along the Z-order
+    curve. Windows meet them by granule and block, both of them folders: while the
+    windows are few enough to be sent to all executors (counted first), folders
+    without windows are pruned at run time and pixels are not shuffled, only those
+    inside windows are, to put these together. Beyond that both sides are shuffled
+    by block. Within the files, the windows' places of a fine grid, of which an
+    image has a bounded number, become a few ranges of codes, which skip row groups.
+    """
+    want = window_blocks(mapping, before, after, side).where("by >= 0 AND bx >= 0")
+    want = want.withColumn("block", geo.morton(F.col("by"), F.col("bx"))).drop("by", "bx")
+    fine = 1 << max(0, (before + after - 1).bit_length())
+    places = window_blocks(mapping, before, after, fine).where("by >= 0 AND bx >= 0").select(geo.morton(F.col("by"), F.col("bx")).alias("c")).distinct()
+    ranges = code_ranges([r.c for r in places.collect()], fine * fine)  # bounded by the size of an image
+    near = F.lit(False)
+    for lo, hi in ranges:
+        near = near | ((F.col("code") >= lo) & (F.col("code") < hi))
+    if want.limit(SENT_WINDOWS + 1).count() <= SENT_WINDOWS:
+        want = F.broadcast(want)
+    have = cube.where(near).select(*keys, "block", "y", "x", "value")
+    return _windows(have.join(want, [*keys, "block"]), before, after, keys)
+
+
 def pair_pixels(pred: DataFrame, label: DataFrame, keys: Sequence[str], ignore: int = -1) -> DataFrame:
     """Predictions with their labels, invalid labels left out."""
     return pred.join(label.where(F.col("label") != ignore), list(keys))

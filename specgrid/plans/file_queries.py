@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import specgrid.plans.pixel_queries  # noqa: F401
+from specgrid.operators import patch as pt
+from specgrid.plans.pixel_queries import patch_probe, site_pixels
 from specgrid.plans.registry import QUERIES, SQL, query
 from specgrid.plans.views import duck, table, view
 from specgrid.sources import io
@@ -48,7 +49,7 @@ def s9_write_report(spark, sf):
 
 def _cube(spark, sf) -> str:
     path = io.work_dir(spark, "cube")
-    io.write_cube(view(spark, sf, "v_pixels").select((F.col("tile_id") % 8).alias("granule_id"), "tile_id", "y", "x", "value"), path)
+    io.write_cube(view(spark, sf, "v_pixels").select((F.col("tile_id") % 8).alias("granule_id"), "tile_id", "y", "x", "value"), path, side=4)
     return path
 
 
@@ -57,7 +58,14 @@ def s15_write_cube(spark, sf):
     return spark.read.parquet(_cube(spark, sf)).select("granule_id", "tile_id", "y", "x", "value")
 
 
-@query("s2_list_granules", "SELECT CAST(vec_id % 8 AS INT) AS granule_id, CAST(1 AS BIGINT) AS n_files FROM embeddings GROUP BY 1")
+@query("j3_cube_windows", SQL["j3_extract_patches"])
+def j3_cube_windows(spark, sf):
+    cube = spark.read.parquet(_cube(spark, sf))
+    m = site_pixels(spark, sf).withColumn("granule_id", (F.col("tile_id") % 8).cast("int"))
+    return patch_probe(pt.cube_windows(cube, 4, m, 2, 2, ("granule_id", "tile_id")), 4)
+
+
+@query("s2_list_granules", "SELECT CAST(vec_id % 8 AS INT) AS granule_id, CAST(4 AS BIGINT) AS n_files FROM embeddings GROUP BY 1")
 def s2_list_granules(spark, sf):
     files = io.list_granules(spark, [_cube(spark, sf)], ".parquet")
     granule = F.regexp_extract("path", r"granule_id=([0-9]+)/", 1).cast("int").alias("granule_id")

@@ -74,8 +74,8 @@ def map_sites(spark, sf):
 
 @query("g1_to_utm", duck("v_sites", more=_utm_sql("lon", "lat", "v_sites", "site_id")) + "SELECT site_id, round(e, 3) AS easting, round(n, 3) AS northing FROM utm")
 def g1_to_utm(spark, sf):
-    e, n = geo.to_utm(F.col("lon"), F.col("lat"))
-    return view(spark, sf, "v_sites").select("site_id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+    utm = geo.with_utm(view(spark, sf, "v_sites"), "lon", "lat")
+    return utm.select("site_id", F.round("e", 3).alias("easting"), F.round("n", 3).alias("northing"))
 
 
 _LL = _lonlat("origin_x", "origin_y")
@@ -89,8 +89,7 @@ def g2_from_utm(spark, sf):
 
 @query("g3_pixel_index", _MAP_DUCK + "SELECT site_id, granule_id, x_idx, y_idx FROM pairs")
 def g3_pixel_index(spark, sf):
-    e, n = geo.to_utm(F.col("lon"), F.col("lat"))
-    s = view(spark, sf, "v_sites").withColumns({"e": e, "n": n})
+    s = geo.with_utm(view(spark, sf, "v_sites"), "lon", "lat")
     g = view(spark, sf, "v_granules").withColumns({"x1": F.col("origin_x") + F.col("width") * F.col("pixel_w"), "y1": F.col("origin_y") + F.col("height") * F.col("pixel_h")})
     pairs = mp.range_join(s, g, "e", "n", ("origin_x", "x1", "y1", "origin_y"), 20_000.0)
     x, y = geo.pixel_index(F.col("e"), F.col("n"), F.col("origin_x"), F.col("pixel_w"), F.col("origin_y"), F.col("pixel_h"))

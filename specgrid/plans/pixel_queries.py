@@ -298,11 +298,18 @@ ON p.tile_id = m.vec_id AND p.y >= m.vec_id % 8 - {before} AND p.y < m.vec_id %
 
     @query(name, sql)
     def patches(spark, sf):
-        m = table(spark, sf, "embeddings").select(F.col("vec_id").alias("site_id"), F.col("vec_id").alias("tile_id"), (F.col("vec_id") % 8).cast("int").alias("y_idx"), (F.col("vec_id") % 5).cast("int").alias("x_idx"))
-        out = pt.extract_patches(m, view(spark, sf, "v_pixels"), before, after)
-        n = before + after
-        probe = F.aggregate(F.transform("values", lambda v, i: v * (F.floor(i / n) * 10 + i % n + 1)), F.lit(0.0), lambda s, v: s + v)
-        return out.select("site_id", "tile_id", F.round(probe, 6).alias("probe"))
+        return patch_probe(pt.extract_patches(site_pixels(spark, sf), view(spark, sf, "v_pixels"), before, after), before + after)
+
+
+def site_pixels(spark, sf):
+    """A site in each tile, at a pixel that depends on its id."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("site_id"), F.col("vec_id").alias("tile_id"), (F.col("vec_id") % 8).cast("int").alias("y_idx"), (F.col("vec_id") % 5).cast("int").alias("x_idx"))
+
+
+def patch_probe(patches, n):
+    """One number of each patch that depends on all values and their places."""
+    probe = F.aggregate(F.transform("values", lambda v, i: v * (F.floor(i / n) * 10 + i % n + 1)), F.lit(0.0), lambda s, v: s + v)
+    return patches.select("site_id", "tile_id", F.round(probe, 6).alias("probe"))
 
 
 _patches("j3_extract_patches", 2, 2)

@@ -115,12 +115,8 @@ def to_geojson(footprints: DataFrame, digits: int = 6) -> DataFrame:
 
 def rings(footprints: DataFrame, digits: int = 6) -> DataFrame:
     """Rings of (x, y) in metres as rounded (lon, lat)."""
-
-    def one(p):
-        lon, lat = geo.from_utm(p["x"], p["y"])
-        return F.struct(F.round(lon, digits).alias("lon"), F.round(lat, digits).alias("lat"))
-
-    return footprints.withColumn("ring", F.transform("ring", one))
+    rounded = lambda p: F.struct(F.round(p["lon"], digits).alias("lon"), F.round(p["lat"], digits).alias("lat"))
+    return footprints.withColumn("ring", F.transform(geo.points_from_utm(F.col("ring")), rounded))
 
 
 def export_pack(patches: DataFrame, axis: list[float], path: str, h: int, w: int) -> None:
@@ -144,9 +140,20 @@ def explode_locations(df: DataFrame) -> DataFrame:
     return df.select("class", F.posexplode("locations").alias("ord", "p")).select("class", "ord", "p.*")
 
 
-def write_cube(pixels: DataFrame, path: str) -> None:
-    """Pixels by granule, sorted by row and column, so that windows read few row groups."""
-    pixels.repartition("granule_id").sortWithinPartitions("granule_id", "y", "x").write.mode("overwrite").partitionBy("granule_id").option("compression", "zstd").parquet(path)
+def write_cube(pixels: DataFrame, path: str, side: int = 256) -> None:
+    """Pixels in folders of granule and block, along the Z-order curve inside.
+
+    ``side``, a power of two, is the width of a block in pixels; ``block`` is the
+    block's own place on the curve and ``code`` the pixel's, so that row groups
+    hold squares and windows touch few of them. Blocks are written apart, however
+    large a granule is.
+    """
+    if side < 1 or side & (side - 1):
+        raise ValueError("side must be a power of two")
+    at = lambda c: F.floor(F.col(c) / side)
+    placed = pixels.withColumns({"code": geo.morton(F.col("y"), F.col("x")), "block": geo.morton(at("y"), at("x"))})
+    dealt = placed.repartition("granule_id", "block").sortWithinPartitions("granule_id", "block", "code")
+    dealt.write.mode("overwrite").partitionBy("granule_id", "block").option("compression", "zstd").parquet(path)
 
 
 def describe_source(df: DataFrame, spectrum: str) -> DataFrame:
