@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specgrid.operators.stats import global_rank
+from specgrid.operators.order import global_rank
 
 
 def pending(inventory: DataFrame, *stores: DataFrame, key: str = "native_id") -> DataFrame:

@@ -7,38 +7,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgrid.operators.inventory import seeded
-from specgrid.operators.stats import global_rank
+from specgrid.operators.order import global_rank
 
 
-def _ranked(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    digest = df.withColumn("_md5", seeded(F.col(key), seed))
-    number = F.conv(F.substring("_md5", 1, 12), 16, 10).cast("double")
-    return global_rank(digest, "_md5", key, name="_rank", key=number).drop("_md5"), df.agg(F.count(F.lit(1)).alias("_n"))
+def _ranked(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with the rank of each row's seeded digest and the number of rows."""
+    return global_rank(df.withColumn("_md5", seeded(F.col(key), seed)), "_md5", key, name="_rank", total="_n").drop("_md5")
 
 
 def split(df: DataFrame, key: str, test_size: float, seed: int = 42) -> DataFrame:
     """Hold-out split of exactly ``ceil(n * test_size)`` validation rows, the same in every run (M1)."""
-    ranked, n = _ranked(df, key, seed)
+    ranked = _ranked(df, key, seed)
     held = F.col("_rank") <= F.ceil(F.col("_n") * test_size)
-    return ranked.crossJoin(F.broadcast(n)).withColumn("part", F.when(held, "val").otherwise("train")).drop("_rank", "_n")
+    return ranked.withColumn("part", F.when(held, "val").otherwise("train")).drop("_rank", "_n")
 
 
 def split3(df: DataFrame, key: str, val: float, test: float, seed: int = 42) -> DataFrame:
     """Three parts by two cuts of one order (M2)."""
-    ranked, n = _ranked(df, key, seed)
+    ranked = _ranked(df, key, seed)
     a = F.ceil(F.col("_n") * test)
     b = a + F.ceil(F.col("_n") * val)
     part = F.when(F.col("_rank") <= a, "test").when(F.col("_rank") <= b, "val").otherwise("train")
-    return ranked.crossJoin(F.broadcast(n)).withColumn("part", part).drop("_rank", "_n")
+    return ranked.withColumn("part", part).drop("_rank", "_n")
 
 
 def split_fraction(df: DataFrame, key: str, train: float, data: float, seed: int = 42) -> DataFrame:
     """Train share, of which only the share ``data`` is used; the rest of it is ``unused`` (M3)."""
-    ranked, n = _ranked(df, key, seed)
+    ranked = _ranked(df, key, seed)
     b = F.floor(F.col("_n") * train)
     a = F.floor(b * data)
     part = F.when(F.col("_rank") <= a, "train").when(F.col("_rank") <= b, "unused").otherwise("val")
-    return ranked.crossJoin(F.broadcast(n)).withColumn("part", part).drop("_rank", "_n")
+    return ranked.withColumn("part", part).drop("_rank", "_n")
 
 
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:

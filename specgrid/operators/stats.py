@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specgrid.operators.order import SKETCH, bracket_shares, global_rank, quantiles
+
 
 def band_stats(cells: DataFrame, valid: str = "all", floor: float = 1e-6) -> DataFrame:
     """Mean and population deviation by band from sums (A1, M10 when grouped)."""
@@ -94,11 +96,21 @@ def class_accuracy(df: DataFrame, label: str, predicted: str, ignore: int | None
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of a column."""
-    q = F.percentile(col, [0.25, 0.5, 0.75])
-    return df.agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(col).alias("max")
-    )
+    """Count, mean, deviation, extremes and exact quartiles of a column.
+
+    One pass takes the aggregates and a sketch, a second one counts what lies
+    around the quartiles; the third reads only that.
+    """
+    shares = [0.25, 0.5, 0.75]
+    told = df.agg(
+        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"),
+        F.percentile_approx(F.col(col).cast("double"), bracket_shares(shares), SKETCH).alias("sketch"),
+    ).first()
+    quartiles = dict(zip(("q25", "q50", "q75"), quantiles(df, col, shares, told.n, told.sketch), strict=True))
+    kind = dict(df.dtypes)[col]
+    values = {"n": F.lit(told.n), "mean": F.lit(told["mean"]).cast("double"), "std": F.lit(told.std).cast("double"), "min": F.lit(told["min"]).cast(kind)}
+    values |= {k: F.lit(v).cast("double") for k, v in quartiles.items()} | {"max": F.lit(told["max"]).cast(kind)}
+    return df.sparkSession.range(1).select(*[v.alias(k) for k, v in values.items()])
 
 
 def split_counts(df: DataFrame, group: str, split: str) -> DataFrame:
@@ -125,69 +137,10 @@ def leak_classes(df: DataFrame, flag: str) -> DataFrame:
     return out.withColumn("class", F.when(F.col("g") == 1, "combined").otherwise(F.col(flag))).drop("g", flag)
 
 
-def _dealt(df: DataFrame, order: Sequence[str], key: Column | None, parts: int) -> DataFrame:
-    """``df`` with its bucket ``_part``, which rises with the order."""
-    if key is None:
-        place, cuts = F.struct(*[F.col(c) for c in order]), _cuts(df, order, parts)
-    else:
-        place = key.cast("double")
-        found = df.agg(F.percentile_approx(place, [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000).alias("q")).first().q or []
-        cuts = [F.lit(c) for c in sorted(set(found))]
-    return df.withColumn("_part", F.size(F.filter(F.array(*cuts), lambda c: c < place)) if cuts else F.lit(0))
-
-
-def global_rank(df: DataFrame, *order: str, name: str = "rank", key: Column | None = None, parts: int | None = None) -> DataFrame:
-    """1, 2, ... in the order of ``order`` (distinct together), without a sort in one task.
-
-    Rows go to buckets between approximate quantiles of ``key`` (a number that
-    rises with the order and has few ties) or else between sampled cuts of all
-    order columns together, so that ties of the first column are split by the
-    next; they are numbered inside their bucket, and shifted by the rows of the
-    buckets before. Only the cuts and one count a bucket are small tables.
-    """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _dealt(df, order, key, parts)
-    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = F.broadcast(counts.select("_part", before.alias("_before")))  # one row a bucket
-    return local.join(shift, "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
-
-
-def _cuts(df: DataFrame, order: Sequence[str], parts: int) -> list[Column]:
-    """At most ``parts - 1`` rising values of all order columns together, from a sample of about 100 rows a part."""
-    n = df.count()
-    picked = df.select(*order).sample(min(1.0, 100 * parts / max(n, 1)), seed=42)
-    rows = picked.orderBy(*order).collect()  # nulls first, as in the comparison of structs
-    kinds = [df.schema[c].dataType for c in order]
-    cuts = dict.fromkeys(tuple(rows[len(rows) * i // parts]) for i in range(1, parts)) if rows else {}
-    return [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(row, kinds, order, strict=True)]) for row in cuts]
-
-
-def rank_within(df: DataFrame, group: str, *order: str, name: str = "rank") -> DataFrame:
-    """1, 2, ... in each group in the order of ``order``, though a group may hold most of the rows.
-
-    Buckets lie between cuts of group and order together, so a large group spans
-    many of them; numbers inside a bucket are shifted by the group's rows in the
-    buckets before. One row a bucket and group is counted beside the data.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cuts(df, [group, *order], parts)
-    place = F.struct(F.col(group), *[F.col(c) for c in order])
-    dealt = df.withColumn("_part", F.size(F.filter(F.array(*cuts), lambda c: c < place)) if cuts else F.lit(0))
-    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)))
-    counts = dealt.groupBy("_part", F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
-    past = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(F.col("_part").alias("_at"), "_group", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))
-    out = local.join(shift, (F.col("_part") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
-    return out.withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_at", "_group", "_before")
-
-
 def error_cdf(df: DataFrame, key: str = "id") -> DataFrame:
     """Sorted absolute errors with their rank over the number of rows."""
     e = df.select(key, F.abs(F.col("predicted") - F.col("actual")).alias("abs_error"))
-    n = e.agg(F.count(F.lit(1)).alias("n"))
-    return global_rank(e, "abs_error", key).crossJoin(F.broadcast(n)).select(key, "abs_error", (F.col("rank") / F.col("n")).alias("cdf"))
+    return global_rank(e, "abs_error", key, total="n").select(key, "abs_error", (F.col("rank") / F.col("n")).alias("cdf"))
 
 
 def epoch_means(log: DataFrame) -> DataFrame:
@@ -231,7 +184,6 @@ def eval_epochs(log: DataFrame, epochs: int, steps_per_epoch: int, max_steps: in
     return log.where(F.col("epoch").isin(chosen))
 
 
-
 def top_errors(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     """Rows with the largest absolute errors."""
     e = F.abs(F.col("predicted") - F.col("actual"))

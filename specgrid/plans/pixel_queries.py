@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from specgrid.constants import GAPS_NM, linspace
 from specgrid.functions import spectral as sx
 from specgrid.operators import model as md
+from specgrid.operators import order as od
 from specgrid.operators import patch as pt
 from specgrid.operators import stats as st
 from specgrid.plans.registry import query
@@ -393,7 +394,7 @@ def j10_nearest_block(spark, sf):
 @query("s14_pixel_locations", PIX + "SELECT label AS class, CAST(row_number() OVER (PARTITION BY label ORDER BY tile_id, y, x) - 1 AS INT) AS ord, tile_id, y, x FROM v_pixels WHERE value > 0.2e0")
 def s14_pixel_locations(spark, sf):
     p = view(spark, sf, "v_pixels").where("value > 0.2").select(F.col("label").alias("class"), "tile_id", "y", "x")
-    ranked = st.rank_within(p, "class", "tile_id", "y", "x")
+    ranked = od.rank_within(p, "class", "tile_id", "y", "x")
     return ranked.select("class", (F.col("rank") - 1).cast("int").alias("ord"), "tile_id", "y", "x")
 
 

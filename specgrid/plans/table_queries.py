@@ -11,6 +11,7 @@ from specgrid.functions.classes import class_code, class_dim, class_name, remap_
 from specgrid.operators import inventory as iv
 from specgrid.operators import mapping as mp
 from specgrid.operators import model as md
+from specgrid.operators import order as od
 from specgrid.operators import split as sp
 from specgrid.operators import stats as st
 from specgrid.plans.registry import query
@@ -152,7 +153,7 @@ def w7_trailing_mean(spark, sf):
 
 @query("w8_global_rank", PRED + "SELECT id, row_number() OVER (ORDER BY actual, id) AS rank FROM v_pred")
 def w8_global_rank(spark, sf):
-    return st.global_rank(_pred(spark, sf).select("id", "actual"), "actual", "id").select("id", "rank")
+    return od.global_rank(_pred(spark, sf).select("id", "actual"), "actual", "id").select("id", "rank")
 
 
 @query("w9_error_cdf", PRED + "SELECT id, round(row_number() OVER (ORDER BY round(abs(predicted - actual), 6), id) / (SELECT count(*) FROM v_pred), 9) AS cdf FROM v_pred")
@@ -227,10 +228,10 @@ def j6_boundary_actions(spark, sf):
     return iv.boundary_actions(a, b, inv.where("native_id % 3 = 0"))
 
 
-@query("j12_batch_ids", "SELECT batch, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM (SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS BIGINT) AS batch FROM orders) GROUP BY 1")
+@query("j12_batch_ids", "SELECT batch, count(*) AS n, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS ids FROM (SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS BIGINT) AS batch FROM orders) GROUP BY 1")
 def j12_batch_ids(spark, sf):
     out = iv.batch_ids(table(spark, sf, "orders"), "o_orderkey", 50)
-    return out.select("batch", "n", F.array_min("ids").alias("lo"), F.array_max("ids").alias("hi"))
+    return out.select("batch", "n", F.array_join("ids", ",").alias("ids"))
 
 
 @query("l4_incremental_batch", f"WITH {_IDS}, r AS (SELECT DISTINCT native_id FROM inv WHERE native_id NOT IN (SELECT * FROM s1)) SELECT native_id, greatest((SELECT count(*) FROM r) - 25, 0) AS remaining FROM r ORDER BY 1 LIMIT 25")

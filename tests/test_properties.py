@@ -9,7 +9,7 @@ from specgrid import constants
 from specgrid.functions import geo
 from specgrid.functions import spectral as sx
 from specgrid.functions.classes import remap_labels
-from specgrid.operators import mapping, patch, split, stats
+from specgrid.operators import mapping, order, patch, split, stats
 from specgrid.plans import pixel_queries  # noqa: F401
 from specgrid.plans.registry import QUERIES
 from specgrid.plans.views import view
@@ -66,7 +66,7 @@ def test_published_metrics(spark):
 def test_empty_tables(spark, data):
     pred = view(spark, data, "v_pred").where("false")
     assert stats.regression_metrics(pred, ["split"]).count() == 0
-    assert stats.global_rank(pred, "actual", "id").count() == 0
+    assert order.global_rank(pred, "actual", "id").count() == 0
     assert mapping.map_sites(view(spark, data, "v_sites").where("false"), view(spark, data, "v_granules")).count() == 0
 
 
@@ -160,12 +160,11 @@ def test_sincos_whole(spark, data):
 def test_rank_within_large_group(spark):
     rows = [("big" if i % 10 else None if i % 20 else "small", i * 7919 % 3001, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, a int, b long")
-    got = {(r.g, r.a, r.b): r.n for r in stats.rank_within(df, "g", "a", "b", name="n").collect()}
+    got = {(r.g, r.a, r.b): r.n for r in order.rank_within(df, "g", "a", "b", name="n").collect()}
     assert len(got) == 3000
     for g in ("big", "small", None):
         assert [got[k] for k in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])] == list(range(1, sum(r[0] == g for r in rows) + 1))
-    assert len(stats._cuts(df, ["g", "a", "b"], 4)) == 3
-    assert stats.rank_within(df.where("false"), "g", "a", "b").count() == 0
+    assert order.rank_within(df.where("false"), "g", "a", "b").count() == 0
 
 
 def test_pixel_locations_build_no_lists(spark, data, capsys):
@@ -181,9 +180,9 @@ def test_explode_locations(spark):
 def test_global_rank_splits_ties(spark):
     rows = [(1.0 if i % 3 else 2.0, i * 7919 % 3001) for i in range(3000)] + [(None, 5), (float("nan"), 1)]
     df = spark.createDataFrame(rows, "a double, b long")
-    plan = stats.global_rank(df, "a", "b", parts=8)
+    plan = order.global_rank(df, "a", "b", parts=8)
     got = {(repr(r.a), r.b): r["rank"] for r in plan.collect()}
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] != r[0], r[0] or 0, r[1]))
-    assert [got[repr(a), b] for a, b in order] == list(range(1, 3003))
-    sizes = [r["count"] for r in stats._dealt(df, ["a", "b"], None, 8).groupBy("_part").count().collect()]
+    right = sorted(rows, key=lambda r: (r[0] is not None, r[0] != r[0], r[0] or 0, r[1]))
+    assert [got[repr(a), b] for a, b in right] == list(range(1, 3003))
+    sizes = [r["count"] for r in order.ranged(df, "a", "b", parts=8).groupBy("_part").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1000
