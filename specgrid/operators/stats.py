@@ -10,14 +10,34 @@ from pyspark.sql import functions as F
 from specgrid.operators.order import SKETCH, bracket_shares, global_rank, quantiles
 
 
+def moments(df: DataFrame, value: str = "value", by: Sequence[str] = ("band",)) -> DataFrame:
+    """``n``, ``mean`` and ``m2`` (squares about the mean) of each group, on a table or a stream (T5).
+
+    Spark keeps and merges just these, so nothing cancels however far from zero
+    the values lie; ``merge_moments`` puts results of several tables together.
+    """
+    v = F.col(value).cast("double")
+    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+
+
+def merge_moments(parts: DataFrame, by: Sequence[str] = ("band",)) -> DataFrame:
+    """Moments of all rows from those of parts of them: the squares within the parts and, by size, of their means about the whole mean."""
+    whole = parts.groupBy(*by).agg(F.sum("n").alias("all_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all_mean"))
+    off = F.col("mean") - F.col("all_mean")
+    both = parts.where("n > 0").join(whole, list(by))
+    return both.groupBy(*by, "all_n", "all_mean").agg(F.sum(F.col("m2") + F.col("n") * off * off).alias("m2")).select(*by, F.col("all_n").alias("n"), F.col("all_mean").alias("mean"), "m2")
+
+
+def deviations(told: DataFrame, floor: float = 1e-6) -> DataFrame:
+    """Moments with ``m2`` turned into the population deviation, at least ``floor``."""
+    return told.withColumn("std", F.greatest(F.sqrt(F.col("m2") / F.col("n")), F.lit(floor))).drop("m2")
+
+
 def band_stats(cells: DataFrame, valid: str = "all", floor: float = 1e-6) -> DataFrame:
-    """Mean and population deviation by band from sums (A1, M10 when grouped)."""
+    """Mean and population deviation by band (A1, M10 when grouped)."""
     if valid == "positive":
         cells = cells.where("value > 0")
-    sums = cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    mean = F.col("s") / F.col("n")
-    var = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))
-    return sums.select("band", "n", mean.alias("mean"), F.greatest(F.sqrt(var), F.lit(floor)).alias("std"))
+    return deviations(moments(cells), floor)
 
 
 def band_max(cells: DataFrame) -> DataFrame:

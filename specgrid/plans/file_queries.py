@@ -29,15 +29,15 @@ def s6_write_inventory(spark, sf):
 
 @query("s7_mapping_cache", duck("v_sites") + "SELECT site_id, lat, lon FROM v_sites")
 def s7_mapping_cache(spark, sf):
-    path = io.work_dir(spark, "mapping")
-    build = lambda: view(spark, sf, "v_sites").select("site_id", "lat", "lon")
-    io.cached(spark, build, path)
-    return io.cached(spark, lambda: build().where("false"), path)  # the second call reads what the first stored
+    path, sites = io.work_dir(spark, "mapping"), view(spark, sf, "v_sites")
+    build = lambda: sites.select("site_id", "lat", "lon")
+    io.cached(spark, build, path, inputs=[sites], params={"patch": 16})
+    return io.cached(spark, lambda: build().where("false"), path, inputs=[sites], params={"patch": 16})  # reads what the first one stored
 
 
 @query("s8_band_stats_cache", SQL["a1_band_stats"])
 def s8_band_stats_cache(spark, sf):
-    return io.cached(spark, lambda: QUERIES["a1_band_stats"](spark, sf), io.work_dir(spark, "band-stats"))
+    return io.cached(spark, lambda: QUERIES["a1_band_stats"](spark, sf), io.work_dir(spark, "band-stats"), inputs=[table(spark, sf, "embeddings")])
 
 
 @query("s9_write_report", duck("v_pred") + "SELECT id, split, actual, predicted FROM v_pred")
@@ -78,4 +78,4 @@ def t1_ingest(spark, sf):
     for line in (1, 2):  # the second batch of files brings ids that are stored already
         table(spark, sf, "lineitem").where(f"l_linenumber % 2 = {line - 1}").select(F.col("l_orderkey").alias("granule_id")).write.mode("append").parquet(src)
         ingest_stream(spark, src, "granule_id long", dst, at).awaitTermination()
-    return spark.read.schema("granule_id long").parquet(dst)
+    return spark.read.schema("granule_id long").parquet(dst).select("granule_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,16 +84,59 @@ def write_inventory(df: DataFrame, path: str) -> None:
     df.select("native_id").distinct().orderBy("native_id").write.mode("overwrite").text(path)
 
 
-def cached(spark: SparkSession, build: Callable[[], DataFrame], path: str, refresh: bool = False) -> DataFrame:
-    """Stored result if there is one, else build and store it."""
-    if not refresh:
-        try:
-            return spark.read.parquet(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def _at(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it knows it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def listing(spark: SparkSession, path: str, holding: str) -> list[str]:
+    """Folders right under ``path`` that hold a file of that name."""
+    fs, where = _at(spark, path)
+    if not fs.exists(where):
+        return []
+    return [s.getPath().toString() for s in fs.listStatus(where) if s.isDirectory() and fs.exists(_at(spark, f"{s.getPath().toString()}/{holding}")[1])]
+
+
+def fingerprint(spark: SparkSession, inputs: Sequence[DataFrame] = (), params: Mapping[str, object] | None = None) -> str:
+    """Digest of the files that ``inputs`` read, with sizes and times, and of the parameters; rows that come from no file must be told by these."""
+    told = []
+    for folder in sorted({f.rpartition("/")[0] for df in inputs for f in df.inputFiles()}):
+        fs, where = _at(spark, folder)
+        told += [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(where)]
+    text = json.dumps([sorted(told), params or {}], sort_keys=True, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def cached(
+    spark: SparkSession, build: Callable[[], DataFrame], path: str, refresh: bool = False, inputs: Sequence[DataFrame] = (), params: Mapping[str, object] | None = None
+) -> DataFrame:
+    """Stored result of these inputs and parameters if there is one, else build and store it.
+
+    A result is written to a folder of its own; only when that is whole does a
+    marker, named by the fingerprint of the inputs and moved into place at once,
+    point to it. A write that was cut off has no marker and is never read, and a
+    changed input has another one. Several writers may build the same result; the
+    last marker counts. ``refresh`` builds anew.
+    """
+    key = fingerprint(spark, inputs, params)
+    marker = f"{path}/{key}.ok"
+    fs, at = _at(spark, marker)
+    if refresh or not fs.exists(at):
+        data = f"{key}-{uuid.uuid4().hex}"
+        build().write.parquet(f"{path}/{data}")
+        aside = _at(spark, f"{path}/_{data}")[1]
+        out = fs.create(aside)
+        out.write(bytearray(data.encode()))
+        out.close()
+        fs.delete(at, False)
+        fs.rename(aside, at)
+    return spark.read.parquet(f"{path}/{spark.read.text(marker).first()[0]}")
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,24 +10,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from specgrid.sources.io import exists, listing
 
-def ingest_stream(spark: SparkSession, src: str, schema: str, dst: str, checkpoint: str, key: str = "granule_id"):
-    """Every new granule once (T1): files seen before are skipped by the source, ids stored before by an anti-join."""
 
-    def store(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates([key])
-        try:
-            new = new.join(spark.read.parquet(dst).select(key), key, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("append").parquet(dst)
+def ingest_stream(spark: SparkSession, src: str, schema: str, dst: str, checkpoint: str, key: str = "granule_id"):
+    """Every new granule once (T1): files seen before are skipped by the source, ids stored before by an anti-join.
+
+    A batch has a folder of its own under the stream's id, written over when the
+    batch runs again after a failure; ids are compared with those of other batches
+    only, so a batch that was written but not committed comes out the same. Rows
+    without an id are left out.
+    """
+    stream: list[str] = []
+
+    def store(batch: DataFrame, number: int) -> None:
+        if not stream:
+            stream.append(json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"])
+        new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if exists(spark, dst):
+            others = spark.read.schema(f"{schema}, stream string, batch long").parquet(dst).where((F.col("stream") != stream[0]) | (F.col("batch") < number))
+            new = new.join(others.select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{dst}/stream={stream[0]}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(src).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_stream(df: DataFrame, dst: str, checkpoint: str):
+    """Rows of a stream as files, each exactly once."""
+    return df.writeStream.format("parquet").outputMode("append").option("path", dst).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_stream(df: DataFrame, dst: str, checkpoint: str):
+    """The whole result of a streaming aggregate after each batch; a batch that runs again writes the same folder again.
+
+    ``read_latest`` reads the last whole one.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{dst}/batch={number}")
+
+    return df.writeStream.foreachBatch(store).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, dst: str, schema: str) -> DataFrame:
+    """Result after the last batch that ``latest_stream`` has written whole; no rows before the first."""
+    done = listing(spark, dst, "_SUCCESS")
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{dst}/batch={max(int(f.rpartition('=')[2]) for f in done)}")
+
+
 def throughput(events: DataFrame, delay: str = "10 seconds", width: str = "2 seconds") -> DataFrame:
-    """Bytes of each worker in tumbling windows (T2); the same on a stream and on a table."""
+    """Bytes of each worker in tumbling windows (T2), on a table or a stream.
+
+    A stream counts a row unless its window ended at or before the latest time of
+    all earlier batches less ``delay``; in append mode a window comes out, once,
+    when the latest time less ``delay`` has reached its end.
+    """
     if events.isStreaming:
         events = events.withWatermark("ts", delay)
     out = events.groupBy(F.window("ts", width).alias("w"), "worker").agg(F.sum("bytes").alias("total_bytes"), F.count(F.lit(1)).alias("n"))
@@ -39,7 +79,7 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def band_stats(cells: DataFrame) -> DataFrame:
-    """Mergeable sums by band (T5); a stream keeps them up to date in complete mode."""
+    """Sums by band (T5)."""
     return cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
 
 
@@ -71,7 +111,11 @@ class EarlyStop(StatefulProcessor):
 
 
 def early_stop_stream(log: DataFrame, patience: int) -> DataFrame:
-    """Running best and early stop of each run as rows arrive."""
+    """Running best and early stop of each run as rows arrive (T3), every row once.
+
+    A row whose step is not after the last one of its run in earlier batches is
+    late and left out, so are rows after the stop. Needs the RocksDB state store.
+    """
     return log.groupBy("run").transformWithStateInPandas(
-        EarlyStop(patience), outputStructType="run long, step long, metric double, best double, is_best boolean, since int", outputMode="Update", timeMode="None"
+        EarlyStop(patience), outputStructType="run long, step long, metric double, best double, is_best boolean, since int", outputMode="Append", timeMode="None"
     )

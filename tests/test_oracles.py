@@ -6,6 +6,7 @@ import pytest
 import specgrid.plans.file_queries
 import specgrid.plans.geo_queries
 import specgrid.plans.pixel_queries
+import specgrid.plans.stream_queries
 import specgrid.plans.table_queries  # noqa: F401
 from specgrid.plans.registry import QUERIES, SQL
 
