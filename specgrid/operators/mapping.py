@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specgrid.functions import geo
+from specgrid.operators.order import global_rank
+from specgrid.sources.io import work_dir
 
 
 def _filed(boxes: DataFrame, box: tuple[str, str, str, str], cell: float) -> DataFrame:
@@ -28,16 +32,15 @@ def range_join(points: DataFrame, boxes: DataFrame, px: str, py: str, box: tuple
     at the first level whose cells are not smaller than the box, where it touches
     four cells at most, so one that spans the world costs as much as a small one.
     A point is listed under its cell of each level that has boxes: their number is
-    bounded by the logarithm of the sizes, and they are one row, found by an
-    aggregate. A pair meets once. The cells are the join key: sides of any size
+    bounded by the logarithm of the sizes, and an aggregate finds them as one
+    value. A pair meets once. The cells are the join key: sides of any size
     are shuffled and skewed cells are split; Spark broadcasts a side that is small.
     Rows with a null coordinate or bound, and boxes that end before they start,
     meet nothing; infinite bounds are met like any other.
     """
     x0, x1, y0, y1 = box
     filed = _filed(boxes, box, cell)
-    levels = filed.agg(F.collect_set("lv").alias("levels"))  # one row
-    probes = points.crossJoin(F.broadcast(levels)).withColumn("lv", F.explode("levels")).drop("levels")
+    probes = points.withColumn("lv", F.explode(filed.agg(F.collect_set("lv")).scalar()))
     side = cell * F.pow(F.lit(2.0), F.col("lv"))
     at = lambda c: F.when(F.col("lv") < 0, F.lit(0).cast("long")).otherwise(F.floor(F.col(c).cast("double") / side))
     inside = F.col(px).between(F.col(x0), F.col(x1)) & F.col(py).between(F.col(y0), F.col(y1))
@@ -99,17 +102,49 @@ def rank_flightlines(matches: DataFrame, n: int) -> DataFrame:
     return ranked.join(new, "rank", "left").select("rank", "flightline", "n_sites", F.coalesce("new_sites", F.lit(0)).alias("new_sites"))
 
 
-def greedy_cover(matches: DataFrame, n: int) -> DataFrame:
-    """Greedy cover: at each step the flightline with most sites not yet covered; ``n`` small jobs."""
-    left = matches.select("flightline", "site_id").distinct()
-    chosen = []
+def greedy_cover(matches: DataFrame, n: int, ahead: int = 16) -> DataFrame:
+    """Greedy cover: at each step the flightline with most sites not yet covered, the smaller one on ties.
+
+    Sites are numbered and each flightline becomes bitmaps of them, written once;
+    every job reads those, so plans don't grow with the steps. What a flightline
+    would add can only shrink, so its last known gain bounds it: the driver keeps
+    one number a flightline in a queue, and a step counts anew only the ``ahead``
+    best of those whose number is old, until the best number is a new one.
+    """
+    spark = matches.sparkSession
+    lines = matches.select("flightline", "site_id").where("flightline IS NOT NULL AND site_id IS NOT NULL").distinct()
+    numbered = lines.join(global_rank(lines.select("site_id").distinct(), "site_id", name="_no"), "site_id")
+    bits = numbered.groupBy("flightline", F.bitmap_bucket_number("_no").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_no")).alias("bits"))
+    path = work_dir(spark, "cover")
+    bits.write.parquet(path)
+    bits = spark.read.schema(bits.schema).parquet(path)
+    kind = bits.schema["flightline"].dataType.simpleString()
+    chosen: list[tuple[int, object, int]] = []
+
+    def gains(asked: list) -> dict:
+        """Sites that each of some flightlines adds to the chosen ones."""
+        had = bits.where(F.col("flightline").isin([c[1] for c in chosen])).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        had = had.select(F.explode(F.array(*[F.lit(a).cast(kind) for a in asked])).alias("flightline"), "bucket", "bits")
+        both = bits.where(F.col("flightline").isin(asked)).unionByName(had)
+        whole = both.groupBy("flightline", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("k"))
+        covered = sum(c[2] for c in chosen)
+        return {r.flightline: r.k - covered for r in whole.groupBy("flightline").agg(F.sum("k").alias("k")).collect()}
+
+    first = bits.groupBy("flightline").agg(F.sum(F.bitmap_count("bits")).alias("k"))
+    queue = [(-r.k, r.flightline, 1) for r in first.collect()]  # one row a flightline
+    heapq.heapify(queue)
     for step in range(1, n + 1):
-        best = left.groupBy("flightline").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "flightline").first()
-        if best is None:
+        while queue and queue[0][2] < step:
+            old = [heapq.heappop(queue) for _ in range(min(ahead, len(queue)))]
+            stale = [line for _, line, at in old if at < step]
+            now = gains(stale)
+            for k, line, at in old:
+                heapq.heappush(queue, (-now[line], line, step) if at < step else (k, line, at))
+        if not queue or not queue[0][0]:
             break
-        chosen.append((step, best.flightline, best.k))
-        left = left.join(left.where(F.col("flightline") == best.flightline).select("site_id"), "site_id", "left_anti")
-    return matches.sparkSession.createDataFrame(chosen, "rank int, flightline long, new_sites long")
+        k, line, _ = heapq.heappop(queue)
+        chosen.append((step, line, -k))
+    return spark.createDataFrame(chosen, f"rank int, flightline {kind}, new_sites long")
 
 
 def richness_ramp(sites: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +17,77 @@ from specgrid.operators.split import split
 from specgrid.operators.stats import regression_metrics, with_baseline
 
 
-def cv_score(df: DataFrame, features: str, label: str, fold: str, folds: Sequence[int], model: str = "linear") -> DataFrame:
-    """One fit a fold, metrics on the rows held out (M7)."""
-    vec = df.withColumn("_x", array_to_vector(F.col(features))).withColumn("_y", F.col(label).cast("double"))
-    out = None
-    for f in folds:
-        fit = LinearRegression(featuresCol="_x", labelCol="_y", regParam=0.1) if model == "linear" else RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=20, seed=1)
-        trained = fit.fit(vec.where(F.col(fold) != f))
-        held = trained.transform(vec.where(F.col(fold) == f)).select(F.lit(f).alias("fold"), F.col("_y").alias("actual"), F.col("prediction").alias("predicted"))
-        out = held if out is None else out.unionByName(held)
-    return regression_metrics(out, ["fold"])
+#: Weight of the ridge on standardised features.
+RIDGE = 0.1
+
+
+def _products(origin: list[float]):
+    """Sums of products of (1, features, label), all but the 1 taken from ``origin``, of a task's rows by fold."""
+    zero = np.array(origin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - zero[:-1]
+            y = batch.column("y").to_numpy(zero_copy_only=False) - zero[-1]
+            rows, fold = np.column_stack([np.ones(len(x)), x, y]), batch.column("fold").to_numpy()
+            for f in np.unique(fold).tolist():
+                own = rows[fold == f]
+                sums[f] = sums.get(f, 0) + own.T @ own
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.ravel() for s in sums.values()], pa.list_(pa.float64()))], ["fold", "sums"])
+
+    return run
+
+
+def ridge_head(sums: np.ndarray, origin: list[float], ridge: float = RIDGE) -> tuple[list[float], float]:
+    """Weights and intercept of least squares on standardised features and label with a ridge, from sums of products; a constant feature weighs nothing."""
+    n = sums[0, 0]
+    mean = sums[0, 1:] / n
+    cov = sums[1:, 1:] / n - np.outer(mean, mean)
+    dev = np.sqrt(np.maximum(np.diag(cov), 0))
+    mean = mean + np.array(origin)
+    if dev[-1] == 0:
+        return [0.0] * (len(dev) - 1), float(mean[-1])
+    safe = np.where(dev > 0, dev, 1)
+    corr = cov / np.outer(safe, safe)
+    w = np.linalg.solve(corr[:-1, :-1] + ridge / dev[-1] * np.eye(len(dev) - 1), corr[:-1, -1]) * (dev[:-1] > 0) * dev[-1] / safe[:-1]
+    return w.tolist(), float(mean[-1] - w @ mean[:-1])
+
+
+def cv_score(df: DataFrame, features: str, label: str, fold: str, ridge: float = RIDGE) -> DataFrame:
+    """Metrics of a linear head on the rows of each fold, fitted on those of all others (M7).
+
+    One pass sums the products of features and label by fold; the sums of all
+    folds less a fold's own are the normal equations of its training rows, solved
+    on the driver, which sees one small matrix a fold. A second pass scores. Rows
+    without features, label or fold are left out; features have one length.
+    """
+    rows = df.select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"))
+    rows = rows.where("x IS NOT NULL AND y IS NOT NULL AND fold IS NOT NULL AND forall(x, v -> v IS NOT NULL)")
+    one = rows.first()
+    if one is None:
+        return regression_metrics(rows.select("fold", F.col("y").alias("actual"), F.col("y").alias("predicted")), ["fold"])
+    origin = [*one.x, one.y]
+    d = len(origin) + 1
+    parts = rows.mapInArrow(_products(origin), "fold int, sums array<double>").select("fold", F.posexplode("sums").alias("pos", "v"))
+    sums: dict[int, np.ndarray] = {}
+    for r in parts.groupBy("fold", "pos").agg(F.sum("v").alias("v")).collect():
+        sums.setdefault(r.fold, np.zeros(d * d))[r.pos] = r.v
+    whole = sum(sums.values())
+    heads = [(f, *ridge_head((whole - s).reshape(d, d), origin, ridge)) for f, s in sums.items() if (whole - s)[0] > 0]
+    fitted = F.broadcast(df.sparkSession.createDataFrame(heads, "fold int, w array<double>, b double"))  # one row a fold
+    dot = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.col("b"), lambda s, v: s + v)
+    return regression_metrics(rows.join(fitted, "fold").select("fold", F.col("y").alias("actual"), dot.alias("predicted")), ["fold"])
+
+
+def cv_score_forest(df: DataFrame, features: str, label: str, fold: str, folds: Sequence[int]) -> DataFrame:
+    """The same with a random forest, whose fits share nothing: one for each fold, over a table read once."""
+    vec = df.select(array_to_vector(F.col(features)).alias("_x"), F.col(label).cast("double").alias("_y"), F.col(fold).alias("fold")).persist()
+    fit = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=20, seed=1)
+    models = [(f, fit.fit(vec.where(F.col("fold") != f))) for f in folds]
+    held = [m.transform(vec.where(F.col("fold") == f)).select("fold", F.col("_y").alias("actual"), F.col("prediction").alias("predicted")) for f, m in models]
+    return regression_metrics(reduce(DataFrame.unionByName, held), ["fold"])
 
 
 def score_linear(df: DataFrame, features: str, weights: Sequence[float], bias: float, mean: float = 0.0, std: float = 1.0) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgrid.operators.inventory import seeded
-from specgrid.operators.order import global_rank
+from specgrid.operators.order import global_rank, rank_within
 
 
 def _ranked(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -40,38 +39,75 @@ def split_fraction(df: DataFrame, key: str, train: float, data: float, seed: int
     return ranked.withColumn("part", part).drop("_rank", "_n")
 
 
-def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Whole groups to folds, the largest first to the lightest fold (M4).
+def fold_runs(sizes: dict[int, int], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Runs ``(size, first, last, folds)``: groups of one size, by rank from 1, go to ``folds`` in turn.
 
-    Rows are only counted by group and joined back; the greedy pass sees one row a group.
+    ``sizes`` tells how many groups have each size. Dealing groups of one size to
+    the lightest fold, the first on ties, fills the folds level by level: fold
+    ``f`` takes its groups at loads ``load + j * size``, so all takes are in the
+    order of (load div size + j, load mod size, f), and between the levels at
+    which a fold joins in, the same folds take turns.
     """
+    loads, out = [0] * k, []
+    for size in sorted(sizes, reverse=True):
+        left, rank = sizes[size], 1
+        level, rest = [x // size for x in loads], [x % size for x in loads]
+        starts = sorted(set(level))
+        for at, until in zip(starts, [*starts[1:], None], strict=True):
+            turn = sorted((f for f in range(k) if level[f] <= at), key=lambda f: (rest[f], f))
+            n = left if until is None else min(left, (until - at) * len(turn))
+            if n:
+                out.append((size, rank, rank + n - 1, turn))
+            for i, f in enumerate(turn):
+                loads[f] += size * (n // len(turn) + (i < n % len(turn)))
+            rank, left = rank + n, left - n
+    return out
+
 
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", group], ascending=[False, True])
-        loads, folds = [0] * k, []
-        for n in rows["n"]:
-            f = loads.index(min(loads))
-            loads[f] += n
-            folds.append(f)
-        return rows.assign(fold=folds)[[group, "fold"]]
+def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
+    """Whole groups to folds, the largest first (of one size: in their order) to the lightest fold (M4).
 
+    Only the number of groups of each size passes through the driver; which fold
+    a group gets follows from its rank among those of its size.
+    """
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    kind = dict(df.dtypes)[group]
-    folds = counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(deal, f"{group} {kind}, fold int")
-    return df.join(folds, group)
+    ranked = rank_within(counts, "n", group, name="_rank")
+    sizes = {r.n: r["count"] for r in ranked.groupBy("n").count().collect()}
+    runs = df.sparkSession.createDataFrame(fold_runs(sizes, k), "n long, first long, last long, turn array<int>")
+    dealt = ranked.join(runs, "n").where(F.col("_rank").between(F.col("first"), F.col("last")))
+    at = ((F.col("_rank") - F.col("first")) % F.size("turn")).cast("int")
+    return df.join(dealt.select(group, F.get("turn", at).alias("fold")), group)
+
+
+def _by_site(df: DataFrame, group: str, site: str) -> DataFrame:
+    """One row a site with its groups and the rows it has in each."""
+    pairs = df.where(F.col(group).isNotNull() & F.col(site).isNotNull()).groupBy(group, site).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(site).agg(F.collect_list(F.struct(group, "n")).alias("_own"))  # as long as there are groups
 
 
 def leave_one_group_out(df: DataFrame, group: str, site: str) -> DataFrame:
-    """Fold, training row pairs without the held-out group and without its sites.
+    """Fold, training row pairs without the held-out group and without its sites.
+
+    A site's list of groups says which folds may train on it: all others. Rows
+    without group or site are left out.
+    """
+    sites = _by_site(df, group, site)
+    every = df.agg(F.collect_set(group)).scalar()
+    fold = F.explode(F.array_except(every, F.transform("_own", lambda p: p[group]))).alias("fold")
+    return sites.select(site, "_own", fold).select("fold", site, F.explode("_own").alias("p")).select("fold", site, f"p.{group}", "p.n")
+
+
+def held_out_sizes(df: DataFrame, group: str, site: str) -> DataFrame:
+    """``fold, n_sites, n_rows``: pairs of group and site, and rows, that each fold trains on (M5).
 
-    Rows shrink to distinct (group, site) pairs first; a pair of training row and
-    fold is made only after that.
+    They are all pairs and rows less those of the fold's sites, so nothing is
+    listed by fold; a fold that holds every site is not told.
     """
-    pairs = df.groupBy(group, site).agg(F.count(F.lit(1)).alias("n"))
-    folds = pairs.select(F.col(group).alias("fold")).distinct()
-    train = pairs.join(folds, F.col("fold") != F.col(group))
-    seen = pairs.select(F.col(group).alias("fold"), site)
-    return train.join(seen, ["fold", site], "left_anti")
+    own = _by_site(df, group, site).select(F.size("_own").cast("long").alias("k"), F.aggregate("_own", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("r"), "_own")
+    all_k, all_r = own.agg(F.sum("k")).scalar(), own.agg(F.sum("r")).scalar()
+    lost = own.select(F.explode(F.transform("_own", lambda p: p[group])).alias("fold"), "k", "r").groupBy("fold").agg(F.sum("k").alias("k"), F.sum("r").alias("r"))
+    out = lost.select("fold", (all_k - F.col("k")).alias("n_sites"), (all_r - F.col("r")).alias("n_rows"))
+    return out.where("n_sites > 0")
 
 
 def leakage_flags(train: DataFrame, val: DataFrame, keys: list[str]) -> DataFrame:

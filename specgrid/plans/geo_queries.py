@@ -182,7 +182,11 @@ def w3_rank_flightlines(spark, sf):
     return mp.rank_flightlines(_matches(spark, sf), 10)
 
 
-@query("w3_greedy_cover")
+_BEST = "b{i} AS (SELECT flightline, count(DISTINCT site_id) AS k FROM matches WHERE site_id NOT IN (SELECT site_id FROM matches WHERE flightline IN ({before})) GROUP BY 1 ORDER BY k DESC, flightline LIMIT 1)"
+_COVER = ", ".join(_BEST.format(i=i, before=" UNION ALL ".join(["SELECT -1", *(f"SELECT flightline FROM b{j}" for j in range(1, i))])) for i in range(1, 6))
+
+
+@query("w3_greedy_cover", _MATCH_DUCK + ", " + _COVER + " UNION ALL ".join(f" SELECT CAST({i} AS INT) AS rank, flightline, k AS new_sites FROM b{i}" for i in range(1, 6)))
 def w3_greedy_cover(spark, sf):
     return mp.greedy_cover(_matches(spark, sf), 5)
 

@@ -310,19 +310,18 @@ _LOGO = PRED[:-1] + ", g AS (SELECT flightline % 10 AS grp, site_id FROM v_pred)
 _LOGO_ROWS = "SELECT f.fold, t.grp, t.site_id, t.n FROM p t, (SELECT DISTINCT grp AS fold FROM p) f WHERE t.grp <> f.fold AND NOT EXISTS (SELECT 1 FROM p h WHERE h.grp = f.fold AND h.site_id = t.site_id)"
 
 
-def _logo(spark, sf):
-    g = _pred(spark, sf).select((F.col("flightline") % 10).alias("grp"), "site_id")
-    return sp.leave_one_group_out(g, "grp", "site_id")
+def _grouped(spark, sf):
+    return _pred(spark, sf).select((F.col("flightline") % 10).alias("grp"), "site_id")
 
 
 @query("j9_lofo_pairs", _LOGO + _LOGO_ROWS)
 def j9_lofo_pairs(spark, sf):
-    return _logo(spark, sf).select("fold", "grp", "site_id", "n")
+    return sp.leave_one_group_out(_grouped(spark, sf), "grp", "site_id").select("fold", "grp", "site_id", "n")
 
 
 @query("m5_leave_one_group_out", _LOGO + f"SELECT fold, count(*) AS n_sites, CAST(sum(n) AS BIGINT) AS n_rows FROM ({_LOGO_ROWS}) GROUP BY 1")
 def m5_leave_one_group_out(spark, sf):
-    return _logo(spark, sf).groupBy("fold").agg(F.count(F.lit(1)).alias("n_sites"), F.sum("n").alias("n_rows"))
+    return sp.held_out_sizes(_grouped(spark, sf), "grp", "site_id")
 
 
 _RANKED = PRED[:-1] + ", r AS (SELECT id, row_number() OVER (ORDER BY md5(concat('42:', id)), id) AS k, count(*) OVER () AS n FROM v_pred)\n"
@@ -378,7 +377,24 @@ def m6_fold_zscore(spark, sf):
 @query("m7_cv_score")
 def m7_cv_score(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"), "label", (F.col("vec_id") % 3).cast("int").alias("fold"))
-    return _r(md.cv_score(v, "x", "label", "fold", [0, 1, 2]), 8, "r2", "rmse", "mae", "mse")
+    return _r(md.cv_score(v, "x", "label", "fold"), 8, "r2", "rmse", "mae", "mse")
+
+
+_SUMS = ", ".join(f"avg({a} * {b}) - avg({a}) * avg({b}) AS {n}" for n, a, b in (("ss", "a", "a"), ("st", "a", "b"), ("tt", "b", "b"), ("sy", "a", "y"), ("ty", "b", "y"), ("yy", "y", "y")))
+_HEAD = f"""WITH r AS (SELECT vec_id % 3 AS fold, list_avg(CAST(embedding AS DOUBLE[])[1:32]) AS a, list_avg(CAST(embedding AS DOUBLE[])[33:64]) AS b, CAST(label AS DOUBLE) AS y FROM embeddings),
+g AS (SELECT f.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, {_SUMS} FROM (SELECT DISTINCT fold FROM r) f JOIN r ON r.fold <> f.fold GROUP BY 1),
+h AS (SELECT *, 1 + 0.1e0 / sqrt(yy) AS d, st / sqrt(ss * tt) AS c, sy / sqrt(ss * yy) AS p, ty / sqrt(tt * yy) AS q FROM g),
+w AS (SELECT *, (d * p - c * q) / (d * d - c * c) * sqrt(yy / ss) AS wa, (d * q - c * p) / (d * d - c * c) * sqrt(yy / tt) AS wb FROM h),
+v_pred AS (SELECT CAST(fold AS INT) AS fold, y AS actual, my + wa * (a - ma) + wb * (b - mb) AS predicted FROM r JOIN w USING (fold))
+"""
+
+
+@query("m7_cv_score_blocks", _HEAD + f"SELECT fold, {_METRICS} FROM v_pred GROUP BY 1")
+def m7_cv_score_blocks(spark, sf):
+    """The head on the means of both halves of a vector, whose normal equations SQL can solve."""
+    half = lambda at: F.aggregate(F.slice("x", at, 32), F.lit(0.0), lambda s, v: s + v) / 32
+    v = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"), "label", (F.col("vec_id") % 3).cast("int").alias("fold"))
+    return _r(md.cv_score(v.withColumn("x", F.array(half(1), half(33))), "x", "label", "fold"), 8, "r2", "rmse", "mae", "mse")
 
 
 @query("m8_score_linear", "SELECT vec_id, round((list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * (i - 1) / 64e0)) + 0.5e0) * 2 + 10, 7) AS score FROM embeddings")
