@@ -298,6 +298,27 @@ def s10_geojson_ring(spark, sf):
     return out.select("granule_id", F.posexplode("ring").alias("ord", "p")).select("granule_id", "ord", "p.lon", "p.lat")
 
 
+_LL0, _LL1 = _lonlat("origin_x", "origin_y"), _lonlat("origin_x + width * pixel_w", "origin_y + height * pixel_h")
+
+
+@query(
+    "s10_geojson_file",
+    duck("v_granules")
+    + f"""SELECT CAST(gid AS VARCHAR) AS gid, granule_id, 'Feature' AS type, 'Polygon' AS shape, ord, lon, lat FROM (SELECT gid, granule_id, 0 AS ord, round({_LL0[0]}, 6) AS lon, round({_LL0[1]}, 6) AS lat FROM v_granules
+UNION ALL SELECT gid, granule_id, 1, round({_LL1[0]}, 6), round({_LL1[1]}, 6) FROM v_granules)""",
+)
+def s10_geojson_file(spark, sf):
+    """Features written as lines of a file and read back."""
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(p(F.col("origin_x"), F.col("origin_y")), p(F.col("origin_x") + F.col("width") * F.col("pixel_w"), F.col("origin_y") + F.col("height") * F.col("pixel_h")))
+    told = F.create_map(F.lit("gid"), F.col("gid").cast("string"), F.lit("granule_id"), F.col("granule_id"))
+    path = io.work_dir(spark, "footprints")
+    io.to_geojson(view(spark, sf, "v_granules").select(F.col("gid").alias("footprint_id"), told.alias("props"), ring.alias("ring"))).select("feature").write.text(path)
+    schema = "type string, properties struct<gid:string,granule_id:string>, geometry struct<type:string,coordinates:array<array<array<double>>>>"
+    out = spark.read.schema(schema).json(path).select("properties.*", "type", F.col("geometry.type").alias("shape"), F.posexplode(F.col("geometry.coordinates")[0]).alias("ord", "p"))
+    return out.select("gid", "granule_id", "type", "shape", "ord", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+
+
 @query("s4_event_props", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def s4_event_props(spark, sf):
     k = F.from_json("props", "k long")["k"]

@@ -82,8 +82,9 @@ def x7_clip(spark, sf):
     return _long(_spectra(spark, sf).select("id", sx.clip(F.col("s"), -0.1, 0.2).alias("s")))
 
 
-_W = sx.resample_weights(AXIS, GRID)
-_RES = f"CASE WHEN {[i for i, _ in _W]}[i] < 0 THEN 0e0 ELSE e[{[i + 1 for i, _ in _W]}[i]] * (1 - {_arr(f for _, f in _W)}[i]) + e[{[min(i + 2, 64) for i, _ in _W]}[i]] * {_arr(f for _, f in _W)}[i] END"
+# Place of the i-th of 200 wavelengths among the 64, both spread evenly over the same range.
+_AT = "((i - 1) * 63e0 / 199e0)"
+_RES = f"e[CAST(floor({_AT}) AS INT) + 1] * (1 - ({_AT} - floor({_AT}))) + e[least(CAST(floor({_AT}) AS INT) + 2, 64)] * ({_AT} - floor({_AT}))"
 
 
 @query("x8_resample", _select(_RES, 200, 7))
@@ -138,15 +139,18 @@ def x24_linspace(spark, sf):
     return _long(_spectra(spark, sf).select("id", line.alias("s")), digits=7)
 
 
-@query("x25_sincos", PIX + "SELECT tile_id AS id, y, x, i AS pos, round(CASE WHEN i < 4 THEN sin(x / power(10000e0, i / 4e0)) ELSE cos(x / power(10000e0, (i - 4) / 4e0)) END, 8) AS value FROM v_pixels, (SELECT CAST(unnest(range(8)) AS INT) AS i)")
+_WAVE = "round(CASE WHEN i % 8 < 4 THEN sin({v} / power(10000e0, i % 4 / 4e0)) ELSE cos({v} / power(10000e0, i % 4 / 4e0)) END, 8)"
+
+
+@query("x25_sincos", PIX + f"SELECT tile_id AS id, y, x, i AS pos, CASE WHEN i < 8 THEN {_WAVE.format(v='x')} ELSE {_WAVE.format(v='y')} END AS value FROM v_pixels, (SELECT CAST(unnest(range(16)) AS INT) AS i)")
 def x25_sincos(spark, sf):
     p = view(spark, sf, "v_pixels").select(F.col("tile_id").alias("id"), "y", "x", F.posexplode(sx.sincos_2d(F.col("y"), F.col("x"), 16)).alias("pos", "value"))
-    return p.where("pos < 8").withColumn("value", F.round("value", 8))
+    return p.withColumn("value", F.round("value", 8))
 
 
 @query("x25_sincos_rows", PIX + "SELECT tile_id AS id, y, x, i AS pos, round(CASE WHEN i < 12 THEN sin(y / power(10000e0, (i - 8) / 4e0)) ELSE cos(y / power(10000e0, (i - 12) / 4e0)) END, 8) AS value FROM v_pixels, (SELECT CAST(unnest(range(8, 16)) AS INT) AS i)")
 def x25_sincos_rows(spark, sf):
-    """The row half; ``x25_sincos`` has the column half."""
+    """The row half of ``x25_sincos``."""
     p = view(spark, sf, "v_pixels").select(F.col("tile_id").alias("id"), "y", "x", F.posexplode(sx.sincos_2d(F.col("y"), F.col("x"), 16)).alias("pos", "value"))
     return p.where("pos >= 8").withColumn("value", F.round("value", 8))
 
@@ -269,10 +273,11 @@ def a20_band_max(spark, sf):
     return st.band_max(view(spark, sf, "v_cells"))
 
 
-@query("m10_site_features", CELLS + "SELECT id, band AS pos, round(avg(value), 8) AS value FROM (SELECT id, CAST(band // 16 AS INT) AS band, value FROM v_cells) GROUP BY 1, 2")
+@query("m10_site_features", CELLS + "SELECT id, band AS pos, round(avg(value), 8) AS mean, round(stddev_pop(value), 8) AS std FROM (SELECT id, CAST(band // 16 AS INT) AS band, value FROM v_cells) GROUP BY 1, 2")
 def m10_site_features(spark, sf):
     cells = view(spark, sf, "v_cells").withColumn("band", F.floor(F.col("band") / 16).cast("int"))
-    return _long(md.site_features(cells), "means")
+    both = md.site_features(cells).select("id", F.posexplode(F.arrays_zip("means", "stds")).alias("pos", "p"))
+    return both.select("id", "pos", F.round("p.means", 8).alias("mean"), F.round("p.stds", 8).alias("std"))
 
 
 @query(
@@ -358,19 +363,12 @@ def w10_center_masked(spark, sf):
     return pt.center_masked(view(spark, sf, "v_pixels").where("value > 0.1"), 8)
 
 
-def _taps(old, new, a=-0.75):
-    def weight(t):
-        t = abs(t)
-        return (a + 2) * t**3 - (a + 3) * t**2 + 1 if t <= 1 else a * t**3 - 5 * a * t**2 + 8 * a * t - 4 * a if t < 2 else 0.0
-
-    rows = []
-    for i in range(new):
-        c = (i + 0.5) * old / new - 0.5
-        rows += [(i, min(max(j, 0), old - 1), weight(c - j)) for j in range(int(c // 1) - 1, int(c // 1) + 3)]
-    return ", ".join(f"({i}, {s}, {w!r}e0)" for i, s, w in rows)
+# Taps of 16 places among 8, half-pixel centres: the cubic kernel with a = -0.75 over the four nearest, clamped to the edges.
+_TAPS = """c AS (SELECT i, (i + 0.5e0) * 8 / 16 - 0.5e0 AS c FROM range(16) r(i)), t AS (SELECT i, floor(c) + o AS j, abs(c - floor(c) - o) AS d FROM c, range(-1, 3) s(o)),
+w AS (SELECT i, CAST(least(greatest(j, 0), 7) AS INT) AS s, CASE WHEN d <= 1 THEN 1.25e0 * d ** 3 - 2.25e0 * d ** 2 + 1 WHEN d < 2 THEN -0.75e0 * d ** 3 + 3.75e0 * d ** 2 - 6 * d + 3 ELSE 0e0 END AS w FROM t)"""
 
 
-@query("x26_resize_grid", PIX[:-1] + f", w(i, s, w) AS (VALUES {_taps(8, 16)})\nSELECT tile_id, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x, round(sum(value * a.w * b.w), 7) AS value FROM v_pixels p JOIN w a ON a.s = p.y JOIN w b ON b.s = p.x GROUP BY 1, 2, 3")
+@query("x26_resize_grid", PIX[:-1] + f", {_TAPS}\nSELECT tile_id, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x, round(sum(value * a.w * b.w), 7) AS value FROM v_pixels p JOIN w a ON a.s = p.y JOIN w b ON b.s = p.x GROUP BY 1, 2, 3")
 def x26_resize_grid(spark, sf):
     return pt.resize_grid(view(spark, sf, "v_pixels").drop("label"), 8, 16).withColumn("value", F.round("value", 7))
 
@@ -398,15 +396,32 @@ def s14_pixel_locations(spark, sf):
     return ranked.select("class", (F.col("rank") - 1).cast("int").alias("ord"), "tile_id", "y", "x")
 
 
-@query("s16_describe_source", "SELECT count(*) AS n_rows, min(len(embedding)) AS min_bands, max(len(embedding)) AS max_bands FROM embeddings")
+@query("s16_describe_source", "SELECT count(*) AS n_rows, min(len(embedding)) AS min_bands, max(len(embedding)) AS max_bands, 'id:bigint, s:array<double>, label:int' AS fields FROM embeddings")
 def s16_describe_source(spark, sf):
-    out = io.describe_source(_spectra(spark, sf), "s").drop("fields")
+    out = io.describe_source(_spectra(spark, sf), "s")
     return out.withColumns({c: F.col(c).cast("long") for c in ("min_bands", "max_bands")})
 
 
-@query("s11_pack_metadata", "SELECT count(DISTINCT vec_id) AS count, 64 AS bands, 4 AS height, 4 AS width FROM embeddings")
+@query(
+    "s11_pack_metadata",
+    "SELECT CAST(i - 1 AS INT) AS pos, round(400e0 + (i - 1) * 2050e0 / 63e0, 6) AS wavelength, CAST(64 AS BIGINT) AS bands, CAST(4 AS BIGINT) AS height, CAST(4 AS BIGINT) AS width, (SELECT count(DISTINCT vec_id) FROM embeddings) AS count, round(sum(CAST(embedding[i] AS DOUBLE)), 6) AS total FROM embeddings, range(1, 65) t(i) GROUP BY i",
+)
 def s11_pack_metadata(spark, sf):
-    return io.pack_metadata(_spectra(spark, sf), AXIS, 4, 4).drop("wavelengths")
+    """A pack written and read back: one row a band, with the sum of its values over all patches."""
+    path = io.work_dir(spark, "pack")
+    io.export_pack(_spectra(spark, sf), AXIS, path, 4, 4)
+    told = spark.read.json(f"{path}/metadata").select("bands", "count", "height", "width", F.posexplode("wavelengths").alias("pos", "wavelength"))
+    sums = spark.read.parquet(f"{path}/patches").select(F.posexplode("s").alias("pos", "v")).groupBy("pos").agg(F.round(F.sum("v"), 6).alias("total"))
+    return told.withColumn("wavelength", F.round("wavelength", 6)).join(sums, "pos")
+
+
+@query("s14_read_locations", PIX + "SELECT tile_id AS class, CAST(row_number() OVER (PARTITION BY tile_id ORDER BY y, x) - 1 AS INT) AS ord, y, x FROM v_pixels WHERE value > 0.2e0")
+def s14_read_locations(spark, sf):
+    """Lists of places by tile, written and read back one row a place."""
+    path = io.work_dir(spark, "locations")
+    places = F.sort_array(F.collect_list(F.struct("y", "x"))).alias("locations")  # a tile has 64 places
+    view(spark, sf, "v_pixels").where("value > 0.2").groupBy(F.col("tile_id").alias("class")).agg(places).write.parquet(path)
+    return io.read_pixel_locations(spark, path)
 
 
 @query("t5_band_sums", CELLS + "SELECT band, count(*) AS n, round(sum(value), 6) AS s, round(sum(value * value), 6) AS q FROM v_cells GROUP BY 1")

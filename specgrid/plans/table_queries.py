@@ -16,6 +16,7 @@ from specgrid.operators import split as sp
 from specgrid.operators import stats as st
 from specgrid.plans.registry import query
 from specgrid.plans.views import duck, table, view
+from specgrid.sources import io
 
 PRED, LOG = duck("v_pred"), duck("v_log")
 
@@ -74,6 +75,17 @@ def m9_mean_baseline(spark, sf):
     return _pred(spark, sf).groupBy("split").agg(F.round(F.avg("actual"), 8).alias("guess"))
 
 
+@query(
+    "m9_fold_baseline",
+    PRED[:-1]
+    + """, p AS (SELECT flightline % 7 AS fold, actual FROM v_pred), g AS (SELECT f.fold, avg(actual) AS guess FROM (SELECT DISTINCT fold FROM p) f JOIN p ON p.fold <> f.fold GROUP BY 1)
+SELECT fold, round(guess, 8) AS guess, count(*) AS n, round(sqrt(avg((guess - actual) ** 2)), 8) AS rmse, round(avg(abs(guess - actual)), 8) AS mae FROM p JOIN g USING (fold) GROUP BY 1, guess""",
+)
+def m9_fold_baseline(spark, sf):
+    p = _pred(spark, sf).select((F.col("flightline") % 7).alias("fold"), "actual")
+    return _r(st.fold_baseline(p, "fold"), 8, "guess", "rmse", "mae")
+
+
 @query(
     "a8_residual_histogram",
     PRED[:-1] + ", e AS (SELECT round(predicted - actual, 6) AS e FROM v_pred), b AS (SELECT min(e) AS lo, max(e) AS hi FROM e)\nSELECT CAST(least(floor((e - lo) / (hi - lo) * 15), 14) AS INT) AS bin, count(*) AS n FROM e, b GROUP BY 1",
@@ -253,16 +265,16 @@ def u1_union_sources(spark, sf):
 
 @query(
     "u2_union_windows",
-    "SELECT window_no, count(*) AS n FROM (SELECT 0 AS window_no FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1994-01-01' AND DATE '1995-06-30' UNION ALL SELECT 1 FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') GROUP BY 1",
+    "SELECT window_no, o_orderkey FROM (SELECT CAST(0 AS INT) AS window_no, o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1994-01-01' AND DATE '1995-06-30' UNION ALL SELECT 1, o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31')",
 )
 def u2_union_windows(spark, sf):
     out = iv.union_windows(table(spark, sf, "orders"), [("1994-01-01", "1995-06-30"), ("1995-01-01", "1996-12-31")], "o_orderdate")
-    return out.groupBy("window_no").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("window_no", "o_orderkey")
 
 
-@query("p13_in_window", "SELECT count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
+@query("p13_in_window", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
 def p13_in_window(spark, sf):
-    return table(spark, sf, "orders").where(nm.in_window(F.col("o_orderdate").cast("timestamp_ntz"), "1995-01-01", "1995-12-31")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "orders").where(nm.in_window(F.col("o_orderdate").cast("timestamp_ntz"), "1995-01-01", "1995-12-31")).select("o_orderkey")
 
 
 @query("u3_existing", f"WITH {_IDS} SELECT native_id FROM s1 UNION SELECT native_id FROM s2")
@@ -418,17 +430,20 @@ def x12_target_zscore(spark, sf):
     return s.crossJoin(F.broadcast(st.target_stats(s))).select("site_id", F.round((F.col("richness") - F.col("mean")) / F.col("std"), 7).alias("z"))
 
 
-@query("s1_read_sites", duck("v_sites") + "SELECT site_id, lat, lon, richness FROM v_sites")
+@query("s1_read_sites", duck("v_sites") + "SELECT CAST(site_id AS VARCHAR) AS site_id, lat, lon, richness FROM v_sites")
 def s1_read_sites(spark, sf):
-    # the CSV form of the sites, read back through the same reader schema rules
-    s = view(spark, sf, "v_sites").select("site_id", F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), F.col("richness").alias("Richness"))
-    text = s.select("site_id", F.to_csv(F.struct("Latitude", "Longitude", "Richness")).alias("line"))
-    return text.select("site_id", F.from_csv("line", "lat double, lon double, richness double").alias("r")).select("site_id", "r.*")
+    """CSV files under two spellings of the columns, read by the same reader."""
+    s, out = view(spark, sf, "v_sites"), []
+    for part, names in (("site_id % 2 = 0", ("SiteID", "Latitude", "Longitude", "Richness")), ("site_id % 2 = 1", ("site_id", "latitude", "longitude", "richness"))):
+        path = io.work_dir(spark, "sites")
+        io.write_report(s.where(part).select("site_id", "lat", "lon", "richness").toDF(*names), path)
+        out.append(io.read_sites(spark, path).select("site_id", "lat", "lon", "richness"))
+    return out[0].unionByName(out[1])
 
 
-@query("s12_storage_audit", "SELECT count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS total_bytes, round(sum(n_chars) / 1e6 / count(*), 6) AS mb_per_file FROM documents")
+@query("s12_storage_audit", "SELECT count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS total_bytes, round(sum(n_chars) / 1e6 / count(*), 6) AS mb_per_file, CASE WHEN sum(n_chars) >= 1e9 THEN round(sum(n_chars) / 1e9, 2) || ' GB' WHEN sum(n_chars) >= 1e6 THEN round(sum(n_chars) / 1e6, 2) || ' MB' ELSE sum(n_chars) || ' B' END AS readable FROM documents")
 def s12_storage_audit(spark, sf):
-    return iv.storage_audit(table(spark, sf, "documents"), "n_chars").drop("readable")
+    return iv.storage_audit(table(spark, sf, "documents"), "n_chars")
 
 
 @query("p16_complete_files", "SELECT doc_id FROM documents WHERE n_chars >= 1000")
@@ -458,6 +473,18 @@ def s13_pair_labels(spark, sf):
     return paired.select("page_id", F.col("label_path").alias("url")).join(p.select(F.col("page_id").alias("label_id"), "url"), "url").select("page_id", "label_id")
 
 
+@query(
+    "s13_image_labels",
+    "SELECT p_partkey, l_orderkey FROM part JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_linenumber = 1) ON l_partkey = p_partkey",
+)
+def s13_image_labels(spark, sf):
+    """Image files of parts with the label files of order lines, by the path that an image's path names."""
+    images = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("/cubes/images/t"), "p_partkey", F.lit("_SPECTRAL_IMAGE.TIF")).alias("path"))
+    lines = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.concat(F.lit("/cubes/labels/t"), "l_partkey", F.lit("_LABEL.TIF")).alias("path")).distinct()
+    paired = iv.pair_labels(images, lines, "path", "/images/(.*)_SPECTRAL_IMAGE[.]TIF$", "/labels/$1_LABEL.TIF")
+    return paired.select("p_partkey", F.col("label_path").alias("path")).join(lines, "path").select("p_partkey", "l_orderkey")
+
+
 _WC = " ".join(f"WHEN {c} THEN {t}" for c, _, t in WORLDCOVER)
 _IDS = " ".join(f"WHEN '{n}' THEN {c}" for c, n, _ in DFC)
 _DF = " ".join(f"WHEN {c} THEN {t}" for c, _, t in DFC)
