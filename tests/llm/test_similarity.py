@@ -161,3 +161,30 @@ def test_nearest_from_two_layouts(spark):
 
 def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
+
+
+def test_nearest_gives_all_candidates_of_small_tables(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 17, 18, 21, 25, 40, 60):
+        table = [(i, rng.normal(size=16).tolist()) for i in range(n)]
+        got = forest.nearest(spark.createDataFrame(table, "vec_id long, embedding array<double>"), every=1, k=17).collect()
+        want = brute_nearest(table, 1, 17)
+        count = {q: sum(r.query_id == q for r in got) for q in range(n)}
+        assert count == {q: min(17, n - 1) for q in range(n)}
+        if n <= 18:
+            assert {(r.query_id, r.vec_id) for r in got} == {(q, j) for q in want for _, j in want[q]}
+
+
+def test_nearest_of_several_lengths(spark):
+    rng = np.random.default_rng(9)
+    table = [(i, rng.normal(size=16).tolist()) for i in range(60)] + [(100, [1.0, 2.0]), (101, [1.0, 0.0]), (102, [0.0, 3.0]), (120, [5.0]), (102, [9.0, 9.0]), (102, [9.0, 9.0])]
+    got = rows_of(forest.nearest(spark.createDataFrame(table, "vec_id long, embedding array<double>"), every=20, k=20))
+    assert [g for g in got if g[0] == 100] == [(100, 1, 102, 27.0), (100, 2, 101, 1.0)]
+    assert not [g for g in got if g[0] == 120] and {g[2] for g in got if g[0] == 40}.isdisjoint({100, 101, 102, 120})
+    assert all(sum(g[0] == q for g in got) == 20 for q in (0, 20, 40))
+
+
+def test_nearest_deals_the_queries_of_a_leaf(spark):
+    table = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    one, two = (rows_of(forest.nearest(table, every=2, k=5, part=p)) for p in (4000, 20))
+    assert one == two and len(one) == 150 * 5
