@@ -8,9 +8,10 @@ over its first two coordinates, as wide as the block's radius, brings together
 what can be near, the whole block's distance sifts, and the union over blocks is
 confirmed by cosine on the original vectors in double precision.
 
-Equal vectors are merged first. A grid cell with many vectors is dealt over
-parts, each pair of parts meeting once, so no task holds more than a bounded
-piece of a cell and no pair is lost.
+Equal vectors are merged first. A grid cell with many vectors, at home or come
+as visitors from the cells around, is dealt over parts: each two parts of those
+at home meet in a group of their own, and so does each of them with each part of
+the visitors. A group holds two parts at most and no pair is lost or met twice.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from specgrid.llm.components import connected_components
 BLOCK = 8
 #: Vectors of one grid cell that a task compares with each other; larger cells are dealt over parts.
 CELL = 2000
-_KEY = ["label", "dim", "block", "cx", "cy", "part"]
+_CELL = ["label", "dim", "block", "cx", "cy"]
+#: ``other`` below 0 is a part of the visitors; those at home then meet only them.
+_KEY = [*_CELL, "part", "other"]
 
 
 def usable(vector: Column) -> Column:
@@ -82,7 +85,7 @@ def _place(cosine: float, width: int, seed: int):
                         n = len(ids)
                         const = lambda v: pa.array(np.full(n, v, dtype=np.int32))  # noqa: B023, E731
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(labels), const(dim), const(b), pa.array(cx + np.int32(dx)), pa.array(cy + np.int32(dy)), const(0), const(role), pa.array(ids), points],
+                            [pa.array(labels), const(dim), const(b), pa.array(cx + np.int32(dx)), pa.array(cy + np.int32(dy)), const(0), const(0), const(role), pa.array(ids), points],
                             [*_KEY, "role", "id", "point"],
                         )
 
@@ -102,12 +105,13 @@ def _meet(cosine: float, width: int):
             home = len(group) - int(group.column("role").to_numpy().sum())
             if not home or len(group) == 1:
                 continue
+            alone = group.column("other")[0].as_py() < 0
             dim, block = group.column("dim")[0].as_py(), group.column("block")[0].as_py()
             lo, hi = blocks_of(dim, width)[block]
             limit = budget(cosine, hi - lo, dim)
             points, ids = as_matrix(group.column("point"), hi - lo), group.column("id").to_numpy()
             norms = (points**2).sum(axis=1)
-            for at in range(0, len(ids), 1024):
+            for at in range(home if alone else 0, len(ids), 1024):
                 end = min(at + 1024, len(ids))
                 i, j = np.nonzero(norms[at:end, None] + norms[None, :home] - 2 * points[at:end] @ points[:home].T <= limit)
                 i += at
@@ -137,6 +141,28 @@ def _cosines(cosine: float):
     return run
 
 
+def in_parts(placed: DataFrame, cell: int, scratch: Scratch) -> DataFrame:
+    """Rows of cells with more than ``cell`` vectors at home, or as many visitors, once for each group of two parts that they belong to."""
+    home = F.col("role") == 0
+    full = placed.groupBy(*_CELL).agg(F.count_if(home).alias("n"), F.count_if(~home).alias("m")).where((F.col("n") > cell) | (F.col("m") > cell))
+    pieces = lambda c: F.greatest(F.ceil(F.col(c) / cell), F.lit(1)).cast("int")
+    full = scratch.keep(full.select(*_CELL, pieces("n").alias("parts"), pieces("m").alias("guests")), "full")
+    if full.isEmpty():
+        return placed
+    own = F.pmod(F.xxhash64("id"), F.when(home, F.col("parts")).otherwise(F.col("guests"))).cast("int")
+    group = lambda part, other, role: F.struct(part.cast("int").alias("part"), other.cast("int").alias("other"), role.cast("int").alias("role"))
+    parts, guests = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("guests") - 1)
+    # Of two parts at home, the later one comes as visitors.
+    at_home = F.transform(parts, lambda j: group(F.least("own", j), F.greatest("own", j), F.when(F.col("own") <= j, 0).otherwise(1)))
+    at_home = F.concat(at_home, F.transform(guests, lambda g: group(F.col("own"), -1 - g, F.lit(0))))
+    visiting = F.transform(parts, lambda j: group(j, -1 - F.col("own"), F.lit(1)))
+    whole = F.array(group(F.lit(0), F.lit(0), F.col("role")))
+    spread = placed.join(full, _CELL, "left").withColumn("own", own)
+    groups = F.when(F.col("parts").isNull(), whole).when(home, at_home).otherwise(visiting)
+    spread = spread.withColumn("group", F.explode(groups)).drop("part", "other", "role")
+    return spread.select("*", "group.*").select(*placed.columns)
+
+
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, width: int = BLOCK, cell: int = CELL, seed: int = 5) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every vector of ``vectors(vec_id, embedding, label)``.
 
@@ -158,19 +184,9 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.98, width: int = BLOCK
     same = rows.where("fit").groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
     same = scratch.keep(same.withColumn("dim", F.size("embedding")), "same")
 
-    point = "label long, dim int, block int, cx int, cy int, part int, role int, id long, point array<float>"
+    point = "label long, dim int, block int, cx int, cy int, part int, other int, role int, id long, point array<float>"
     placed = scratch.keep(same.select("id", F.xxhash64("label").alias("label"), "dim", "embedding").mapInArrow(_place(cosine, width, seed), point), "placed")
-    cells = _KEY[:-1]
-    full = placed.where("role = 0").groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
-    full = scratch.keep(full.select(*cells, F.ceil(F.col("n") / cell).cast("int").alias("parts")), "full")
-    if not full.isEmpty():
-        own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        spread = placed.join(full, cells, "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(own))
-        # At home in its own part; a visitor in all parts, and one from the same cell in the parts after its own.
-        first = F.when(F.col("role") == 1, F.lit(0)).otherwise(F.col("own"))
-        parts = F.sequence(first, F.coalesce(F.col("parts"), F.lit(1)) - 1)
-        spread = spread.withColumn("part", F.explode(parts)).withColumn("role", F.when((F.col("role") == 0) & (F.col("part") == F.col("own")), 0).otherwise(1))
-        placed = spread.select(*placed.columns)
+    placed = in_parts(placed, cell, scratch)
     dealt = placed.repartition(*_KEY).sortWithinPartitions(*_KEY, "role")
     pairs = dealt.mapInArrow(_meet(cosine, width), "a long, b long").where("a < b").distinct()
     pairs = scratch.keep(pairs, "pairs")

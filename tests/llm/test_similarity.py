@@ -188,3 +188,19 @@ def test_nearest_deals_the_queries_of_a_leaf(spark):
     table = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
     one, two = (rows_of(forest.nearest(table, every=2, k=5, part=p)) for p in (4000, 20))
     assert one == two and len(one) == 150 * 5
+
+
+def test_groups_of_a_hot_cell_are_bounded(spark):
+    rng = np.random.default_rng(10)
+    one = rng.normal(size=16)
+    table = [(i, (one + rng.normal(size=16) * 1e-4).tolist(), 1) for i in range(400)] + [(1000 + i, (one + rng.normal(size=16) * 0.3).tolist(), 1) for i in range(100)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    placed = df.select(F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("label"), F.lit(16).alias("dim"), "embedding")
+    point = "label long, dim int, block int, cx int, cy int, part int, other int, role int, id long, point array<float>"
+    common.ship(spark)
+    placed = common.Scratch(spark, "t").keep(placed.mapInArrow(vectors._place(0.98, 8, 5), point))
+    sizes = vectors.in_parts(placed, 10, common.Scratch(spark, "t")).groupBy(*vectors._KEY).count().agg(F.max("count")).first()[0]
+    assert sizes <= 50 < placed.groupBy(*vectors._CELL).count().agg(F.max("count")).first()[0]
+    want = brute_vectors(table, 0.98)
+    for cell in (2, 10, 2000):
+        assert sorted(tuple(r) for r in vectors.near_vectors(df, cell=cell).collect()) == want
