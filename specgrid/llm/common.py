@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and the control characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Rows of a few numbers that one task may write as one file.
-FILE_ROWS = 1 << 19
+#: Rows of a few numbers that one task makes and writes as one file.
+FILE_ROWS = 1 << 15
 
 _SHIPPED: set[str] = set()
 _OWN_DIR: list[str] = []
@@ -54,8 +54,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t", most: int | None = None) -> DataFrame:
         """Write ``df`` as Parquet and read it back.
 
-        Where it is known to have at most ``most`` (small) rows, a file is written for
-        every ``FILE_ROWS`` of these, not one for every shuffle partition.
+        Where it is made from and has at most ``most`` (small) rows, one task makes and
+        writes every ``FILE_ROWS`` of these, not one for every shuffle partition.
         """
         self.n += 1
         df = df if most is None else df.coalesce(1 + most // FILE_ROWS)
@@ -105,10 +105,14 @@ FILTER_BITS, _ROW_BITS = 1 << 27, 1 << 15
 
 
 def id_filter(ids: DataFrame, col: str, scratch: Scratch) -> DataFrame:
-    """Bitmap of hashed ids, as a written table of bounded size that may be broadcast."""
+    """Bitmap of hashed ids, as a written table of bounded size that may be broadcast.
+
+    The tasks' bitmaps are merged row by row, by as many tasks as shuffles have;
+    only the merged rows go to a few files.
+    """
     h = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
     places = ids.select(F.floor(h / _ROW_BITS).cast("int").alias("_row"), (h % _ROW_BITS).alias("_bit"))
-    return scratch.keep(places.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "filter", FILTER_BITS // _ROW_BITS)
+    return scratch.keep(places.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")).repartition(2), "filter")
 
 
 def maybe_in(df: DataFrame, col: str, marks: DataFrame, name: str = "maybe") -> DataFrame:

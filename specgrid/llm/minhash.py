@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
 
     # What a pair must pass before its sets are compared. Members of buckets stay small rows; this joins them for one step only.
     each = firsts.join(full.select("id", "set_a", "sketch").dropDuplicates(["id", "set_a"]), ["id", "set_a"])
-    each = scratch.keep(each.select("id", "set_a", "sketch", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "each")
+    each = scratch.keep(each.select("id", "set_a", "sketch", "bands"), "each")
     other = each.toDF("id_a", "set_a_a", "sketch_a", "bands_a")
     meet = F.expr("id <> id_a AND c <> c_a AND (used IS NULL OR id > id_a)") & (_unequal("sketch", "sketch_a") <= most_unequal(SKETCH, percent))
     # Two texts may share many buckets: they meet in the first of these.
