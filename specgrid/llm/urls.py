@@ -22,10 +22,10 @@ from specgrid.llm.components import connected_components
 ALLOW, BLOCK = "allow", "block"
 Rule = tuple[str, str, str]  # verdict, host, path
 
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?\s*[\d.]*\s*[;,]\s*url\s*=\s*[\"']?([^\"'>\s]+)"
-
-_BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+#: Tags that may link or set the base; quoted attributes may hold ``>``.
+_TAG = r"""(?is)<(?:link|meta|base)\b(?:(?:[^'">]++|"[^"]*+"|'[^']*+')*+|[^>]*+)>"""
+_ATTRIBUTE = r"""(?is)([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+_URL = r"(?is)^\s*[\d.]*\s*[;,]\s*url\s*=\s*[\"']?([^\"'>\s]+)"
 
 # Character references; numbers 128 to 159 mean Windows-1252.
 _NAMES = html5 | {f"#{i}": bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
@@ -114,20 +114,39 @@ def resolve(to: Column, base: Column) -> Column:
     return _let(F.struct(to.alias("t"), base.alias("b")), joined)
 
 
+def _attributes(tag: Column) -> Column:
+    """A tag's name (``tag``) and attributes, names in lower case; of several of one name the first counts."""
+    part = lambda i: F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(i))
+    either = F.zip_with(F.zip_with(part(2), part(3), lambda a, b: F.concat(a, b)), part(4), lambda a, b: F.concat(a, b))
+    return F.struct(F.transform(part(1), lambda n: F.lower(n)).alias("names"), either.alias("values"))
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """Value of an attribute, null if there is none."""
+    at = F.array_position(F.slice(attributes["names"], 2, 1 << 30), name)
+    return F.when(at > 0, F.get(attributes["values"], at.cast("int")))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` addresses: canonical links and meta redirects in the pages' html, resolved against the page's url or ``<base>``."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    # What stands in comments links nothing; the rest of the matching runs on the pages that hold such a tag at all.
-    some = F.lower(html).contains("canonical") | F.lower(html).contains("http-equiv")
-    html = F.when(some, F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")).otherwise(F.lit(""))
-    canonical = F.coalesce(*[F.nullif(F.regexp_extract(html, _CANONICAL, i), F.lit("")) for i in (1, 2, 3)])
-    lower = F.lower(html)
-    found = F.array(
-        F.when(lower.contains("canonical"), canonical),
-        F.when(lower.contains("http-equiv"), F.nullif(F.regexp_extract(html, _REFRESH, 1), F.lit(""))),
-    )
-    base = F.when(lower.contains("<base"), F.coalesce(*[F.nullif(F.regexp_extract(html, _BASE, i), F.lit("")) for i in (1, 2, 3)]))
-    links = pages.select(F.col("url").cast("string").alias("url"), base.alias("base"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("to"))
+    """``(src, dst)`` addresses: all canonical links and meta redirects in the pages' html, resolved against the page's url or ``<base>``.
+
+    ``rel`` is a list of words, of which one must be canonical. Pages without such
+    a word are passed over by one look at their html; what stands in comments links nothing.
+    """
+    html = F.col("html").cast("string")
+    some = pages.where(html.rlike("(?i)canonical|http-equiv")).select(F.col("url").cast("string").alias("url"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ").alias("html"))
+    tags = F.transform(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)), _attributes)
+    some = some.select("url", tags.alias("tags"))
+
+    def target(t: Column) -> Column:
+        rel = F.split(F.lower(F.coalesce(_value(t, "rel"), F.lit(""))), r"[\t\n\f\r ]+")
+        refresh = F.trim(F.lower(F.coalesce(_value(t, "http-equiv"), F.lit("")))) == "refresh"
+        kind = t["names"][0]
+        moved = F.nullif(F.regexp_extract(F.coalesce(_value(t, "content"), F.lit("")), _URL, 1), F.lit(""))
+        return F.when((kind == "link") & F.array_contains(rel, "canonical"), F.nullif(_value(t, "href"), F.lit(""))).when((kind == "meta") & refresh, moved)
+
+    bases = F.filter(F.transform("tags", lambda t: F.when(t["names"][0] == "base", F.nullif(_value(t, "href"), F.lit("")))), lambda x: x.isNotNull())
+    links = some.select("url", F.get(bases, F.lit(0)).alias("base"), F.explode(F.array_distinct(F.filter(F.transform("tags", target), lambda x: x.isNotNull()))).alias("to"))
     base = F.coalesce(resolve(unescape(F.col("base")), F.col("url")), F.col("url"))
     links = links.withColumn("base", base).select(address(F.col("url")).alias("src"), address(resolve(unescape(F.col("to")), F.col("base"))).alias("dst"))
     return links.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()

@@ -475,3 +475,20 @@ def test_links_in_comments_do_not_count(spark):
     assert [tuple(e) for e in edges] == [("http://a.net/1", "http://b.net/en/x")]
     judged = urls.judge(spark.createDataFrame([(1, "http://b.net/es/x", "<link rel=canonical href='http://c.org/'>"), (2, "http://c.org/", ""), (3, None, page)], "page_id long, url string, html string"), queries.URL_RULES)
     assert {r.page_id: r.verdict for r in judged.collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_all_links_of_a_page(spark):
+    pages = [
+        (1, "http://a.org/1", "<LINK href='http://x.org/1' rel='alternate  Canonical'>"),
+        (2, "http://a.org/2", "<link rel=canonical href='http://x.org/2'><link rel=canonical href='http://b.net/es/2'>"),
+        (3, "http://a.org/3", "<meta name=x http-equiv='Refresh' content='5;url=http://x.org/3'><link title='a > b' rel=\"canonical\" href=http://x.org/33>"),
+        (4, "http://a.org/4", "<link title='rel=canonical href=http://x.org/4' rel=stylesheet href='http://x.org/4'><link rel=canonicals href=http://x.org/4>"),
+        (5, "http://a.org/5", "<link rel='canonical' rel='icon' href='http://x.org/5' href='http://x.org/55'><base target=_top><base href='http://y.org/'><link rel=canonical href='z'>"),
+        (6, "http://a.org/6", "<meta content='0; url=http://x.org/6'>" + "<link rel=canonical " + "a " * 20_000 + "href=http://x.org/6>"),
+        (7, "http://a.org/7", "canonical <link rel=canonical href=''><link rel=canonical>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = rows(urls.link_edges(df), "src", "dst")
+    want = [(1, "x.org/1"), (2, "x.org/2"), (2, "b.net/es/2"), (3, "x.org/3"), (3, "x.org/33"), (5, "x.org/5"), (5, "y.org/z"), (6, "x.org/6")]
+    assert got == sorted([(f"http://a.org/{i}", f"http://{to}") for i, to in want], key=repr)
+    assert {r.page_id: r.verdict for r in urls.judge(df, queries.URL_RULES).collect()} == {i: "block" if i == 2 else "allow" for i in range(1, 8)}
