@@ -141,7 +141,7 @@ def test_early_stop_stream_equals_window(spark, data, tmp_path):
     log = view(spark, data, "v_log").select("run", "step", "metric")
     log.coalesce(1).write.parquet(f"{tmp_path}/log")
     stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")
-    q = jobs.early_stop_stream(stream, 25).writeStream.format("memory").queryName("stops").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q = jobs.early_stop_stream(stream, 25).writeStream.format("memory").queryName("stops").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     got = sorted((r.run, r.step, r.best, r.since) for r in spark.table("stops").collect())
     want = sorted((r.run, r.step, r.best, r.since) for r in stats.early_stop(log, 25).collect())
