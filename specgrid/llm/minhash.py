@@ -14,8 +14,11 @@ round a few anchors of it meet the members of other components, anchors then
 leave the bucket, and it closes when its members form one component. Anchors
 come in the same order in all buckets, those that share buckets with most others
 first, so the first round joins most copies and makes few different pairs. From
-the second round on pairs must also pass a sketch of the texts that remain. No
-bucket is capped, so no link between components is lost, however large it is.
+the second round on pairs must also pass a sketch of the texts that remain.
+Members and anchors of a large bucket are dealt over parts, and each part of the
+members meets each part of the anchors in a group of its own, so a group is small
+however large its bucket. No bucket is capped, so no link between components is
+lost.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specgrid.llm.common import Scratch, id_filter, in_slices, maybe_in, mix64, released, ship, window_hashes, words_of
+from specgrid.llm.common import Scratch, grouped, id_filter, in_slices, maybe_in, mix64, released, ship, window_hashes, words_of
 from specgrid.llm.components import connected_components
 
 SHINGLE = 5
@@ -42,7 +45,10 @@ SKETCH = 4096
 DEVIATIONS = 4.5
 #: What remains of a bucket after a round meets more anchors in the next; up to SMALL members all meet at once.
 GROWTH, SMALL = 32, 64
+#: Members of a bucket in one group, and anchors that they meet there.
+PART = 512
 
+_CELL = ["bucket", "part", "head"]
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 SETS = "id long, set_a long, shingles array<long>, sketch array<long>"
 
@@ -110,9 +116,45 @@ def most_unequal(coordinates: int, percent: int) -> int:
     return int(np.ceil(coordinates * (1 - p) + DEVIATIONS * np.sqrt(coordinates * p * (1 - p))))
 
 
-def _unequal(a: str, b: str) -> Column:
-    """Bits in which two sketches differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+def _dealt(marked: DataFrame) -> DataFrame:
+    """Each row once for each group that it belongs to: as a member beside all parts of the anchors, as an anchor in all parts of the members."""
+    pieces = lambda n: F.ceil(n / PART).cast("int")
+    parts, heads = pieces(F.col("n")), pieces(F.least("n", "spread"))
+    part, head = F.pmod(F.xxhash64("id", "set_a"), parts).cast("int"), F.pmod(F.xxhash64("set_a", "id"), heads).cast("int")
+    cell = lambda p, h, member, anchor: F.struct(p.alias("part"), h.alias("head"), member.alias("member"), anchor.alias("anchor"))
+    everywhere = lambda n: F.sequence(F.lit(0), n - 1)
+    as_member = F.transform(everywhere(heads), lambda h: cell(part, h, F.lit(True), F.col("used") & (h == head)))
+    as_anchor = F.transform(F.filter(everywhere(parts), lambda p: p != part), lambda p: cell(p, head, F.lit(False), F.col("used")))
+    cells = F.when(F.col("used"), F.concat(as_member, as_anchor)).otherwise(as_member)
+    return marked.withColumn("cell", F.explode(cells)).select("*", "cell.*").drop("cell", "n", "spread")
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _met(most: int):
+    """Pairs of a member and an anchor of other components whose sketches differ in ``most`` bits or fewer, in the first bucket they share.
+
+    An anchor meets another anchor only if that has the larger id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, _CELL):
+            ids, c, band, used, member, anchor = (group[x].to_numpy() for x in ("id", "c", "band", "used", "member", "anchor"))
+            sketch, bands = _matrix(group["sketch"], len(ids)).view(np.uint64), _matrix(group["bands"], len(ids))
+            members = np.flatnonzero(member)
+            ends = []
+            for k in np.flatnonzero(anchor).tolist():
+                hit = members[(ids[members] != ids[k]) & (c[members] != c[k]) & (~used[members] | (ids[members] > ids[k]))]
+                hit = hit[np.bitwise_count(sketch[hit] ^ sketch[k]).sum(axis=1) <= most]
+                hit = hit[(bands[hit] == bands[k]).argmax(axis=1) == band[hit]]
+                ends.append(np.column_stack([np.minimum(ids[hit], ids[k]), np.maximum(ids[hit], ids[k])]))
+            if ends:
+                both = np.concatenate(ends)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return released(run)
 
 
 def _digest(shingles: np.ndarray) -> list[int]:
@@ -181,10 +223,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     # Equal sets have equal bands.
     sets = scratch.keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "sets")
     firsts = sets.select(F.col("rep").alias("id"), "set_a", "bands")
-    placed = scratch.keep(firsts.select("id", "set_a", F.posexplode("bands").alias("band", "bucket")), "placed")
+    placed = firsts.select("id", "set_a", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
     members = scratch.keep(placed.join(scratch.keep(shared, "shared"), "bucket"), "members")
-    scratch.drop(placed)
     scratch.forget()
 
     # One order of anchors for all buckets: who shares buckets with most others comes first, as a text that
@@ -205,27 +246,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     # What a pair must pass before its sets are compared. Members of buckets stay small rows; this joins them for one step only.
     each = firsts.join(full.select("id", "set_a", "sketch").dropDuplicates(["id", "set_a"]), ["id", "set_a"])
     each = scratch.keep(each.select("id", "set_a", "sketch", "bands"), "each")
-    other = each.toDF("id_a", "set_a_a", "sketch_a", "bands_a")
-    meet = F.expr("id <> id_a AND c <> c_a AND (used IS NULL OR id > id_a)") & (_unequal("sketch", "sketch_a") <= most_unequal(SKETCH, percent))
-    # Two texts may share many buckets: they meet in the first of these.
-    first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
     rest = members.join(foremost, "bucket").where("id <> id_a").join(wanted, "id").select("bucket", "band", "id", "set_a", "fame", F.lit(1).alias("spread"))
     live = scratch.keep(_of_many(rest, names), "live")
     while n := live.count():
         part = F.when(F.col("n") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.col("spread"))).alias("part")
         order = F.struct("fame", -F.col("id"), "set_a")
-        anchors = live.groupBy("bucket", part).agg(F.max_by(F.struct("id", "set_a", "c"), order).alias("x")).select("bucket", "x.*").toDF("at", "id_a", "set_a_a", "c_a")
-        anchors = scratch.keep(anchors, "anchors", n)
-        # An anchor meets all others of its bucket, and another anchor only if that has the larger id.
-        marks = anchors.select(F.col("at").alias("bucket"), F.col("id_a").alias("id"), F.col("set_a_a").alias("set_a"), F.lit(True).alias("used"))
-        marked = scratch.keep(live.join(marks, ["bucket", "id", "set_a"], "left"), "marked")
-        left = marked.select("bucket", "band", "id", "set_a", "c", "used").join(each, ["id", "set_a"])
-        pairs = left.join(anchors.join(other, ["id_a", "set_a_a"]), (F.col("bucket") == F.col("at")) & meet & first)
-        pairs = scratch.keep(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")), "pairs")
+        anchors = live.groupBy("bucket", part).agg(F.max_by(F.struct("id", "set_a"), order).alias("x")).select("bucket", "x.*", F.lit(True).alias("used"))
+        marked = live.join(scratch.keep(anchors, "anchors", n), ["bucket", "id", "set_a"], "left")
+        marked = scratch.keep(marked.withColumn("used", F.coalesce("used", F.lit(False))), "marked")
+        left = _dealt(marked.drop("fame").join(each, ["id", "set_a"])).repartition(*_CELL).sortWithinPartitions(*_CELL)
+        pairs = scratch.keep(left.mapInArrow(_met(most_unequal(SKETCH, percent)), "a long, b long"), "pairs")
         names = _joined(names, _confirmed(pairs, full, percent, scratch), scratch)
         # Anchors have met all of their bucket; the rest goes on where it has two components.
-        stale, live = live, scratch.keep(_of_many(marked.where("used IS NULL"), names), "live", n)
-        scratch.drop(stale, marked, anchors)
+        stale, live = live, scratch.keep(_of_many(marked.where("NOT used").drop("used"), names), "live", n)
+        scratch.drop(stale, marked)
         scratch.forget()
     scratch.drop(live, each, full, members, foremost, wanted)
 
