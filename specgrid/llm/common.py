@@ -58,11 +58,16 @@ class Scratch:
         writes every ``FILE_ROWS`` of these, not one for every shuffle partition.
         """
         self.n += 1
-        df = df if most is None else df.coalesce(1 + most // FILE_ROWS)
+        df = df if most is None else df.coalesce(self.tasks(most))
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @staticmethod
+    def tasks(rows: int) -> int:
+        """Tasks for so many (small) rows."""
+        return 1 + rows // FILE_ROWS
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of this run that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -47,6 +47,8 @@ DEVIATIONS = 4.5
 GROWTH, SMALL = 32, 64
 #: Members of a bucket in one group, and anchors that they meet there.
 PART = 512
+#: Rows of a set, a sketch or the bands weigh as many rows of a few numbers where tasks are counted.
+HEAVY = 8
 
 _CELL = ["bucket", "part", "head"]
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -218,19 +220,22 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(texts.mapInArrow(_signatures(size, bands, rows), SIGNATURE), "signed")
+    most = signed.count()
 
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets have equal bands.
-    sets = scratch.keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "sets")
+    sets = scratch.keep(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "sets", HEAVY * most)
     firsts = sets.select(F.col("rep").alias("id"), "set_a", "bands")
     placed = firsts.select("id", "set_a", F.posexplode("bands").alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
-    members = scratch.keep(placed.join(scratch.keep(shared, "shared"), "bucket"), "members")
+    # A bucket of two or more takes two of the rows.
+    shared = scratch.keep(shared, "shared", bands * most // 2)
+    members = scratch.keep(placed.join(shared, "bucket"), "members", bands * most)
     scratch.forget()
 
     # One order of anchors for all buckets: who shares buckets with most others comes first, as a text that
     # others were made from is nearer to them than they are to each other.
-    wanted = scratch.keep(members.groupBy("id").agg(F.sum("n").alias("fame")), "wanted")
+    wanted = scratch.keep(members.groupBy("id").agg(F.sum("n").alias("fame")), "wanted", most)
     named = maybe_in(texts.select(F.col("doc_id").alias("id"), "text"), "id", id_filter(wanted, "id", scratch)).where("maybe").select("id", "text")
     # A doc_id that stands on several rows gives several sets; any of them may confirm a link.
     full = scratch.keep(named.mapInArrow(_sets(size), SETS), "full")
@@ -238,25 +243,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     # First round: the foremost of each bucket meets all the others.
     live = members.join(wanted, "id").select("bucket", "id", "fame")
     foremost = live.groupBy("bucket").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("id_a"))
-    foremost = scratch.keep(foremost, "foremost")
+    foremost = scratch.keep(foremost, "foremost", bands * most // 2)
     pairs = members.join(foremost, "bucket").where("id <> id_a").select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct()
-    names = connected_components(_confirmed(scratch.keep(pairs, "pairs"), full, percent, scratch), scratch)
+    names = connected_components(_confirmed(scratch.keep(pairs, "pairs", members.count()), full, percent, scratch), scratch)
     scratch.forget()
 
     # What a pair must pass before its sets are compared. Members of buckets stay small rows; this joins them for one step only.
     each = firsts.join(full.select("id", "set_a", "sketch").dropDuplicates(["id", "set_a"]), ["id", "set_a"])
-    each = scratch.keep(each.select("id", "set_a", "sketch", "bands"), "each")
+    each = scratch.keep(each.select("id", "set_a", "sketch", "bands"), "each", HEAVY * most)
     rest = members.join(foremost, "bucket").where("id <> id_a").join(wanted, "id").select("bucket", "band", "id", "set_a", "fame", F.lit(1).alias("spread"))
-    live = scratch.keep(_of_many(rest, names), "live")
+    live = scratch.keep(_of_many(rest, names), "live", bands * most)
     while n := live.count():
         part = F.when(F.col("n") <= SMALL, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.col("spread"))).alias("part")
         order = F.struct("fame", -F.col("id"), "set_a")
         anchors = live.groupBy("bucket", part).agg(F.max_by(F.struct("id", "set_a"), order).alias("x")).select("bucket", "x.*", F.lit(True).alias("used"))
         marked = live.join(scratch.keep(anchors, "anchors", n), ["bucket", "id", "set_a"], "left")
         marked = scratch.keep(marked.withColumn("used", F.coalesce("used", F.lit(False))), "marked")
-        left = _dealt(marked.drop("fame").join(each, ["id", "set_a"])).repartition(*_CELL).sortWithinPartitions(*_CELL)
+        left = _dealt(marked.drop("fame").join(each, ["id", "set_a"])).repartition(*_CELL)
+        left = left.coalesce(scratch.tasks(HEAVY * n)).sortWithinPartitions(*_CELL)
         pairs = scratch.keep(left.mapInArrow(_met(most_unequal(SKETCH, percent)), "a long, b long"), "pairs")
-        names = _joined(names, _confirmed(pairs, full, percent, scratch), scratch)
+        names = _joined(names, _confirmed(pairs, full, percent, scratch), most, scratch)
         # Anchors have met all of their bucket; the rest goes on where it has two components.
         stale, live = live, scratch.keep(_of_many(marked.where("NOT used").drop("used"), names), "live", n)
         scratch.drop(stale, marked)
@@ -279,7 +285,7 @@ def _of_many(rows: DataFrame, names: DataFrame) -> DataFrame:
     return now.join(mixed, "bucket").select("bucket", "band", "id", "set_a", "fame", "c", "n", (F.col("spread") * GROWTH).alias("spread"))
 
 
-def _joined(names: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+def _joined(names: DataFrame, links: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """Components ``(node, component)`` after further links, worked out on the components so far."""
     if links.isEmpty():
         return names
@@ -289,14 +295,15 @@ def _joined(names: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     over = connected_components(upper, scratch).select(F.col("node").alias("component"), F.col("component").alias("top"))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(names, "node", "left_anti")
     every = names.unionByName(ends.withColumn("component", F.col("node")))
-    out = scratch.keep(every.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "names")
+    out = scratch.keep(every.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "names", most)
     scratch.drop(upper, over, names)
     return out
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs whose full sets overlap enough, as a written table that may repeat some; that of the pairs goes."""
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     marks = id_filter(ids, "id", scratch)
@@ -307,6 +314,6 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch
     na, nb = F.size("sa"), F.size("sb")
     both = both.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
     shared = F.size(F.array_intersect("sa", "sb"))
-    found = scratch.keep(both.where(100 * shared >= percent * (na + nb - shared)).select("a", "b"), "links")
+    found = scratch.keep(both.where(100 * shared >= percent * (na + nb - shared)).select("a", "b"), "links", 2 * HEAVY * n)
     scratch.drop(marks, pairs)
     return found
