@@ -204,3 +204,15 @@ def test_groups_of_a_hot_cell_are_bounded(spark):
     want = brute_vectors(table, 0.98)
     for cell in (2, 10, 2000):
         assert sorted(tuple(r) for r in vectors.near_vectors(df, cell=cell).collect()) == want
+
+
+def test_members_meet_each_anchor_of_their_bucket_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 8)
+    rows = [(1, i, i * 7, i % 4 == 0, 80, 20) for i in range(80)] + [(2, 5, 9, True, 1, 32)]
+    cells = minhash._dealt(spark.createDataFrame(rows, "bucket long, id long, set_a long, used boolean, n long, spread long")).collect()
+    groups = {}
+    for r in cells:
+        groups.setdefault((r.bucket, r.part, r.head), []).append(r)
+    met = [(k[0], m.id, a.id) for k, g in groups.items() for m in g if m.member for a in g if a.anchor]
+    assert sorted(met) == sorted((b, i, j) for b, i, *_ in rows for c, j, _, used, *_ in rows if b == c and used)
+    assert max(len(g) for g in groups.values()) < 40
