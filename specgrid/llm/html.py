@@ -5,9 +5,10 @@ length of its text outside links; lines in menus, headers, footers, sidebars,
 notices, adverts, forms and comment areas weigh nothing. Weights are summed over
 sliding windows of lines: the text surges where a window first passes the
 threshold and dives where a window is empty again; lines between a surge and its
-dive are kept, on every page and over all lines. Where marked elements (article,
-main, or a class such as entry-content) hold at least half of the page's text, the
-mark adds the threshold to the sums of their lines, so short paragraphs stay; lines
+dive are kept, on every page and over all lines. Lines in marked elements (article,
+main, or a class such as entry-content) have a part of the threshold added to their
+sums, the share of the page's unskipped text that such elements hold: short
+paragraphs of an article that is the whole text stay, a teaser gains little. Lines
 outside are judged by their own sums. An article in a skipped area, or with a noise
 class of its own, is skipped like anything else there. A page on which no window
 reaches the threshold keeps all its unskipped lines that are not mostly links.
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 from specgrid.llm.common import ship
 
 WINDOW = 3
-#: Characters of a window at which text surges; a marked line has as many on top.
+#: Characters of a window at which text surges; a marked line has up to as many on top.
 SURGE = 86
 
 # Element names and class words.
-_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 _TAG = re.compile(r"(?s)<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?/][^>]*>")
-_SKIP = frozenset("head nav header footer aside form menu dialog button fieldset".split())
+_SKIP = frozenset("head nav header footer aside form menu dialog button fieldset template svg select object".split())
 _MARKED = frozenset("article main".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -59,9 +60,16 @@ _NOISE_WHOLE = re.compile(_NOISE.pattern.replace(r"(?:^|[\s_-])", r"(?:^|\s)", 1
 _WORDS = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt td th tr figcaption blockquote pre span em strong b i".split())
 #: On article and main only what a class starts with: "comment-body", not "has-sidebar" or "category-social".
 _NOISE_FIRST = re.compile(_NOISE.pattern.replace(r"(?:^|[\s_-])", r"(?:^|\s)", 1))
+#: Classes such as "legal-notice-article" name an article, unless they start with a noise word ("ad-article").
+_NAMES_ARTICLE = re.compile(r"(?i)(?<!\S)\S+[_-]article(?!\S)")
 _ARTICLE_ROLE = re.compile(r"(?i)(?:^|[\s_-])(?:main|article|articlebody|post-content|entry-content|article-body|story-body)(?:$|[\s])")
 
 
+def _without_articles(words: str) -> str:
+    """Classes without those that name an article and do not start with a noise word."""
+    return _NAMES_ARTICLE.sub(lambda m: m[0] if _NOISE_FIRST.search(m[0]) else "", words)
+
+
 def _kind(name: str, attrs: str) -> str:
     """skip, marked or plain."""
     if name in _SKIP:
@@ -71,7 +79,7 @@ def _kind(name: str, attrs: str) -> str:
             return "skip"
         words = " ".join(a or b or c for _, a, b, c in _CLASS.findall(attrs))
         if words:
-            if (_NOISE_FIRST if name in _MARKED else _NOISE_WHOLE if name in _WORDS else _NOISE).search(words):
+            if (_NOISE_FIRST if name in _MARKED else _NOISE_WHOLE if name in _WORDS else _NOISE).search(_without_articles(words)):
                 return "skip"
             if _ARTICLE_ROLE.search(words):
                 return "marked"
@@ -99,12 +107,12 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
     parts: list[str] = []
     stack: list[tuple[str, str, int]] = []
     closed: set[int] | None = None
-    skips = marks = links = linked = at = 0
+    skips = mutes = marks = links = linked = at = 0
     last = ""
 
     def put(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not mutes:
             parts.append(raw)
             if links:
                 linked += len(raw)
@@ -118,12 +126,14 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
         parts.clear()
         linked = 0
 
-    def pop() -> None:
-        nonlocal skips, marks, links
+    def pop() -> str:
+        nonlocal skips, mutes, marks, links
         name, kind, _ = stack.pop()
         skips -= kind == "skip"
+        mutes -= kind == "mute"
         marks -= kind == "marked"
         links -= name == "a"
+        return name
 
     tags = list(_TAG.finditer(page))
     for number, m in enumerate(tags):
@@ -134,6 +144,9 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
             continue
         closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in _BLOCK:
+            if not closing and any(n == "svg" for n, _, _ in stack) and all(n != "foreignobject" for n, _, _ in stack):
+                while pop() != "svg":  # a block ends a drawing that was left open
+                    pass
             flush()
             last = name
         elif name == "br":
@@ -149,6 +162,8 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
         if name in _VOID:
             continue
         kind = _kind(name, attrs)
+        if kind == "skip" and name not in _BLOCK:
+            kind = "mute"  # inside a line, which goes on behind it
         for ended, scope in ((_PARAGRAPH,) if name in _BLOCK and name != "body" else ()) + ((_ENDS[name],) if name in _ENDS else ()):
             for depth in range(len(stack) - 1, -1, -1):
                 n, k, _ = stack[depth]
@@ -156,18 +171,19 @@ def to_lines(page: str) -> list[tuple[str, int, bool, str]]:
                     while len(stack) > depth:
                         pop()
                     break
-                if n in scope or k == "skip":  # what is skipped stays so to its end
+                if n in scope or k in ("skip", "mute"):  # what is skipped stays so to its end
                     break
         ends = name == "body"
-        if kind == "marked" and skips:
+        if kind == "marked" and skips + mutes:
             closed = _closed(tags) if closed is None else closed
-            ends = all(i not in closed for _, k, i in stack if k == "skip")
-        while ends and skips:  # what was left open before, and is never closed, ends here
+            ends = all(i not in closed for _, k, i in stack if k in ("skip", "mute"))
+        while ends and skips + mutes:  # what was left open before, and is never closed, ends here
             pop()
         if attrs.rstrip().endswith("/") and name not in _BLOCK:
             continue
         stack.append((name, kind, number))
         skips += kind == "skip"
+        mutes += kind == "mute"
         marks += kind == "marked"
         links += name == "a"
     put(page[at:])
@@ -182,8 +198,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     lines = to_lines(page)
     weights = [max(0, w) for _, w, _, _ in lines]
     unskipped = sum(len(t) for t, w, _, _ in lines if w >= 0)
-    counts = 2 * sum(len(t) for t, w, m, _ in lines if m and w >= 0) >= unskipped  # else the marked text is a teaser
-    added = [surge if counts and m and w >= 0 else 0 for _, w, m, _ in lines]
+    share = sum(len(t) for t, w, m, _ in lines if m and w >= 0) / max(1, unskipped)  # small for a teaser
+    added = [surge * share if m and w >= 0 else 0 for _, w, m, _ in lines]
     n, keep = len(lines), [False] * len(lines)
     sums = [sum(weights[i : i + window]) + added[i] for i in range(n)]
     i = 0
@@ -221,7 +237,10 @@ def extract_pages(pages: DataFrame, *, window: int = WINDOW, surge: int = SURGE)
 
     A null, empty or textless page gives an empty text. Pages are handled one by
     one, so repeated rows come back each and nothing is shuffled; extra columns
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result. A page of any length is
+    read whole. An unclosed comment, script, style, title, textarea, noscript or
+    iframe runs to the page's end, as in browsers; any other unclosed element ends
+    with the element around it, an unclosed drawing with the next block too.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
