@@ -24,12 +24,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar does not reject."""
+    """Documents that the toxicity grammar does not reject.
+
+    Each row is scored by its own text, so repeated rows stay or go together, and a
+    null or empty text is scored like a text without any telling word and stays.
+    """
     return score(docs, train_toxicity(spark, docs, sf_dir)).where("predicted = 0").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of passages; a document that was nothing but repeats goes."""
+    """Texts without later repeats of passages; a document that was nothing but repeats goes.
+
+    A null or empty text stays as it is, texts without repeats keep their
+    ``n_chars``. Of repeated rows the first keeps its passages, the later ones go
+    if they consist of such; rows too short to be a passage stay each.
+    """
     out = drop_repeats(docs.select(*COLUMNS)).where("NOT emptied")
     shorter = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", shorter).select(*COLUMNS)
@@ -71,7 +80,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the mixed documents."""
+    """Token ids of the mixed documents, a row for each copy; a null or empty text has none."""
     return encode_pieces(docs, read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
@@ -88,9 +97,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, in order."""
+    """All stages, in order; a stage's table goes when the next one is written. Extra columns are dropped by the first."""
     scratch = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES):
+        made = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            scratch.drop(docs)
+        docs = made
     return docs
