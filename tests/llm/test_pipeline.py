@@ -68,6 +68,23 @@ def test_near_dedup_stage_rows(spark, data):
     assert told(cp.near_dedup(spark, spark.createDataFrame(plain, kinds), data)) == sorted(brute_near_dedup(plain), key=repr)
 
 
+def test_run_with_odd_rows(spark, data, tmp_path):
+    once = " ".join(f"k{i}" for i in range(70))
+    odd = [(None, None, None, None, None), (None, once, "en", "src0", 9), (900_001, once, "en", "src0", 9), (900_002, "", "en", None, 0), (900_003, "twice here", "en", "src1", 10), (900_003, "twice here", "en", "src1", 10), (900_004, None, "en", "src1", None)]
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(*cp.COLUMNS)
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({"copies": F.lit("x"), "row": F.lit(1.5), "predicted": F.lit("y")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = cp.run(spark, str(tmp_path))
+    rows = got.collect()
+    assert rows and got.where("NOT decoded_ok").count() == 0
+    ids = [r.doc_id for r in rows]
+    assert not {900_002, 900_004} & set(ids)  # without words, so the mix never takes them
+    assert ids.count(900_003) <= 2  # the repeated row counts once, and twice its size at most
+    assert ids.count(None) + ids.count(900_001) <= 2  # the same passage stands in one document only
+    assert set(ids) <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_sql(spark, data, name):
     con = duckdb.connect()
