@@ -12,7 +12,9 @@ Rows of a source are dealt over groups of bounded size by a hash; each group
 ends with at most one fraction, these residuals meet in groups again, and so on:
 a reduction tree whose last fraction is rounded to the nearer side. Documents too
 long for a group to bear are rounded in a tree of their own before; the words won
-or lost there are spread over the rest of the source. Rows equal in all columns
+or lost there are spread over the rest of the source. In a source of one group, a
+document that all others together cannot make up for goes to the side that they
+can, as being near the target counts for more than its own chance. Rows equal in all columns
 are counted first and hold one fraction together, however many they are. All draws
 depend on hashes of ids and a seed alone, so reruns agree however rows are partitioned.
 """
@@ -94,11 +96,12 @@ def _pairs(p: np.ndarray, weight: np.ndarray, draws: np.ndarray, start: int) ->
     return held
 
 
-def pivot(p: np.ndarray, weight: np.ndarray, draws: np.ndarray) -> int:
+def pivot(p: np.ndarray, weight: np.ndarray, draws: np.ndarray, near: bool = False) -> int:
     """Rounds the fractions ``p`` in place, heaviest first; the index of the one left over, -1 if none.
 
     The first one goes up or down for good; the next ones share the mass that it
-    gives or takes, each in proportion to what it can bear both ways.
+    gives or takes, each in proportion to what it can bear both ways. With ``near``,
+    one that all others together could not make up for goes to the side that they can.
     """
     n = len(p)
     for j in range(n):
@@ -116,8 +119,19 @@ def pivot(p: np.ndarray, weight: np.ndarray, draws: np.ndarray) -> int:
             if k <= len(total):
                 break
             if to == n:
-                return _pairs(p, weight, draws, j)
+                k = 0
+                break
             ahead *= 4
+        if not k:
+            takes, gives = (b * w).sum() >= (1 - a) * wa, ((1 - b) * w).sum() >= a * wa
+            if not near or not (takes or gives):
+                return _pairs(p, weight, draws, j)
+            up = takes and (draws[j] < a or not gives)
+            b = b - b * (1 - a) * wa / (b * w).sum() if up else b + (1 - b) * a * wa / ((1 - b) * w).sum()
+            b[b <= _EPS], b[b >= 1 - _EPS] = 0, 1
+            p[j + 1 :] = b
+            p[j] = float(up)
+            continue
         up = draws[j] < a
         b = b[:k] + (-(1 - a) if up else a) * wa * room[:k] / total[k - 1] / w[:k]
         b[b <= _EPS], b[b >= 1 - _EPS] = 0, 1
@@ -126,13 +140,14 @@ def pivot(p: np.ndarray, weight: np.ndarray, draws: np.ndarray) -> int:
     return -1
 
 
-def _round_group(level: int, seed: int):
+def _round_group(level: int, seed: int, fan_in: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "draw", "row_key"], ascending=[False, True, True], kind="stable", ignore_index=True)
         p = rows["p"].to_numpy(dtype=float).copy()
         name = f"{seed}\0{level}\0{key[0]!r}\0{key[1]}"
         draws = np.random.default_rng(xxhash.xxh3_64_intdigest(name)).random(len(p))
-        left = pivot(p, rows["size"].to_numpy(dtype=float), draws)
+        whole = level == 0 and len(p) > 0 and bool(rows["n"].iloc[0] <= fan_in)  # all of a small source
+        left = pivot(p, rows["size"].to_numpy(dtype=float), draws, near=whole)
         rows["p"] = p
         rows["open"] = np.arange(len(p)) == left
         return rows
@@ -148,7 +163,7 @@ def _tree(rows: DataFrame, groups: Column, scratch: Scratch, name: str, *, seed:
     done: list[DataFrame] = []
     level = 0
     while True:
-        rounded = scratch.keep(rows.groupBy("source", "part").applyInPandas(_round_group(level, seed), schema), f"{name}{level}")
+        rounded = scratch.keep(rows.groupBy("source", "part").applyInPandas(_round_group(level, seed, fan_in), schema), f"{name}{level}")
         rest = rounded.where("open")
         level += 1
         widest = rest.groupBy("source").count().agg(F.max("count")).first()[0] or 0
