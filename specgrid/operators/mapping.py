@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,51 +13,183 @@ from specgrid.operators.order import global_rank
 from specgrid.sources.io import work_dir
 
 
-def _filed(boxes: DataFrame, box: tuple[str, str, str, str], cell: float) -> DataFrame:
+#: Cells that a box is wide at most: in a join of pairs, where it is looked up, and where its inner cells are counted.
+WIDE, COVERED, COUNTED = 8, 16, 32
+#: Pairs that a task of a range join tries, about.
+TRIED = 2_000_000
+#: Boxes of a task that lists their cells.
+DEALT = 200
+_KEY = ["lv", "cx", "cy"]
+
+
+def _level(box: tuple[Column, ...], cell: float, wide: int) -> Column:
+    """First level of the grid on which a box is at most ``wide`` cells wide; -1 for boxes that no level holds, met by all points."""
+    x0, x1, y0, y1 = box
+    size = F.greatest(x1 - x0, y1 - y0)
+    level = F.greatest(F.ceil(F.log2(size / (cell * wide))), F.lit(0)).cast("int")
+    return F.when(F.isnan(size) | (size == float("inf")), -1).otherwise(level)
+
+
+def _filed(boxes: DataFrame, box: tuple[str, str, str, str], cell: float, wide: int = 1) -> DataFrame:
     """Boxes under ``lv, cx, cy``: level and cells of the grid on which they touch a few cells only."""
     x0, x1, y0, y1 = (F.col(c).cast("double") for c in box)
-    size = F.greatest(x1 - x0, y1 - y0)
-    whole = F.isnan(size) | (size == float("inf"))  # no cell is as wide: met by all points
-    level = F.when(whole, -1).otherwise(F.greatest(F.ceil(F.log2(size / cell)), F.lit(0))).cast("int")
     side = cell * F.pow(F.lit(2.0), F.col("lv"))
     cells = lambda a, b: F.when(F.col("lv") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(a / side), F.floor(b / side)))
-    fits = boxes.where((x0 <= x1) & (y0 <= y1)).withColumn("lv", level)
+    fits = boxes.where((x0 <= x1) & (y0 <= y1)).withColumn("lv", _level((x0, x1, y0, y1), cell, wide))
     return fits.withColumn("cx", F.explode(cells(x0, x1))).withColumn("cy", F.explode(cells(y0, y1)))
 
 
+def _listed(points: DataFrame, filed: DataFrame, px: str, py: str, cell: float) -> DataFrame:
+    """Points under their cell of each level that ``filed`` has; one that is not a number lies in none but the whole plane."""
+    probes = points.withColumn("lv", F.explode(filed.agg(F.collect_set("lv")).scalar()))
+    side = cell * F.pow(F.lit(2.0), F.col("lv"))
+    at = lambda c: F.when(F.col("lv") < 0, F.lit(0).cast("long")).when(~F.isnan(F.col(c).cast("double")), F.floor(F.col(c).cast("double") / side))
+    return probes.withColumns({"cx": at(px), "cy": at(py)})
+
+
 def range_join(points: DataFrame, boxes: DataFrame, px: str, py: str, box: tuple[str, str, str, str], cell: float) -> DataFrame:
     """Points in boxes of any size (J1): an equi-join on the cells of a hierarchy of grids, then the exact test.
 
-    ``box`` names the columns x_min, x_max, y_min, y_max, ``cell`` is the side of
-    the smallest cells; those of the next level are twice as wide. A box is filed
-    at the first level whose cells are not smaller than the box, where it touches
-    four cells at most, so one that spans the world costs as much as a small one.
-    A point is listed under its cell of each level that has boxes: their number is
-    bounded by the logarithm of the sizes, and an aggregate finds them as one
-    value. A pair meets once. The cells are the join key: sides of any size
-    are shuffled and skewed cells are split; Spark broadcasts a side that is small.
-    Rows with a null coordinate or bound, and boxes that end before they start,
-    meet nothing; infinite bounds are met like any other.
+    ``box`` names the columns x_min, x_max, y_min, y_max, ``cell`` is a usual box's
+    side. A box is filed at the first level on which it is at most ``WIDE`` cells
+    wide, so one that spans the world costs as much as a small one. A point is
+    listed under its cell of each level that has boxes: their number is bounded by
+    the logarithm of the sizes, and an aggregate finds them as one value. A pair
+    meets once. Points and boxes of each cell are counted first: the join has as
+    many tasks as the tried pairs ask for, whatever the size of its inputs, and the
+    points of a cell with very many pairs are dealt over parts. Rows with a null
+    coordinate or bound, and boxes that end before they start, meet nothing;
+    infinite bounds are met like any other.
     """
     x0, x1, y0, y1 = box
-    filed = _filed(boxes, box, cell)
-    probes = points.withColumn("lv", F.explode(filed.agg(F.collect_set("lv")).scalar()))
-    side = cell * F.pow(F.lit(2.0), F.col("lv"))
-    at = lambda c: F.when(F.col("lv") < 0, F.lit(0).cast("long")).otherwise(F.floor(F.col(c).cast("double") / side))
+    filed = _filed(boxes, box, cell / WIDE, WIDE)
+    probes = _listed(points, filed, px, py, cell / WIDE)
+    pairs = F.col("_p") * F.col("_b")
+    tried = probes.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_p")).join(filed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_b")), _KEY)
+    all_pairs, most = tried.agg(F.sum(pairs), F.max(pairs)).first()
+    parts, key = (all_pairs or 0) // TRIED + 1, _KEY
+    if (most or 0) > 2 * TRIED:
+        heavy = tried.select(*_KEY, F.ceil(pairs / TRIED).cast("int").alias("_k")).where("_k > 1")
+        dealt = lambda df, to: df.join(heavy, _KEY, "left").withColumn("_part", to).drop("_k")
+        k = F.coalesce("_k", F.lit(1))
+        probes = dealt(probes, F.pmod(F.xxhash64(*points.columns), k).cast("int"))
+        filed, key = dealt(filed, F.explode(F.sequence(F.lit(0), k - 1))), [*_KEY, "_part"]
     inside = F.col(px).between(F.col(x0), F.col(x1)) & F.col(py).between(F.col(y0), F.col(y1))
-    return probes.withColumns({"cx": at(px), "cy": at(py)}).join(filed, ["lv", "cx", "cy"]).where(inside).drop("lv", "cx", "cy")
+    return probes.repartition(parts, *key).join(filed.repartition(parts, *key), key).where(inside).drop(*key)
+
+
+@dataclass(frozen=True)
+class Meeting:
+    """Points, boxes and when a point is in a box: ``exact`` is sure outside ``box`` not to hold and inside ``sure``, a smaller box, to hold.
+
+    What is asked about a meeting, other than its pairs, is told by cells: those
+    that lie in a box as a whole are not looked into. Only points in cells on a
+    box's edge are tested. Joins are hinted: Spark takes the
+    listed cells of boxes for as small as the boxes and would broadcast them.
+    """
+
+    points: DataFrame
+    boxes: DataFrame
+    px: str
+    py: str
+    box: tuple[str, str, str, str]
+    sure: tuple[str, str, str, str]
+    exact: Column
+    cell: float
+
+    def split(self, boxes: DataFrame, wide: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Boxes with a number ``_id``, boxes under the cells inside them, boxes under the other cells that they touch, and points under their cells."""
+        cell = self.cell / wide
+        x0, x1, y0, y1 = ends = tuple(F.col(c).cast("double") for c in self.box)
+        side = cell * F.pow(F.lit(2.0), F.col("lv"))
+        far = F.greatest(*[F.abs(c) for c in ends]) / side > 1e15  # beyond it the numbers of cells are not exact
+        placed = boxes.where((x0 <= x1) & (y0 <= y1)).withColumn("lv", _level(ends, cell, wide)).withColumn("lv", F.when(far, -1).otherwise(F.col("lv")))
+        at = lambda c, by=0: F.when(F.col("lv") < 0, F.lit(0).cast("long")).otherwise(F.floor(F.col(c).cast("double") / side) + by)
+        outer = dict(zip(("_x0", "_x1", "_y0", "_y1"), map(at, self.box), strict=True))
+        inner = {n: at(c, by) for n, c, by in zip(("_u0", "_u1", "_v0", "_v1"), self.sure, (1, -1, 1, -1), strict=True)}
+        placed = placed.withColumns(outer | inner).withColumn("_id", F.monotonically_increasing_id())
+        path = work_dir(boxes.sparkSession, "boxes")  # a row a box; its cells are numbers from here on
+        placed.write.parquet(path)
+        placed = boxes.sparkSession.read.schema(placed.schema).parquet(path)
+        placed = placed.repartition(placed.count() // DEALT + 1)
+        holds = F.coalesce((F.col("lv") >= 0) & (F.col("_u0") <= F.col("_u1")) & (F.col("_v0") <= F.col("_v1")), F.lit(False))
+        drop = lambda df: df.drop(*outer, *inner)
+        whole = placed.where(holds).withColumn("cx", F.explode(F.sequence("_u0", "_u1"))).withColumn("cy", F.explode(F.sequence("_v0", "_v1")))
+        beside = F.concat(F.sequence(F.col("_x0"), F.col("_u0") - 1), F.sequence(F.col("_u1") + 1, F.col("_x1")))
+        rest = F.when(holds & F.col("cy").between(F.col("_v0"), F.col("_v1")), beside).otherwise(F.sequence("_x0", "_x1"))
+        edge = placed.withColumn("cy", F.explode(F.sequence("_y0", "_y1"))).withColumn("cx", F.explode(rest))
+        return drop(placed), drop(whole), drop(edge), _listed(self.points, placed, self.px, self.py, cell)
+
+    def counts(self, *keys: str) -> DataFrame:
+        """Pairs of the boxes of each ``keys`` as ``n_pairs``, if there are any; cells inside a box add the number of their points."""
+        placed, whole, edge, probes = self.split(self.boxes, COUNTED)
+        held = probes.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_held"))
+        inside = whole.select("_id", *_KEY).join(held.hint("shuffle_hash"), _KEY).groupBy("_id").agg(F.sum("_held").alias("n_pairs"))
+        tested = edge.join(probes.hint("merge"), _KEY).where(self.exact).groupBy("_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+        found = inside.unionByName(tested).groupBy("_id").agg(F.sum("n_pairs").alias("n_pairs"))
+        return placed.select("_id", *keys).join(found, "_id").groupBy(*keys).agg(F.sum("n_pairs").alias("n_pairs"))
+
+    def covered(self, keep: list[str], label: list[str]) -> DataFrame:
+        """Distinct points (columns ``keep``) and labels of boxes that they are in; a cell that a label covers needs no test for it."""
+        _, whole, edge, probes = self.split(self.boxes, COVERED)
+        full = whole.select(*label, *_KEY).distinct()
+        tested = edge.join(full, [*label, *_KEY], "left_anti").join(probes.hint("merge"), _KEY).where(self.exact)
+        return probes.join(full, _KEY).select(*keep, *label).unionByName(tested.select(*keep, *label)).distinct()
+
+    def first_box(self, keep: list[str], *order: str) -> DataFrame:
+        """Distinct points with the first box, in ``order``, that they are in: on a cell's edges only boxes before the first that covers it are tested."""
+        numbered = global_rank(self.boxes, *order, name="_no")
+        _, whole, edge, probes = self.split(numbered, COVERED)
+        best = whole.groupBy(*_KEY).agg(F.min("_no").alias("_best"))
+        tested = edge.join(best, _KEY, "left").where("_best IS NULL OR _no < _best").join(probes.hint("merge"), _KEY).where(self.exact)
+        either = probes.join(best, _KEY).select(*keep, F.col("_best").alias("_no")).unionByName(tested.select(*keep, "_no"))
+        return either.groupBy(*keep).agg(F.min("_no").alias("_no")).join(numbered, "_no").drop("_no")
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, px: str, py: str, box: tuple[str, str, str, str], cell: float = 0.3) -> Meeting:
+    """Points in plain boxes, ends included."""
+    x0, x1, y0, y1 = box
+    return Meeting(points, boxes, px, py, box, box, F.col(px).between(F.col(x0), F.col(x1)) & F.col(py).between(F.col(y0), F.col(y1)), cell)
+
+
+_GRANULE_BOX, _PATCH_BOX = ("bx0", "bx1", "by0", "by1"), ("px0", "px1", "py0", "py1")
+
+
+def _granule_boxes(granules: DataFrame) -> DataFrame:
+    x1, y1 = F.col("origin_x") + F.col("width") * F.col("pixel_w"), F.col("origin_y") + F.col("height") * F.col("pixel_h")
+    return granules.withColumns({"bx0": F.least("origin_x", x1), "bx1": F.greatest("origin_x", x1), "by0": F.least("origin_y", y1), "by1": F.greatest("origin_y", y1)})
+
+
+def _pixel() -> dict[str, Column]:
+    x, y = geo.pixel_index(F.col("e"), F.col("n"), F.col("origin_x"), F.col("pixel_w"), F.col("origin_y"), F.col("pixel_h"))
+    return {"x_idx": x, "y_idx": y}
 
 
 def map_sites(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: float = 20_000.0) -> DataFrame:
     """Site-to-pixel join (J2): one row per site and granule whose patch fits, with pixel indices."""
     located = geo.with_utm(sites, "lon", "lat")
-    x1, y1 = F.col("origin_x") + F.col("width") * F.col("pixel_w"), F.col("origin_y") + F.col("height") * F.col("pixel_h")
-    boxes = granules.withColumns(
-        {"bx0": F.least("origin_x", x1), "bx1": F.greatest("origin_x", x1), "by0": F.least("origin_y", y1), "by1": F.greatest("origin_y", y1)}
-    )
-    x, y = geo.pixel_index(F.col("e"), F.col("n"), F.col("origin_x"), F.col("pixel_w"), F.col("origin_y"), F.col("pixel_h"))
-    pairs = range_join(located, boxes, "e", "n", ("bx0", "bx1", "by0", "by1"), cell).withColumns({"x_idx": x, "y_idx": y})
-    return pairs.where(geo.fits_patch(F.col("x_idx"), F.col("y_idx"), F.col("width"), F.col("height"), patch // 2)).drop("bx0", "bx1", "by0", "by1")
+    pairs = range_join(located, _granule_boxes(granules), "e", "n", _GRANULE_BOX, cell).withColumns(_pixel())
+    return pairs.where(geo.fits_patch(F.col("x_idx"), F.col("y_idx"), F.col("width"), F.col("height"), patch // 2)).drop(*_GRANULE_BOX)
+
+
+def mapped_sites(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: float = 24_000.0) -> Meeting:
+    """The pairs of ``map_sites`` as a meeting, for all that can be told without listing them."""
+    half = patch // 2
+    boxes = _granule_boxes(granules)
+    for (lo, hi), origin, size, step in ((_PATCH_BOX[:2], "origin_x", "width", "pixel_w"), (_PATCH_BOX[2:], "origin_y", "height", "pixel_h")):
+        # one pixel more than the patch needs, so that no rounding matters
+        near, away = F.col(origin) + (half + 1) * F.col(step), F.col(origin) + (F.col(size) - half - 1) * F.col(step)
+        boxes = boxes.withColumns({lo: F.when(F.col(step) > 0, near).otherwise(away), hi: F.when(F.col(step) > 0, away).otherwise(near)})
+    at = _pixel()
+    inside = F.col("e").between(F.col("bx0"), F.col("bx1")) & F.col("n").between(F.col("by0"), F.col("by1"))
+    exact = inside & geo.fits_patch(at["x_idx"], at["y_idx"], F.col("width"), F.col("height"), half)
+    return Meeting(geo.with_utm(sites, "lon", "lat"), boxes, "e", "n", _GRANULE_BOX, _PATCH_BOX, exact, cell)
+
+
+def first_granules(mapped: Meeting) -> DataFrame:
+    """One row per place, of all sites and granules there the first by ``granule_id, site_id``."""
+    won = mapped.first_box(["site_id", "lat", "lon", "e", "n"], "granule_id", "gid").withColumns(_pixel())
+    return dedup_first(won, [F.round("lat", 5), F.round("lon", 5)], ["granule_id", "site_id"])
 
 
 def dedup_first(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -67,29 +200,41 @@ def dedup_first(df: DataFrame, keys: list[Column | str], order: list[Column | st
     return keyed.groupBy(*names).agg(best.alias("row")).select("row.*")
 
 
-def granule_site_counts(mapping: DataFrame) -> DataFrame:
+def granule_site_counts(mapped: Meeting) -> DataFrame:
     """Sites of each granule (A3); order them where they are shown."""
-    return mapping.groupBy("granule_id").agg(F.count(F.lit(1)).alias("n_sites"))
+    return mapped.counts("granule_id").withColumnRenamed("n_pairs", "n_sites")
 
 
-def flightline_coverage(matches: DataFrame) -> DataFrame:
+def flightline_coverage(mapped: Meeting) -> DataFrame:
     """Distinct sites and granules of each flightline (A4)."""
-    return matches.groupBy("flightline").agg(F.countDistinct("site_id").alias("n_sites"), F.sort_array(F.collect_set("granule_id")).alias("granules"))
+    sites = mapped.covered(["site_id"], ["flightline"]).groupBy("flightline").agg(F.countDistinct("site_id").alias("n_sites"))
+    granules = mapped.counts("flightline", "granule_id").groupBy(F.col("flightline").alias("_line")).agg(F.sort_array(F.collect_set("granule_id")).alias("granules"))
+    return sites.join(granules, F.col("flightline").eqNullSafe(F.col("_line"))).drop("_line")
 
 
-def coverage_totals(matches: DataFrame) -> DataFrame:
+def coverage_totals(mapped: Meeting) -> DataFrame:
     """Distinct covered sites, distinct granules and pairs (A5)."""
-    return matches.agg(F.countDistinct("site_id").alias("n_sites"), F.countDistinct("granule_id").alias("n_granules"), F.count(F.lit(1)).alias("n_pairs"))
+    sites = mapped.covered(["site_id"], []).agg(F.countDistinct("site_id").alias("n_sites"))
+    pairs = mapped.counts("granule_id").agg(F.count("granule_id").alias("n_granules"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"))
+    return sites.crossJoin(pairs)  # a row each
 
 
-def coverage_gaps(sites: DataFrame, mapping: DataFrame, boxes: DataFrame, cell: float = 0.25) -> DataFrame:
+def coverage_gaps(sites: DataFrame, mapped: Meeting, boxes: DataFrame) -> DataFrame:
     """Unmapped sites and why (J7): ``no_granule`` outside all boxes, else ``edge_or_data``."""
-    missing = sites.join(mapping.select("site_id").distinct(), "site_id", "left_anti")
-    inside = range_join(missing, boxes, "lon", "lat", ("lon_min", "lon_max", "lat_min", "lat_max"), cell).select("site_id").distinct()
+    missing = sites.join(mapped.covered(["site_id"], []), "site_id", "left_anti")
+    inside = in_boxes(sites, boxes, "lon", "lat", ("lon_min", "lon_max", "lat_min", "lat_max")).covered(["site_id"], [])
     flagged = missing.join(inside.withColumn("hit", F.lit(True)), "site_id", "left")
     return flagged.withColumn("reason", F.when(F.col("hit"), "edge_or_data").otherwise("no_granule")).drop("hit")
 
 
+def flightline_sites(mapped: Meeting) -> DataFrame:
+    """Distinct flightlines and sites, written once, as the ranks and covers read them more than once."""
+    lines = mapped.covered(["site_id"], ["flightline"])
+    path = work_dir(lines.sparkSession, "lines")
+    lines.write.parquet(path)
+    return lines.sparkSession.read.schema(lines.schema).parquet(path)
+
+
 def rank_flightlines(matches: DataFrame, n: int) -> DataFrame:
     """Top ``n`` flightlines by sites, with the sites that no better-ranked one has."""
     lines = matches.select("flightline", "site_id").distinct()
@@ -159,7 +304,9 @@ def sites_extent(sites: DataFrame) -> DataFrame:
     return sites.agg(F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"))
 
 
-def extent_overlap(boxes: DataFrame, sites: DataFrame, cell: float = 0.25) -> DataFrame:
-    """Box of each granule and the sites inside (G6); granules without sites count 0."""
-    hits = range_join(sites, boxes, "lon", "lat", ("lon_min", "lon_max", "lat_min", "lat_max"), cell).groupBy("granule_id").agg(F.count(F.lit(1)).alias("n"))
-    return boxes.join(hits, "granule_id", "left").select("granule_id", "lat_min", "lat_max", "lon_min", "lon_max", F.coalesce("n", F.lit(0)).alias("n_sites"))
+def extent_overlap(boxes: DataFrame, sites: DataFrame) -> DataFrame:
+    """Boxes and the sites inside (G6); boxes without sites count 0, equal rows are counted together. A granule may have several boxes."""
+    keys = ["granule_id", "lat_min", "lat_max", "lon_min", "lon_max"]
+    hits = in_boxes(sites, boxes, "lon", "lat", ("lon_min", "lon_max", "lat_min", "lat_max")).counts(*keys)
+    none = boxes.select(*keys, F.lit(0).cast("long").alias("n_pairs"))
+    return hits.unionByName(none).groupBy(*keys).agg(F.sum("n_pairs").alias("n_sites"))

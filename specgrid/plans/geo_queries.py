@@ -58,8 +58,8 @@ def _mapping(spark, sf):
     return mp.map_sites(view(spark, sf, "v_sites"), view(spark, sf, "v_granules"))
 
 
-def _matches(spark, sf):
-    return _mapping(spark, sf).select("site_id", "granule_id", (F.col("gid") % 24).cast("long").alias("flightline"))
+def _mapped(spark, sf):
+    return mp.mapped_sites(view(spark, sf, "v_sites"), view(spark, sf, "v_granules").withColumn("flightline", (F.col("gid") % 24).cast("long")))
 
 
 def _boxes(spark, sf, corners=4):
@@ -68,8 +68,7 @@ def _boxes(spark, sf, corners=4):
 
 @query("map_sites", _MAP_DUCK + "SELECT site_id, granule_id, x_idx, y_idx FROM (SELECT *, row_number() OVER (PARTITION BY round(lat, 5), round(lon, 5) ORDER BY granule_id, site_id) AS rn FROM mapped) WHERE rn = 1")
 def map_sites(spark, sf):
-    first = mp.dedup_first(_mapping(spark, sf), [F.round("lat", 5), F.round("lon", 5)], ["granule_id", "site_id"])
-    return first.select("site_id", "granule_id", "x_idx", "y_idx")
+    return mp.first_granules(_mapped(spark, sf)).select("site_id", "granule_id", "x_idx", "y_idx")
 
 
 @query("g1_to_utm", duck("v_sites", more=_utm_sql("lon", "lat", "v_sites", "site_id")) + "SELECT site_id, round(e, 3) AS easting, round(n, 3) AS northing FROM utm")
@@ -127,7 +126,7 @@ def g5_patch_bounds(spark, sf):
 )
 def g6_extent_overlap(spark, sf):
     out = mp.extent_overlap(_boxes(spark, sf), view(spark, sf, "v_sites"))
-    return out.select("granule_id", F.round("lat_min", 6).alias("lat_min"), F.round("lon_max", 6).alias("lon_max"), "n_sites")
+    return out.groupBy("granule_id", F.round("lat_min", 6).alias("lat_min"), F.round("lon_max", 6).alias("lon_max")).agg(F.sum("n_sites").alias("n_sites"))
 
 
 @query("g7_sites_extent", duck("v_sites") + "SELECT min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max FROM v_sites")
@@ -153,22 +152,22 @@ def j2_map_sites(spark, sf):
 FROM v_sites s WHERE site_id NOT IN (SELECT site_id FROM mapped)""",
 )
 def j7_coverage_gaps(spark, sf):
-    return mp.coverage_gaps(view(spark, sf, "v_sites"), _mapping(spark, sf), _boxes(spark, sf)).select("site_id", "reason")
+    return mp.coverage_gaps(view(spark, sf, "v_sites"), _mapped(spark, sf), _boxes(spark, sf)).select("site_id", "reason")
 
 
 @query("a3_granule_site_counts", _MAP_DUCK + "SELECT granule_id, count(*) AS n_sites FROM mapped GROUP BY 1")
 def a3_granule_site_counts(spark, sf):
-    return mp.granule_site_counts(_mapping(spark, sf))
+    return mp.granule_site_counts(_mapped(spark, sf))
 
 
 @query("a4_flightline_coverage", _MATCH_DUCK + "SELECT flightline, count(DISTINCT site_id) AS n_sites, array_to_string(list_sort(list(DISTINCT granule_id)), ',') AS granules FROM matches GROUP BY 1")
 def a4_flightline_coverage(spark, sf):
-    return mp.flightline_coverage(_matches(spark, sf)).withColumn("granules", F.array_join("granules", ","))
+    return mp.flightline_coverage(_mapped(spark, sf)).withColumn("granules", F.array_join("granules", ","))
 
 
 @query("a5_coverage_totals", _MATCH_DUCK + "SELECT count(DISTINCT site_id) AS n_sites, count(DISTINCT granule_id) AS n_granules, count(*) AS n_pairs FROM matches")
 def a5_coverage_totals(spark, sf):
-    return mp.coverage_totals(_matches(spark, sf))
+    return mp.coverage_totals(_mapped(spark, sf))
 
 
 @query(
@@ -179,7 +178,7 @@ b AS (SELECT site_id, min(rank) AS rank FROM matches JOIN r USING (flightline) G
 SELECT r.rank, flightline, n_sites, count(b.site_id) AS new_sites FROM r LEFT JOIN b ON b.rank = r.rank GROUP BY ALL""",
 )
 def w3_rank_flightlines(spark, sf):
-    return mp.rank_flightlines(_matches(spark, sf), 10)
+    return mp.rank_flightlines(mp.flightline_sites(_mapped(spark, sf)), 10)
 
 
 _BEST = "b{i} AS (SELECT flightline, count(DISTINCT site_id) AS k FROM matches WHERE site_id NOT IN (SELECT site_id FROM matches WHERE flightline IN ({before})) GROUP BY 1 ORDER BY k DESC, flightline LIMIT 1)"
@@ -188,7 +187,7 @@ _COVER = ", ".join(_BEST.format(i=i, before=" UNION ALL ".join(["SELECT -1", *(f
 
 @query("w3_greedy_cover", _MATCH_DUCK + ", " + _COVER + " UNION ALL ".join(f" SELECT CAST({i} AS INT) AS rank, flightline, k AS new_sites FROM b{i}" for i in range(1, 6)))
 def w3_greedy_cover(spark, sf):
-    return mp.greedy_cover(_matches(spark, sf), 5)
+    return mp.greedy_cover(mp.flightline_sites(_mapped(spark, sf)), 5)
 
 
 @query("w1_dedup_first", duck("v_pred") + "SELECT id, flightline, site_id FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY flightline, id) AS rn FROM v_pred) WHERE rn = 1")
