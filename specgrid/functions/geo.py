@@ -126,9 +126,18 @@ def granule_box(corners: int = 4) -> Column:
     return _box(*[(zero, zero), (w, h), (w, zero), (zero, h)][:corners])
 
 
-def patch_bounds(x: Column, y: Column, half: int) -> Column:
-    """Longitude/latitude box of a pixel window, from its two corners."""
-    return _box((x - half, y - half), (x + half, y + half))
+def with_patch_bounds(df: DataFrame, x: str, y: str, half: int, zone: int = 34, south: bool = True) -> DataFrame:
+    """``df`` with the longitude/latitude box of a pixel window, from its two corners (G5); as in ``with_utm`` each step is a projection of its own."""
+    def step(df: DataFrame, old: tuple[str, str], new: tuple[str, str], f) -> DataFrame:
+        return df.withColumns({f"{n}{i}": c for i in (1, 2) for n, c in zip(new, f(*[F.col(f"{o}{i}") for o in old]), strict=True)})
+
+    places = {"_e": ("origin_x", x, "pixel_w"), "_n": ("origin_y", y, "pixel_h")}
+    out = df.withColumns({f"{n}{i}": F.col(o) + (F.col(c) + by).cast("double") * F.col(p) for i, by in ((1, -half), (2, half)) for n, (o, c, p) in places.items()})
+    out = step(out, ("_e", "_n"), ("_xi", "_eta"), lambda e, n: _series(e, n, south))
+    out = step(out, ("_xi", "_eta"), ("_chi", "_lam"), _angles)
+    out = step(out, ("_chi", "_lam"), ("_lon", "_lat"), lambda chi, lam: _degrees(chi, lam, zone))
+    ends = {f"{c}_{e}": f(f"_{c}1", f"_{c}2") for c in ("lat", "lon") for e, f in (("min", F.least), ("max", F.greatest))}
+    return out.withColumns(ends).drop(*[f"_{n}{i}" for n in ("e", "n", "xi", "eta", "chi", "lam", "lon", "lat") for i in (1, 2)])
 
 
 def _spread_bits(v: Column) -> Column:
