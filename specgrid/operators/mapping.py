@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +20,29 @@ WIDE, COVERED, COUNTED = 8, 16, 32
 TRIED = 2_000_000
 #: Boxes of a task that lists their cells.
 DEALT = 200
+#: Rows of a task that projects sites or boxes.
+KEPT = 20_000
 _KEY = ["lv", "cx", "cy"]
 
 
+def kept(rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(rows)`` written once, for steps of much arithmetic that joins read more than once.
+
+    The filters that Spark derives from a join go down through projections, where
+    each use of a column writes its whole series out again. Rows are dealt over
+    tasks first, as a small file is one task however long its rows take.
+    """
+    out = work(rows.repartition(rows.count() // KEPT + 1))
+    path = work_dir(rows.sparkSession, "kept")
+    out.write.parquet(path)
+    return rows.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def located_sites(sites: DataFrame) -> DataFrame:
+    """Sites with easting ``e`` and northing ``n``."""
+    return kept(sites, lambda df: geo.with_utm(df, "lon", "lat"))
+
+
 def _level(box: tuple[Column, ...], cell: float, wide: int) -> Column:
     """First level of the grid on which a box is at most ``wide`` cells wide; -1 for boxes that no level holds, met by all points."""
     x0, x1, y0, y1 = box
@@ -167,8 +188,7 @@ def _pixel() -> dict[str, Column]:
 
 def map_sites(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: float = 20_000.0) -> DataFrame:
     """Site-to-pixel join (J2): one row per site and granule whose patch fits, with pixel indices."""
-    located = geo.with_utm(sites, "lon", "lat")
-    pairs = range_join(located, _granule_boxes(granules), "e", "n", _GRANULE_BOX, cell).withColumns(_pixel())
+    pairs = range_join(located_sites(sites), kept(granules, _granule_boxes), "e", "n", _GRANULE_BOX, cell).withColumns(_pixel())
     return pairs.where(geo.fits_patch(F.col("x_idx"), F.col("y_idx"), F.col("width"), F.col("height"), patch // 2)).drop(*_GRANULE_BOX)
 
 
@@ -183,7 +203,7 @@ def mapped_sites(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: f
     at = _pixel()
     inside = F.col("e").between(F.col("bx0"), F.col("bx1")) & F.col("n").between(F.col("by0"), F.col("by1"))
     exact = inside & geo.fits_patch(at["x_idx"], at["y_idx"], F.col("width"), F.col("height"), half)
-    return Meeting(geo.with_utm(sites, "lon", "lat"), boxes, "e", "n", _GRANULE_BOX, _PATCH_BOX, exact, cell)
+    return Meeting(located_sites(sites), boxes, "e", "n", _GRANULE_BOX, _PATCH_BOX, exact, cell)
 
 
 def first_granules(mapped: Meeting) -> DataFrame:

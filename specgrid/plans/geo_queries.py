@@ -62,8 +62,12 @@ def _mapped(spark, sf):
     return mp.mapped_sites(view(spark, sf, "v_sites"), view(spark, sf, "v_granules").withColumn("flightline", (F.col("gid") % 24).cast("long")))
 
 
-def _boxes(spark, sf, corners=4):
-    return view(spark, sf, "v_granules").select("granule_id", geo.granule_box(corners).alias("b")).select("granule_id", "b.*")
+def _cornered(granules, corners=4):
+    return granules.select("granule_id", geo.granule_box(corners).alias("b")).select("granule_id", "b.*")
+
+
+def _boxes(spark, sf):
+    return mp.kept(view(spark, sf, "v_granules"), _cornered)
 
 
 @query("map_sites", _MAP_DUCK + "SELECT site_id, granule_id, x_idx, y_idx FROM (SELECT *, row_number() OVER (PARTITION BY round(lat, 5), round(lon, 5) ORDER BY granule_id, site_id) AS rn FROM mapped) WHERE rn = 1")
@@ -88,8 +92,9 @@ def g2_from_utm(spark, sf):
 
 @query("g3_pixel_index", _MAP_DUCK + "SELECT site_id, granule_id, x_idx, y_idx FROM pairs")
 def g3_pixel_index(spark, sf):
-    s = geo.with_utm(view(spark, sf, "v_sites"), "lon", "lat")
-    g = view(spark, sf, "v_granules").withColumns({"x1": F.col("origin_x") + F.col("width") * F.col("pixel_w"), "y1": F.col("origin_y") + F.col("height") * F.col("pixel_h")})
+    s = mp.located_sites(view(spark, sf, "v_sites"))
+    ends = {"x1": F.col("origin_x") + F.col("width") * F.col("pixel_w"), "y1": F.col("origin_y") + F.col("height") * F.col("pixel_h")}
+    g = mp.kept(view(spark, sf, "v_granules"), lambda df: df.withColumns(ends))
     pairs = mp.range_join(s, g, "e", "n", ("origin_x", "x1", "y1", "origin_y"), 20_000.0)
     x, y = geo.pixel_index(F.col("e"), F.col("n"), F.col("origin_x"), F.col("pixel_w"), F.col("origin_y"), F.col("pixel_h"))
     return pairs.select("site_id", "granule_id", x.alias("x_idx"), y.alias("y_idx"))
@@ -100,7 +105,7 @@ def _rounded_boxes(corners):
 
     @query(f"g4_granule_box_{corners}", sql)
     def g4(spark, sf):
-        return _boxes(spark, sf, corners).select("granule_id", *[F.round(c, 7).alias(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")])
+        return _cornered(view(spark, sf, "v_granules"), corners).select("granule_id", *[F.round(c, 7).alias(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")])
 
 
 _rounded_boxes(4)
