@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -84,7 +86,7 @@ def band_stats(cells: DataFrame) -> DataFrame:
 
 
 class EarlyStop(StatefulProcessor):
-    """Best value of a run and rows since it; rows not after the last one seen count as late and are left out."""
+    """Best value of a run and rows since it, of packs of rows; rows not after the last one seen count as late and are left out."""
 
     def __init__(self, patience: int):
         self.patience = patience
@@ -94,15 +96,21 @@ class EarlyStop(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         best, since, last, stopped = self.state.get() if self.state.exists() else (None, 0, -1, False)
-        pdf = pd.concat(list(rows)).sort_values("step")
+        if stopped:
+            return
+        packs = pd.concat(list(rows))
+        steps, metrics = np.concatenate(packs["step"].to_list()), np.concatenate(packs["metric"].to_list()).astype(float)
+        order = np.argsort(steps, kind="stable")
         out = []
-        for step, metric in zip(pdf["step"], pdf["metric"], strict=True):
-            if step <= last or stopped:
+        for step, metric in zip(steps[order].tolist(), metrics[order].tolist(), strict=True):
+            if step <= last:
                 continue
             is_best = best is None or metric > best
             best, since, last = (metric, 0, step) if is_best else (best, since + 1, step)
-            stopped = since >= self.patience
-            out.append((key[0], int(step), float(metric), float(best), bool(is_best), int(since)))
+            out.append((key[0], step, metric, best, is_best, since))
+            if since >= self.patience:
+                stopped = True
+                break
         self.state.update((best, int(since), int(last), bool(stopped)))
         yield pd.DataFrame(out, columns=["run", "step", "metric", "best", "is_best", "since"])
 
@@ -110,12 +118,20 @@ class EarlyStop(StatefulProcessor):
         pass
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a run and Arrow batch, its steps and metrics as arrays: the stateful operator takes its rows one by one, at a cost each."""
+    for batch in batches:
+        out = pa.Table.from_batches([batch]).group_by("run", use_threads=False).aggregate([("step", "list"), ("metric", "list")])
+        yield from out.select(["run", "step_list", "metric_list"]).rename_columns(["run", "step", "metric"]).to_batches()
+
+
 def early_stop_stream(log: DataFrame, patience: int) -> DataFrame:
     """Running best and early stop of each run as rows arrive (T3), every row once.
 
     A row whose step is not after the last one of its run in earlier batches is
     late and left out, so are rows after the stop. Needs the RocksDB state store.
     """
-    return log.groupBy("run").transformWithStateInPandas(
+    rows = log.select(F.col("run").cast("long").alias("run"), F.col("step").cast("long").alias("step"), F.col("metric").cast("double").alias("metric"))
+    return rows.mapInArrow(_packed, "run long, step array<long>, metric array<double>").groupBy("run").transformWithStateInPandas(
         EarlyStop(patience), outputStructType="run long, step long, metric double, best double, is_best boolean, since int", outputMode="Append", timeMode="None"
     )
