@@ -19,7 +19,7 @@ WIDE, COVERED, COUNTED = 8, 16, 32
 #: Pairs that a task of a range join tries, about.
 TRIED = 2_000_000
 #: Boxes of a task that lists their cells.
-DEALT = 200
+DEALT = 1_000
 #: Rows of a task that projects sites or boxes.
 KEPT = 20_000
 _KEY = ["lv", "cx", "cy"]
@@ -32,10 +32,13 @@ def kept(rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     each use of a column writes its whole series out again. Rows are dealt over
     tasks first, as a small file is one task however long its rows take.
     """
-    out = work(rows.repartition(rows.count() // KEPT + 1))
-    path = work_dir(rows.sparkSession, "kept")
-    out.write.parquet(path)
-    return rows.sparkSession.read.schema(out.schema).parquet(path)
+    return _written(work(rows.repartition(rows.count() // KEPT + 1)), "kept")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def located_sites(sites: DataFrame) -> DataFrame:
@@ -118,8 +121,12 @@ class Meeting:
     exact: Column
     cell: float
 
-    def split(self, boxes: DataFrame, wide: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """Boxes with a number ``_id``, boxes under the cells inside them, boxes under the other cells that they touch, and points under their cells."""
+    def split(self, boxes: DataFrame, wide: int, label: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Boxes with a number ``_id``, boxes under the cells inside them, boxes under the other cells that they touch, and points under their cells.
+
+        A task lists boxes of one ``label`` that lie near each other, so that cells
+        they have in common become one row before they are sent.
+        """
         cell = self.cell / wide
         x0, x1, y0, y1 = ends = tuple(F.col(c).cast("double") for c in self.box)
         side = cell * F.pow(F.lit(2.0), F.col("lv"))
@@ -129,10 +136,8 @@ class Meeting:
         outer = dict(zip(("_x0", "_x1", "_y0", "_y1"), map(at, self.box), strict=True))
         inner = {n: at(c, by) for n, c, by in zip(("_u0", "_u1", "_v0", "_v1"), self.sure, (1, -1, 1, -1), strict=True)}
         placed = placed.withColumns(outer | inner).withColumn("_id", F.monotonically_increasing_id())
-        path = work_dir(boxes.sparkSession, "boxes")  # a row a box; its cells are numbers from here on
-        placed.write.parquet(path)
-        placed = boxes.sparkSession.read.schema(placed.schema).parquet(path)
-        placed = placed.repartition(placed.count() // DEALT + 1)
+        placed = _written(placed, "boxes")  # a row a box; its cells are numbers from here on
+        placed = placed.repartitionByRange(placed.count() // DEALT + 1, *(label or []), "lv", "_v0", "_u0", "_id")
         holds = F.coalesce((F.col("lv") >= 0) & (F.col("_u0") <= F.col("_u1")) & (F.col("_v0") <= F.col("_v1")), F.lit(False))
         drop = lambda df: df.drop(*outer, *inner)
         whole = placed.where(holds).withColumn("cx", F.explode(F.sequence("_u0", "_u1"))).withColumn("cy", F.explode(F.sequence("_v0", "_v1")))
@@ -152,17 +157,42 @@ class Meeting:
 
     def covered(self, keep: list[str], label: list[str]) -> DataFrame:
         """Distinct points (columns ``keep``) and labels of boxes that they are in; a cell that a label covers needs no test for it."""
-        _, whole, edge, probes = self.split(self.boxes, COVERED)
-        full = whole.select(*label, *_KEY).distinct()
-        tested = edge.join(full, [*label, *_KEY], "left_anti").join(probes.hint("merge"), _KEY).where(self.exact)
-        return probes.join(full, _KEY).select(*keep, *label).unionByName(tested.select(*keep, *label)).distinct()
+        probes, full, tested = self._full(label)
+        return probes.join(full.hint("merge"), _KEY).select(*keep, *label).unionByName(tested.select(*keep, *label)).distinct()
+
+    def alike(self, key: str, label: list[str]) -> DataFrame:
+        """``covered([key], label)`` with the keys of equal cells and labels told by the smallest of them: ``key``, ``label`` and the keys' number ``n_alike``.
+
+        A cell that labels cover is a row for each of them, whatever the number of its points.
+        """
+        probes, full, tested = self._full(label)
+        own = probes.join(full.select(*_KEY).distinct().hint("merge"), _KEY, "left_semi").select(key, F.struct(*_KEY).alias("_cell"), F.lit(None).alias("_more"))
+        own = own.unionByName(tested.select(key, F.lit(None).alias("_cell"), F.struct(*label).alias("_more")))
+        sets = [F.sort_array(F.collect_set(c)).alias(c) for c in ("_cell", "_more")]
+        equal = own.groupBy(key).agg(*sets).groupBy("_cell", "_more").agg(F.min(key).alias(key), F.count(key).alias("n_alike"))
+        equal = _written(equal, "alike")
+        keep = [key, "n_alike"]
+        by_cell = equal.select(*keep, F.explode("_cell").alias("_cell")).select(*keep, "_cell.*").join(full.hint("merge"), _KEY)
+        return by_cell.select(*keep, *label).unionByName(equal.select(*keep, F.explode("_more").alias("_more")).select(*keep, "_more.*")).distinct()
+
+    def _full(self, label: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Points under their cells, cells that a box of a label covers, written once, and the other cells' points with boxes they are in."""
+        placed, whole, edge, probes = self.split(self.boxes, COVERED, label)
+        full = _written(whole.select(*label, *_KEY).distinct(), "full")
+        left = edge.select("_id", *label, *_KEY).join(full.hint("merge"), [*label, *_KEY], "left_anti")
+        return probes, full, self._tested(placed.drop(*label), left, probes)
+
+    def _tested(self, placed: DataFrame, edge: DataFrame, probes: DataFrame) -> DataFrame:
+        """Pairs in the cells of ``edge``, of which most were told without them: boxes' columns join those that are left."""
+        return edge.join(placed.drop("lv"), "_id").join(probes.hint("merge"), _KEY).where(self.exact)
 
     def first_box(self, keep: list[str], *order: str) -> DataFrame:
         """Distinct points with the first box, in ``order``, that they are in: on a cell's edges only boxes before the first that covers it are tested."""
         numbered = global_rank(self.boxes, *order, name="_no")
-        _, whole, edge, probes = self.split(numbered, COVERED)
-        best = whole.groupBy(*_KEY).agg(F.min("_no").alias("_best"))
-        tested = edge.join(best, _KEY, "left").where("_best IS NULL OR _no < _best").join(probes.hint("merge"), _KEY).where(self.exact)
+        placed, whole, edge, probes = self.split(numbered, COVERED)
+        best = _written(whole.groupBy(*_KEY).agg(F.min("_no").alias("_best")), "best")
+        left = edge.select("_id", "_no", *_KEY).join(best.hint("merge"), _KEY, "left").where("_best IS NULL OR _no < _best")
+        tested = self._tested(placed.drop("_no"), left, probes)
         either = probes.join(best, _KEY).select(*keep, F.col("_best").alias("_no")).unionByName(tested.select(*keep, "_no"))
         return either.groupBy(*keep).agg(F.min("_no").alias("_no")).join(numbered, "_no").drop("_no")
 
@@ -227,7 +257,7 @@ def granule_site_counts(mapped: Meeting) -> DataFrame:
 
 def flightline_coverage(mapped: Meeting) -> DataFrame:
     """Distinct sites and granules of each flightline (A4)."""
-    sites = mapped.covered(["site_id"], ["flightline"]).groupBy("flightline").agg(F.countDistinct("site_id").alias("n_sites"))
+    sites = mapped.alike("site_id", ["flightline"]).groupBy("flightline").agg(F.sum("n_alike").alias("n_sites"))
     granules = mapped.counts("flightline", "granule_id").groupBy(F.col("flightline").alias("_line")).agg(F.sort_array(F.collect_set("granule_id")).alias("granules"))
     return sites.join(granules, F.col("flightline").eqNullSafe(F.col("_line"))).drop("_line")
 
@@ -248,54 +278,51 @@ def coverage_gaps(sites: DataFrame, mapped: Meeting, boxes: DataFrame) -> DataFr
 
 
 def flightline_sites(mapped: Meeting) -> DataFrame:
-    """Distinct flightlines and sites, written once, as the ranks and covers read them more than once."""
-    lines = mapped.covered(["site_id"], ["flightline"])
-    path = work_dir(lines.sparkSession, "lines")
-    lines.write.parquet(path)
-    return lines.sparkSession.read.schema(lines.schema).parquet(path)
+    """Distinct flightlines and sites, one site for ``n_alike`` of the same flightlines, written once, as the ranks and covers read them more than once."""
+    return _written(mapped.alike("site_id", ["flightline"]), "lines")
+
+
+def _alike(matches: DataFrame) -> Column:
+    """Sites that a row of ``matches`` stands for."""
+    return F.col("n_alike") if "n_alike" in matches.columns else F.lit(1).cast("long").alias("n_alike")
 
 
 def rank_flightlines(matches: DataFrame, n: int) -> DataFrame:
     """Top ``n`` flightlines by sites, with the sites that no better-ranked one has."""
-    lines = matches.select("flightline", "site_id").distinct()
-    counts = lines.groupBy("flightline").agg(F.count(F.lit(1)).alias("n_sites"))
+    lines = matches.select("flightline", "site_id", _alike(matches)).distinct()
+    counts = lines.groupBy("flightline").agg(F.sum("n_alike").alias("n_sites"))
     top = counts.orderBy(F.desc("n_sites"), "flightline").limit(n)
     # n rows from here on
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_sites"), "flightline")))
-    best = lines.join(ranked, "flightline").groupBy("site_id").agg(F.min("rank").alias("rank"))
-    new = best.groupBy("rank").agg(F.count(F.lit(1)).alias("new_sites"))
+    best = lines.join(ranked, "flightline").groupBy("site_id", "n_alike").agg(F.min("rank").alias("rank"))
+    new = best.groupBy("rank").agg(F.sum("n_alike").alias("new_sites"))
     return ranked.join(new, "rank", "left").select("rank", "flightline", "n_sites", F.coalesce("new_sites", F.lit(0)).alias("new_sites"))
 
 
 def greedy_cover(matches: DataFrame, n: int, ahead: int = 16) -> DataFrame:
     """Greedy cover: at each step the flightline with most sites not yet covered, the smaller one on ties.
 
-    Sites are numbered and each flightline becomes bitmaps of them, written once;
-    every job reads those, so plans don't grow with the steps. What a flightline
-    would add can only shrink, so its last known gain bounds it: the driver keeps
+    Sites of the same flightlines become one row, a set of flightlines and their
+    number, written once; every job reads those, so plans don't grow with the steps.
+    What a flightline would add can only shrink, so its last known gain bounds it: the driver keeps
     one number a flightline in a queue, and a step counts anew only the ``ahead``
     best of those whose number is old, until the best number is a new one.
     """
     spark = matches.sparkSession
-    lines = matches.select("flightline", "site_id").where("flightline IS NOT NULL AND site_id IS NOT NULL").distinct()
-    numbered = lines.join(global_rank(lines.select("site_id").distinct(), "site_id", name="_no"), "site_id")
-    bits = numbered.groupBy("flightline", F.bitmap_bucket_number("_no").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_no")).alias("bits"))
-    path = work_dir(spark, "cover")
-    bits.write.parquet(path)
-    bits = spark.read.schema(bits.schema).parquet(path)
-    kind = bits.schema["flightline"].dataType.simpleString()
+    lines = matches.select("flightline", "site_id", _alike(matches)).where("flightline IS NOT NULL AND site_id IS NOT NULL")
+    sets = lines.groupBy("site_id", "n_alike").agg(F.sort_array(F.collect_set("flightline")).alias("lines"))
+    sets = _written(sets.groupBy("lines").agg(F.sum("n_alike").alias("k")), "cover")
+    kind = lines.schema["flightline"].dataType.simpleString()
     chosen: list[tuple[int, object, int]] = []
 
     def gains(asked: list) -> dict:
         """Sites that each of some flightlines adds to the chosen ones."""
-        had = bits.where(F.col("flightline").isin([c[1] for c in chosen])).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        had = had.select(F.explode(F.array(*[F.lit(a).cast(kind) for a in asked])).alias("flightline"), "bucket", "bits")
-        both = bits.where(F.col("flightline").isin(asked)).unionByName(had)
-        whole = both.groupBy("flightline", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("k"))
-        covered = sum(c[2] for c in chosen)
-        return {r.flightline: r.k - covered for r in whole.groupBy("flightline").agg(F.sum("k").alias("k")).collect()}
-
-    first = bits.groupBy("flightline").agg(F.sum(F.bitmap_count("bits")).alias("k"))
+        these = lambda of: F.array(*[F.lit(a).cast(kind) for a in of])
+        new = sets.where(~F.arrays_overlap("lines", these([c[1] for c in chosen])))
+        each = new.select(F.explode(F.array_intersect("lines", these(asked))).alias("flightline"), "k")
+        return dict.fromkeys(asked, 0) | {r.flightline: r.k for r in each.groupBy("flightline").agg(F.sum("k").alias("k")).collect()}
+
+    first = sets.select(F.explode("lines").alias("flightline"), "k").groupBy("flightline").agg(F.sum("k").alias("k"))
     queue = [(-r.k, r.flightline, 1) for r in first.collect()]  # one row a flightline
     heapq.heapify(queue)
     for step in range(1, n + 1):
