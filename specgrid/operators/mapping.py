@@ -216,7 +216,7 @@ def _pixel() -> dict[str, Column]:
     return {"x_idx": x, "y_idx": y}
 
 
-def map_sites(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: float = 20_000.0) -> DataFrame:
+def map_sites(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: float = 24_000.0) -> DataFrame:
     """Site-to-pixel join (J2): one row per site and granule whose patch fits, with pixel indices."""
     pairs = range_join(located_sites(sites), kept(granules, _granule_boxes), "e", "n", _GRANULE_BOX, cell).withColumns(_pixel())
     return pairs.where(geo.fits_patch(F.col("x_idx"), F.col("y_idx"), F.col("width"), F.col("height"), patch // 2)).drop(*_GRANULE_BOX)
