@@ -23,7 +23,7 @@ from __future__ import annotations
 import functools
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from specgrid.llm.common import released, ship
 
 MARK = "▁"
-#: Entries of the memos of a task: segments, and twice as many pairs (some 20 MB together).
-MEMO = 60_000
+#: Entries of each of the two parts of a task's memos: segments, and as many pairs.
+MEMO = 120_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -104,12 +104,29 @@ class PieceMachine:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = piece
+        self._inherit()
         #: The longest piece that is a proper prefix of a piece.
         self.shorter = {p: next((p[:i] for i in range(len(p) - 1, 0, -1) if p[:i] in self.ids), "") for p in self.ids}
         self.floor = min((s for _, s, k in self.pieces if k == _NORMAL), default=0.0) - 10.0
         self.cut = self._cuts()
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.old_pairs: dict[tuple[str, str], bool] = {}
+        self.traces: dict[str, tuple[bool, list[float], list[str], list[str]]] = {}
         self.memo: dict[str, bytes] = {}
+        self.old_memo: dict[str, bytes] = {}
+        self.packed = {p: struct.pack("=i", i) for p, i in self.ids.items()}
+
+    def _inherit(self) -> None:
+        """Every node of the trie gets the longest piece on the way to it, so that a walk looks at a node once."""
+        todo = [self.trie]
+        while todo:
+            node = todo.pop()
+            piece = node.get("")
+            for c, child in node.items():
+                if c:
+                    if piece:
+                        child.setdefault("", piece)
+                    todo.append(child)
 
     def _cuts(self) -> re.Pattern:
         """Segments that no piece can cross the ends of."""
@@ -118,8 +135,35 @@ class PieceMachine:
         stop = f"[{re.escape(alone)}]|" if alone else ""
         if any(MARK in p.lstrip(MARK) for p in long):
             return re.compile(f"{stop}[^{alone}]+" if alone else "(?s).+")
+        if self.byte_ids and any(p.strip(MARK) for p in long):  # else unknown characters beside each other are one id
+            return self._kinds(long)
         return re.compile(f"{stop}{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+")
 
+    @staticmethod
+    def _kinds(long: list[str]) -> re.Pattern:
+        """Segments of the largest kind of characters (letters) or of the others in pieces, with the marks before them.
+
+        Two characters are of one kind if a chain of pieces links them, so no piece
+        crosses kinds; a character that only stands alone is a segment.
+        """
+        kind: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while kind.setdefault(c, c) != c:
+                c = kind[c]
+            return c
+
+        for a, b in {pair for p in long for pair in zip(p, p[1:]) if pair[0] != MARK}:
+            kind[root(a)] = root(b)
+        for c in {p[-1] for p in long} - {MARK}:
+            root(c)
+        groups: dict[str, list[str]] = {}
+        for c in sorted(kind):
+            groups.setdefault(root(c), []).append(c)
+        first, *rest = sorted(groups.values(), key=len, reverse=True)
+        runs = [f"{MARK}*[{re.escape(''.join(g))}]+" for g in (first, [c for g in rest for c in g]) if g]
+        return re.compile("(?s)" + "|".join([*runs, f"{MARK}+", "."]))
+
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -129,8 +173,8 @@ class PieceMachine:
             text = " " + text
         return text.replace(" ", MARK) if self.mark_blanks else text
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces of a short text by the merges themselves: best score first, leftmost on ties."""
+    def merge(self, text: str, seen: Callable[[float, list[str]], None] | None = None) -> list[str]:
+        """Pieces of a short text by the merges themselves: best score first, leftmost on ties; ``seen`` is told each merge's score and the parts after it."""
         parts = list(text)
         scores = self.scores
         while len(parts) > 1:
@@ -142,15 +186,58 @@ class PieceMachine:
             if where < 0:
                 break
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
+            if seen:
+                seen(best, parts)
         return parts
 
+    def trace(self, piece: str) -> tuple[bool, list[float], list[str], list[str]]:
+        """Whether a piece's own merges give it, their scores, and its first and last part before each and after all of them."""
+        scores, first, last = [], [piece[:1]], [piece[-1:]]
+
+        def seen(score: float, parts: list[str]) -> None:
+            scores.append(score)
+            first.append(parts[0])
+            last.append(parts[-1])
+
+        known = self.traces[piece] = len(self.merge(piece, seen)) == 1, scores, first, last
+        return known
+
+    def apart(self, left: str, right: str) -> bool:
+        """``merge(left + right) == [left, right]``, from the two pieces' own merges.
+
+        Until a merge crosses their border, each side goes through its own merges in
+        their order, and the next is the better one of both sides'. So the two stay
+        apart if at no time their parts at the border make a piece that comes first.
+        """
+        fits, ours, _, ends = self.traces.get(left) or self.trace(left)
+        fit, theirs, starts, _ = self.traces.get(right) or self.trace(right)
+        if not (fits and fit):
+            return False
+        i = j = 0
+        n, m, score = len(ours), len(theirs), self.scores.get
+        while True:
+            cross = score(ends[i] + starts[j])
+            if i < n and (j == m or ours[i] >= theirs[j]):
+                if cross is not None and cross > ours[i]:
+                    return False
+                i += 1
+            elif j < m:
+                if cross is not None and cross >= theirs[j]:
+                    return False
+                j += 1
+            else:
+                return cross is None
+
     def agrees(self, left: str, right: str) -> bool:
         """Whether the neighbour acceptor has the arc ``left right`` with weight 0."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 2 * MEMO:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == ([left, right] if left else [right])
+            known = self.old_pairs.get((left, right))
+            if known is None:
+                known = self.apart(left, right) if left else (self.traces.get(right) or self.trace(right))[0]
+            if len(self.pairs) >= MEMO:
+                self.old_pairs, self.pairs = self.pairs, {}
+            self.pairs[left, right] = known
         return known
 
     def arcs(self, text: str, at: int) -> Iterator[str]:
@@ -161,9 +248,10 @@ class PieceMachine:
             if node is None:
                 break
             end += 1
-            if "" in node:
+            piece = node.get("", "")
+            if len(piece) == end - at:
                 one = one or end == at + 1
-                yield node[""]
+                yield piece
         if not one:
             yield text[at]
 
@@ -173,13 +261,13 @@ class PieceMachine:
 
     def _longest(self, text: str, at: int) -> str:
         """Longest piece that starts at ``at``, else the bare character."""
-        node, found = self.trie, ""
-        for end in range(at, len(text)):
-            node = node.get(text[end])
-            if node is None:
+        node = self.trie
+        for c in text[at:]:
+            after = node.get(c)
+            if after is None:
                 break
-            found = node.get("", found)
-        return found or text[at]
+            node = after
+        return node.get("") or text[at]
 
     def _zero_path(self, text: str) -> list[str]:
         """The one path of weight 0, by depth-first search, longest arcs first.
@@ -187,14 +275,14 @@ class PieceMachine:
         A prefix has one path of weight 0 at most, so a position from which the
         end was not reached once need not be entered again.
         """
-        n, pairs, shorter = len(text), self.pairs, self.shorter
+        n, shorter = len(text), self.shorter
         alive = [True] * (n + 1)
         out: list[str] = []
         at, last, piece = 0, "", self._longest(text, 0)
         while True:
             end = at + len(piece)
             if alive[end]:
-                good = pairs.get((last, piece))
+                good = self.pairs.get((last, piece))
                 if good or good is None and self.agrees(last, piece):
                     out.append(piece)
                     if end == n:
@@ -228,8 +316,12 @@ class PieceMachine:
 
     def segment(self, text: str) -> bytes:
         """Ids of one segment as packed 32-bit integers."""
+        path = self.path(text)
+        packed = list(map(self.packed.get, path))
+        if None not in packed:
+            return b"".join(packed)
         ids: list[int] = []
-        for piece in self.path(text):
+        for piece in path:
             i = self.ids.get(piece)
             if i is not None:
                 ids.append(i)
@@ -241,18 +333,26 @@ class PieceMachine:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text; none for a null or empty one."""
-        memo, parts = self.memo, []
-        if len(memo) > MEMO:
-            memo.clear()
-        for s in self.cut.findall(self.normalise(text or "")):
-            got = memo.get(s)
+        segments = self.cut.findall(self.normalise(text or ""))
+        parts = list(map(self.memo.get, segments))
+        for i, got in enumerate(parts):
             if got is None:
-                got = self.segment(s)
-                if len(s) <= 64:
-                    memo[s] = got
-            parts.append(got)
+                parts[i] = self._remembered(segments[i])
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
+    def _remembered(self, text: str) -> bytes:
+        """``segment(text)`` through the memo. Its full part becomes the old one, from which what is met again is taken over."""
+        got = self.memo.get(text)
+        if got is None:
+            got = self.old_memo.get(text)
+            if got is None:
+                got = self.segment(text)
+            if len(text) <= 64:
+                if len(self.memo) >= MEMO:
+                    self.old_memo, self.memo = self.memo, {}
+                self.memo[text] = got
+        return got
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of a sequence of ids; bytes that are no UTF-8 become replacement characters."""
         out = self.out
