@@ -20,6 +20,8 @@ WIDE, COVERED, COUNTED = 8, 16, 32
 TRIED = 2_000_000
 #: Boxes of a task that lists their cells.
 DEALT = 1_000
+#: Tried pairs for which a patch is worked out once, on average, at least; below it patches are worked out a pair.
+SHARED = 16
 #: Rows of a task that projects sites or boxes.
 KEPT = 20_000
 _KEY = ["lv", "cx", "cy"]
@@ -85,21 +87,33 @@ def range_join(points: DataFrame, boxes: DataFrame, px: str, py: str, box: tuple
     coordinate or bound, and boxes that end before they start, meet nothing;
     infinite bounds are met like any other.
     """
-    x0, x1, y0, y1 = box
     filed = _filed(boxes, box, cell / WIDE, WIDE)
     probes = _listed(points, filed, px, py, cell / WIDE)
-    pairs = F.col("_p") * F.col("_b")
-    tried = probes.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_p")).join(filed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_b")), _KEY)
+    return _pairs(probes, filed, _tried(probes, filed, _KEY), px, py, box, _KEY, points.columns)
+
+
+def _tried(probes: DataFrame, filed: DataFrame, key: list[str]) -> DataFrame:
+    """Points ``_p`` and boxes ``_b`` that meet under each ``key``: a cell, or classes of boxes in it that meet all its points."""
+    return probes.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_p")).join(filed.groupBy(*key).agg(F.count(F.lit(1)).alias("_b")), _KEY)
+
+
+def _pairs(probes: DataFrame, filed: DataFrame, tried: DataFrame, px: str, py: str, box: tuple[str, str, str, str], key: list[str], names: list[str], work: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Join of ``range_join``: points (columns ``names``) and boxes of the same ``key``, after ``work`` on the points of each task."""
+    x0, x1, y0, y1 = box
+    pairs, given = F.col("_p") * F.col("_b"), key
     all_pairs, most = tried.agg(F.sum(pairs), F.max(pairs)).first()
-    parts, key = (all_pairs or 0) // TRIED + 1, _KEY
+    parts = (all_pairs or 0) // TRIED + 1
     if (most or 0) > 2 * TRIED:
-        heavy = tried.select(*_KEY, F.ceil(pairs / TRIED).cast("int").alias("_k")).where("_k > 1")
-        dealt = lambda df, to: df.join(heavy, _KEY, "left").withColumn("_part", to).drop("_k")
+        heavy = tried.select(*given, F.ceil(pairs / TRIED).cast("int").alias("_k")).where("_k > 1")
+        dealt = lambda df, to: df.join(heavy, given, "left").withColumn("_part", to).drop("_k")
         k = F.coalesce("_k", F.lit(1))
-        probes = dealt(probes, F.pmod(F.xxhash64(*points.columns), k).cast("int"))
-        filed, key = dealt(filed, F.explode(F.sequence(F.lit(0), k - 1))), [*_KEY, "_part"]
+        probes = dealt(probes, F.pmod(F.xxhash64(*names), k).cast("int"))
+        filed, key = dealt(filed, F.explode(F.sequence(F.lit(0), k - 1))), [*given, "_part"]
     inside = F.col(px).between(F.col(x0), F.col(x1)) & F.col(py).between(F.col(y0), F.col(y1))
-    return probes.repartition(parts, *key).join(filed.repartition(parts, *key), key).where(inside).drop(*key)
+    probes, filed = probes.repartition(parts, *key), filed.repartition(parts, *key)
+    if work:  # a merge sorts what was worked out; other joins work it out again for each pair
+        probes, filed = work(probes), filed.hint("merge")
+    return probes.join(filed, key).where(inside).drop(*key)
 
 
 @dataclass(frozen=True)
@@ -218,8 +232,63 @@ def _pixel() -> dict[str, Column]:
 
 def map_sites(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: float = 24_000.0) -> DataFrame:
     """Site-to-pixel join (J2): one row per site and granule whose patch fits, with pixel indices."""
-    pairs = range_join(located_sites(sites), kept(granules, _granule_boxes), "e", "n", _GRANULE_BOX, cell).withColumns(_pixel())
-    return pairs.where(geo.fits_patch(F.col("x_idx"), F.col("y_idx"), F.col("width"), F.col("height"), patch // 2)).drop(*_GRANULE_BOX)
+    return _fitting(range_join(located_sites(sites), kept(granules, _granule_boxes), "e", "n", _GRANULE_BOX, cell), patch // 2)
+
+
+def _fitting(pairs: DataFrame, half: int) -> DataFrame:
+    return pairs.withColumns(_pixel()).where(geo.fits_patch(F.col("x_idx"), F.col("y_idx"), F.col("width"), F.col("height"), half)).drop(*_GRANULE_BOX)
+
+
+_LATTICE = ["_ax", "_ay", "_pw", "_ph"]  # in the order of origin_x, origin_y, pixel_w, pixel_h
+
+
+def _lattices(cell: float) -> dict[str, Column]:
+    """Pixel sizes and an anchor of the pixels of a box filed under a cell: places from which ``e`` and ``n`` in both have the same pixel borders.
+
+    Whole numbers are counted from the pixel border next to the cell, so that
+    granules on one lattice share it. There a quotient rounds over no border and
+    borders are exact, as the distances stay below the coordinates themselves (a
+    quotient's last digit is then smaller than what a coordinate's last digit
+    makes of it). Other granules are anchored at their own origin.
+    """
+    side, out = cell * F.pow(F.lit(2.0), F.col("lv")), {}
+    for a, p, (lo, hi), origin, step, at in (("_ax", "_pw", _GRANULE_BOX[:2], "origin_x", "pixel_w", "cx"), ("_ay", "_ph", _GRANULE_BOX[2:], "origin_y", "pixel_h", "cy")):
+        o, w, far = F.col(origin).cast("double"), F.col(step).cast("double"), [F.abs(F.col(c).cast("double")) for c in (lo, hi)]
+        whole = (F.col("lv") >= 0) & (o % 1 == 0) & (w % 1 == 0) & (w != 0) & (F.greatest(*far) < 2.0**50)
+        whole &= F.col(hi) - F.col(lo) + side + 2 * F.abs(w) <= F.least(*far)
+        edge = F.when(w > 0, F.col(at)).otherwise(F.col(at) + 1) * side
+        out |= {a: F.when(whole, o + w * F.floor((edge - o) / w)).otherwise(o), p: w}
+    return out
+
+
+def patch_bounds(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: float = 24_000.0, digits: int | None = None) -> DataFrame:
+    """The pairs of ``map_sites`` with the longitude/latitude box of their patch (G5), rounded to ``digits``.
+
+    Granules of one lattice of pixels see a site in the same place, so the series is
+    worked out once for a site, a cell and each lattice that granules of the cell
+    have, and not once a pair, where that serves at least ``SHARED`` tried pairs on
+    average.
+    """
+    half, ends = patch // 2, ("lat_min", "lat_max", "lon_min", "lon_max")
+    rounded = lambda df: df if digits is None else df.withColumns({c: F.round(c, digits) for c in ends})
+    points, boxes, fine = located_sites(sites), kept(granules, _granule_boxes), cell / WIDE
+    # numbers of one double each, which are equal only if the doubles are; as doubles they would be shuffled once more for the join
+    key = [*_KEY, *(f"{c}_no" for c in _LATTICE)]
+    filed = _filed(boxes, _GRANULE_BOX, fine, WIDE).withColumns(_lattices(fine)).withColumns({f"{c}_no": F.xxhash64(c) for c in _LATTICE})
+    listed = _listed(points, filed, "e", "n", fine)
+    tried = _written(_tried(listed, filed, [*key, *_LATTICE]), "lattices")
+    shared, all_pairs = tried.agg(F.sum("_p"), F.sum(F.col("_p") * F.col("_b"))).first()
+    if (shared or 0) * SHARED > (all_pairs or 0):
+        pairs = _fitting(range_join(points, boxes, "e", "n", _GRANULE_BOX, cell), half)
+        return rounded(geo.with_patch_bounds(pairs, "x_idx", "y_idx", half))
+
+    def bounded(df: DataFrame) -> DataFrame:
+        given = dict(zip(("origin_x", "origin_y", "pixel_w", "pixel_h"), map(F.col, _LATTICE), strict=True))
+        pixel = {c: F.floor(F.try_divide(F.col(at) - F.col(a), F.col(p))).cast("double") for c, at, a, p in (("_x", "e", "_ax", "_pw"), ("_y", "n", "_ay", "_ph"))}
+        return rounded(geo.with_patch_bounds(df.withColumns(given | pixel), "_x", "_y", half).drop(*given, *pixel, *_LATTICE))
+
+    probes = listed.join(tried.drop("_p", "_b"), _KEY)
+    return _fitting(_pairs(probes, filed.drop(*_LATTICE), tried, "e", "n", _GRANULE_BOX, key, points.columns, bounded), half)
 
 
 def mapped_sites(sites: DataFrame, granules: DataFrame, patch: int = 16, cell: float = 24_000.0) -> Meeting:

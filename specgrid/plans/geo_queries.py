@@ -120,8 +120,8 @@ _P1, _P2 = _lonlat("origin_x + (x_idx - 8) * pixel_w", "origin_y + (y_idx - 8) *
 SELECT site_id, granule_id, round(least(lat1, lat2), 7) AS lat_min, round(least(lon1, lon2), 7) AS lon_min, round(greatest(lat1, lat2), 7) AS lat_max, round(greatest(lon1, lon2), 7) AS lon_max FROM w""",
 )
 def g5_patch_bounds(spark, sf):
-    out = geo.with_patch_bounds(_mapping(spark, sf), "x_idx", "y_idx", 8)
-    return out.select("site_id", "granule_id", *[F.round(c, 7).alias(c) for c in ("lat_min", "lon_min", "lat_max", "lon_max")])
+    out = mp.patch_bounds(view(spark, sf, "v_sites"), view(spark, sf, "v_granules"), digits=7)
+    return out.select("site_id", "granule_id", "lat_min", "lon_min", "lat_max", "lon_max")
 
 
 @query(
